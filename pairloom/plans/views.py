@@ -19,6 +19,7 @@ TEACHER_DIMS = 32
 RUN_USERS = 10
 ATTEMPT_DAYS = 15
 EPOCH_DAYS = 5
+FAILURE_VALUE = 250
 POLL_SECONDS = 6 * 3600
 
 
@@ -197,7 +198,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             event == "purchase",
             F.when(F.col("event_id") % 50 == 0, F.lit("학습 완료!")).otherwise(F.lit("batch done")),
         )
-        .otherwise(F.when(value > 150, failure).otherwise(F.lit("retry scheduled")))
+        .otherwise(F.when(value > FAILURE_VALUE, failure).otherwise(F.lit("retry scheduled")))
     )
     lines = table(spark, sf_dir, "events").select(
         "event_id",
@@ -220,6 +221,6 @@ def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(event.isin("view", "signup"), F.lit("val")).otherwise(F.lit("train")).alias("phase"),
         F.dayofmonth("ts").cast("bigint").alias("epoch"),
         F.col("event_id").alias("batch_id"),
-        F.when(~skipped, F.col("value") / 100.0).alias("loss"),
+        F.when(~skipped, F.log1p("value")).alias("loss"),
         F.when(skipped, F.lit("skipped")).otherwise(F.lit("ok")).alias("status"),
     )
