@@ -19,54 +19,57 @@ def negative_pairs(k: int) -> int:
     return max(0, (k - 2) // 2)
 
 
+def drawn_keys(df: DataFrame, m: int, seed: int | str = 42, key: str = "row_key") -> DataFrame:
+    """(row_key, draw, neg_key): min(m, N-1) other rows per row, without replacement.
+
+    Rows get a dense seeded index; row i draws the m positions after a hashed start in the
+    circle of the other N-1 rows, and an equi-join on the index turns positions into keys.
+    Only keys are moved, and every row is drawn about m times: there are no hot keys.
+    """
+    indexed = dense_index(require_columns(df, [key]).select(key), key, seed, "idx", total="n")
+    start = hash_bigint(seeded_hash(seed, F.lit("negatives"), key))
+    count = F.least(F.lit(m).cast("bigint"), F.col("n") - 1)
+    steps = F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)).otherwise(
+        F.array().cast("array<bigint>")
+    )
+    offset = F.pmod(F.col("start") + F.col("draw"), F.col("n") - 1)
+    queries = indexed.select(
+        key, "idx", "n", start.alias("start"), F.explode(steps).alias("draw")
+    ).select(
+        key, F.col("draw").cast("int").alias("draw"),
+        F.pmod(F.col("idx") + 1 + offset, F.col("n")).alias("idx"),
+    )
+    rows = indexed.select("idx", F.col(key).alias("neg_key"))
+    return queries.join(rows, "idx").drop("idx")
+
+
 def random_negatives(
     df: DataFrame, m: int, seed: int | str = 42, key: str = "row_key",
     exclude_same_anchor: bool = False,
 ) -> DataFrame:
-    """min(m, N-1) other rows per row, without replacement and never the row itself.
-
-    Rows get a dense seeded index; row i draws the m positions after a hashed start in the
-    circle of the other N-1 rows, so an equi-join on the index fetches them. Every row is
-    drawn m times on average: the join has no hot keys.
+    """(row_key, draw, neg_key, neg_positive, neg_negative) for `drawn_keys`.
 
-    Result: (row_key, draw, neg_key, neg_positive, neg_negative).
+    `key` must be unique. The passages are joined last and once. `exclude_same_anchor` drops
+    draws whose row has the query's anchor, which may be unlabelled positives. `df` is read
+    several times and should be a table.
     """
     require_columns(df, [key, "anchor", "positive", "negative"])
-    indexed = dense_index(df, key, seed, "idx", total="n")
-    start = hash_bigint(seeded_hash(seed, F.lit("negatives"), key))
-    others = F.col("n") - 1
-    draws = F.when(
-        F.least(F.lit(m).cast("bigint"), others) > 0,
-        F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(m).cast("bigint"), others) - 1),
-    ).otherwise(F.array().cast("array<bigint>"))
-    # Both sides project the index before the join so that neither carries what it drops.
-    wanted = ["anchor"] if exclude_same_anchor else []
-    queries = (
-        indexed.select(
-            F.col(key), "idx", "n", start.alias("start"), F.explode(draws).alias("draw"),
-            *[F.col(c).alias("_own_anchor") for c in wanted],
-        )
-        .withColumn(
-            "target",
-            F.pmod(
-                F.col("idx") + 1 + F.pmod(F.col("start") + F.col("draw"), F.col("n") - 1),
-                F.col("n"),
-            ),
-        )
-        .drop("idx", "n", "start")
-    )
-    rows = indexed.select(
-        F.col("idx").alias("target"),
+    drawn = drawn_keys(df, m, seed, key)
+    rows = df.select(
         F.col(key).alias("neg_key"),
         F.col("positive").alias("neg_positive"),
         F.col("negative").alias("neg_negative"),
-        *[F.col(c).alias("_neg_anchor") for c in wanted],
+        F.col("anchor").alias("_neg_anchor"),
+    )
+    if not exclude_same_anchor:
+        return drawn.join(rows.drop("_neg_anchor"), "neg_key")
+    own = df.select(key, F.col("anchor").alias("_own_anchor"))
+    return (
+        drawn.join(rows, "neg_key")
+        .join(own, key)
+        .where(~F.col("_own_anchor").eqNullSafe(F.col("_neg_anchor")))
+        .drop("_own_anchor", "_neg_anchor")
     )
-    drawn = queries.join(rows, "target").drop("target")
-    if exclude_same_anchor:
-        drawn = drawn.where(~F.col("_own_anchor").eqNullSafe(F.col("_neg_anchor")))
-        drawn = drawn.drop("_own_anchor", "_neg_anchor")
-    return drawn.withColumn("draw", F.col("draw").cast("int"))
 
 
 def query_lists(

@@ -1,6 +1,7 @@
 """Views of the given tables in the shapes the operators read.
 
-All views cover whole tables and whole texts, and join on unique keys only.
+All views cover whole tables and whole texts, and join on unique keys only. Triplets are written
+as tables first, as several operators read their input more than once.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pairloom.operators.negatives import candidate_docs, explode_lists
 from pairloom.operators.ordering import assign_batches, dense_index
 from pairloom.operators.score import pair_cosine
+from pairloom.session import materialise
 from pairloom.sources.files import number_lines
 
 BATCH_SIZE = 16
@@ -51,7 +53,7 @@ def dialogue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dialogue_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _next_as_negative(dialogue_pairs(spark, sf_dir))
+    return materialise(_next_as_negative(dialogue_pairs(spark, sf_dir)), "dialogues")
 
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +72,8 @@ def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _next_as_negative(document_pairs(spark, sf_dir)).drop("lang")
+    pairs = document_pairs(spark, sf_dir).drop("lang")
+    return materialise(_next_as_negative(pairs), "documents")
 
 
 def supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,11 +131,8 @@ def vector_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.pmod(F.col("idx") - by, F.col("n")).alias("idx"), F.col("anchor").alias(name)
         )
 
-    return (
-        indexed.join(shifted(1, "positive"), "idx")
-        .join(shifted(2, "negative"), "idx")
-        .select("row_key", "anchor", "positive", "negative")
-    )
+    triplets = indexed.join(shifted(1, "positive"), "idx").join(shifted(2, "negative"), "idx")
+    return materialise(triplets.select("row_key", "anchor", "positive", "negative"), "vectors")
 
 
 def vector_lists(spark: SparkSession, sf_dir: str, k: int = LIST_SIZE) -> DataFrame:
