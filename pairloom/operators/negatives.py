@@ -6,6 +6,8 @@ caller that only needs keys or vectors never moves the texts.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,25 +76,29 @@ def random_negatives(
 
 def query_lists(
     df: DataFrame, m: int, seed: int | str = 42, key: str = "row_key",
-    exclude_same_anchor: bool = False,
+    exclude_same_anchor: bool = False, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(row_key, docs): positive, negative, then both passages of each drawn row.
+    """(row_key, docs, *carry): positive, negative, then both passages of each drawn row.
 
-    A group holds at most m + 1 rows, so collecting it is bounded.
+    `carry` names columns of the query's own row to keep, which spares a join afterwards. A
+    group holds at most m + 1 rows, so collecting it is bounded.
     """
-    own = df.select(
-        key, F.lit(-1).alias("draw"), F.col("positive").alias("a"), F.col("negative").alias("b")
+    members = df.select(
+        key, F.lit(-1).alias("draw"), F.col("positive").alias("a"), F.col("negative").alias("b"),
+        *carry,
     )
-    members = own
     if m > 0:
         drawn = random_negatives(df, m, seed, key, exclude_same_anchor)
-        members = own.unionByName(
+        members = members.unionByName(
             drawn.select(
                 key, "draw", F.col("neg_positive").alias("a"), F.col("neg_negative").alias("b")
-            )
+            ),
+            allowMissingColumns=True,
         )
+    # Only the query's own row has the carried values.
     grouped = members.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("draw", "a", "b"))).alias("members")
+        F.sort_array(F.collect_list(F.struct("draw", "a", "b"))).alias("members"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in carry],
     )
 
     def both(member: Column) -> Column:
@@ -108,7 +114,7 @@ def query_lists(
             ),
         )
 
-    return grouped.select(key, F.flatten(F.transform("members", both)).alias("docs"))
+    return grouped.select(key, F.flatten(F.transform("members", both)).alias("docs"), *carry)
 
 
 def distinct_passages(lists: DataFrame) -> DataFrame:
@@ -194,15 +200,16 @@ def repeat_candidates(lists: DataFrame, k: int) -> DataFrame:
 def candidate_docs(
     df: DataFrame, k: int = 16, m: int | None = None, mining: bool = True,
     seed: int | str = 42, key: str = "row_key", exclude_same_anchor: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(row_key, docs): one list of exactly k candidates per triplet.
+    """(row_key, docs, *carry): one list of exactly k candidates per triplet.
 
     `m` rows are drawn per query (default: enough to reach k). With `mining` short lists are
     filled from the passage pool, otherwise they only repeat. The pool is built only when
     lists can be short, which one count of the input decides.
     """
     m = negative_pairs(k) if m is None else m
-    lists = query_lists(df, m, seed, key, exclude_same_anchor)
+    lists = query_lists(df, m, seed, key, exclude_same_anchor, carry)
     may_be_short = 2 + 2 * m < k or exclude_same_anchor
     if not may_be_short and m > 0:
         may_be_short = df.select(key).limit(m + 1).count() <= m
@@ -211,16 +218,19 @@ def candidate_docs(
     return repeat_candidates(lists, k)
 
 
-def explode_lists(lists: DataFrame, key: str = "row_key") -> DataFrame:
-    """Long form (row_key, slot, passage, origin)."""
-    return lists.select(key, F.posexplode("docs").alias("slot", "doc")).select(
-        key, "slot", "doc.passage", "doc.origin"
+def explode_lists(
+    lists: DataFrame, key: str = "row_key", carry: Sequence[str] = ()
+) -> DataFrame:
+    """Long form (row_key, slot, passage, origin, *carry)."""
+    return lists.select(key, F.posexplode("docs").alias("slot", "doc"), *carry).select(
+        key, "slot", "doc.passage", "doc.origin", *carry
     )
 
 
-def candidate_lists(df: DataFrame, k: int = 16, **options) -> DataFrame:
+def candidate_lists(df: DataFrame, k: int = 16, carry: Sequence[str] = (), **options) -> DataFrame:
     """Candidate lists in long form; slot 0 is the positive, slot 1 the negative."""
-    return explode_lists(candidate_docs(df, k, **options), options.get("key", "row_key"))
+    lists = candidate_docs(df, k, carry=carry, **options)
+    return explode_lists(lists, options.get("key", "row_key"), carry)
 
 
 def candidate_stats(lists: DataFrame, approximate: bool = False) -> DataFrame:

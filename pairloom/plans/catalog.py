@@ -405,8 +405,8 @@ def list_scores(spark, sf_dir):
 
 def _dialogue_candidates(spark, sf_dir) -> DataFrame:
     triplets = views.dialogue_triplets(spark, sf_dir)
-    lists = negatives.candidate_lists(triplets, 8)
-    return lists.join(triplets.select("row_key", F.col("anchor").alias("query")), "row_key")
+    lists = negatives.candidate_lists(triplets, 8, carry=["anchor"])
+    return lists.withColumnRenamed("anchor", "query")
 
 
 @query

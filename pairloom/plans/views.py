@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.operators.negatives import candidate_docs, explode_lists
+from pairloom.operators.negatives import candidate_lists
 from pairloom.operators.ordering import assign_batches, dense_index
 from pairloom.operators.score import pair_cosine
 from pairloom.session import materialise
@@ -137,16 +137,10 @@ def vector_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_lists(spark: SparkSession, sf_dir: str, k: int = LIST_SIZE) -> DataFrame:
     """Candidate lists of vectors: (qid, slot, query_vec, passage_vec)."""
-    triplets = vector_triplets(spark, sf_dir)
-    lists = candidate_docs(triplets, k)
-    return (
-        explode_lists(lists.join(triplets.select("row_key", "anchor"), "row_key").select(
-            F.struct("row_key", "anchor").alias("row_key"), "docs"
-        ))
-        .select(
-            F.col("row_key.row_key").alias("qid"), "slot",
-            F.col("row_key.anchor").alias("query_vec"), F.col("passage").alias("passage_vec"),
-        )
+    lists = candidate_lists(vector_triplets(spark, sf_dir), k, carry=["anchor"])
+    return lists.select(
+        F.col("row_key").alias("qid"), "slot", F.col("anchor").alias("query_vec"),
+        F.col("passage").alias("passage_vec"),
     )
 
 

@@ -78,20 +78,35 @@ def _last(name: str) -> str:
     return f"last_{name}"
 
 
+def _short_texts(flagged: DataFrame) -> DataFrame:
+    """Add the message a line would give and its progress text, null where it has none."""
+    text = F.trim("line")
+    return flagged.withColumns(
+        {
+            "message_text": F.when(F.col("is_message"), F.substring(text, 1, MESSAGE_CHARS)),
+            "progress": F.when(text.contains("Training:"), F.right(text, F.lit(PROGRESS_CHARS))),
+        }
+    )
+
+
 def _line_maxima(lines: DataFrame, rules: RuleSet, keys: list[str]) -> DataFrame:
-    """Per group: last line, newest hit of every rule, newest message and last text."""
-    flagged = log_rules(lines, rules)
+    """Per group: last line, newest hit of every rule, newest message and last progress text.
+
+    Texts are cut to what a status shows before they are grouped: Spark sorts the rows of an
+    aggregate that keeps strings, and short rows keep that sort cheap.
+    """
+    flagged = _short_texts(log_rules(lines, rules)).drop("line")
     hits = [
         F.max(F.when(F.col(f"is_{rule.name}"), F.col("line_no"))).alias(_last(rule.name))
         for rule in _all_rules(rules)
     ]
-    message = F.when(F.col("is_message"), F.col("line_no"))
+    said = F.when(F.col("message_text").isNotNull(), F.col("line_no"))
     return flagged.groupBy(*keys).agg(
         F.max("line_no").alias("last_line"),
         F.max("ts").alias("last_ts"),
         *hits,
-        F.max_by(F.substring(F.trim("line"), 1, MESSAGE_CHARS), message).alias("message_text"),
-        F.max_by(F.trim("line"), "line_no").alias("last_text"),
+        F.max_by("message_text", said).alias("message_text"),
+        F.max_by("progress", "line_no").alias("progress"),
     )
 
 
@@ -126,10 +141,6 @@ def _with_status(maxima: DataFrame, rules: RuleSet) -> DataFrame:
             .when(F.col("error_type").isNotNull(), F.lit("error"))
             .otherwise(F.lit("running")),
         )
-        .withColumn(
-            "progress",
-            F.when(F.col("last_text").contains("Training:"), F.expr(f"right(last_text, {PROGRESS_CHARS})")),
-        )
     )
 
 
@@ -274,7 +285,7 @@ def recovery_plan(
     )
 
 
-_MAXIMA_TYPES = "last_line long, last_ts timestamp, message_text string, last_text string"
+_MAXIMA_TYPES = "last_line long, last_ts timestamp, message_text string, progress string"
 
 
 def _partial_schema(names: list[str]) -> T.StructType:
@@ -294,7 +305,7 @@ def _combine(frame: pd.DataFrame, names: list[str]) -> dict:
     spoken = frame.dropna(subset=["message_text", _last("message")])
     state = {name: frame[name].max() for name in ["last_line", *names]}
     state["last_ts"] = frame["last_ts"].max()
-    state["last_text"] = newest["last_text"]
+    state["progress"] = newest["progress"]
     state["message_text"] = (
         spoken.sort_values(_last("message")).iloc[-1]["message_text"] if len(spoken) else None
     )
@@ -335,14 +346,12 @@ def monitor_stream(
     """
     names = [_last(rule.name) for rule in _all_rules(rules)]
     partial = _partial_schema(names)
-    flagged = log_rules(lines, rules)
-    text = F.trim("line")
-    slim = flagged.select(
+    slim = _short_texts(log_rules(lines, rules)).select(
         *RUN,
         F.col("line_no").alias("last_line"),
         F.col("ts").cast("timestamp").alias("last_ts"),
-        F.when(F.col("is_message"), F.substring(text, 1, MESSAGE_CHARS)).alias("message_text"),
-        text.alias("last_text"),
+        "message_text",
+        "progress",
         *[
             F.when(F.col(f"is_{rule.name}"), F.col("line_no")).alias(_last(rule.name))
             for rule in _all_rules(rules)
@@ -403,7 +412,6 @@ def monitor_stream(
         action = {
             "complete": "evaluate", "error": "halt" if halted else "recover", "running": "none",
         }[status]
-        last_text = merged["last_text"] or ""
         merged.update(poll=poll, streak=streak, ended=status == "complete" or halted)
         longs = {f.name for f in state_schema.fields if isinstance(f.dataType, T.LongType)}
         values = [plain(merged[name]) for name in state_names]
@@ -414,7 +422,7 @@ def monitor_stream(
         yield pd.DataFrame([
             {**out, "poll": poll, "last_line": merged["last_line"], "last_ts": merged["last_ts"],
              "status": status, "error_type": error_type, "error_message": message,
-             "progress": last_text[-PROGRESS_CHARS:] if "Training:" in last_text else None,
+             "progress": plain(merged["progress"]),
              "streak": streak, "action": action}
         ])
 
