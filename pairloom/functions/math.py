@@ -17,10 +17,10 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
-def cosine(a: Column | str, b: Column | str) -> Column:
-    """Cosine of two arrays; 0 when either vector is zero."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0))
+def cosine_of(ab: Column | str, aa: Column | str, bb: Column | str) -> Column:
+    """Cosine from the three dot products; 0 when either vector is zero."""
+    ab, aa, bb = _column(ab), _column(aa), _column(bb)
+    return F.when((aa > 0) & (bb > 0), ab / (F.sqrt(aa) * F.sqrt(bb))).otherwise(F.lit(0.0))
 
 
 def normalize_cosine(value: Column | str) -> Column:

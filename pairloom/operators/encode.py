@@ -49,7 +49,12 @@ def hashed_vector(text: Column | str, dim: int = DEFAULT_DIM) -> Column:
         for lanes in batches:
             yield pd.Series(list(_fold(lanes, dim)))
 
-    return fold(token_lanes(text, dim))
+    return _once(fold)(token_lanes(text, dim))
+
+
+def _once(udf):
+    """Keep the optimizer from repeating a costly function, as it may when it moves filters."""
+    return udf.asNondeterministic()
 
 
 Encoder = Callable[[Iterator[list[str]]], Iterator[np.ndarray]]
@@ -57,29 +62,64 @@ Encoder = Callable[[Iterator[list[str]]], Iterator[np.ndarray]]
 task, so a model loaded before its loop is loaded once per worker."""
 
 
+def _encode_batches(
+    batches: Iterator[tuple[pd.Series, ...]], encoder: Encoder
+) -> Iterator[list[np.ndarray]]:
+    """One matrix per text column and batch; equal texts of a batch are encoded once."""
+    pending: list[np.ndarray] = []
+
+    def distinct_texts() -> Iterator[list[str]]:
+        for columns in batches:
+            codes, uniques = pd.factorize(pd.concat(columns, ignore_index=True).fillna("nan"))
+            pending.append(np.split(codes, len(columns)))
+            yield list(uniques)
+
+    for matrix in encoder(distinct_texts()):
+        matrix = np.asarray(matrix, dtype=np.float64)
+        yield [matrix[codes] for codes in pending.pop(0)]
+
+
 def encoded(text: Column | str, encoder: Encoder | None = None, dim: int = DEFAULT_DIM) -> Column:
     """Vector column for a text column; `encoder=None` uses the built-in one.
 
-    Equal texts within an Arrow batch are encoded once. This needs no shuffle, and a text
-    repeated over a large share of the table still costs one call per batch.
+    This needs no shuffle, and a text repeated over a large share of the table still costs
+    one call per Arrow batch.
     """
     if encoder is None:
         return hashed_vector(text, dim)
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pending: list[np.ndarray] = []
+        for (matrix,) in _encode_batches(((texts,) for texts in batches), encoder):
+            yield pd.Series(list(matrix))
 
-        def distinct_texts() -> Iterator[list[str]]:
-            for texts in batches:
-                codes, uniques = pd.factorize(texts.fillna("nan"))
-                pending.append(codes)
-                yield list(uniques)
+    return _once(run)(F.col(text) if isinstance(text, str) else text)
 
-        for matrix in encoder(distinct_texts()):
-            yield pd.Series(list(np.asarray(matrix, dtype=np.float64)[pending.pop(0)]))
 
-    return run(F.col(text) if isinstance(text, str) else text)
+def _row_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+    dots = np.einsum("ij,ij->i", a, b)
+    return np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+
+
+def text_cosines(
+    query: Column, passages: list[Column], encoder: Encoder | None = None, dim: int = DEFAULT_DIM,
+) -> Column:
+    """ARRAY<DOUBLE>: cosine of the query text with each passage text of the row."""
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        if encoder is None:
+            matrices = ([_fold(lanes, dim) for lanes in columns] for columns in batches)
+        else:
+            matrices = _encode_batches(batches, encoder)
+        for first, *others in matrices:
+            yield pd.Series(list(np.column_stack([_row_cosines(first, m) for m in others])))
+
+    inputs = [query, *passages]
+    if encoder is None:
+        inputs = [token_lanes(text, dim) for text in inputs]
+    return _once(run)(*inputs)
 
 
 def encode(

@@ -9,57 +9,69 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.functions.math import cosine, normalize_cosine, relu, sigmoid
+from pairloom.functions.math import cosine_of, dot, normalize_cosine, relu, sigmoid
 from pairloom.functions.text import format_passage, format_query, token_set
-from pairloom.operators.encode import DEFAULT_DIM, Encoder, encoded
+from pairloom.operators.encode import DEFAULT_DIM, Encoder, text_cosines
 from pairloom.operators.skew import salted_join
 from pairloom.schema import require_columns
 
 
 def pair_cosine(df: DataFrame, a: str, b: str, normalize: bool = True) -> DataFrame:
-    """Add `cos_raw` and `score`: (c+1)/2, or c with negatives clipped to 0."""
+    """Add `cos_raw` and `score`: (c+1)/2, or c with negatives clipped to 0.
+
+    Each dot product is a column of its own, so it is computed once per row.
+    """
     raw = F.col("cos_raw")
-    return df.withColumn("cos_raw", cosine(a, b)).withColumn(
-        "score", normalize_cosine(raw) if normalize else relu(raw)
+    return (
+        df.withColumns({"_ab": dot(a, b), "_aa": dot(a, a), "_bb": dot(b, b)})
+        .withColumn("cos_raw", cosine_of("_ab", "_aa", "_bb"))
+        .withColumn("score", normalize_cosine(raw) if normalize else relu(raw))
+        .drop("_ab", "_aa", "_bb")
     )
 
 
+def _with_margin(df: DataFrame) -> DataFrame:
+    """Add normalised scores and the margin to `pos_raw` and `neg_raw`."""
+    return df.withColumns(
+        {"pos_score": normalize_cosine("pos_raw"), "neg_score": normalize_cosine("neg_raw")}
+    ).withColumn("margin", F.col("pos_score") - F.col("neg_score"))
+
+
 def vector_triplet_scores(df: DataFrame) -> DataFrame:
     """Add raw and normalised positive/negative similarity and the margin.
 
     Input holds `anchor_vec`, `positive_vec`, `negative_vec`.
     """
-    require_columns(df, ["anchor_vec", "positive_vec", "negative_vec"])
-    return (
-        df.withColumns(
-            {
-                "pos_raw": cosine("anchor_vec", "positive_vec"),
-                "neg_raw": cosine("anchor_vec", "negative_vec"),
-            }
-        )
-        .withColumns(
-            {
-                "pos_score": normalize_cosine("pos_raw"),
-                "neg_score": normalize_cosine("neg_raw"),
-            }
-        )
-        .withColumn("margin", F.col("pos_score") - F.col("neg_score"))
-        .drop("anchor_vec", "positive_vec", "negative_vec")
+    a, p, n = "anchor_vec", "positive_vec", "negative_vec"
+    require_columns(df, [a, p, n])
+    dots = {"_ap": dot(a, p), "_an": dot(a, n), "_aa": dot(a, a), "_pp": dot(p, p), "_nn": dot(n, n)}
+    scored = df.withColumns(dots).withColumns(
+        {"pos_raw": cosine_of("_ap", "_aa", "_pp"), "neg_raw": cosine_of("_an", "_aa", "_nn")}
     )
+    return _with_margin(scored.drop(a, p, n, *dots))
 
 
 def triplet_scores(
     df: DataFrame, encoder: Encoder | None = None, dim: int = DEFAULT_DIM,
     lang: Column | str = "(ko)", key: str = "row_key",
 ) -> DataFrame:
-    """Format, encode and score text triplets in one map pass, without a shuffle."""
+    """Format, encode and score text triplets in one map pass, without a shuffle.
+
+    The vectors stay in the Python batch that made them; only two numbers come back.
+    """
     require_columns(df, [key, "anchor", "positive", "negative"])
-    return vector_triplet_scores(
-        df.select(
+    cosines = text_cosines(
+        format_query("anchor", lang),
+        [format_passage("positive", lang), format_passage("negative", lang)],
+        encoder,
+        dim,
+    )
+    pair = df.select(key, cosines.alias("cosines"))
+    return _with_margin(
+        pair.select(
             key,
-            encoded(format_query("anchor", lang), encoder, dim).alias("anchor_vec"),
-            encoded(format_passage("positive", lang), encoder, dim).alias("positive_vec"),
-            encoded(format_passage("negative", lang), encoder, dim).alias("negative_vec"),
+            F.element_at("cosines", 1).alias("pos_raw"),
+            F.element_at("cosines", 2).alias("neg_raw"),
         )
     )
 
