@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import format_passage, format_query
+from pairloom.operators.encode import Encoder
+from pairloom.operators.score import triplet_scores
 from pairloom.schema import require_columns
 
 # The goals of the training method.
@@ -274,11 +276,14 @@ def score_outliers(scores: DataFrame) -> DataFrame:
 
 
 def sample_scores(
-    triplets: DataFrame, scores: DataFrame, n: int = 1, key: str = "row_key",
+    triplets: DataFrame, n: int = 1, encoder: Encoder | None = None, key: str = "row_key",
 ) -> DataFrame:
-    """The first n scored triplets by key with their formatted texts; n is meant to be small."""
-    first = scores.orderBy(key).limit(n)
-    return triplets.join(F.broadcast(first), key).select(
+    """The first n triplets by key with their formatted texts and scores.
+
+    Only those n are encoded; n is meant to be small.
+    """
+    first = triplets.orderBy(key).limit(n)
+    return first.join(triplet_scores(first, encoder, key=key), key).select(
         key,
         format_query("anchor").alias("query_text"),
         format_passage("positive").alias("positive_text"),

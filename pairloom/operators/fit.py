@@ -172,22 +172,25 @@ def pack_batches(df: DataFrame, steps_per_epoch: int) -> DataFrame:
     """One row per batch from the long table (batch_id, qid, slot, teacher, query_vec, passage_vec).
 
     A row holds batch size x K vectors, so its size is fixed by the settings. It carries the
-    step that uses it.
+    step that uses it. One range shuffle by step and batch serves both groupings, and a task
+    then writes to few step folders.
     """
     require_columns(df, ["batch_id", "qid", "slot", "teacher", "query_vec", "passage_vec"])
+    step = F.pmod("batch_id", F.lit(steps_per_epoch)).cast("int")
     lists = (
-        df.repartition("batch_id")
-        .groupBy("batch_id", "qid")
+        df.withColumn("step", step)
+        .repartitionByRange("step", "batch_id")
+        .groupBy("step", "batch_id", "qid")
         .agg(
             F.first("query_vec").alias("query_vec"),
             F.sort_array(F.collect_list(F.struct("slot", "teacher", "passage_vec"))).alias("docs"),
         )
     )
     ordered = F.sort_array(F.collect_list(F.struct("qid", "query_vec", "docs")))
-    packed = lists.groupBy("batch_id").agg(ordered.alias("queries"))
+    packed = lists.groupBy("step", "batch_id").agg(ordered.alias("queries"))
     return packed.select(
         "batch_id",
-        F.pmod("batch_id", F.lit(steps_per_epoch)).cast("int").alias("step"),
+        "step",
         F.size("queries").alias("n_queries"),
         F.size(F.element_at("queries", 1)["docs"]).alias("k"),
         F.flatten("queries.query_vec").cast("array<double>").alias("query"),
@@ -304,7 +307,7 @@ def fit_student(
         for step in range(steps_per_epoch):
             sums = step_sums(packed.where(F.col("step") == step), weights, settings)
             # As many rows as the model has weights, plus three.
-            found = {r["position"]: r["value"] for r in sums.toLocalIterator()}
+            found = {r["position"]: r["value"] for r in sums.collect()}
             batches, skipped = found.get(_BATCHES, 0.0), found.get(_SKIPPED, 0.0)
             if not batches:
                 if skipped:

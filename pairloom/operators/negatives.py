@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.hashing import hash_bigint, seeded_hash
 from pairloom.operators.ordering import dense_index
 from pairloom.schema import require_columns
+from pairloom.session import materialise
 
 
 def negative_pairs(k: int) -> int:
@@ -117,23 +118,14 @@ def query_lists(
     return grouped.select(key, F.flatten(F.transform("members", both)).alias("docs"), *carry)
 
 
-def distinct_passages(lists: DataFrame) -> DataFrame:
-    return lists.select(F.explode("docs.passage").alias("passage")).distinct()
-
-
-def triplet_passages(df: DataFrame) -> DataFrame:
-    """Distinct passages of a triplet table; lists drawn from it hold no others."""
-    return df.select(F.explode(F.array("positive", "negative")).alias("passage")).distinct()
-
-
 def passage_pool(df: DataFrame, seed: int | str = 42, total: str | None = None) -> DataFrame:
     """(pid, passage): distinct passages numbered 0..P-1 in seeded order.
 
     `distinct` combines before the shuffle, so many copies of one passage cost little.
     """
-    return dense_index(
-        triplet_passages(df).where(F.col("passage").isNotNull()), "passage", seed, "pid", total
-    )
+    passages = df.select(F.explode(F.array("positive", "negative")).alias("passage"))
+    distinct = passages.where(F.col("passage").isNotNull()).distinct()
+    return dense_index(distinct, "passage", seed, "pid", total)
 
 
 def fill_candidates(
@@ -205,8 +197,8 @@ def candidate_docs(
     """(row_key, docs, *carry): one list of exactly k candidates per triplet.
 
     `m` rows are drawn per query (default: enough to reach k). With `mining` short lists are
-    filled from the passage pool, otherwise they only repeat. The pool is built only when
-    lists can be short, which one count of the input decides.
+    filled from the passage pool, otherwise they only repeat. The pool is built, as a table,
+    only when lists can be short, which a look at m + 1 input rows decides.
     """
     m = negative_pairs(k) if m is None else m
     lists = query_lists(df, m, seed, key, exclude_same_anchor, carry)
@@ -214,7 +206,8 @@ def candidate_docs(
     if not may_be_short and m > 0:
         may_be_short = df.select(key).limit(m + 1).count() <= m
     if may_be_short and mining:
-        lists = fill_candidates(lists, passage_pool(df, seed, total="n_pool"), k, seed, key)
+        pool = materialise(passage_pool(df, seed, total="n_pool"), "pool")
+        lists = fill_candidates(lists, pool, k, seed, key)
     return repeat_candidates(lists, k)
 
 

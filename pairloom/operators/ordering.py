@@ -185,8 +185,3 @@ def assign_batches(
     ).withColumn("batch_row", F.pmod(F.col("_position"), F.lit(batch_size)).cast("int")).drop(
         "_position"
     )
-
-
-def sort_head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """The first n rows of a fixed order, for looking at samples; n is meant to be small."""
-    return df.orderBy(*order).limit(n)

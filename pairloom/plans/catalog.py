@@ -11,7 +11,7 @@ from pairloom.functions.text import clip_tokens
 from pairloom.operators import epochs, evaluate, fit, loss, negatives, ordering, pairs, prepare, score
 from pairloom.operators.encode import encode
 from pairloom.plans import views
-from pairloom.schema import apply_null_policy
+from pairloom import schema
 from pairloom.session import materialise, shared_path
 from pairloom.sources import files, sinks
 from pairloom.streaming import monitor
@@ -97,18 +97,13 @@ def scan_version_split(spark, sf_dir):
 
 
 @query
-def write_csv_versions(spark, sf_dir):
-    """Six CSV data sets, read back as triplets."""
+def write_csv_splits(spark, sf_dir):
+    """Six CSV data sets; one of them read back as triplets."""
     path = shared_path(spark, "csv-versions")
-    written = sinks.write_csv_versions(ordering.split_versions(views.sources(spark, sf_dir)), path)
-    found = None
-    for target in written:
-        part = files.read_triplets(spark, target).select(
-            F.lit("/".join(target.split("/")[-2:])).alias("data_set"),
-            digest("anchor"), digest("positive"), digest("negative"),
-        )
-        found = part if found is None else found.unionByName(part)
-    return found
+    sinks.write_csv_splits(ordering.split_versions(views.sources(spark, sf_dir)), path)
+    train = sinks.split_folder(path, "supervised_with_detailed", "train")
+    found = files.read_triplets(spark, train)
+    return found.select(digest("anchor"), digest("positive"), digest("negative"))
 
 
 @query
@@ -213,12 +208,12 @@ def _with_missing(spark, sf_dir) -> DataFrame:
 
 @query
 def null_policy(spark, sf_dir):
-    return apply_null_policy(_with_missing(spark, sf_dir), "literal")
+    return schema.apply_null_policy(_with_missing(spark, sf_dir), "literal")
 
 
 @query
 def null_drop(spark, sf_dir):
-    return apply_null_policy(_with_missing(spark, sf_dir), "drop")
+    return schema.apply_null_policy(_with_missing(spark, sf_dir), "drop")
 
 
 @query
@@ -230,6 +225,12 @@ def clip_text(spark, sf_dir):
     )
 
 
+@query
+def null_report(spark, sf_dir):
+    """Rows the drop policy keeps and drops."""
+    return schema.null_report(_with_missing(spark, sf_dir))
+
+
 # Order, samples, splits, batches
 
 
@@ -566,7 +567,7 @@ def score_outliers(spark, sf_dir):
 @query
 def sample_scores(spark, sf_dir):
     triplets = views.document_triplets(spark, sf_dir)
-    found = evaluate.sample_scores(triplets, score.triplet_scores(triplets), 5)
+    found = evaluate.sample_scores(triplets, 5)
     return rounded(found, *SCORES).select(
         "row_key", "query_text", digest("positive_text"), digest("negative_text"), *SCORES
     )
@@ -678,6 +679,17 @@ def fit_teacher(spark, sf_dir):
     return fitted.metrics
 
 
+@query
+def fitted_teacher_scores(spark, sf_dir):
+    """Fit a teacher, save it, load it and score the dialogue candidates with it."""
+    pairs_table = materialise(_pair_features(spark, sf_dir).select(*score.FEATURES, "label"), "features")
+    path = shared_path(spark, "teacher")
+    fit.save_teacher(fit.fit_teacher(pairs_table, pairs_table, epochs=1), path)
+    weights, bias = fit.load_teacher(path)
+    scored = score.teacher_scores(_dialogue_candidates(spark, sf_dir), weights=weights, bias=bias)
+    return scored.select("row_key", "slot", "teacher")
+
+
 @query
 def fit_student(spark, sf_dir):
     """Loss per step of a student fitted on the vector lists."""

@@ -465,8 +465,9 @@ SELECT data_version, split, row_key, source_kind, md5(positive) AS positive,
 ORACLES["scan_version_split"] = with_(VERSIONS) + """
 SELECT row_key, source_kind, md5(anchor) AS anchor FROM versions
 WHERE data_version = 'supervised_with_detailed' AND split = 'train'"""
-ORACLES["write_csv_versions"] = with_(VERSIONS) + f"""
-SELECT data_version || '/' || split || '.csv' AS data_set, {MD5_TRIPLET} FROM versions"""
+ORACLES["write_csv_splits"] = with_(VERSIONS) + f"""
+SELECT {MD5_TRIPLET} FROM versions
+WHERE data_version = 'supervised_with_detailed' AND split = 'train'"""
 ORACLES["write_report"] = with_(VECTOR_SCORES, REPORT) + f"SELECT {REPORT_COLUMNS} FROM report"
 ORACLES["log_stream"] = with_(LOG) + "SELECT run_id, attempt, line_no, line FROM log"
 
@@ -502,6 +503,9 @@ ORACLES["null_drop"] = """
 SELECT d.doc_id AS row_key, d.lang AS anchor, d.source AS positive,
   l.quality::VARCHAR AS negative FROM documents d JOIN labels l ON l.doc_id = d.doc_id
 WHERE l.quality IS NOT NULL AND d.lang IS NOT NULL AND d.source IS NOT NULL"""
+ORACLES["null_report"] = """
+SELECT count(l.quality) AS kept, count(*) - count(l.quality) AS dropped
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 ORACLES["clip_text"] = f"""
 SELECT doc_id, md5(array_to_string(words[1:256], ' ')) AS clipped, len(words) AS n_tokens,
   len(words) > 256 AS was_clipped

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +29,7 @@ class NoInputFilesError(FileNotFoundError):
 def _csv_headers(spark: SparkSession, pattern: str) -> dict[str, list[str]]:
     """Column names per data file; a match may be a file or a folder of part files.
 
-    Only the first line of each file is read on the driver.
+    Only the first line of each file is read, by a few driver threads.
     """
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
@@ -36,17 +39,18 @@ def _csv_headers(spark: SparkSession, pattern: str) -> dict[str, list[str]]:
     for match in fs.globStatus(glob) or []:
         found = fs.listStatus(match.getPath()) if match.isDirectory() else [match]
         files += [f.getPath() for f in found if not f.getPath().getName().startswith(("_", "."))]
-    headers = {}
-    for path in files:
+
+    def header(path) -> tuple[str, list[str]]:
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(path), "UTF-8"))
         try:
-            line = reader.readLine()
+            line = reader.readLine() or ""
         finally:
             reader.close()
-        if line:
-            names = line.lstrip("﻿").split(",")
-            headers[path.toString()] = [name.strip().strip('"') for name in names]
-    return headers
+        names = next(csv.reader([line.lstrip("\ufeff")]), [])
+        return path.toString(), [name.strip() for name in names]
+
+    with ThreadPoolExecutor(16) as threads:
+        return {path: names for path, names in threads.map(header, files) if names}
 
 
 def _read_csv(
@@ -165,8 +169,6 @@ def number_lines(
     window group holds at most `block` lines of a run however long it is; the counts of a
     run's earlier blocks give each block its first number.
     """
-    from pyspark.sql import Window as W
-
     blocked = df.withColumn("_block", F.floor(F.col(order) / block))
     sizes = blocked.groupBy(*run, "_block").agg(F.count(F.lit(1)).alias("_size"))
     before = W.partitionBy(*run).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)

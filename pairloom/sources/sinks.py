@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, DataFrameWriter
-from pyspark.sql import functions as F
 
 from pairloom.schema import TRIPLET_COLUMNS, require_columns
 
@@ -25,25 +24,24 @@ def csv_writer(df: DataFrame, mode: str = "errorifexists") -> DataFrameWriter:
 
 
 def write_splits(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write all versions and splits below `path` as Parquet, one folder each.
+    """Write all versions and splits as Parquet, in folders
+    `data_version=<version>/split=<split>`.
 
-    Rows are written where they are: no shuffle.
+    Rows are written where they are: one pass, no shuffle.
     """
     require_columns(df, ["data_version", "split"])
     df.write.mode(mode).partitionBy("data_version", "split").parquet(path)
 
 
-def write_csv_versions(df: DataFrame, path: str, mode: str = "errorifexists") -> list[str]:
-    """The six CSV data sets `<version>/<split>.csv`; returns their paths."""
+def write_csv_splits(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The six CSV data sets with the triplet columns, in the same folders, in one pass."""
     require_columns(df, ["data_version", "split", *TRIPLET_COLUMNS])
-    written = []
-    for version in ("supervised_only", "supervised_with_detailed"):
-        for split in ("train", "val", "test"):
-            target = f"{path}/{version}/{split}.csv"
-            chosen = (F.col("data_version") == version) & (F.col("split") == split)
-            csv_writer(df.where(chosen).select(*TRIPLET_COLUMNS), mode).csv(target)
-            written.append(target)
-    return written
+    triplets = df.select(*TRIPLET_COLUMNS, "data_version", "split")
+    csv_writer(triplets, mode).partitionBy("data_version", "split").csv(path)
+
+
+def split_folder(path: str, data_version: str, split: str) -> str:
+    return f"{path}/data_version={data_version}/split={split}"
 
 
 def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:

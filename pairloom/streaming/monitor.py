@@ -299,17 +299,16 @@ OUTPUT_SCHEMA = (
 )
 
 
-def _combine(frame: pd.DataFrame, names: list[str]) -> dict:
-    """Maxima over partial rows of one run, with the texts of the newest lines."""
-    newest = frame.sort_values("last_line").iloc[-1]
-    spoken = frame.dropna(subset=["message_text", _last("message")])
-    state = {name: frame[name].max() for name in ["last_line", *names]}
-    state["last_ts"] = frame["last_ts"].max()
-    state["progress"] = newest["progress"]
-    state["message_text"] = (
-        spoken.sort_values(_last("message")).iloc[-1]["message_text"] if len(spoken) else None
-    )
-    return state
+def _combine(frame: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    """One row per attempt: maxima, and the texts of the newest lines that have them."""
+    grouped = frame.groupby(RUN, sort=False)
+    out = grouped[["last_line", "last_ts", *names]].max()
+    newest = frame.loc[grouped["last_line"].idxmax()].set_index(RUN)
+    said = frame[frame["message_text"].notna()]
+    said = said.loc[said.groupby(RUN, sort=False)[_last("message")].idxmax()].set_index(RUN)
+    out["progress"] = newest["progress"]
+    out["message_text"] = said["message_text"].reindex(out.index)
+    return out.reset_index()
 
 
 def _decide(state: dict, rules: RuleSet) -> tuple[str, str | None, str | None]:
@@ -361,11 +360,8 @@ def monitor_stream(
 
     def reduce_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [
-                {"run_id": run, "attempt": attempt, **_combine(group, names)}
-                for (run, attempt), group in frame.groupby(RUN, sort=False)
-            ]
-            yield pd.DataFrame(rows, columns=columns)
+            if len(frame):
+                yield _combine(frame, names)[columns]
 
     state_schema = T.StructType(
         [
@@ -401,8 +397,8 @@ def monitor_stream(
             return
         parts = [frame for frame in frames if len(frame)]
         if before is not None:
-            parts.append(pd.DataFrame([{c: before[c] for c in state_names if c in columns}]))
-        merged = _combine(pd.concat(parts, ignore_index=True), names)
+            parts.append(pd.DataFrame([{**out, **{c: before[c] for c in state_names if c in columns}}]))
+        merged = _combine(pd.concat(parts, ignore_index=True), names).iloc[0].to_dict()
         if before and before["ended"]:
             return
         status, error_type, message = _decide(merged, rules)

@@ -7,7 +7,7 @@ from pairloom.operators import ordering, score
 from pairloom.plans import views
 
 QUERIES = queries()
-EAGER = {"fit_teacher", "fit_student", "monitor_stream", "log_stream", "write_csv_versions"}
+EAGER = {"fit_teacher", "fit_student", "monitor_stream", "log_stream", "fitted_teacher_scores"}
 
 
 def plan(frame):
