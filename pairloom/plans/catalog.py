@@ -26,8 +26,8 @@ def query(function: Query) -> Query:
     return function
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
 def digest(name: str) -> Column:
@@ -369,7 +369,7 @@ SCORES = ("pos_raw", "neg_raw", "pos_score", "neg_score", "margin")
 def triplet_scores(spark, sf_dir):
     """Whole texts encoded and scored."""
     scores = score.triplet_scores(views.document_triplets(spark, sf_dir))
-    return rounded(scores, *SCORES).select("row_key", *SCORES)
+    return rounded(scores, *SCORES, digits=8).select("row_key", *SCORES)
 
 
 def _vector_scores(spark, sf_dir) -> DataFrame:
@@ -381,7 +381,8 @@ def _vector_scores(spark, sf_dir) -> DataFrame:
 
 @query
 def vector_triplet_scores(spark, sf_dir):
-    return rounded(_vector_scores(spark, sf_dir), *SCORES).select("row_key", *SCORES)
+    scores = rounded(_vector_scores(spark, sf_dir), *SCORES, digits=8)
+    return scores.select("row_key", *SCORES)
 
 
 @query
@@ -568,7 +569,7 @@ def score_outliers(spark, sf_dir):
 def sample_scores(spark, sf_dir):
     triplets = views.document_triplets(spark, sf_dir)
     found = evaluate.sample_scores(triplets, 5)
-    return rounded(found, *SCORES).select(
+    return rounded(found, *SCORES, digits=8).select(
         "row_key", "query_text", digest("positive_text"), digest("negative_text"), *SCORES
     )
 

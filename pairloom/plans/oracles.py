@@ -34,17 +34,16 @@ DOCUMENT_PAIRS = """document_pairs AS (
   FROM documents WHERE length(substr(text, length(split_part(text, '.', 1)) + 2)) > 0)"""
 
 
-def triplets(source: str, out: str, extra: str = "") -> str:
-    more = f", x.{extra}" if extra else ""
-    return f"""{out}_ix AS (
-  SELECT *, {ranked('row_key')} AS idx, count(*) OVER () AS n FROM {source}),
-{out} AS (
-  SELECT x.row_key, x.anchor, x.positive, y.positive AS negative, x.idx, x.n{more}
-  FROM {out}_ix x JOIN {out}_ix y ON y.idx = (x.idx + 1) % x.n)"""
+def triplets(source: str, out: str, step: int) -> str:
+    """Pairs with a neighbour's positive as negative, and their seeded rank."""
+    return f"""{out} AS (
+  SELECT x.*, coalesce(y.positive, x.anchor) AS negative,
+    {ranked('x.row_key')} AS idx, count(*) OVER () AS n
+  FROM {source} x LEFT JOIN {source} y ON y.row_key = x.row_key + {step})"""
 
 
-DIALOGUES = DIALOGUE_PAIRS + ",\n" + triplets("dialogue_pairs", "dialogues", "conv_id")
-DOCS = DOCUMENT_PAIRS + ",\n" + triplets("document_pairs", "docs")
+DIALOGUES = DIALOGUE_PAIRS + ",\n" + triplets("dialogue_pairs", "dialogues", 1000)
+DOCS = DOCUMENT_PAIRS + ",\n" + triplets("document_pairs", "docs", 1)
 
 SUPERVISED = DIALOGUES + """,
 supervised AS (
@@ -83,13 +82,12 @@ versions AS (
   SELECT row_key, anchor, positive, negative, source_file, source_kind, 'train',
          'supervised_with_detailed' FROM sources WHERE source_kind = 'detailed')"""
 
-VECTORS = f"""vector_ix AS (
-  SELECT vec_id AS row_key, embedding::DOUBLE[] AS v, {ranked('vec_id')} AS idx,
-         count(*) OVER () AS n FROM embeddings),
+VECTORS = f"""base_vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 vectors AS (
-  SELECT x.row_key, x.v AS anchor, y.v AS positive, z.v AS negative, x.idx, x.n
-  FROM vector_ix x JOIN vector_ix y ON y.idx = (x.idx + 1) % x.n
-  JOIN vector_ix z ON z.idx = (x.idx + 2) % x.n)"""
+  SELECT x.vec_id AS row_key, x.v AS anchor, coalesce(y.v, x.v) AS positive,
+    coalesce(z.v, x.v) AS negative, {ranked('x.vec_id')} AS idx, count(*) OVER () AS n
+  FROM base_vectors x LEFT JOIN base_vectors y ON y.vec_id = x.vec_id + 1
+  LEFT JOIN base_vectors z ON z.vec_id = x.vec_id + 2)"""
 
 
 def cosine(a: str, b: str) -> str:
@@ -251,7 +249,7 @@ scores AS (
              {cosine('anchor', 'negative')} AS neg_raw FROM vectors)))"""
 
 SCORE_COLUMNS = ", ".join(
-    f"round({c}, 6) AS {c}" for c in ("pos_raw", "neg_raw", "pos_score", "neg_score", "margin")
+    f"round({c}, 8) AS {c}" for c in ("pos_raw", "neg_raw", "pos_score", "neg_score", "margin")
 )
 
 REPORT = """report AS (

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.operators.negatives import candidate_lists
-from pairloom.operators.ordering import assign_batches, dense_index
+from pairloom.operators.ordering import assign_batches
 from pairloom.operators.score import pair_cosine
 from pairloom.session import materialise
 from pairloom.sources.files import number_lines
@@ -29,13 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _next_as_negative(df: DataFrame) -> DataFrame:
-    """Each row takes the positive of the next row in seeded order as its negative."""
-    indexed = dense_index(df, "row_key", 42, "idx", total="n")
-    following = indexed.select(
-        F.pmod(F.col("idx") - 1, F.col("n")).alias("idx"), F.col("positive").alias("negative")
-    )
-    return indexed.join(following, "idx").drop("idx", "n")
+def _with_neighbour(df: DataFrame, column: str, step: int, out: str) -> DataFrame:
+    """Add `column` of the row whose key is `step` higher; a row without one takes its anchor."""
+    other = df.select((F.col("row_key") - step).alias("row_key"), F.col(column).alias("_other"))
+    found = F.coalesce("_other", "anchor")
+    return df.join(other, "row_key", "left").withColumn(out, found).drop("_other")
 
 
 def dialogue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +51,9 @@ def dialogue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dialogue_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(_next_as_negative(dialogue_pairs(spark, sf_dir)), "dialogues")
+    """Dialogue pairs with the answer of the next conversation as negative."""
+    pairs = dialogue_pairs(spark, sf_dir)
+    return materialise(_with_neighbour(pairs, "positive", 1000, "negative"), "dialogues")
 
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +72,9 @@ def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document pairs with the rest of the next document as negative."""
     pairs = document_pairs(spark, sf_dir).drop("lang")
-    return materialise(_next_as_negative(pairs), "documents")
+    return materialise(_with_neighbour(pairs, "positive", 1, "negative"), "documents")
 
 
 def supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,21 +119,12 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors with the next two vectors in seeded order as positive and negative."""
-    indexed = dense_index(
-        table(spark, sf_dir, "embeddings").select(
-            F.col("vec_id").alias("row_key"), F.col("embedding").alias("anchor")
-        ),
-        "row_key", 42, "idx", total="n",
+    """Vectors with the next two vectors as positive and negative."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("row_key"), F.col("embedding").alias("anchor")
     )
-
-    def shifted(by: int, name: str) -> DataFrame:
-        return indexed.select(
-            F.pmod(F.col("idx") - by, F.col("n")).alias("idx"), F.col("anchor").alias(name)
-        )
-
-    triplets = indexed.join(shifted(1, "positive"), "idx").join(shifted(2, "negative"), "idx")
-    return materialise(triplets.select("row_key", "anchor", "positive", "negative"), "vectors")
+    near = _with_neighbour(vectors, "anchor", 1, "positive")
+    return materialise(_with_neighbour(near, "anchor", 2, "negative"), "vectors")
 
 
 def vector_lists(spark: SparkSession, sf_dir: str, k: int = LIST_SIZE) -> DataFrame:

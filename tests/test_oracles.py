@@ -26,7 +26,7 @@ def duck(sf_dir):
 
 def canonical(rows):
     def value(v):
-        return round(v, 6) + 0.0 if isinstance(v, float) else v
+        return round(v, 9) + 0.0 if isinstance(v, float) else v
 
     return sorted((tuple(value(v) for v in row) for row in rows), key=str)
 
