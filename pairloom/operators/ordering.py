@@ -45,14 +45,14 @@ def dense_index(
     `total` names an optional column that receives N.
     """
     bucketed = _bucketed(df, key, seed)
-    offsets = _bucket_offsets(bucketed)
     in_bucket = F.row_number().over(W.partitionBy("_bucket").orderBy("_hash", key))
-    indexed = bucketed.join(F.broadcast(offsets), "_bucket").withColumn(
-        out, (F.col("_offset") + in_bucket - 1).cast("bigint")
+    ranked = bucketed.withColumn("_rank", in_bucket).drop("_hash")
+    indexed = ranked.join(F.broadcast(_bucket_offsets(bucketed)), "_bucket").withColumn(
+        out, (F.col("_offset") + F.col("_rank") - 1).cast("bigint")
     )
     if total:
         indexed = indexed.withColumn(total, F.col("_total").cast("bigint"))
-    return indexed.drop("_bucket", "_hash", "_size", "_offset", "_total")
+    return indexed.drop("_bucket", "_rank", "_size", "_offset", "_total")
 
 
 def rank_bands(
@@ -66,39 +66,43 @@ def rank_bands(
     """Label rows by where their seeded rank falls between exact cut positions.
 
     `cuts` maps the row count to ascending ranks; ranks below the first cut get the first
-    label and so on. Only the buckets that a cut falls into are ranked: all other rows get
-    their label from their own hash, without a shuffle.
+    label and so on. The bucket counts tell which buckets the cuts fall into, a window over
+    those few buckets finds the row at each cut, and every row is then labelled by comparing
+    its own hash: the data itself is read once and never shuffled.
     """
-    bucketed = _bucketed(df, key, seed)
-    offsets = _bucket_offsets(bucketed)
+    keys = _bucketed(df.select(key), key, seed)
+    offsets = _bucket_offsets(keys)
+    n_cuts = len(labels) - 1
     found = []
-    for position, cut in enumerate(cuts(F.col("_total"))):
+    for i, cut in enumerate(cuts(F.col("_total"))):
         inside = (F.col("_offset") <= cut) & (cut < F.col("_offset") + F.col("_size"))
         found += [
-            F.max(F.when(inside, F.col("_bucket"))).alias(f"b{position}"),
-            F.max(F.when(inside, cut - F.col("_offset"))).alias(f"r{position}"),
+            F.max(F.when(inside, F.col("_bucket"))).alias(f"bucket{i}"),
+            F.max(F.when(inside, cut - F.col("_offset"))).alias(f"rank{i}"),
         ]
-    bounds = offsets.agg(F.struct(*found).alias("bounds")).scalar()
-    n_cuts = len(labels) - 1
-    # A cut at or past the end lies in no bucket: every row is below it.
-    edge_bucket = [F.coalesce(bounds[f"b{i}"], F.lit("~")) for i in range(n_cuts)]
-    is_edge = F.lit(False)
-    for bucket in edge_bucket:
-        is_edge = is_edge | (F.col("_bucket") == bucket)
-
-    def label(rank: Column | None) -> Column:
-        chosen = F.lit(labels[-1])
-        for i in reversed(range(n_cuts)):
-            below = F.col("_bucket") < edge_bucket[i]
-            if rank is not None:
-                below = below | ((F.col("_bucket") == edge_bucket[i]) & (rank <= bounds[f"r{i}"]))
-            chosen = F.when(below, F.lit(labels[i])).otherwise(chosen)
-        return chosen
-
-    clear = bucketed.where(~is_edge).withColumn(out, label(None))
-    rank = F.row_number().over(W.partitionBy("_bucket").orderBy("_hash", key))
-    edge = bucketed.where(is_edge).withColumn("_rank", rank).withColumn(out, label(F.col("_rank")))
-    return clear.unionByName(edge.drop("_rank")).drop("_bucket", "_hash")
+    place = offsets.agg(F.struct(*found).alias("place")).scalar()
+    holds_cut = F.lit(False)
+    for i in range(n_cuts):
+        holds_cut = holds_cut | (F.col("_bucket") == place[f"bucket{i}"])
+    rank = F.row_number().over(W.partitionBy("_bucket").orderBy("_hash", key)) - 1
+    edges = keys.where(holds_cut).withColumn("_rank", rank)
+    first = [
+        F.max(
+            F.when(
+                (F.col("_bucket") == place[f"bucket{i}"]) & (F.col("_rank") == place[f"rank{i}"]),
+                F.struct("_hash", F.col(key).alias("_key")),
+            )
+        ).alias(f"cut{i}")
+        for i in range(n_cuts)
+    ]
+    edge = edges.agg(F.struct(*first).alias("edge")).scalar()
+    own = F.struct("_hash", F.col(key).alias("_key"))
+    chosen = F.lit(labels[-1])
+    for i in reversed(range(n_cuts)):
+        # No row at a cut means that the cut is the end: all rows are below it.
+        below = edge[f"cut{i}"].isNull() | (own < edge[f"cut{i}"])
+        chosen = F.when(below, F.lit(labels[i])).otherwise(chosen)
+    return df.withColumn("_hash", seeded_hash(seed, key)).withColumn(out, chosen).drop("_hash")
 
 
 def sample_n(df: DataFrame, n: int, key: str = "row_key", seed: int | str = 42) -> DataFrame:
