@@ -48,16 +48,16 @@ def drawn_keys(df: DataFrame, m: int, seed: int | str = 42, key: str = "row_key"
 
 def random_negatives(
     df: DataFrame, m: int, seed: int | str = 42, key: str = "row_key",
-    exclude_same_anchor: bool = False,
+    exclude_same_anchor: bool = False, drawn: DataFrame | None = None,
 ) -> DataFrame:
     """(row_key, draw, neg_key, neg_positive, neg_negative) for `drawn_keys`.
 
     `key` must be unique. The passages are joined last and once. `exclude_same_anchor` drops
     draws whose row has the query's anchor, which may be unlabelled positives. `df` is read
-    several times and should be a table.
+    several times and should be a table; `drawn` may be a written `drawn_keys` table.
     """
     require_columns(df, [key, "anchor", "positive", "negative"])
-    drawn = drawn_keys(df, m, seed, key)
+    drawn = drawn_keys(df, m, seed, key) if drawn is None else drawn
     rows = df.select(
         F.col(key).alias("neg_key"),
         F.col("positive").alias("neg_positive"),
@@ -78,6 +78,7 @@ def random_negatives(
 def query_lists(
     df: DataFrame, m: int, seed: int | str = 42, key: str = "row_key",
     exclude_same_anchor: bool = False, carry: Sequence[str] = (),
+    drawn: DataFrame | None = None,
 ) -> DataFrame:
     """(row_key, docs, *carry): positive, negative, then both passages of each drawn row.
 
@@ -89,9 +90,9 @@ def query_lists(
         *carry,
     )
     if m > 0:
-        drawn = random_negatives(df, m, seed, key, exclude_same_anchor)
+        rows = random_negatives(df, m, seed, key, exclude_same_anchor, drawn)
         members = members.unionByName(
-            drawn.select(
+            rows.select(
                 key, "draw", F.col("neg_positive").alias("a"), F.col("neg_negative").alias("b")
             ),
             allowMissingColumns=True,
@@ -130,17 +131,19 @@ def passage_pool(df: DataFrame, seed: int | str = 42, total: str | None = None)
 
 def fill_candidates(
     lists: DataFrame, pool: DataFrame, k: int, seed: int | str = 42, key: str = "row_key",
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Add random unused pool passages to lists shorter than k.
 
-    `pool` comes from `passage_pool(..., total="n_pool")`. Each short list draws min(P, k)
+    `pool` comes from `passage_pool(..., total="n_pool")`. Each list draws min(P, k)
     consecutive pool positions after a hashed start: at most as many of them as the list has
     entries are its own, so enough remain whenever the whole pool has enough. If fewer
-    remain than are missing none is used, and `repeat_candidates` takes over.
+    remain than are missing none is used, and `repeat_candidates` takes over. `keys` may name
+    the lists to draw for, which spares looking for the short ones.
     """
-    short = lists.where(F.size("docs") < k).select(
-        key, hash_bigint(seeded_hash(seed, F.lit("fill"), key)).alias("start")
-    )
+    if keys is None:
+        keys = lists.where(F.size("docs") < k)
+    short = keys.select(key, hash_bigint(seeded_hash(seed, F.lit("fill"), key)).alias("start"))
     n_pool = pool.agg(F.coalesce(F.max("n_pool"), F.lit(0)).cast("bigint")).scalar()
     steps = F.when(
         n_pool > 0,
@@ -172,6 +175,44 @@ def fill_candidates(
     )
 
 
+def _content_ref(passage: Column | str) -> Column:
+    """A 128-bit stand-in for a passage of any type, for comparing and joining."""
+    passage = F.col(passage) if isinstance(passage, str) else passage
+    return F.struct(
+        F.xxhash64(passage).alias("high"), F.xxhash64(F.lit(1), passage).alias("low")
+    )
+
+
+def _with_fill(
+    lists: DataFrame, df: DataFrame, k: int, m: int, seed: int | str, key: str,
+    exclude_same_anchor: bool, drawn: DataFrame | None,
+) -> DataFrame:
+    """`fill_candidates` that decides on content references and moves only chosen passages."""
+    pool = materialise(passage_pool(df, seed, total="n_pool"), "pool")
+    refs = pool.withColumn("passage", _content_ref("passage"))
+    slim = df.select(
+        key, "anchor", _content_ref("positive").alias("positive"),
+        _content_ref("negative").alias("negative"),
+    )
+    slim_lists = query_lists(slim, m, seed, key, exclude_same_anchor, drawn=drawn)
+    filled = fill_candidates(slim_lists, refs, k, seed, key, keys=df.select(key))
+    chosen = filled.select(key, F.posexplode("docs").alias("slot", "doc")).where(
+        F.col("doc.origin") == "pool"
+    )
+    added = (
+        chosen.select(key, "slot", F.col("doc.passage").alias("ref"))
+        .join(pool.select(_content_ref("passage").alias("ref"), "passage"), "ref")
+        .groupBy(key)
+        .agg(F.sort_array(F.collect_list(F.struct("slot", "passage"))).alias("added"))
+    )
+    docs = F.transform(
+        "added", lambda d: F.struct(d["passage"].alias("passage"), F.lit("pool").alias("origin"))
+    )
+    return lists.join(added, key, "left").withColumn(
+        "docs", F.when(F.col("added").isNotNull(), F.concat("docs", docs)).otherwise(F.col("docs"))
+    ).drop("added")
+
+
 def repeat_candidates(lists: DataFrame, k: int) -> DataFrame:
     """Bring every list to exactly k entries: cycle short ones, cut long ones."""
     length = F.size("docs")
@@ -201,13 +242,14 @@ def candidate_docs(
     only when lists can be short, which a look at m + 1 input rows decides.
     """
     m = negative_pairs(k) if m is None else m
-    lists = query_lists(df, m, seed, key, exclude_same_anchor, carry)
     may_be_short = 2 + 2 * m < k or exclude_same_anchor
     if not may_be_short and m > 0:
         may_be_short = df.select(key).limit(m + 1).count() <= m
-    if may_be_short and mining:
-        pool = materialise(passage_pool(df, seed, total="n_pool"), "pool")
-        lists = fill_candidates(lists, pool, k, seed, key)
+    if not (may_be_short and mining):
+        return repeat_candidates(query_lists(df, m, seed, key, exclude_same_anchor, carry), k)
+    drawn = materialise(drawn_keys(df, m, seed, key), "drawn") if m > 0 else None
+    lists = query_lists(df, m, seed, key, exclude_same_anchor, carry, drawn)
+    lists = _with_fill(lists, df, k, m, seed, key, exclude_same_anchor, drawn)
     return repeat_candidates(lists, k)
 
 
