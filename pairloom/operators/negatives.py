@@ -22,6 +22,14 @@ def negative_pairs(k: int) -> int:
     return max(0, (k - 2) // 2)
 
 
+def _consecutive(start: Column, count: Column) -> Column:
+    """`count` numbers from `start`. Exploding them keeps the hash behind `start` to one
+    evaluation per row instead of one per number."""
+    return F.when(count > 0, F.sequence(start, start + count - 1)).otherwise(
+        F.array().cast("array<bigint>")
+    )
+
+
 def drawn_keys(df: DataFrame, m: int, seed: int | str = 42, key: str = "row_key") -> DataFrame:
     """(row_key, draw, neg_key): min(m, N-1) other rows per row, without replacement.
 
@@ -30,17 +38,12 @@ def drawn_keys(df: DataFrame, m: int, seed: int | str = 42, key: str = "row_key"
     Only keys are moved, and every row is drawn about m times: there are no hot keys.
     """
     indexed = dense_index(require_columns(df, [key]).select(key), key, seed, "idx", total="n")
-    start = hash_bigint(seeded_hash(seed, F.lit("negatives"), key))
-    count = F.least(F.lit(m).cast("bigint"), F.col("n") - 1)
-    steps = F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    offset = F.pmod(F.col("start") + F.col("draw"), F.col("n") - 1)
-    queries = indexed.select(
-        key, "idx", "n", start.alias("start"), F.explode(steps).alias("draw")
-    ).select(
-        key, F.col("draw").cast("int").alias("draw"),
-        F.pmod(F.col("idx") + 1 + offset, F.col("n")).alias("idx"),
+    others = F.col("n") - 1
+    start = F.pmod(hash_bigint(seeded_hash(seed, F.lit("negatives"), key)), others)
+    steps = _consecutive(start, F.least(F.lit(m).cast("bigint"), others))
+    offset = F.pmod(F.col("step"), others)
+    queries = indexed.select(key, "idx", "n", F.posexplode(steps).alias("draw", "step")).select(
+        key, "draw", F.pmod(F.col("idx") + 1 + offset, F.col("n")).alias("idx")
     )
     rows = indexed.select("idx", F.col(key).alias("neg_key"))
     return queries.join(rows, "idx").drop("idx")
@@ -143,15 +146,12 @@ def fill_candidates(
     """
     if keys is None:
         keys = lists.where(F.size("docs") < k)
-    short = keys.select(key, hash_bigint(seeded_hash(seed, F.lit("fill"), key)).alias("start"))
     n_pool = pool.agg(F.coalesce(F.max("n_pool"), F.lit(0)).cast("bigint")).scalar()
-    steps = F.when(
-        n_pool > 0,
-        F.sequence(F.lit(0).cast("bigint"), F.least(n_pool, F.lit(k).cast("bigint")) - 1),
-    ).otherwise(F.array().cast("array<bigint>"))
+    start = F.pmod(hash_bigint(seeded_hash(seed, F.lit("fill"), key)), n_pool)
+    steps = _consecutive(start, F.least(n_pool, F.lit(k).cast("bigint")))
     drawn = (
-        short.select(key, "start", F.explode(steps).alias("step"))
-        .withColumn("pid", F.pmod(F.pmod(F.col("start"), n_pool) + F.col("step"), n_pool))
+        keys.select(key, F.explode(steps).alias("step"))
+        .withColumn("pid", F.pmod("step", n_pool))
         .join(pool.select("pid", "passage"), "pid")
         .groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct("step", "passage"))).alias("drawn"))

@@ -1,8 +1,8 @@
 """Seeded order: dense index, exact samples and splits, batches.
 
-All of them rank rows by `md5(seed:key)`. The first four hex digits cut the rows into at most
-65,536 even buckets; the per-bucket counts are the only thing summed in one task or broadcast,
-so that table has a fixed upper size whatever the data.
+All of them rank rows by the first 60 bits of `md5(seed:key)`, then by key. The first 16 bits cut
+the rows into at most 65,536 even buckets; the per-bucket counts are the only thing summed in
+one task or broadcast, so that table has a fixed upper size whatever the data.
 """
 
 from __future__ import annotations
@@ -14,20 +14,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.functions.hashing import hash_unit, seeded_hash
+from pairloom.functions.hashing import HASH_BITS, hash_bigint, hash_unit, seeded_hash
 from pairloom.schema import require_columns
 
-BUCKET_DIGITS = 4
+BUCKET_BITS = 16
+
+
+def _rank_hash(key: str, seed: int | str) -> Column:
+    """The seeded position of a row as a number: cheap to move and to sort."""
+    return hash_bigint(seeded_hash(seed, key))
 
 
 def _bucketed(df: DataFrame, key: str, seed: int | str) -> DataFrame:
     require_columns(df, [key])
-    hashed = df.withColumn("_hash", seeded_hash(seed, key))
-    return hashed.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
+    hashed = df.withColumn("_hash", _rank_hash(key, seed))
+    return hashed.withColumn("_bucket", F.shiftright("_hash", HASH_BITS - BUCKET_BITS).cast("int"))
 
 
 def _bucket_offsets(bucketed: DataFrame) -> DataFrame:
-    """(_bucket, _size, _offset, _total): at most 16^BUCKET_DIGITS rows."""
+    """(_bucket, _size, _offset, _total): at most 2^BUCKET_BITS rows."""
     sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     running = F.sum("_size").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0))
     total = F.sum("_size").over(W.partitionBy())
@@ -81,9 +86,10 @@ def rank_bands(
             F.max(F.when(inside, cut - F.col("_offset"))).alias(f"rank{i}"),
         ]
     place = offsets.agg(F.struct(*found).alias("place")).scalar()
-    holds_cut = F.lit(False)
-    for i in range(n_cuts):
-        holds_cut = holds_cut | (F.col("_bucket") == place[f"bucket{i}"])
+    # One look-up, as a filter would hash the key again for every comparison.
+    holds_cut = F.array_contains(
+        F.array(*[place[f"bucket{i}"] for i in range(n_cuts)]), F.col("_bucket")
+    )
     rank = F.row_number().over(W.partitionBy("_bucket").orderBy("_hash", key)) - 1
     edges = keys.where(holds_cut).withColumn("_rank", rank)
     first = [
@@ -102,7 +108,7 @@ def rank_bands(
         # No row at a cut means that the cut is the end: all rows are below it.
         below = edge[f"cut{i}"].isNull() | (own < edge[f"cut{i}"])
         chosen = F.when(below, F.lit(labels[i])).otherwise(chosen)
-    return df.withColumn("_hash", seeded_hash(seed, key)).withColumn(out, chosen).drop("_hash")
+    return df.withColumn("_hash", _rank_hash(key, seed)).withColumn(out, chosen).drop("_hash")
 
 
 def sample_n(df: DataFrame, n: int, key: str = "row_key", seed: int | str = 42) -> DataFrame:
