@@ -16,9 +16,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.functions.math import bce_with_logits
 from pairloom.operators import loss as L
 from pairloom.operators.epochs import checkpoint_flags
-from pairloom.operators.loss import bce_loss
 from pairloom.operators.score import FEATURES, linear_logit
 from pairloom.schema import require_columns
 from pairloom.session import materialise
@@ -39,10 +39,12 @@ class FittedTeacher:
         return float(self.model.intercept)
 
 
-def _mean_bce(pairs: DataFrame, model: LogisticRegressionModel) -> float:
+def _phase_losses(pairs: DataFrame, model: LogisticRegressionModel, label: str) -> dict[str, float]:
+    """Mean binary cross-entropy of the train and of the validation rows, in one pass."""
     weights = dict(zip(FEATURES, (float(w) for w in model.coefficients)))
     logits = pairs.withColumn("logit", linear_logit(weights, float(model.intercept)))
-    return bce_loss(logits).first()["bce"]
+    means = logits.groupBy("phase").agg(F.avg(bce_with_logits("logit", label)).alias("bce"))
+    return {row["phase"]: row["bce"] for row in means.collect()}
 
 
 def fit_teacher(
@@ -56,24 +58,26 @@ def fit_teacher(
     narrow feature table is written once and every pass reads that.
     """
     columns = [*FEATURES, label]
-    train = materialise(require_columns(train_pairs, columns).select(*columns), "teacher-train")
-    val = materialise(require_columns(val_pairs, columns).select(*columns), "teacher-val")
+    phases = [
+        require_columns(pairs, columns).select(*columns, F.lit(phase).alias("phase"))
+        for phase, pairs in (("train", train_pairs), ("val", val_pairs))
+    ]
+    table = materialise(phases[0].unionByName(phases[1]), "teacher", partition_by=["phase"])
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    vectors = assembler.transform(train).select("features", label)
+    vectors = assembler.transform(table.where("phase = 'train'")).select("features", label)
     best, best_loss, rows = None, float("inf"), []
     for epoch in range(1, epochs + 1):
         fit = LogisticRegression(maxIter=epoch * iterations, labelCol=label)
         model = fit.fit(vectors)
-        val_loss = _mean_bce(val, model)
-        rows.append((run_id, epoch, _mean_bce(train, model), val_loss))
-        if val_loss < best_loss:
-            best, best_loss = model, val_loss
-    spark = train.sparkSession
-    table = spark.createDataFrame(
+        losses = _phase_losses(table, model, label)
+        rows.append((run_id, epoch, losses["train"], losses["val"]))
+        if losses["val"] < best_loss:
+            best, best_loss = model, losses["val"]
+    metrics = table.sparkSession.createDataFrame(
         rows, "run_id string, epoch long, train_loss double, val_loss double"
     )
-    flags = checkpoint_flags(table).drop("val_loss")
-    return FittedTeacher(best, table.join(flags, ["run_id", "epoch"]))
+    flags = checkpoint_flags(metrics).drop("val_loss")
+    return FittedTeacher(best, metrics.join(flags, ["run_id", "epoch"]))
 
 
 def save_teacher(fitted: FittedTeacher, path: str) -> None:

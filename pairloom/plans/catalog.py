@@ -673,7 +673,6 @@ def monitor_stream(spark, sf_dir):
 def fit_teacher(spark, sf_dir):
     """Loss per epoch of a teacher fitted on the train split, validated on the val split."""
     parts = ordering.split_hash(_pair_features(spark, sf_dir))
-    parts = materialise(parts.select("split", *score.FEATURES, "label"), "features")
     fitted = fit.fit_teacher(
         parts.where(F.col("split") == "train"), parts.where(F.col("split") == "val")
     )
@@ -683,9 +682,9 @@ def fit_teacher(spark, sf_dir):
 @query
 def fitted_teacher_scores(spark, sf_dir):
     """Fit a teacher, save it, load it and score the dialogue candidates with it."""
-    pairs_table = materialise(_pair_features(spark, sf_dir).select(*score.FEATURES, "label"), "features")
+    featured = _pair_features(spark, sf_dir)
     path = shared_path(spark, "teacher")
-    fit.save_teacher(fit.fit_teacher(pairs_table, pairs_table, epochs=1), path)
+    fit.save_teacher(fit.fit_teacher(featured, featured, epochs=1), path)
     weights, bias = fit.load_teacher(path)
     scored = score.teacher_scores(_dialogue_candidates(spark, sf_dir), weights=weights, bias=bias)
     return scored.select("row_key", "slot", "teacher")

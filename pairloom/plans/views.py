@@ -32,6 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _with_neighbour(df: DataFrame, column: str, step: int, out: str) -> DataFrame:
     """Add `column` of the row whose key is `step` higher; a row without one takes its anchor."""
     other = df.select((F.col("row_key") - step).alias("row_key"), F.col(column).alias("_other"))
+    # Both sides hold the whole table: merge them, which also spreads the rows evenly.
+    other = other.hint("merge")
     found = F.coalesce("_other", "anchor")
     return df.join(other, "row_key", "left").withColumn(out, found).drop("_other")
 
