@@ -215,18 +215,16 @@ def step_sums(packed: DataFrame, weights: np.ndarray, settings: StudentSettings)
     Each task adds up its own batches and emits one matrix; Spark adds the matrices. A batch
     that exhausts memory is counted as skipped and the rest goes on.
     """
-    shared = packed.sparkSession.sparkContext.broadcast(weights)
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix = shared.value
-        gradient = np.zeros_like(matrix)
+        gradient = np.zeros_like(weights)
         loss = batches = skipped = 0.0
         for frame in frames:
             for row in frame.itertuples(index=False):
                 shape = (row.n_queries, row.k)
                 try:
                     batch_loss, batch_gradient = batch_loss_gradient(
-                        matrix,
+                        weights,
                         np.asarray(row.query).reshape(shape[0], -1),
                         np.asarray(row.passages).reshape(*shape, -1),
                         np.asarray(row.teacher).reshape(shape),

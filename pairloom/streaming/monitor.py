@@ -263,28 +263,34 @@ def strategy_table(spark, strategies: dict[str, dict[str, str]] | None = None) -
     )
 
 
-def recovery_plan(
-    statuses: DataFrame, strategies: DataFrame | None = None,
-    base: dict[str, str] | None = None,
+def with_parameters(
+    rows: DataFrame, strategies: DataFrame | None = None, base: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Parameters to restart each attempt in error with: the base map with the overrides of
-    its error type; an unknown type changes nothing. Only rows are produced.
+    """Add `overrides` and `parameters`: the base map with the overrides of the row's error
+    type. A type without a strategy changes nothing.
     """
     base = BASE_PARAMETERS if base is None else base
     if strategies is None:
-        strategies = strategy_table(statuses.sparkSession)
+        strategies = strategy_table(rows.sparkSession)
     base_map = F.create_map(*[F.lit(x) for item in base.items() for x in item])
     overrides = F.coalesce("overrides", F.create_map().cast("map<string,string>"))
     kept = F.map_filter(base_map, lambda k, v: ~F.map_contains_key(F.col("overrides"), k))
     # One row per error type: the strategy table is a constant, not data.
     return (
-        statuses.where(F.col("status") == "error")
-        .join(F.broadcast(strategies), "error_type", "left")
+        rows.join(F.broadcast(strategies), "error_type", "left")
         .withColumn("overrides", overrides)
         .withColumn("parameters", F.map_concat(kept, F.col("overrides")))
     )
 
 
+def recovery_plan(
+    statuses: DataFrame, strategies: DataFrame | None = None,
+    base: dict[str, str] | None = None,
+) -> DataFrame:
+    """The parameters to restart each attempt in error with. Only rows are produced."""
+    return with_parameters(statuses.where(F.col("status") == "error"), strategies, base)
+
+
 _MAXIMA_TYPES = "last_line long, last_ts timestamp, message_text string, progress string"
 
 
@@ -340,7 +346,7 @@ def monitor_stream(
     Each Arrow batch is reduced to one row per attempt before the shuffle, and the state of
     an attempt is one row of maxima whatever the length of its log. An attempt that stays
     silent for `silence_seconds` gets a `missing` row. After completion or halt nothing more
-    is reported. A stream that is to end (`availableNow`) needs `silence_seconds=None`, as
+    is reported, and the state goes once the attempt falls silent. A stream that is to end (`availableNow`) needs `silence_seconds=None`, as
     Spark goes on running triggers while it waits for timeouts.
     """
     names = [_last(rule.name) for rule in _all_rules(rules)]
@@ -386,8 +392,10 @@ def monitor_stream(
         before = dict(zip(state_names, state.get)) if state.exists else None
         out = {"run_id": key[0], "attempt": key[1]}
         if state.hasTimedOut:
-            wait(state)
-            if before and not before["ended"]:
+            if before is None or before["ended"]:
+                state.remove()
+            else:
+                wait(state)
                 yield pd.DataFrame([
                     {**out, "poll": before["poll"], "last_line": before["last_line"],
                      "last_ts": before["last_ts"], "status": "missing", "error_type": None,
@@ -435,19 +443,23 @@ def monitor_stream(
 def write_monitor(
     statuses: DataFrame, status_path: str, action_path: str, checkpoint: str,
     available_now: bool = False, poll_seconds: int = POLL_SECONDS,
+    strategies: DataFrame | None = None, base: dict[str, str] | None = None,
 ):
     """Start the status sink and the action sink of a monitor stream.
 
     Each trigger overwrites its own folder, so a trigger that runs again after a failure
-    leaves the same rows. Actions (evaluate, recover, halt, restart) are rows to act upon.
+    leaves the same rows. Actions (evaluate, recover, halt, restart) are rows to act upon;
+    the two that start training again carry its parameters.
     """
+    starts = F.col("action").isin("recover", "restart")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         batch.write.mode("overwrite").parquet(f"{status_path}/trigger={batch_id}")
-        batch.where(F.col("action") != "none").write.mode("overwrite").parquet(
-            f"{action_path}/trigger={batch_id}"
-        )
+        actions = with_parameters(batch.where(F.col("action") != "none"), strategies, base)
+        actions.drop("overrides").withColumn(
+            "parameters", F.when(starts, F.col("parameters"))
+        ).write.mode("overwrite").parquet(f"{action_path}/trigger={batch_id}")
         batch.unpersist()
 
     writer = statuses.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

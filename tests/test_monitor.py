@@ -137,6 +137,10 @@ def test_stream_equals_batch_and_restarts(spark):
     actions = spark.read.parquet(f"{out}/actions")
     assert actions.where("action = 'evaluate'").count() == 1
     assert actions.where("action = 'none'").count() == 0
+    for r in actions.collect():
+        assert (r["parameters"] is not None) == (r["action"] == "recover")
+        if r["error_type"] == "gpu_memory" and r["action"] == "recover":
+            assert r["parameters"]["K"] == "4" and r["parameters"]["tau"] == "0.2"
 
 
 def test_stream_ignores_lines_delivered_twice(spark):

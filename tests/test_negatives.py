@@ -77,12 +77,14 @@ def test_pool_is_distinct_and_dense(spark):
 
 def test_lists_take_any_passage_type_and_carry_columns(spark):
     frame = triplets(spark, 20).withColumns(
-        {"positive": F.array(F.col("row_key") + 0.5), "negative": F.array(F.col("row_key") - 0.5)}
+        {"positive": F.array(F.col("row_key") + 0.5), "negative": F.array(-0.5 - F.col("row_key"))}
     )
     rows = N.candidate_lists(frame, 6, carry=["anchor"]).collect()
     assert len(rows) == 120
     assert all(r["anchor"] == "a0" for r in rows)
     assert {r["passage"][0] for r in rows if r["slot"] == 0} == {i + 0.5 for i in range(20)}
+    odd = N.candidate_docs(frame, 7).collect()
+    assert all(len({d["passage"][0] for d in r["docs"]}) == 7 for r in odd)
 
 
 def test_stats(spark):
