@@ -47,6 +47,11 @@ def eval_report(scores: DataFrame) -> DataFrame:
     return moments.withColumn("overall_uniformity", overall)
 
 
+def evaluate(triplets: DataFrame, encoder: Encoder | None = None) -> DataFrame:
+    """The report for text triplets: format, encode, score and aggregate in one pass."""
+    return eval_report(triplet_scores(triplets, encoder))
+
+
 def eval_targets(report: DataFrame) -> DataFrame:
     """Whether the report meets the goals for the negative mean and the margin."""
     return report.select(

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import clip_tokens
-from pairloom.operators import epochs, evaluate, fit, loss, negatives, ordering, pairs, prepare, score
+from pairloom.functions import text
+from pairloom.operators import (
+    distil, epochs, evaluate, fit, loss, negatives, ordering, pairs, prepare, score,
+)
 from pairloom.operators.encode import encode
 from pairloom.plans import views
 from pairloom import schema
 from pairloom.session import materialise, shared_path
-from pairloom.sources import files, sinks
+from pairloom.sources import files, prepared, sinks
 from pairloom.streaming import monitor
 from pairloom.streaming.rules import REFERENCE_RULES
 
@@ -38,9 +40,8 @@ def digest(name: str) -> Column:
 # Sources and sinks
 
 
-@query
-def scan_supervised(spark, sf_dir):
-    """Four files with their own column order and negatives, read back by name."""
+def _write_supervised(spark, sf_dir) -> str:
+    """Four files with their own column order and negatives; returns their pattern."""
     frame = views.supervised(spark, sf_dir)
     layouts = {
         "f0_supervised.csv": ["anchor", "positive", "negative_1"],
@@ -50,22 +51,37 @@ def scan_supervised(spark, sf_dir):
     }
     folder = shared_path(spark, "supervised")
     for name, columns in layouts.items():
-        _write_csv(frame.where(F.col("source_file") == name).select(*columns), f"{folder}/{name}")
-    return files.read_supervised(spark, f"{folder}/*_supervised.csv")
+        one_file = frame.where(F.col("source_file") == name).select(*columns)
+        sinks.csv_writer(one_file).csv(f"{folder}/{name}")
+    return f"{folder}/*_supervised.csv"
+
+
+def _write_detailed(spark, sf_dir) -> str:
+    path = f"{shared_path(spark, 'detailed')}/detailed_top20.csv"
+    frame = views.detailed(spark, sf_dir).select(
+        "best_other_positive", "anchor", F.length("anchor").alias("rank"), "original_positive"
+    )
+    sinks.csv_writer(frame).csv(path)
+    return path
 
 
-def _write_csv(df: DataFrame, path: str) -> None:
-    sinks.csv_writer(df).csv(path)
+@query
+def scan_supervised(spark, sf_dir):
+    return files.read_supervised(spark, _write_supervised(spark, sf_dir))
 
 
 @query
 def scan_detailed(spark, sf_dir):
-    path = f"{shared_path(spark, 'detailed')}/detailed_top20.csv"
-    frame = views.detailed(spark, sf_dir).select(
-        "best_other_positive", "anchor", F.length("anchor").alias("rank"), "original_positive"
+    return files.read_detailed(spark, _write_detailed(spark, sf_dir))
+
+
+@query
+def prepare_versions(spark, sf_dir):
+    """CSV sources to split and versioned triplets; the file without negatives drops out."""
+    return prepared.prepare(
+        spark, _write_supervised(spark, sf_dir), _write_detailed(spark, sf_dir),
+        shared_path(spark, "versions"),
     )
-    _write_csv(frame, path)
-    return files.read_detailed(spark, path)
 
 
 @query
@@ -109,10 +125,9 @@ def write_csv_splits(spark, sf_dir):
 @query
 def write_report(spark, sf_dir):
     path = shared_path(spark, "report")
-    sinks.write_report(_rounded_report(_vector_scores(spark, sf_dir)), path)
-    return spark.read.schema(
-        evaluate.eval_report(_vector_scores(spark, sf_dir)).schema
-    ).json(path)
+    report = _rounded_report(evaluate.eval_report(_vector_scores(spark, sf_dir)))
+    sinks.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
 
 
 @query
@@ -217,10 +232,10 @@ def null_drop(spark, sf_dir):
 
 
 @query
-def clip_text(spark, sf_dir):
+def clip_tokens(spark, sf_dir):
     return (
         views.table(spark, sf_dir, "documents")
-        .select("doc_id", clip_tokens("text", 256).alias("clip"))
+        .select("doc_id", text.clip_tokens("text", 256).alias("clip"))
         .select("doc_id", F.md5("clip.text").alias("clipped"), "clip.n_tokens", "clip.was_clipped")
     )
 
@@ -469,6 +484,14 @@ def distill_loss(spark, sf_dir):
     return rounded(loss.distill_loss(views.score_lists(spark, sf_dir)), *names)
 
 
+@query
+def distil_text_loss(spark, sf_dir):
+    """Losses of whole dialogues: encoded once, listed, scored by the teacher and batched."""
+    table = distil.distil_table(views.dialogue_triplets(spark, sf_dir), 8)
+    names = ["kl", "margin_loss", "penalty", "total"]
+    return rounded(loss.distill_loss(distil.student_scores(table)), *names)
+
+
 def _pair_features(spark, sf_dir) -> DataFrame:
     labelled = pairs.label_pairs(views.document_triplets(spark, sf_dir))
     return score.with_features(labelled, "query_text", "passage_text")
@@ -514,35 +537,33 @@ def checkpoint_flags(spark, sf_dir):
 # Evaluation
 
 
-def _text_scores(spark, sf_dir) -> DataFrame:
-    return score.triplet_scores(views.document_triplets(spark, sf_dir))
+def _text_report(spark, sf_dir) -> DataFrame:
+    return evaluate.evaluate(views.document_triplets(spark, sf_dir))
 
 
-def _rounded_report(scores: DataFrame) -> DataFrame:
-    report = evaluate.eval_report(scores)
+def _rounded_report(report: DataFrame) -> DataFrame:
     return rounded(report, *[c for c in report.columns if c != "total_samples"])
 
 
 @query
 def eval_report(spark, sf_dir):
-    return _rounded_report(_text_scores(spark, sf_dir))
+    return _rounded_report(_text_report(spark, sf_dir))
 
 
 @query
 def vector_eval_report(spark, sf_dir):
-    return _rounded_report(_vector_scores(spark, sf_dir))
+    return _rounded_report(evaluate.eval_report(_vector_scores(spark, sf_dir)))
 
 
 @query
 def eval_targets(spark, sf_dir):
-    found = evaluate.eval_targets(evaluate.eval_report(_text_scores(spark, sf_dir)))
+    found = evaluate.eval_targets(_text_report(spark, sf_dir))
     return rounded(found, "neg_cosine_similarity_mean", "margin_mean")
 
 
 @query
 def uniformity_bars(spark, sf_dir):
-    report = evaluate.eval_report(_text_scores(spark, sf_dir))
-    return rounded(evaluate.uniformity_bars(report), "variance")
+    return rounded(evaluate.uniformity_bars(_text_report(spark, sf_dir)), "variance")
 
 
 @query

@@ -177,14 +177,14 @@ score_lists AS (
   FROM slots s JOIN vectors v ON v.row_key = s.row_key JOIN vector_batches b ON b.qid = s.row_key
   WHERE s.slot < 8)"""
 
-SHARES = VECTOR_LISTS + """,
-exps AS (
+SHARES = """exps AS (
   SELECT *, exp(teacher / 0.2::DOUBLE - max(teacher / 0.2::DOUBLE) OVER w) AS et,
             exp(student / 0.2::DOUBLE - max(student / 0.2::DOUBLE) OVER w) AS es
   FROM score_lists WINDOW w AS (PARTITION BY batch_id, qid)),
 shares AS (
   SELECT batch_id, qid, slot, teacher, student, et / sum(et) OVER w AS p, es / sum(es) OVER w AS q
   FROM exps WINDOW w AS (PARTITION BY batch_id, qid))"""
+VECTOR_SHARES = VECTOR_LISTS + ",\n" + SHARES
 
 QUERY_LOSSES = SHARES + """,
 per_query AS (
@@ -449,6 +449,16 @@ FROM supervised"""
 ORACLES["scan_detailed"] = with_(DOCS) + """
 SELECT anchor, positive AS original_positive, negative AS best_other_positive,
   'detailed_top20.csv' AS source_file FROM docs"""
+ORACLES["prepare_versions"] = with_(SUPERVISED, DOCS) + f"""
+, kept AS (SELECT count(*) AS n FROM supervised WHERE source_file <> 'f3_supervised.csv'),
+parts AS (SELECT {split_label('i', 'n')} AS split FROM kept, range((SELECT n FROM kept)) t(i)),
+sizes AS (SELECT split, count(*) AS c FROM parts GROUP BY split),
+added AS (SELECT count(*) AS d FROM docs)
+SELECT 'supervised_only' AS data_version, split, c AS n_rows, c AS n_supervised,
+  0::BIGINT AS n_detailed FROM sizes
+UNION ALL
+SELECT 'supervised_with_detailed', split, c + CASE WHEN split = 'train' THEN d ELSE 0 END, c,
+  CASE WHEN split = 'train' THEN d ELSE 0 END FROM sizes, added"""
 ORACLES["read_triplets"] = with_(DOCUMENT_PAIRS) + """,
 raw AS (SELECT anchor, positive, lang AS negative FROM document_pairs),
 counted AS (SELECT *, row_number() OVER (PARTITION BY anchor, positive, negative) AS occurrence
@@ -504,7 +514,7 @@ WHERE l.quality IS NOT NULL AND d.lang IS NOT NULL AND d.source IS NOT NULL"""
 ORACLES["null_report"] = """
 SELECT count(l.quality) AS kept, count(*) - count(l.quality) AS dropped
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
-ORACLES["clip_text"] = f"""
+ORACLES["clip_tokens"] = f"""
 SELECT doc_id, md5(array_to_string(words[1:256], ' ')) AS clipped, len(words) AS n_tokens,
   len(words) > 256 AS was_clipped
 FROM (SELECT doc_id, {tokens('text')} AS words FROM documents)"""
@@ -590,19 +600,40 @@ ORACLES["teacher_scores_with"] = with_(DIALOGUE_LISTS) + """
 SELECT row_key, slot::INTEGER AS slot,
   round(length(query)::DOUBLE / (length(query) + length(passage)), 6) AS teacher FROM candidates"""
 
-ORACLES["listwise_softmax"] = with_(SHARES) + """
+ORACLES["listwise_softmax"] = with_(VECTOR_SHARES) + """
 SELECT batch_id, qid, slot::INTEGER AS slot, round(p, 6) AS p, round(q, 6) AS q FROM shares"""
-ORACLES["query_losses"] = with_(QUERY_LOSSES) + """
+ORACLES["query_losses"] = with_(VECTOR_LISTS, QUERY_LOSSES) + """
 SELECT batch_id, qid, round(kl, 6) AS kl, round(pos_mean, 6) AS pos_mean,
   round(neg_mean, 6) AS neg_mean, round(neg_sum, 6) AS neg_sum, neg_count FROM per_query"""
 for _name, _column in (("kl", "kl"), ("margin", "margin_loss"), ("penalty", "penalty")):
     ORACLES[f"loss_{_name}"] = (
-        with_(BATCH_LOSSES) + f"SELECT batch_id, round({_column}, 6) AS {_column} FROM per_batch"
+        with_(VECTOR_LISTS, BATCH_LOSSES) + f"SELECT batch_id, round({_column}, 6) AS {_column} FROM per_batch"
     )
-ORACLES["distill_loss"] = with_(BATCH_LOSSES) + """
+TOTALS = """
 SELECT batch_id, round(kl, 6) AS kl, round(margin_loss, 6) AS margin_loss,
   round(penalty, 6) AS penalty,
   round(kl + 0.3::DOUBLE * margin_loss + 0.4::DOUBLE * penalty, 6) AS total FROM per_batch"""
+ORACLES["distill_loss"] = with_(VECTOR_LISTS, BATCH_LOSSES) + TOTALS
+ORACLES["distil_text_loss"] = with_(
+    DIALOGUE_LISTS,
+    f"""text_batches AS (
+  SELECT row_key, ({ranked('row_key', '42/0')}) // 16 AS batch_id FROM dialogues),
+formatted AS (SELECT row_key, slot, 'query: (ko) ' || query AS query,
+  'passage: (ko) ' || passage AS passage FROM candidates)""",
+    encoded("eq", "SELECT DISTINCT row_key, query AS text FROM formatted"),
+    encoded("ed", "SELECT DISTINCT md5(passage) AS row_key, passage AS text FROM formatted"),
+    features("scored", "SELECT * FROM formatted"),
+    """text_cosines AS (
+  SELECT f.row_key, f.slot, sum(q.value * d.value) AS c FROM formatted f
+  JOIN eq q ON q.row_key = f.row_key
+  JOIN ed d ON d.row_key = md5(f.passage) AND d.lane = q.lane GROUP BY 1, 2),
+score_lists AS (
+  SELECT b.batch_id, s.row_key AS qid, s.slot, 1 / (1 + exp(-s.logit)) AS teacher,
+    (coalesce(t.c, 0) + 1) / 2 AS student
+  FROM scored s JOIN text_batches b ON b.row_key = s.row_key
+  LEFT JOIN text_cosines t ON t.row_key = s.row_key AND t.slot = s.slot)""",
+    BATCH_LOSSES,
+) + TOTALS
 ORACLES["bce_loss"] = with_(
     DOCS,
     LABELLED.format(t="docs"),

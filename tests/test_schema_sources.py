@@ -3,13 +3,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators.ordering import split_versions
-from pairloom.operators.prepare import union_sources
 from pairloom.schema import (
     MissingColumnsError, apply_null_policy, null_report, require_columns, with_row_key,
 )
 from pairloom.session import materialise, shared_path
-from pairloom.sources import files, sinks
+from pairloom.sources import files, prepared, sinks
 
 TRIPLET = "anchor string, positive string, negative string"
 
@@ -101,13 +99,15 @@ def test_whole_preparation(spark, csv_dir):
     (csv_dir / "top20.csv").write_text(
         "rank,anchor,original_positive,best_other_positive\n1,a1,p1,n1\n2,a2,p2,n2\n"
     )
-    both = union_sources(
-        files.read_supervised(spark, f"{csv_dir}/*_supervised.csv"),
-        files.read_detailed(spark, f"{csv_dir}/top20.csv"),
-    )
-    table = split_versions(with_row_key(both).drop("occurrence"))
     path = shared_path(spark, "prepared")
-    sinks.write_splits(table, path)
+    report = prepared.prepare(
+        spark, f"{csv_dir}/*_supervised.csv", f"{csv_dir}/top20.csv", path, null_policy="literal"
+    )
+    sizes = {(r["data_version"], r["split"]): r["n_rows"] for r in report.collect()}
+    assert sizes == {
+        ("supervised_only", "train"): 3, ("supervised_only", "test"): 1,
+        ("supervised_with_detailed", "train"): 5, ("supervised_with_detailed", "test"): 1,
+    }
     train = files.read_version_split(spark, path, "supervised_with_detailed", "train")
     assert train.where("source_kind = 'detailed'").count() == 2
     scan = train._jdf.queryExecution().executedPlan().toString()
