@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.math import bce_with_logits
 from pairloom.operators import loss as L
 from pairloom.operators.epochs import checkpoint_flags
-from pairloom.operators.score import FEATURES, linear_logit
+from pairloom.operators.score import FEATURES, linear_logit, vector_triplet_scores
 from pairloom.schema import require_columns
 from pairloom.session import materialise
 
@@ -333,7 +333,15 @@ def project(vector: Column | str, weights: np.ndarray) -> Column:
         for batch in batches:
             yield pd.Series(list(np.stack(batch.to_list()) @ weights.T) if len(batch) else [])
 
-    return run(F.col(vector) if isinstance(vector, str) else vector)
+    return run.asNondeterministic()(F.col(vector) if isinstance(vector, str) else vector)
+
+
+def student_triplet_scores(vectors: DataFrame, weights: np.ndarray) -> DataFrame:
+    """Triplet scores of the student for `anchor_vec`, `positive_vec`, `negative_vec`."""
+    names = ("anchor_vec", "positive_vec", "negative_vec")
+    return vector_triplet_scores(
+        vectors.withColumns({name: project(name, weights) for name in names})
+    )
 
 
 def save_student(spark: SparkSession, weights: np.ndarray, path: str) -> None:

@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pairloom.functions.math import cosine_of, dot, normalize_cosine, relu, sigmoid
 from pairloom.functions.text import format_passage, format_query, token_set
@@ -146,13 +145,14 @@ def teacher_scores_with(
 ) -> DataFrame:
     """Score pairs with a user function, one Arrow batch at a time, next to the data.
 
-    Score once and write the result: the teacher is the costly part.
+    Only the two texts go to Python. Score once and write the result: the teacher is the
+    costly part.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("teacher", T.DoubleType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            pairs = frame[[query, passage]].set_axis(["query", "passage"], axis=1)
-            yield frame.assign(teacher=pd.Series(scorer(pairs), index=frame.index).astype(float))
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for queries, passages in batches:
+            pairs = pd.DataFrame({"query": queries, "passage": passages})
+            yield pd.Series(scorer(pairs), index=pairs.index).astype(float)
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn("teacher", run.asNondeterministic()(query, passage))

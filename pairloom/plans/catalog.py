@@ -387,11 +387,13 @@ def triplet_scores(spark, sf_dir):
     return rounded(scores, *SCORES, digits=8).select("row_key", *SCORES)
 
 
-def _vector_scores(spark, sf_dir) -> DataFrame:
+def _triplet_vectors(spark, sf_dir) -> DataFrame:
     names = {"anchor": "anchor_vec", "positive": "positive_vec", "negative": "negative_vec"}
-    return score.vector_triplet_scores(
-        views.vector_triplets(spark, sf_dir).withColumnsRenamed(names)
-    )
+    return views.vector_triplets(spark, sf_dir).withColumnsRenamed(names)
+
+
+def _vector_scores(spark, sf_dir) -> DataFrame:
+    return score.vector_triplet_scores(_triplet_vectors(spark, sf_dir))
 
 
 @query
@@ -718,3 +720,18 @@ def fit_student(spark, sf_dir):
     return fit.fit_student(
         views.batched_lists(spark, sf_dir), dim_in=64, steps_per_epoch=4, settings=settings
     ).metrics
+
+
+@query
+def student_eval_report(spark, sf_dir):
+    """Fit a student, save it, load it and report its triplet scores."""
+    settings = fit.StudentSettings(epochs=1, lr=0.01)
+    fitted = fit.fit_student(
+        views.batched_lists(spark, sf_dir), dim_in=64, steps_per_epoch=2, settings=settings
+    )
+    path = shared_path(spark, "student")
+    fit.save_student(spark, fitted.weights, path)
+    weights = fit.load_student(spark, path)
+    return evaluate.eval_report(
+        fit.student_triplet_scores(_triplet_vectors(spark, sf_dir), weights)
+    )

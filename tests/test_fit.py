@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import epochs, fit, score
-from pairloom.session import shared_path
+from pairloom.operators import distil, epochs, fit, loss, score
+from pairloom.session import materialise, shared_path
 
 
 @pytest.fixture(scope="module")
@@ -92,6 +92,39 @@ def test_student_improves_and_metrics_feed_epoch_loss(spark):
     assert projected["v"] == pytest.approx((fitted.weights @ np.array(projected["query_vec"])).tolist())
 
 
+def test_identity_student_scores_like_its_base(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, *[rng.standard_normal(5).tolist() for _ in range(3)]) for i in range(30)]
+    frame = spark.createDataFrame(
+        rows, "row_key long, anchor_vec array<double>, positive_vec array<double>, negative_vec array<double>"
+    )
+    base = score.vector_triplet_scores(frame).orderBy("row_key").collect()
+    same = fit.student_triplet_scores(frame, np.eye(5)).orderBy("row_key").collect()
+    assert [r["margin"] for r in same] == pytest.approx([r["margin"] for r in base])
+
+
+def test_text_table_trains_a_student(spark):
+    words = ["ant", "bee", "cat", "dog", "eel", "fox"]
+    rows = [(i, f"{words[i % 6]} one", f"{words[i % 6]} two", f"{words[(i + 1) % 6]} two") for i in range(36)]
+    frame = spark.createDataFrame(rows, "row_key long, anchor string, positive string, negative string")
+
+    def same_word(pairs):
+        return (pairs["query"].str.split().str[2] == pairs["passage"].str.split().str[2]) * 0.8 + 0.1
+
+    for k in (4, 5):
+        table = materialise(distil.distil_table(frame, k, 8, scorer=same_word), "table")
+        assert table.groupBy("qid").count().where(F.col("count") != k).isEmpty()
+        assert table.where("slot = 0 AND teacher < 0.5").isEmpty()
+        assert table.select("batch_id").distinct().count() == 5
+    settings = fit.StudentSettings(epochs=3, lr=0.05)
+    fitted = fit.fit_student(table, dim_in=64, steps_per_epoch=2, settings=settings)
+    losses = [r[4] for r in fitted.history]
+    assert losses[-1] < losses[0]
+    first = {r["batch_id"]: r["total"] for r in loss.distill_loss(distil.student_scores(table)).collect()}
+    even = [first[b] for b in first if b % 2 == 0]
+    assert losses[0] == pytest.approx(sum(even) / len(even))
+
+
 def test_batch_out_of_memory_is_skipped(spark, monkeypatch):
     rows = student_lists(np.random.default_rng(6), batches=4)
     plain = fit.batch_loss_gradient

@@ -8,7 +8,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 
 QUERIES, ORACLES = queries(), oracle_sql()
-NO_SQL = {"fit_teacher", "fit_student", "fitted_teacher_scores"}
+NO_SQL = {"fit_teacher", "fit_student", "fitted_teacher_scores", "student_eval_report"}
 TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
     "boolean": "BOOLEAN",

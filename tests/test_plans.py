@@ -9,7 +9,10 @@ from pairloom.operators import ordering, score
 from pairloom.plans import views
 
 QUERIES = queries()
-EAGER = {"fit_teacher", "fit_student", "monitor_stream", "log_stream", "fitted_teacher_scores"}
+EAGER = {
+    "fit_teacher", "fit_student", "monitor_stream", "log_stream", "fitted_teacher_scores",
+    "student_eval_report",
+}
 
 
 def plan(frame):
