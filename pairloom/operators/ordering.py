@@ -67,15 +67,18 @@ def rank_bands(
     key: str = "row_key",
     seed: int | str = 42,
     out: str = "band",
+    by_group: bool = False,
 ) -> DataFrame:
     """Label rows by where their seeded rank falls between exact cut positions.
 
     `cuts` maps the row count to ascending ranks; ranks below the first cut get the first
     label and so on. The bucket counts tell which buckets the cuts fall into, a window over
     those few buckets finds the row at each cut, and every row is then labelled by comparing
-    its own hash: the data itself is read once and never shuffled.
+    its own hash: the data itself is read once and never shuffled. With `by_group` the key
+    may repeat and its distinct values are what is ranked and counted.
     """
-    keys = _bucketed(df.select(key), key, seed)
+    keys = df.select(key).distinct() if by_group else df.select(key)
+    keys = _bucketed(keys, key, seed)
     offsets = _bucket_offsets(keys)
     n_cuts = len(labels) - 1
     found = []
@@ -134,10 +137,16 @@ def _split_cuts(ratios: Sequence[float]) -> Callable[[Column], list[Column]]:
 
 def split_exact(
     df: DataFrame, ratios: Sequence[float] = (0.8, 0.1, 0.1), seed: int | str = 42,
-    key: str = "row_key", out: str = "split",
+    key: str = "row_key", group_key: str | None = None, out: str = "split",
 ) -> DataFrame:
-    """Train/val/test of exact size: ceil(0.2 n) held out, ceil of its half for test."""
-    return rank_bands(df, _split_cuts(ratios), ["train", "val", "test"], key, seed, out)
+    """Train/val/test of exact size: ceil(0.2 n) held out, ceil of its half for test.
+
+    With `group_key` the sizes count groups, and all rows of one group share a split.
+    """
+    labels = ["train", "val", "test"]
+    return rank_bands(
+        df, _split_cuts(ratios), labels, group_key or key, seed, out, by_group=bool(group_key)
+    )
 
 
 def split_hash(

@@ -268,6 +268,13 @@ def split_exact(spark, sf_dir):
     return ordering.split_exact(_documents(spark, sf_dir), key="doc_id")
 
 
+@query
+def split_exact_grouped(spark, sf_dir):
+    """Exact shares of the distinct first sentences; equal ones stay together."""
+    pairs_table = views.document_pairs(spark, sf_dir)
+    return ordering.split_exact(pairs_table, group_key="anchor").select("row_key", "split")
+
+
 @query
 def split_hash(spark, sf_dir):
     return ordering.split_hash(_documents(spark, sf_dir), key="doc_id")

@@ -528,6 +528,13 @@ SELECT doc_id, lang, {split_label('i', 'n')} AS split
 FROM (SELECT *, {ranked('doc_id')} AS i, count(*) OVER () AS n FROM documents)"""
 
 
+ORACLES["split_exact_grouped"] = with_(DOCUMENT_PAIRS) + f"""
+, anchors AS (SELECT anchor, {ranked('anchor')} AS i, count(*) OVER () AS n
+  FROM (SELECT DISTINCT anchor FROM document_pairs))
+SELECT p.row_key, {split_label('a.i', 'a.n')} AS split
+FROM document_pairs p JOIN anchors a ON a.anchor = p.anchor"""
+
+
 def hash_split(key: str) -> str:
     unit = f"{hash60(key)} / 1152921504606846976.0::DOUBLE"
     return (

@@ -56,6 +56,17 @@ def test_sample_is_exact(spark, n):
     assert sorted(found) == sorted(k for k in rank if rank[k] < n)
 
 
+def test_exact_split_of_groups(spark):
+    rows = numbers(spark, 400).withColumn(
+        "anchor", F.when(F.col("row_key") % 3 == 0, 0).otherwise(F.col("row_key") % 100)
+    )
+    found = ordering.split_exact(rows, group_key="anchor")
+    groups = found.groupBy("anchor").agg(F.collect_set("split").alias("splits")).collect()
+    assert len(groups) == 100 and all(len(r["splits"]) == 1 for r in groups)
+    assert sorted(r["splits"][0] for r in groups) == ["test"] * 10 + ["train"] * 80 + ["val"] * 10
+    assert found.count() == 400
+
+
 def test_hash_split_keeps_groups_and_shares(spark):
     rows = numbers(spark, 5000).withColumn("anchor", F.col("row_key") % 2500)
     found = ordering.split_hash(rows, group_key="anchor")
