@@ -299,6 +299,9 @@ def _partial_schema(names: list[str]) -> T.StructType:
     return T._parse_datatype_string(f"run_id string, attempt int, {_MAXIMA_TYPES}, {hits}")
 
 
+# A line number below any window: keeps the state free of nulls.
+NEVER = -(1 << 40)
+
 OUTPUT_SCHEMA = (
     "run_id string, attempt int, poll long, last_line long, last_ts timestamp, status string, "
     "error_type string, error_message string, progress string, streak int, action string"
@@ -321,8 +324,7 @@ def _decide(state: dict, rules: RuleSet) -> tuple[str, str | None, str | None]:
     """Status, error type and message of one run's maxima."""
 
     def within(rule: Rule) -> bool:
-        found = state[_last(rule.name)]
-        return not pd.isna(found) and found > state["last_line"] - rule.lines
+        return state[_last(rule.name)] > state["last_line"] - rule.lines
 
     if any(within(rule) for rule in rules.complete):
         status = "complete"
@@ -358,7 +360,9 @@ def monitor_stream(
         "message_text",
         "progress",
         *[
-            F.when(F.col(f"is_{rule.name}"), F.col("line_no")).alias(_last(rule.name))
+            F.when(F.col(f"is_{rule.name}"), F.col("line_no"))
+            .otherwise(F.lit(NEVER))
+            .alias(_last(rule.name))
             for rule in _all_rules(rules)
         ],
     )
