@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -26,8 +29,15 @@ class NoInputFilesError(FileNotFoundError):
     """No file matches a source pattern."""
 
 
-def _csv_headers(spark: SparkSession, pattern: str) -> dict[str, list[str]]:
-    """Column names per data file; a match may be a file or a folder of part files.
+@dataclass(frozen=True)
+class CsvFile:
+    path: str
+    names: tuple[str, ...]
+    size: int
+
+
+def _csv_files(spark: SparkSession, pattern: str) -> list[CsvFile]:
+    """Data files with their column names; a match may be a file or a folder of part files.
 
     Only the first line of each file is read, by a few driver threads.
     """
@@ -38,19 +48,36 @@ def _csv_headers(spark: SparkSession, pattern: str) -> dict[str, list[str]]:
     files = []
     for match in fs.globStatus(glob) or []:
         found = fs.listStatus(match.getPath()) if match.isDirectory() else [match]
-        files += [f.getPath() for f in found if not f.getPath().getName().startswith(("_", "."))]
+        files += [f for f in found if not f.getPath().getName().startswith(("_", "."))]
 
-    def header(path) -> tuple[str, list[str]]:
+    def describe(file) -> CsvFile:
+        path = file.getPath()
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(path), "UTF-8"))
         try:
             line = reader.readLine() or ""
         finally:
             reader.close()
         names = next(csv.reader([line.lstrip("\ufeff")]), [])
-        return path.toString(), [name.strip() for name in names]
+        return CsvFile(path.toString(), tuple(name.strip() for name in names), file.getLen())
 
     with ThreadPoolExecutor(16) as threads:
-        return {path: names for path, names in threads.map(header, files) if names}
+        return [file for file in threads.map(describe, files) if file.names]
+
+
+def _one_slash(path: str) -> str:
+    return re.sub("^file:/+", "file:/", path)
+
+
+def _with_line_breaks(spark: SparkSession, paths: list[str]) -> set[str]:
+    """The files among `paths` whose quoted values hold line breaks.
+
+    Such a value leaves its first line with an odd number of quotes, which a splittable scan
+    of plain lines can see. The result is a list of file names.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    found = lines.where(quotes % 2 == 1).select("path").distinct().collect()
+    return {_one_slash(unquote(row["path"])) for row in found}
 
 
 def _read_csv(
@@ -69,24 +96,35 @@ def _read_csv(
 
 
 def read_csv_by_header(
-    spark: SparkSession, pattern: str, wanted: list[str], multiline: bool = True
+    spark: SparkSession, pattern: str, wanted: list[str], multiline: bool | None = None,
+    large: int = 128 << 20,
 ) -> DataFrame:
     """The wanted columns of all matching CSV files, by name, plus `source_file`.
 
     One Spark CSV scan maps columns by position, so files are grouped by their header and
-    each group is one scan; a column a file lacks is null. `multiline=False` lets Spark split
-    large files whose texts hold no line breaks.
+    each group is one scan; a column a file lacks is null.
+
+    Values may hold line breaks, but Spark reads a file with such values in one task. So
+    files above `large` bytes are first searched for them and split when they hold none;
+    `multiline` skips that search and decides for all files.
     """
-    headers = _csv_headers(spark, pattern)
-    if not headers:
+    files = _csv_files(spark, pattern)
+    if not files:
         raise NoInputFilesError(f"no input files match {pattern}")
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path, names in headers.items():
-        groups[tuple(names)].append(path)
-    anywhere = {name for names in groups for name in names}
+    splittable: set[str] = set()
+    if multiline is None:
+        large_files = [file.path for file in files if file.size > large]
+        if large_files:
+            broken = _with_line_breaks(spark, large_files)
+            splittable = {path for path in large_files if _one_slash(path) not in broken}
+    groups: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
+    for file in files:
+        whole = file.path not in splittable if multiline is None else multiline
+        groups[file.names, whole].append(file.path)
+    anywhere = {name for names, _ in groups for name in names}
     scans = []
-    for names, paths in groups.items():
-        scan = _read_csv(spark, sorted(paths), list(names), multiline)
+    for (names, whole), paths in groups.items():
+        scan = _read_csv(spark, sorted(paths), list(names), whole)
         present = [
             F.when(~F.col(f"`{n}`").isin(*MISSING_WORDS), F.col(f"`{n}`")).alias(n)
             for n in wanted
@@ -98,16 +136,15 @@ def read_csv_by_header(
 
 
 def _source_file():
-    """Name of the matched file; part files count as their folder."""
+    """Name of the matched file; part files count as their folder. Spark gives paths as URIs."""
     parts = F.split(F.col("_metadata.file_path"), "/")
     name, folder = F.element_at(parts, -1), F.element_at(parts, -2)
-    return F.when(name.startswith("part-") & folder.endswith(".csv"), folder).otherwise(
-        name
-    ).alias("source_file")
+    matched = F.when(name.startswith("part-") & folder.endswith(".csv"), folder).otherwise(name)
+    return F.url_decode(F.replace(matched, F.lit("+"), F.lit("%2B"))).alias("source_file")
 
 
 def read_supervised(
-    spark: SparkSession, pattern: str, multiline: bool = True, negatives: int = 1
+    spark: SparkSession, pattern: str, multiline: bool | None = None, negatives: int = 1
 ) -> DataFrame:
     """All `*_supervised.csv` files of a pattern: anchor, positive, negative_1.., source_file."""
     wanted = ["anchor", "positive", *[f"negative_{i + 1}" for i in range(negatives)]]
@@ -115,7 +152,7 @@ def read_supervised(
     return require_columns(frame, ["anchor", "positive", "negative_1"], pattern)
 
 
-def read_detailed(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_detailed(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """The detailed-similarity file: anchor, original_positive, best_other_positive."""
     wanted = ["anchor", "original_positive", "best_other_positive"]
     return require_columns(read_csv_by_header(spark, path, wanted, multiline), wanted, path)

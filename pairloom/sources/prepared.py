@@ -14,7 +14,7 @@ from pairloom.sources.sinks import write_splits
 
 def prepare(
     spark: SparkSession, supervised_pattern: str, detailed_path: str, out: str, seed: int = 42,
-    null_policy: str = "drop", multiline: bool = True,
+    null_policy: str = "drop", multiline: bool | None = None,
 ) -> DataFrame:
     """Read both sources, split, write both dataset versions; returns their row counts."""
     raw = union_sources(

@@ -75,6 +75,32 @@ def test_supervised_files_are_read_by_name(spark, csv_dir):
     )
 
 
+def test_large_files_are_split_unless_values_span_lines(spark, tmp_path):
+    plain = "".join(f'"a, {i}",p{i},"q ""{i}"""\n' for i in range(2000))
+    (tmp_path / "plain a+b%41_supervised.csv").write_text("anchor,positive,negative_1\n" + plain)
+    (tmp_path / "broken_supervised.csv").write_text(
+        "anchor,positive,negative_1\n" + plain + '"x\ny",p,"q\n\nr"\n'
+    )
+    pattern = f"{tmp_path}/*_supervised.csv"
+    wanted = ["anchor", "positive", "negative_1"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+    try:
+        split = files.read_csv_by_header(spark, pattern, wanted, large=1000)
+        whole = files.read_csv_by_header(spark, pattern, wanted)
+        assert split.rdd.getNumPartitions() > 4 and whole.rdd.getNumPartitions() <= 2
+        rows = split.collect()
+        assert sorted(map(str, whole.collect())) == sorted(map(str, rows))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(rows) == 4001
+    assert [r["negative_1"] for r in rows if r["anchor"] == "x\ny"] == ["q\n\nr"]
+    assert {r["source_file"] for r in rows} == {
+        "plain a+b%41_supervised.csv", "broken_supervised.csv"
+    }
+
+
 def test_no_files_and_missing_columns(spark, csv_dir):
     with pytest.raises(files.NoInputFilesError):
         files.read_supervised(spark, f"{csv_dir}/*_nothing.csv")
