@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import exact_dedup, language, line_dedup, mixing, neighbours, packing, secrets
+from pairloom.llm import exact_dedup, jaccard, language, line_dedup, mixing, neighbours, packing, secrets
 from pairloom.llm.common import documents
-from pairloom.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +25,11 @@ def op1_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
 
 
+@query
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
@@ -68,6 +72,30 @@ def op7_collision_neighbours(spark, sf_dir):
     return found.withColumnRenamed("id", "vec_id")
 
 
+ORACLES["op3_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5
+         THEN list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' '))
+         WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+), link AS MATERIALIZED (
+  SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 80 * (p.n + q.n - o)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT reach.doc_id, link.y FROM reach JOIN link ON link.x = reach.other
+)
+SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.component_id
+FROM documents LEFT JOIN n USING (doc_id)
+JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
+"""
+
+
 @query
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir))

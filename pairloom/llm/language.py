@@ -47,7 +47,7 @@ class LanguageModel:
 
 
 def trigram_counts(texts: list[str | None], dims: int = DIMS) -> np.ndarray:
-    """One row of hashed trigram counts per text; trigrams with two spaces are left out."""
+    """One row of hashed trigram counts per text; trigrams without letters are left out."""
     out = np.zeros((len(texts), dims), dtype=np.float32)
     shift = np.uint32(32 - (dims.bit_length() - 1))
     for row, text in zip(out, texts):
@@ -57,7 +57,7 @@ def trigram_counts(texts: list[str | None], dims: int = DIMS) -> np.ndarray:
         folded = _FOLD[data].astype(np.uint32)
         letters = (folded != 32).view(np.uint8)
         grams = folded[:-2] << 16 | folded[1:-1] << 8 | folded[2:]
-        useful = letters[:-2] + letters[1:-1] + letters[2:] >= 2
+        useful = letters[:-2] + letters[1:-1] + letters[2:] >= 1
         places = grams[useful] * np.uint32(2654435761) >> shift
         row += np.bincount(places, minlength=dims)
     return out
@@ -113,7 +113,7 @@ def document_frequencies(docs: DataFrame, dims: int = DIMS, block: int = 256) ->
 
 def fit(
     labelled: DataFrame, sample: int = 1000, clusters: int = 3, dims: int = DIMS,
-    reject_share: float = 0.5, seed: str = "language",
+    reject_share: float = 0.2, seed: str = "language",
 ) -> LanguageModel:
     """Fit on the rows of `labelled` (text, lang) with a text and a language.
 
