@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import exact_dedup, jaccard, language, line_dedup, mixing, neighbours, packing, secrets
+from pairloom.llm import exact_dedup, jaccard, language, line_dedup, mixing, neighbours, packing, secrets, suffix_dedup
 from pairloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op4_secret_scan(spark, sf_dir):
     )
 
 
+@query
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir)).drop("spans")
+
+
 @query
 def op6_line_dedup(spark, sf_dir):
     done = line_dedup.line_dedup(documents(spark, sf_dir))
