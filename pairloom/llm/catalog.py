@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import exact_dedup, jaccard, language, line_dedup, mixing, neighbours, packing, secrets, suffix_dedup
+from pairloom.llm import exact_dedup, jaccard, language, line_dedup, mixing, neighbours, packing, pitman_yor, secrets, suffix_dedup
 from pairloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op1_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
 
 
+@query
+def op2_pitman_yor(spark, sf_dir):
+    return pitman_yor.score(documents(spark, sf_dir))
+
+
 @query
 def op3_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
