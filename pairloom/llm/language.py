@@ -125,14 +125,16 @@ def fit(
     labelled = labelled.select("text", "lang")
     n, frequencies = document_frequencies(labelled, dims)
     idf = (np.log((1 + n) / (1 + frequencies)) + 1).astype(np.float32)
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
+    if not counts:
+        return LanguageModel(idf, [], np.zeros((0, dims), dtype=np.float32), np.zeros(0))
+    rows = F.element_at(F.create_map(*[F.lit(x) for row in counts for x in (row["lang"], row["n"])]), F.col("lang"))
     unit = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "text")), 1, 12), 16, 10).cast("double") / float(1 << 48)
     order = Window.partitionBy("lang").orderBy("_unit")
     # about 1.5 times the bound pass the filter on the hash, the window keeps the bound
     chosen = (
-        labelled.join(counts, "lang")
-        .withColumn("_unit", unit)
-        .where(F.col("_unit") * F.col("_rows") <= 1.5 * sample + 10)
+        labelled.withColumn("_unit", unit)
+        .where(F.col("_unit") * rows <= 1.5 * sample + 10)
         .withColumn("_place", F.row_number().over(order))
         .where(F.col("_place") <= sample)
         .select("lang", "text")
@@ -153,12 +155,12 @@ def fit(
         })
 
     fitted = chosen.groupBy("lang").applyInPandas(fit_language, "lang string, centroid binary, floor double")
-    rows = sorted(fitted.toPandas().itertuples(index=False), key=lambda r: (r.lang, bytes(r.centroid)))
-    centroids = [np.frombuffer(r.centroid, dtype="<f4") for r in rows]
+    found = sorted(fitted.toPandas().itertuples(index=False), key=lambda r: (r.lang, bytes(r.centroid)))
+    centroids = [np.frombuffer(r.centroid, dtype="<f4") for r in found]
     return LanguageModel(
-        idf, [r.lang for r in rows],
-        np.stack(centroids) if rows else np.zeros((0, dims), dtype=np.float32),
-        np.array([r.floor for r in rows]),
+        idf, [r.lang for r in found],
+        np.stack(centroids) if found else np.zeros((0, dims), dtype=np.float32),
+        np.array([r.floor for r in found]),
     )
 
 
