@@ -88,7 +88,7 @@ WITH RECURSIVE w AS (
          'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5
-         THEN list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' '))
+         THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
          WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (

@@ -73,7 +73,8 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN
     )
     repeats = materialise(units.join(groups, "digest"), "repeated_units")
     first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    place = F.row_number().over(Window.partitionBy("digest").orderBy("text_key", "start"))
+    # rows that repeat a document share its places
+    place = F.dense_rank().over(Window.partitionBy("digest").orderBy("text_key", "start"))
     inside = repeats.where(first).withColumn("_place", place).where(F.col("_place") > 1).drop("_place")
     return repeats.where(~first).unionByName(inside).drop("digest")
 
