@@ -39,31 +39,31 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(
+    data: np.ndarray, bounds: np.ndarray, length: int, width: int, block: int = 1 << 19
+) -> tuple[np.ndarray, np.ndarray]:
     """Positions and fingerprints of the anchors of the texts `data[bounds[i]:bounds[i+1]]`.
 
     An anchor is a string of `width` bytes whose hash is the least of those in some string
-    of `length` bytes. Equal strings of `length` bytes hold anchors of equal fingerprint.
+    of `length` bytes, the first one if several are. Equal strings of `length` bytes hold
+    anchors of equal fingerprint. Memory is that of a block, however long a text is.
     """
-    hashes = gram_hashes(data, width)
     window = length - width + 1
-    if len(hashes) < window:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    place = np.arange(len(hashes), dtype=np.uint64)
-    least = sliding_least((hashes & ~_MASK) | (place & _MASK), window)
-    # of equal hashes the first counts; where the low bits start anew, that is looked up
-    for wrap in range(1 << _LOW, len(hashes), 1 << _LOW):
-        for start in range(max(0, wrap - window + 1), min(wrap, len(least))):
-            part = hashes[start : start + window] & ~_MASK
-            first = int(np.argmin(part))
-            least[start] = part[first] | np.uint64((start + first) & int(_MASK))
-    starts = np.arange(len(least), dtype=np.uint64)
-    inside = np.zeros(len(least), dtype=bool)
+    inside = np.zeros(max(0, len(data) - length + 1), dtype=bool)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         inside[a : max(a, b - length + 1)] = True
-    chosen = starts + (((least & _MASK) - starts) & _MASK)
-    chosen, least = chosen[inside], least[inside]
-    new = np.ones(len(chosen), dtype=bool)
-    new[1:] = chosen[1:] != chosen[:-1]
-    positions, first = np.unique(chosen[new].astype(np.int64), return_index=True)
-    return positions, least[new][first] >> np.uint64(_LOW)
+    found: list[np.ndarray] = [np.empty(0, dtype=np.int64)]
+    marks: list[np.ndarray] = [np.empty(0, dtype=np.uint64)]
+    for start in range(0, len(inside), block):
+        stop = min(len(inside), start + block)
+        hashes = gram_hashes(data[start : stop + length - 1], width)
+        # a block has fewer places than the low bits can tell apart
+        place = np.arange(len(hashes), dtype=np.uint64)
+        least = sliding_least((hashes & ~_MASK) | place, window)[inside[start:stop]]
+        new = np.ones(len(least), dtype=bool)
+        new[1:] = least[1:] != least[:-1]
+        least = least[new]
+        found.append((least & _MASK).astype(np.int64) + start)
+        marks.append(least >> np.uint64(_LOW))
+    positions, first = np.unique(np.concatenate(found), return_index=True)
+    return positions, np.concatenate(marks)[first]

@@ -40,7 +40,7 @@ from pairloom.session import materialise
 
 LENGTH = 200
 WIDTH = 100
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 4 << 20
 PIECE_BYTES = 2 << 20
 _POSTINGS = {"anchor": "<u8", "context": "<u8", "at": "<u4", "sides": "<u4", "place": "<u4"}
 

@@ -94,7 +94,7 @@ def test_equal_strings_hold_equal_anchors():
     texts = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(20, 90))) for _ in range(20)] + [b"xy" * 50, b"xy" * 40]
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    places, marks = anchors(data, bounds, 8, 4)
+    places, marks = anchors(data, bounds, 8, 4, block=37)
     by_string = {}
     for a, b in zip(bounds[:-1], bounds[1:]):
         for i in range(a, b - 7):
