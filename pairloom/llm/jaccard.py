@@ -4,9 +4,10 @@ Texts become sets of distinct 64-bit shingle hashes. Equal sets are one class, s
 are never paired. The exact join at similarity `percent`/100 runs in four steps, each of
 which loses no link:
 
-1. Two linked sets share a shingle among the smallest fifth (plus one) of either in any
-   common order. Taken in hash order, these shingles are dealt to buckets; classes that
-   share none with another class leave.
+1. Of the smallest shingles of two linked sets in any common order, a fifth of a set and
+   `SPARE` percent more, at least about `SPARE` percent of the set are common. Taken in hash
+   order, these shingles are dealt to buckets; classes that share fewer with any others
+   leave, among them most texts that only have some lines or a passage in common.
 2. For the others the shingles that occur in more than one class are found and counted. A
    class with too many shingles of its own cannot be linked and leaves.
 3. Taken from the rarest up, the shared shingles give prefixes that only texts which are
@@ -44,6 +45,7 @@ from pairloom.session import materialise
 
 WORDS = 5
 PERCENT = 80
+SPARE = 10
 LIMIT = 4096
 FLUSH = 4_000_000
 _ROTATE = np.uint64(0x9E3779B97F4A7C15)
@@ -81,6 +83,22 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def sure_overlap(n: int) -> int:
+    """How many common shingles the samples of two sets of `n` and more are to have."""
+    return max(1, n * SPARE // 100)
+
+
+def sample_length(n: int, percent: int) -> int:
+    """Sets of n and m shingles with the overlap o that links them have min(l) common ones
+    among their n - o + l and m - o + l smallest, and o is at least `percent` of either."""
+    return min(n, prefix_length(n, percent) - 1 + sure_overlap(n))
+
+
+def least_shared(n: int, percent: int) -> int:
+    """Common shingles of a set's sample with that of the smallest set it can be linked to."""
+    return sure_overlap(-(-n * percent // 100))
+
+
 def linked(overlap: int, n: int, m: int, percent: int) -> bool:
     return 100 * overlap >= percent * (n + m - overlap)
 
@@ -192,7 +210,7 @@ def _packed_shingles(frame: DataFrame, words: int, percent: int, buckets: int, p
                 if own in held or (checked and wanted[i] != own):
                     continue
                 sizes[own] = len(found)
-                held[own] = found[: prefix_length(len(found), percent)].copy() if prefix_only else found
+                held[own] = found[: sample_length(len(found), percent)].copy() if prefix_only else found
                 total += len(held[own])
                 if total >= FLUSH:
                     yield from flush()
@@ -223,13 +241,14 @@ def text_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _sharing(frame: pd.DataFrame) -> pd.DataFrame:
-    """Classes of a bucket that share a shingle with another class."""
-    keys, owners, ids, _ = packed.unpack(frame)
+    """Classes of a bucket with their size and number of shingles that others share."""
+    keys, owners, ids, sizes = packed.unpack(frame)
     same = keys[1:] == keys[:-1]
     shared = np.zeros(len(keys), dtype=bool)
     shared[1:] |= same
     shared[:-1] |= same
-    return pd.DataFrame({"class": ids[np.unique(owners[shared])].astype(np.int64)})
+    found, counts = np.unique(owners[shared], return_counts=True)
+    return pd.DataFrame({"class": ids[found].astype(np.int64), "n": sizes[found].astype(np.int64), "shared": counts})
 
 
 def _shared_shingles(buckets: int):
@@ -252,8 +271,8 @@ def _shared_shingles(buckets: int):
             if a < b:
                 mine, places = np.unique(owners[a:b], return_inverse=True)
                 rows["bucket"].append(int(bucket[a]))
-                rows["keys"].append(keys[a:b].tobytes() + per_key[a:b].astype("<u8").tobytes())
-                rows["places"].append(places.astype("<u4").tobytes())
+                rows["keys"].append(keys[a:b].tobytes() + per_key[a:b].astype("<u4").tobytes())
+                rows["places"].append(packed.small_places(places, len(mine)))
                 rows["owners"].append(ids[mine].tobytes())
                 rows["sizes"].append(sizes[mine].astype("<u4").tobytes())
         return pd.DataFrame(rows)
@@ -269,10 +288,10 @@ def _rare_prefixes(percent: int):
         keys, counts, owners, ids, sizes = [], [], [], [], []
         shift = 0
         for k, p, o, s in zip(frame["keys"], frame["places"], frame["owners"], frame["sizes"]):
-            both = np.frombuffer(k, dtype="<u8")
-            keys.append(both[: len(both) // 2])
-            counts.append(both[len(both) // 2 :])
-            owners.append(np.frombuffer(p, dtype="<u4").astype(np.int64) + shift)
+            n = len(k) // 12
+            keys.append(np.frombuffer(k, dtype="<u8", count=n))
+            counts.append(np.frombuffer(k, dtype="<u4", offset=8 * n))
+            owners.append(packed.read_places(p, len(o) // 8).astype(np.int64) + shift)
             ids.append(np.frombuffer(o, dtype="<u8"))
             sizes.append(np.frombuffer(s, dtype="<u4"))
             shift += len(ids[-1])
@@ -292,7 +311,7 @@ def _rare_prefixes(percent: int):
                 out["shingles"].append(keys[a:b][::-1].tobytes())
                 out["counts"].append(counts[a:b][::-1].astype("<u4").tobytes())
                 out["prefix"].append(keys[a : a + rare].view(np.int64))
-        return pd.DataFrame(out)
+        return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in out.items()})
 
     return run
 
@@ -330,9 +349,16 @@ def _solve(percent: int):
 def class_links(docs: DataFrame, classes: DataFrame, words: int, percent: int, limit: int) -> DataFrame:
     """Links between classes (a, b) that connect exactly what the exact join connects."""
     spark = docs.sparkSession
-    buckets = packed.bucket_count(spark)
-    prefixes = _packed_shingles(docs.select("text"), words, percent, buckets, True)
-    alike = materialise(packed.by_bucket(prefixes, _sharing, "class bigint").distinct(), "sharing")
+    buckets = packed.few_buckets(spark)
+    samples = _packed_shingles(docs.select("text"), words, percent, buckets, True)
+    sharing = packed.by_bucket(samples, _sharing, "class bigint, n bigint, shared bigint")
+    # `least_shared` as a column
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) * SPARE / 100))
+    alike = materialise(
+        sharing.groupBy("class", "n").agg(F.sum("shared").alias("shared"))
+        .where(F.col("shared") >= least).select("class"),
+        "sharing",
+    )
     chosen = (
         classes.join(alike, "class")
         .groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("_one"))

@@ -22,6 +22,19 @@ def bucket_count(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def few_buckets(spark: SparkSession) -> int:
+    """A third of that, for postings whose owners are listed again in every bucket."""
+    return max(16, bucket_count(spark) // 3)
+
+
+def small_places(places: np.ndarray, owners: int) -> bytes:
+    return places.astype("<u2" if owners <= 1 << 16 else "<u4").tobytes()
+
+
+def read_places(blob: bytes, owners: int) -> np.ndarray:
+    return np.frombuffer(blob, dtype="<u2" if owners <= 1 << 16 else "<u4")
+
+
 def pack(
     keys: np.ndarray, owners: np.ndarray, owner_ids: np.ndarray, owner_sizes: np.ndarray,
     buckets: int, by: np.ndarray | None = None,
@@ -46,7 +59,7 @@ def pack(
         mine, places = np.unique(owners[a:b], return_inverse=True)
         rows["bucket"].append(int(bucket[a]))
         rows["keys"].append(keys[a:b].tobytes())
-        rows["places"].append(places.astype("<u4").tobytes())
+        rows["places"].append(small_places(places, len(mine)))
         rows["owners"].append(owner_ids[mine].tobytes())
         rows["sizes"].append(owner_sizes[mine].astype("<u4").tobytes())
     if rows["bucket"]:
@@ -65,7 +78,7 @@ def unpack(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     owner_ids, first, back = np.unique(ids, return_index=True, return_inverse=True)
     keys = np.frombuffer(b"".join(frame["keys"]), dtype="<u8")
     owners = np.concatenate([
-        back[s + np.frombuffer(p, dtype="<u4")] for s, p in zip(shift, frame["places"])
+        back[s + read_places(p, n).astype(np.int64)] for s, n, p in zip(shift, counts, frame["places"])
     ]).astype(np.int64)
     order = np.lexsort((owners, keys))
     keys, owners = keys[order], owners[order]

@@ -87,6 +87,21 @@ def test_keep_one_leaves_one_of_each_group(make_docs, odd_rows):
     assert [d for d, t in kept if words_of(t)].count(4) == 1
 
 
+def test_samples_of_linked_sets_share_enough():
+    rng = random.Random(8)
+    for _ in range(3000):
+        n = rng.randint(1, 60)
+        own = set(rng.sample(range(100), n))
+        other = set(own)
+        for _ in range(rng.randint(0, n // 3 + 1)):
+            other ^= {rng.randrange(100)}
+        if not other or not jaccard.linked(len(own & other), n, len(other), 80):
+            continue
+        samples = [set(sorted(s)[: jaccard.sample_length(len(s), 80)]) for s in (own, other)]
+        shared = len(samples[0] & samples[1])
+        assert shared >= jaccard.least_shared(n, 80) and shared >= jaccard.least_shared(len(other), 80)
+
+
 def test_trie_joins_like_brute_force():
     rng = random.Random(5)
     for _ in range(300):
