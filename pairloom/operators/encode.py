@@ -1,4 +1,5 @@
-"""Text to vector. Any encoder can be plugged in; the built-in one hashes tokens."""
+"""Text to vector. Any encoder can be plugged in; the built-in one hashes tokens. A missing
+text is an empty one for all encoders."""
 
 from __future__ import annotations
 
@@ -70,7 +71,7 @@ def _encode_batches(
 
     def distinct_texts() -> Iterator[list[str]]:
         for columns in batches:
-            codes, uniques = pd.factorize(pd.concat(columns, ignore_index=True).fillna("nan"))
+            codes, uniques = pd.factorize(pd.concat(columns, ignore_index=True).fillna(""))
             pending.append(np.split(codes, len(columns)))
             yield list(uniques)
 
@@ -129,9 +130,3 @@ def encode(
     """Add a vector for every row of `df`."""
     return df.withColumn(out, encoded(text_col, encoder, dim))
 
-
-def encode_distinct(
-    df: DataFrame, text_col: str, encoder: Encoder | None = None, dim: int = DEFAULT_DIM,
-) -> DataFrame:
-    """(text, vector): every distinct text encoded once, for costly encoders."""
-    return encode(df.select(F.col(text_col).alias("text")).distinct(), "text", "vector", encoder, dim)

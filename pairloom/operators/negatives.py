@@ -56,7 +56,7 @@ def random_negatives(
     """(row_key, draw, neg_key, neg_positive, neg_negative) for `drawn_keys`.
 
     `key` must be unique. The passages are joined last and once. `exclude_same_anchor` drops
-    draws whose row has the query's anchor, which may be unlabelled positives. `df` is read
+    draws whose row has the query's anchor, as they may be unlabelled positives. `df` is read
     several times and should be a table; `drawn` may be a written `drawn_keys` table.
     """
     require_columns(df, [key, "anchor", "positive", "negative"])
@@ -134,7 +134,7 @@ def passage_pool(df: DataFrame, seed: int | str = 42, total: str | None = None)
 
 def fill_candidates(
     lists: DataFrame, pool: DataFrame, k: int, seed: int | str = 42, key: str = "row_key",
-    keys: DataFrame | None = None,
+    keys: DataFrame | None = None, barred: DataFrame | None = None,
 ) -> DataFrame:
     """Add random unused pool passages to lists shorter than k.
 
@@ -142,22 +142,35 @@ def fill_candidates(
     consecutive pool positions after a hashed start: at most as many of them as the list has
     entries are its own, so enough remain whenever the whole pool has enough. If fewer
     remain than are missing none is used, and `repeat_candidates` takes over. `keys` may name
-    the lists to draw for, which spares looking for the short ones.
+    the lists to draw for, which spares looking for the short ones; with `barred` it also has
+    their `anchor`, and passages that `barred` (anchor, passage) names for it are not used.
+    Twice as many positions are drawn then.
     """
     if keys is None:
         keys = lists.where(F.size("docs") < k)
     n_pool = pool.agg(F.coalesce(F.max("n_pool"), F.lit(0)).cast("bigint")).scalar()
     start = F.pmod(hash_bigint(seeded_hash(seed, F.lit("fill"), key)), n_pool)
-    steps = _consecutive(start, F.least(n_pool, F.lit(k).cast("bigint")))
-    drawn = (
-        keys.select(key, F.explode(steps).alias("step"))
+    most = k if barred is None else 2 * k
+    steps = _consecutive(start, F.least(n_pool, F.lit(most).cast("bigint")))
+    anchor = [] if barred is None else ["anchor"]
+    found = (
+        keys.select(key, *anchor, F.explode(steps).alias("step"))
         .withColumn("pid", F.pmod("step", n_pool))
         .join(pool.select("pid", "passage"), "pid")
-        .groupBy(key)
+    )
+    if barred is not None:
+        own = barred.select(F.col("anchor").alias("_anchor"), F.col("passage").alias("_passage"))
+        same = F.col("anchor").eqNullSafe(F.col("_anchor")) & (F.col("passage") == F.col("_passage"))
+        found = found.join(own, same, "left_anti")
+    drawn = (
+        found.groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct("step", "passage"))).alias("drawn"))
     )
     missing = F.lit(k) - F.size("docs")
-    unused = F.filter("drawn", lambda d: ~F.array_contains(F.col("docs.passage"), d["passage"]))
+    unused = F.filter(
+        "drawn",
+        lambda d: ~F.exists("docs.passage", lambda own: own.eqNullSafe(d["passage"])),
+    )
     added = F.transform(
         F.slice("unused", F.lit(1), F.greatest(missing, F.lit(0))),
         lambda d: F.struct(d["passage"].alias("passage"), F.lit("pool").alias("origin")),
@@ -195,7 +208,12 @@ def _with_fill(
         _content_ref("negative").alias("negative"),
     )
     slim_lists = query_lists(slim, m, seed, key, exclude_same_anchor, drawn=drawn)
-    filled = fill_candidates(slim_lists, refs, k, seed, key, keys=df.select(key))
+    barred = None
+    if exclude_same_anchor:
+        # the positives of every row with the query's anchor
+        barred = slim.select(F.xxhash64("anchor").alias("anchor"), F.col("positive").alias("passage")).distinct()
+    keys = slim.select(key, F.xxhash64("anchor").alias("anchor"))
+    filled = fill_candidates(slim_lists, refs, k, seed, key, keys, barred)
     chosen = filled.select(key, F.posexplode("docs").alias("slot", "doc")).where(
         F.col("doc.origin") == "pool"
     )

@@ -79,9 +79,10 @@ def attach_vectors(
     df: DataFrame, vectors: DataFrame, id_col: str, out: str, spread_by: list[str],
     min_rows: int = 1_000_000,
 ) -> DataFrame:
-    """Look up vectors by id. Ids used by a large share of the rows are salted."""
+    """Look up vectors by id; a row whose id has none keeps a null vector. Ids used by a large
+    share of the rows, and missing ones, are salted."""
     lookup = vectors.select(F.col("vec_id").alias(id_col), F.col("vector").alias(out))
-    return salted_join(df, lookup, [id_col], spread_by, min_rows=min_rows)
+    return salted_join(df, lookup, [id_col], spread_by, "left", min_rows=min_rows)
 
 
 def list_scores(df: DataFrame, normalize: bool = True) -> DataFrame:
@@ -128,7 +129,7 @@ def teacher_scores(
 ) -> DataFrame:
     """Built-in teacher: sigmoid of a linear model over the overlap features.
 
-    A fitted model (see `fit.teacher_weights`) plugs in through `weights` and `bias`.
+    A fitted model (see `fit.load_teacher`) plugs in through `weights` and `bias`.
     """
     featured = with_features(df, query, passage)
     return featured.withColumn("logit", linear_logit(weights, bias)).withColumn(

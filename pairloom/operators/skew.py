@@ -37,8 +37,12 @@ def salted_join(
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
     marked = F.broadcast(hot_keys(left, keys, min_rows).withColumn("_hot", F.lit(True)))
+    # rows without a key match nothing: they only have to be spread
+    no_key = F.lit(False)
+    for c in keys:
+        no_key = no_key | F.col(c).isNull()
     salt = F.when(
-        F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts))
+        F.col("_hot") | no_key, F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts))
     ).otherwise(F.lit(0).cast("bigint"))
     copies = F.when(
         F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))

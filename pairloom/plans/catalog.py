@@ -86,12 +86,14 @@ def prepare_versions(spark, sf_dir):
 
 @query
 def read_triplets(spark, sf_dir):
-    """Raw triplets with copies, given unique keys; a seeded sample of 500."""
-    path = shared_path(spark, "triplets")
-    views.document_pairs(spark, sf_dir).select(
-        "anchor", "positive", F.col("lang").alias("negative")
-    ).write.parquet(path)
-    found = files.read_triplets(spark, path, max_samples=500, fmt="parquet")
+    """Raw triplets with copies from CSV, given unique keys."""
+    path = shared_path(spark, "triplets.csv")
+    sinks.csv_writer(
+        views.document_pairs(spark, sf_dir).select(
+            "anchor", "positive", F.col("lang").alias("negative")
+        )
+    ).csv(path)
+    found = files.read_triplets(spark, path)
     return found.select("row_key", digest("anchor"), digest("positive"), "negative")
 
 

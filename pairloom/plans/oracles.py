@@ -24,26 +24,28 @@ def hash60(text: str) -> str:
 # Views
 
 DIALOGUE_PAIRS = """dialogue_pairs AS (
-  SELECT u.conv_id * 1000 + u.turn AS row_key, u.text AS anchor, a.text AS positive, u.conv_id
+  SELECT u.conv_id || ':' || u.turn AS row_key, u.text AS anchor, a.text AS positive, u.conv_id, u.turn
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 
 DOCUMENT_PAIRS = """document_pairs AS (
   SELECT doc_id AS row_key, split_part(text, '.', 1) AS anchor,
-         substr(text, length(split_part(text, '.', 1)) + 2) AS positive, lang
-  FROM documents WHERE length(substr(text, length(split_part(text, '.', 1)) + 2)) > 0)"""
+         coalesce(nullif(text[strpos(text || '.', '.') + 1:], ''), text) AS positive, lang
+  FROM documents)"""
 
 
-def triplets(source: str, out: str, step: int) -> str:
-    """Pairs with a neighbour's positive as negative, and their seeded rank."""
+def triplets(source: str, out: str, neighbour: str) -> str:
+    """Pairs with the positive of row y, the neighbour of row x, as negative, and their rank."""
     return f"""{out} AS (
   SELECT x.*, coalesce(y.positive, x.anchor) AS negative,
     {ranked('x.row_key')} AS idx, count(*) OVER () AS n
-  FROM {source} x LEFT JOIN {source} y ON y.row_key = x.row_key + {step})"""
+  FROM {source} x LEFT JOIN {source} y ON {neighbour})"""
 
 
-DIALOGUES = DIALOGUE_PAIRS + ",\n" + triplets("dialogue_pairs", "dialogues", 1000)
-DOCS = DOCUMENT_PAIRS + ",\n" + triplets("document_pairs", "docs", 1)
+DIALOGUES = DIALOGUE_PAIRS + ",\n" + triplets(
+    "dialogue_pairs", "dialogues", "y.conv_id = x.conv_id + 1 AND y.turn = x.turn"
+)
+DOCS = DOCUMENT_PAIRS + ",\n" + triplets("document_pairs", "docs", "y.row_key = x.row_key + 1")
 
 SUPERVISED = DIALOGUES + """,
 supervised AS (
@@ -172,7 +174,7 @@ VECTOR_LISTS = VECTORS + ",\n" + basic_lists("vectors", 3) + f""",
 vector_batches AS (SELECT vec_id AS qid, ({ranked('vec_id', '42/0')}) // 16 AS batch_id FROM embeddings),
 score_lists AS (
   SELECT b.batch_id, s.row_key AS qid, s.slot,
-    ({cosine('v.anchor[1:32]', 's.passage[1:32]')} + 1) / 2 AS teacher,
+    1 / (1 + exp(-4::DOUBLE * {cosine('v.anchor', 's.passage')})) AS teacher,
     ({cosine('v.anchor', 's.passage')} + 1) / 2 AS student
   FROM slots s JOIN vectors v ON v.row_key = s.row_key JOIN vector_batches b ON b.qid = s.row_key
   WHERE s.slot < 8)"""
@@ -354,6 +356,9 @@ REFERENCE_FLAGS = f"""flags AS (
   FROM log)"""
 
 
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
 def status(group: str, source: str, complete_tail: bool = False) -> str:
     """Status per group from lines that know how far `back` they are."""
     also = " OR bool_or(is_complete_tail AND back <= 10)" if complete_tail else ""
@@ -365,8 +370,8 @@ def status(group: str, source: str, complete_tail: bool = False) -> str:
          WHEN bool_or(is_import AND back <= 200) THEN 'import'
          WHEN bool_or(is_general AND back <= 200) AND bool_or(is_message AND back <= 50)
            THEN 'general' END AS error_type,
-    arg_max(trim(line)[1:100], line_no) FILTER (is_message AND back <= 50) AS message_text,
-    arg_max(trim(line), line_no) AS last_text
+    arg_max(trim(line, {BLANKS})[1:100], line_no) FILTER (is_message AND back <= 50) AS message_text,
+    arg_max(trim(line, {BLANKS}), line_no) AS last_text
   FROM {source} GROUP BY {group}),
 statuses AS (
   SELECT *, CASE WHEN is_complete THEN 'complete' WHEN error_type IS NOT NULL THEN 'error'
@@ -464,9 +469,8 @@ raw AS (SELECT anchor, positive, lang AS negative FROM document_pairs),
 counted AS (SELECT *, row_number() OVER (PARTITION BY anchor, positive, negative) AS occurrence
   FROM raw),
 keyed AS (SELECT *, md5(anchor || chr(1) || negative || chr(1) || positive || chr(1)
-  || occurrence) AS row_key FROM counted),
-first_rows AS (SELECT * FROM keyed ORDER BY md5('42:' || row_key) LIMIT 500)
-SELECT row_key, md5(anchor) AS anchor, md5(positive) AS positive, negative FROM first_rows"""
+  || occurrence) AS row_key FROM counted)
+SELECT row_key, md5(anchor) AS anchor, md5(positive) AS positive, negative FROM keyed"""
 ORACLES["write_splits"] = with_(VERSIONS) + """
 SELECT data_version, split, row_key, source_kind, md5(positive) AS positive,
   md5(negative) AS negative FROM versions"""
@@ -745,12 +749,17 @@ ORACLES["error_streaks"] = with_(POLLS) + """
 SELECT run_id, attempt, poll, status, error_type, streak, streak >= 3 AS halted FROM streaks"""
 ORACLES["monitor_batch"] = with_(POLLS) + "SELECT * FROM monitored"
 ORACLES["missing_runs"] = with_(POLLS) + """,
-ends AS (SELECT run_id, attempt, bool_or(status = 'complete' OR action = 'halt') AS ended,
-  max(seen_epoch) AS seen FROM monitored GROUP BY 1, 2)
-SELECT run_id, attempt, now_epoch - seen AS silent_seconds, 'missing' AS status,
-  'restart' AS action
-FROM ends, (SELECT floor(epoch(max(ts)))::BIGINT AS now_epoch FROM events)
-WHERE NOT ended AND now_epoch - seen > 10800"""
+newest AS (SELECT run_id, max(attempt) AS attempt FROM log GROUP BY run_id),
+open_runs AS (
+  SELECT run_id, attempt FROM newest n
+  WHERE NOT EXISTS (SELECT 1 FROM stops t
+    WHERE t.run_id = n.run_id AND t.attempt = n.attempt AND t.stop IS NOT NULL)),
+silence AS (
+  SELECT run_id, attempt, (SELECT floor(epoch(max(ts)))::BIGINT FROM events)
+    - floor(epoch(max(ts)))::BIGINT AS silent_seconds
+  FROM log JOIN open_runs USING (run_id, attempt) GROUP BY 1, 2)
+SELECT run_id, attempt, silent_seconds, 'missing' AS status, 'restart' AS action
+FROM silence WHERE silent_seconds > 10800"""
 ORACLES["recovery_plan"] = with_(POLLS) + """,
 base(name, setting) AS (VALUES ('data_version', 'supervised_only'), ('epochs', '3'),
   ('batch_size', '2'), ('lr', '2e-5'), ('K', '8'), ('tau', '0.2'),
@@ -766,4 +775,4 @@ ORACLES["monitor_stream"] = FINAL + """
 SELECT run_id, attempt, last_line, status, error_type, error_message, progress,
   CASE WHEN status = 'error' THEN 1 ELSE 0 END AS streak,
   CASE status WHEN 'complete' THEN 'evaluate' WHEN 'error' THEN 'recover' ELSE 'none' END AS action
-FROM statuses"""
+FROM statuses s WHERE attempt = (SELECT max(attempt) FROM log l WHERE l.run_id = s.run_id)"""

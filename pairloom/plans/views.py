@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.functions.math import sigmoid
 from pairloom.operators.negatives import candidate_lists
 from pairloom.operators.ordering import assign_batches
 from pairloom.operators.score import pair_cosine
@@ -17,7 +18,7 @@ from pairloom.sources.files import number_lines
 
 BATCH_SIZE = 16
 LIST_SIZE = 8
-TEACHER_DIMS = 32
+TEACHER_SLOPE = 4.0
 RUN_USERS = 10
 ATTEMPT_DAYS = 15
 EPOCH_DAYS = 5
@@ -29,13 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _with_neighbour(df: DataFrame, column: str, step: int, out: str) -> DataFrame:
-    """Add `column` of the row whose key is `step` higher; a row without one takes its anchor."""
-    other = df.select((F.col("row_key") - step).alias("row_key"), F.col(column).alias("_other"))
+def _with_neighbour(
+    df: DataFrame, column: str, step: int, out: str, key: str = "row_key", within: tuple[str, ...] = ()
+) -> DataFrame:
+    """Add `column` of the row whose `key` is `step` higher and that agrees in `within`; a row
+    without one takes its anchor."""
+    other = df.select((F.col(key) - step).alias(key), *within, F.col(column).alias("_other"))
     # Both sides hold the whole table: merge them, which also spreads the rows evenly.
     other = other.hint("merge")
     found = F.coalesce("_other", "anchor")
-    return df.join(other, "row_key", "left").withColumn(out, found).drop("_other")
+    return df.join(other, [key, *within], "left").withColumn(out, found).drop("_other")
 
 
 def dialogue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,28 +52,27 @@ def dialogue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("positive")
     )
     return asked.join(answered, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_key"), "anchor", "positive", "conv_id"
+        F.concat_ws(":", "conv_id", "turn").alias("row_key"), "anchor", "positive", "conv_id", "turn"
     )
 
 
 def dialogue_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dialogue pairs with the answer of the next conversation as negative."""
     pairs = dialogue_pairs(spark, sf_dir)
-    return materialise(_with_neighbour(pairs, "positive", 1000, "negative"), "dialogues")
+    near = _with_neighbour(pairs, "positive", 1, "negative", "conv_id", ("turn",))
+    return materialise(near.drop("turn"), "dialogues")
 
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sentence of a document and all the rest of its text."""
+    """The first sentence of a document and all the rest of its text, or the whole text if
+    there is no rest."""
     first = F.split_part("text", F.lit("."), F.lit(1))
-    return (
-        table(spark, sf_dir, "documents")
-        .select(
-            F.col("doc_id").alias("row_key"),
-            first.alias("anchor"),
-            F.expr("substr(text, length(split_part(text, '.', 1)) + 2)").alias("positive"),
-            "lang",
-        )
-        .where(F.length("positive") > 0)
+    rest = F.expr("substr(text, length(split_part(text, '.', 1)) + 2)")
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("row_key"),
+        first.alias("anchor"),
+        F.when(F.length(rest) > 0, rest).otherwise(F.col("text")).alias("positive"),
+        "lang",
     )
 
 
@@ -139,17 +142,13 @@ def vector_lists(spark: SparkSession, sf_dir: str, k: int = LIST_SIZE) -> DataFr
 
 
 def batched_lists(spark: SparkSession, sf_dir: str, k: int = LIST_SIZE) -> DataFrame:
-    """`vector_lists` with a batch and a teacher: the score of the first dimensions."""
+    """`vector_lists` with a batch and a teacher: a steeper score of the whole vectors."""
     batches = assign_batches(
         table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid")), BATCH_SIZE, "qid"
     ).select("qid", "batch_id")
-    head = {
-        name: F.slice(name, 1, TEACHER_DIMS) for name in ("query_vec", "passage_vec")
-    }
-    lists = vector_lists(spark, sf_dir, k)
-    lists = lists.withColumns({f"_{name}": part for name, part in head.items()})
-    scored = pair_cosine(lists, "_query_vec", "_passage_vec").withColumnRenamed("score", "teacher")
-    return scored.drop("cos_raw", "_query_vec", "_passage_vec").join(batches, "qid")
+    scored = pair_cosine(vector_lists(spark, sf_dir, k), "query_vec", "passage_vec")
+    teacher = sigmoid(F.col("cos_raw") * TEACHER_SLOPE)
+    return scored.withColumn("teacher", teacher).drop("cos_raw", "score").join(batches, "qid")
 
 
 def score_lists(spark: SparkSession, sf_dir: str, k: int = LIST_SIZE) -> DataFrame:

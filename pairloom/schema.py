@@ -10,17 +10,6 @@ from pyspark.sql import types as T
 
 TRIPLET_COLUMNS = ("anchor", "positive", "negative")
 
-TRIPLET_SCHEMA = T.StructType(
-    [
-        T.StructField("row_key", T.StringType()),
-        T.StructField("anchor", T.StringType()),
-        T.StructField("positive", T.StringType()),
-        T.StructField("negative", T.StringType()),
-        T.StructField("source_file", T.StringType()),
-        T.StructField("source_kind", T.StringType()),
-    ]
-)
-
 LOG_SCHEMA = T.StructType(
     [
         T.StructField("run_id", T.StringType()),

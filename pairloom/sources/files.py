@@ -5,18 +5,22 @@ from __future__ import annotations
 import csv
 import re
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
-from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom.operators.ordering import sample_n
-from pairloom.schema import LOG_SCHEMA, TRIPLET_COLUMNS, require_columns, with_row_key
+from pairloom.schema import (
+    LOG_SCHEMA, TRIPLET_COLUMNS, apply_null_policy, require_columns, with_row_key,
+)
+from pairloom.session import materialise
 
 # Words the CSV reader treats as missing.
 MISSING_WORDS = (
@@ -30,101 +34,178 @@ class NoInputFilesError(FileNotFoundError):
 
 
 @dataclass(frozen=True)
-class CsvFile:
+class CsvSource:
     path: str
     names: tuple[str, ...]
-    size: int
 
 
-def _csv_files(spark: SparkSession, pattern: str) -> list[CsvFile]:
-    """Data files with their column names; a match may be a file or a folder of part files.
+def _csv_sources(spark: SparkSession, pattern: str) -> list[CsvSource]:
+    """The files or folders a pattern matches, with their column names.
 
-    Only the first line of each file is read, by a few driver threads.
+    Part files of a folder share their header, so one first line is read per match.
     """
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
     glob = jvm.org.apache.hadoop.fs.Path(pattern)
     fs = glob.getFileSystem(conf)
-    files = []
-    for match in fs.globStatus(glob) or []:
-        found = fs.listStatus(match.getPath()) if match.isDirectory() else [match]
-        files += [f for f in found if not f.getPath().getName().startswith(("_", "."))]
 
-    def describe(file) -> CsvFile:
-        path = file.getPath()
+    def first_line(path) -> str:
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(path), "UTF-8"))
         try:
-            line = reader.readLine() or ""
+            return reader.readLine() or ""
         finally:
             reader.close()
-        names = next(csv.reader([line.lstrip("\ufeff")]), [])
-        return CsvFile(path.toString(), tuple(name.strip() for name in names), file.getLen())
+
+    def describe(match) -> CsvSource:
+        files = fs.listStatus(match.getPath()) if match.isDirectory() else [match]
+        names: list[str] = []
+        for file in files:
+            if not names and not file.getPath().getName().startswith(("_", ".")):
+                names = next(csv.reader([first_line(file.getPath()).lstrip("\ufeff")]), [])
+        return CsvSource(match.getPath().toString(), tuple(name.strip() for name in names))
 
     with ThreadPoolExecutor(16) as threads:
-        return [file for file in threads.map(describe, files) if file.names]
+        found = threads.map(describe, fs.globStatus(glob) or [])
+        return [source for source in found if source.names]
+
+
+_FIELD = re.compile(r'(?:^|,)(?:"((?:[^"]|"")*)"[^,]*|([^,]*))')
 
 
-def _one_slash(path: str) -> str:
-    return re.sub("^file:/+", "file:/", path)
+def split_record(record: str) -> list[str]:
+    """The values of one CSV record; quoted values keep commas, quotes and line breaks."""
+    if record.endswith("\r"):
+        record = record[:-1]
+    return [
+        quoted.replace('""', '"') if match.start(1) >= 0 else plain
+        for match in _FIELD.finditer(record)
+        for quoted, plain in (match.groups(),)
+    ]
 
 
-def _with_line_breaks(spark: SparkSession, paths: list[str]) -> set[str]:
-    """The files among `paths` whose quoted values hold line breaks.
+def _records(
+    lines: Iterator[tuple[str, int, bool, str]], emit: Callable[[str, int, int, str], None]
+) -> Iterator[tuple[str, str]]:
+    """(path, record) for the whole records of blocks of lines (path, start, inside, line).
 
-    Such a value leaves its first line with an odd number of quotes, which a splittable scan
-    of plain lines can see. The result is a list of file names.
+    `inside` says that the block begins within a quoted value. What belongs to a record that
+    other blocks begin or end goes to `emit` with its place and 0, or 1 at the block's end.
     """
+    block, held, head = None, [], False
+
+    def leave() -> None:
+        if held:
+            emit(*block, 0 if head else 1, "\n".join(held))
+
+    for path, start, inside, line in lines:
+        if (path, start) != block:
+            leave()
+            block, held, head = (path, start), [], inside
+            open_quote = inside
+        held.append(line)
+        open_quote ^= line.count('"') % 2 == 1
+        if open_quote:
+            continue
+        if head:
+            emit(*block, 0, "\n".join(held))
+        else:
+            yield path, "\n".join(held)
+        held, head = [], False
+    leave()
+
+
+def _read_csv(spark: SparkSession, paths: list[str], names: tuple[str, ...], wanted: list[str]) -> DataFrame:
+    """The wanted columns of files that share a header.
+
+    Files are read as lines in splits, whatever they hold. The quotes of each split tell
+    whether the next one begins inside a value; that is one row per split. Records within a
+    split are cut there, the pieces of those that cross splits are put together.
+    """
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value"
+    )
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
-    found = lines.where(quotes % 2 == 1).select("path").distinct().collect()
-    return {_one_slash(unquote(row["path"])) for row in found}
+    before = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    blocks = (
+        lines.groupBy("path", "start").agg(F.sum(quotes).alias("quotes"))
+        .withColumn("inside", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1)
+        .select("path", "start", "inside")
+    )
+    blocks = materialise(blocks, "csv-blocks")
+    fields = [T.StructField(n, T.StringType()) for n in wanted if n in names]
+    places = [(field.name, names.index(field.name)) for field in fields]
+    piece = [T.StructField("path", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.IntegerType()), T.StructField("piece", T.StringType())]
+    schema = T.StructType([*piece, *fields])
+
+    def values(record: str) -> dict[str, str | None]:
+        row = split_record(record)
+        return {name: row[at] if at < len(row) else None for name, at in places}
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[dict] = []
+
+        def given() -> Iterator[tuple[str, int, bool, str]]:
+            for frame in frames:
+                yield from zip(frame["path"], frame["start"], frame["inside"], frame["value"])
+
+        def emit(path: str, start: int, end: int, text: str) -> None:
+            rows.append({"path": path, "start": start, "end": end, "piece": text})
+
+        for path, record in _records(header_first(given()), emit):
+            if record.strip("\r"):
+                rows.append({"path": path, **values(record)})
+            if len(rows) >= 10_000:
+                yield pd.DataFrame(rows, columns=schema.names).astype(object)
+                rows.clear()
+        yield pd.DataFrame(rows, columns=schema.names).astype(object)
+
+    def header_first(given: Iterator[tuple[str, int, bool, str]]) -> Iterator[tuple[str, int, bool, str]]:
+        """Without the first line of each file."""
+        last = None
+        for row in given:
+            first = row[1] == 0 and (row[0], row[1]) != last
+            last = row[0], row[1]
+            if not first:
+                yield row
+
+    # one row per split of at least `spark.sql.files.maxPartitionBytes`, or per file
+    records = lines.join(F.broadcast(blocks), ["path", "start"]).mapInPandas(cut, schema)
+    whole = records.where(F.col("piece").isNull()).drop("start", "end", "piece")
+    if blocks.where("inside").isEmpty():
+        return whole
+    order = W.partitionBy("path").orderBy("start", "end")
+    pieces = records.where(F.col("piece").isNotNull()).withColumn("_n", F.sum("end").over(order))
+    crossing = pieces.groupBy("path", "_n").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "piece"))), lambda p: p["piece"]), "\n").alias("record")
+    )
 
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [{"path": path, **values(record)} for path, record in zip(frame["path"], frame["record"])]
+            yield pd.DataFrame(rows, columns=["path", *[f.name for f in fields]]).astype(object)
 
-def _read_csv(
-    spark: SparkSession, paths: list[str], names: list[str], multiline: bool
-) -> DataFrame:
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", multiline)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("enforceSchema", True)
-        .csv(paths)
+    return whole.unionByName(
+        crossing.select("path", "record").mapInPandas(parse, T.StructType([piece[0], *fields]))
     )
 
 
-def read_csv_by_header(
-    spark: SparkSession, pattern: str, wanted: list[str], multiline: bool | None = None,
-    large: int = 128 << 20,
-) -> DataFrame:
+def read_csv_by_header(spark: SparkSession, pattern: str, wanted: list[str]) -> DataFrame:
     """The wanted columns of all matching CSV files, by name, plus `source_file`.
 
-    One Spark CSV scan maps columns by position, so files are grouped by their header and
-    each group is one scan; a column a file lacks is null.
-
-    Values may hold line breaks, but Spark reads a file with such values in one task. So
-    files above `large` bytes are first searched for them and split when they hold none;
-    `multiline` skips that search and decides for all files.
+    Files are grouped by their header and each group is one scan; a column a file lacks is
+    null. Lines end with LF or CRLF; quoted values may hold line breaks, and a file is read in
+    as many tasks as it has splits whether they do or not. Blank lines are skipped.
     """
-    files = _csv_files(spark, pattern)
-    if not files:
+    sources = _csv_sources(spark, pattern)
+    if not sources:
         raise NoInputFilesError(f"no input files match {pattern}")
-    splittable: set[str] = set()
-    if multiline is None:
-        large_files = [file.path for file in files if file.size > large]
-        if large_files:
-            broken = _with_line_breaks(spark, large_files)
-            splittable = {path for path in large_files if _one_slash(path) not in broken}
-    groups: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
-    for file in files:
-        whole = file.path not in splittable if multiline is None else multiline
-        groups[file.names, whole].append(file.path)
-    anywhere = {name for names, _ in groups for name in names}
+    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for source in sources:
+        groups[source.names].append(source.path)
+    anywhere = {name for names in groups for name in names}
     scans = []
-    for (names, whole), paths in groups.items():
-        scan = _read_csv(spark, sorted(paths), list(names), whole)
+    for names, paths in groups.items():
+        scan = _read_csv(spark, sorted(paths), names, wanted)
         present = [
             F.when(~F.col(f"`{n}`").isin(*MISSING_WORDS), F.col(f"`{n}`")).alias(n)
             for n in wanted
@@ -137,37 +218,39 @@ def read_csv_by_header(
 
 def _source_file():
     """Name of the matched file; part files count as their folder. Spark gives paths as URIs."""
-    parts = F.split(F.col("_metadata.file_path"), "/")
+    parts = F.split("path", "/")
     name, folder = F.element_at(parts, -1), F.element_at(parts, -2)
     matched = F.when(name.startswith("part-") & folder.endswith(".csv"), folder).otherwise(name)
     return F.url_decode(F.replace(matched, F.lit("+"), F.lit("%2B"))).alias("source_file")
 
 
-def read_supervised(
-    spark: SparkSession, pattern: str, multiline: bool | None = None, negatives: int = 1
-) -> DataFrame:
+def read_supervised(spark: SparkSession, pattern: str, negatives: int = 1) -> DataFrame:
     """All `*_supervised.csv` files of a pattern: anchor, positive, negative_1.., source_file."""
     wanted = ["anchor", "positive", *[f"negative_{i + 1}" for i in range(negatives)]]
-    frame = read_csv_by_header(spark, pattern, wanted, multiline)
+    frame = read_csv_by_header(spark, pattern, wanted)
     return require_columns(frame, ["anchor", "positive", "negative_1"], pattern)
 
 
-def read_detailed(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
+def read_detailed(spark: SparkSession, path: str) -> DataFrame:
     """The detailed-similarity file: anchor, original_positive, best_other_positive."""
     wanted = ["anchor", "original_positive", "best_other_positive"]
-    return require_columns(read_csv_by_header(spark, path, wanted, multiline), wanted, path)
+    return require_columns(read_csv_by_header(spark, path, wanted), wanted, path)
 
 
 def read_triplets(
     spark: SparkSession, path: str, max_samples: int | None = None, seed: int = 42,
-    fmt: str = "csv",
+    fmt: str = "csv", null_policy: str = "drop",
 ) -> DataFrame:
-    """Triplets of a split with a unique `row_key`, optionally a seeded sample of exact size."""
+    """Triplets of a split with a unique `row_key`, optionally a seeded sample of exact size.
+
+    Rows with a missing text are dropped or keep the word `nan`, by `null_policy`;
+    `schema.null_report` counts them.
+    """
     if fmt == "csv":
         frame = read_csv_by_header(spark, path, list(TRIPLET_COLUMNS)).drop("source_file")
     else:
         frame = spark.read.format(fmt).load(path)
-    require_columns(frame, TRIPLET_COLUMNS, path)
+    frame = apply_null_policy(require_columns(frame, TRIPLET_COLUMNS, path), null_policy)
     if "row_key" not in frame.columns:
         frame = with_row_key(frame.select(*TRIPLET_COLUMNS)).drop("occurrence")
     if max_samples is not None:

@@ -14,12 +14,12 @@ from pairloom.sources.sinks import write_splits
 
 def prepare(
     spark: SparkSession, supervised_pattern: str, detailed_path: str, out: str, seed: int = 42,
-    null_policy: str = "drop", multiline: bool | None = None,
+    null_policy: str = "drop",
 ) -> DataFrame:
     """Read both sources, split, write both dataset versions; returns their row counts."""
     raw = union_sources(
-        read_supervised(spark, supervised_pattern, multiline),
-        read_detailed(spark, detailed_path, multiline),
+        read_supervised(spark, supervised_pattern),
+        read_detailed(spark, detailed_path),
     )
     table = materialise(with_row_key(apply_null_policy(raw, null_policy)), "triplets")
     write_splits(split_versions(table.drop("occurrence"), seed=seed), out)

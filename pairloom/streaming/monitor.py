@@ -36,6 +36,7 @@ from pairloom.streaming.rules import (
 )
 
 RUN = ["run_id", "attempt"]
+BLANKS = " \t\n\r\x0b\x0c"
 LOG_COLUMNS = [*RUN, "line_no", "ts", "line"]
 
 
@@ -80,7 +81,7 @@ def _last(name: str) -> str:
 
 def _short_texts(flagged: DataFrame) -> DataFrame:
     """Add the message a line would give and its progress text, null where it has none."""
-    text = F.trim("line")
+    text = F.btrim("line", F.lit(BLANKS))
     return flagged.withColumns(
         {
             "message_text": F.when(F.col("is_message"), F.substring(text, 1, MESSAGE_CHARS)),
@@ -244,12 +245,18 @@ def monitor_batch(
 
 
 def missing_runs(statuses: DataFrame, as_of: Column, silence_seconds: int = POLL_SECONDS) -> DataFrame:
-    """Attempts that are neither complete nor halted and have been silent too long by `as_of`."""
+    """Runs whose newest attempt is neither complete nor halted and has been silent too long by
+    `as_of`; attempts that a newer one has replaced say nothing."""
     ended = (F.col("status") == "complete") | (F.col("action") == "halt")
+    attempts = statuses.groupBy(*RUN).agg(
+        F.max(ended).alias("ended"), F.max("seen_epoch").alias("seen_epoch")
+    )
+    newest = attempts.groupBy("run_id").agg(
+        *[F.max_by(c, "attempt").alias(c) for c in ("ended", "seen_epoch")],
+        F.max("attempt").alias("attempt"),
+    )
     return (
-        statuses.groupBy(*RUN)
-        .agg(F.max(ended).alias("ended"), F.max("seen_epoch").alias("seen_epoch"))
-        .where(~F.col("ended"))
+        newest.where(~F.col("ended"))
         .withColumn("silent_seconds", F.unix_timestamp(as_of.cast("timestamp")) - F.col("seen_epoch"))
         .where(F.col("silent_seconds") > silence_seconds)
         .select(*RUN, "silent_seconds", F.lit("missing").alias("status"), F.lit("restart").alias("action"))
@@ -342,15 +349,24 @@ def _decide(state: dict, rules: RuleSet) -> tuple[str, str | None, str | None]:
 def monitor_stream(
     lines: DataFrame, rules: RuleSet = CORRECTED_RULES,
     silence_seconds: int | None = POLL_SECONDS, max_errors: int = MAX_CONSECUTIVE_ERRORS,
+    forget_seconds: int | None = None,
 ) -> DataFrame:
-    """Streaming twin of `monitor_batch`: one row per attempt and trigger with new lines.
+    """Streaming twin of `monitor_batch`: one row per run and trigger with new lines.
 
     Each Arrow batch is reduced to one row per attempt before the shuffle, and the state of
-    an attempt is one row of maxima whatever the length of its log. An attempt that stays
-    silent for `silence_seconds` gets a `missing` row. After completion or halt nothing more
-    is reported, and the state goes once the attempt falls silent. A stream that is to end (`availableNow`) needs `silence_seconds=None`, as
-    Spark goes on running triggers while it waits for timeouts.
+    a run is one row of maxima whatever the length of its log. Only the newest attempt of a
+    run speaks: a newer one replaces what is known of the run, lines of older ones are left
+    out. A trigger counts as a poll only if it brings lines beyond those seen, so lines that
+    are delivered again change nothing.
+
+    A run that stays silent for `silence_seconds` gets one `missing` row per silence. After
+    completion or halt nothing more is reported of that attempt. The state of an ended or
+    missing run goes after `forget_seconds` without lines (default: 40 silences). A stream
+    that is to end (`availableNow`) needs `silence_seconds=None`, as Spark goes on running
+    triggers while it waits for timeouts.
     """
+    if forget_seconds is None and silence_seconds is not None:
+        forget_seconds = 40 * silence_seconds
     names = [_last(rule.name) for rule in _all_rules(rules)]
     partial = _partial_schema(names)
     slim = _short_texts(log_rules(lines, rules)).select(
@@ -375,10 +391,11 @@ def monitor_stream(
 
     state_schema = T.StructType(
         [
-            *[f for f in partial.fields if f.name not in RUN],
+            *[f for f in partial.fields if f.name != "run_id"],
             T.StructField("poll", T.LongType()),
             T.StructField("streak", T.IntegerType()),
             T.StructField("ended", T.BooleanType()),
+            T.StructField("missing", T.BooleanType()),
         ]
     )
     state_names = [field.name for field in state_schema.fields]
@@ -388,30 +405,52 @@ def monitor_stream(
             return None
         return value.to_pydatetime() if isinstance(value, pd.Timestamp) else value
 
-    def wait(state: GroupState) -> None:
+    longs = {f.name for f in state_schema.fields if isinstance(f.dataType, T.LongType)}
+
+    def keep(state: GroupState, values: dict) -> None:
+        found = [plain(values[name]) for name in state_names]
+        state.update(
+            tuple(int(v) if n in longs and v is not None else v for n, v in zip(state_names, found))
+        )
+        wait(state, values["ended"] or values["missing"])
+
+    def wait(state: GroupState, quiet: bool) -> None:
+        # a timeout holds for one call only, so every call sets it anew
         if silence_seconds is not None:
-            state.setTimeoutDuration(silence_seconds * 1000)
+            state.setTimeoutDuration((forget_seconds if quiet else silence_seconds) * 1000)
 
     def track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before = dict(zip(state_names, state.get)) if state.exists else None
-        out = {"run_id": key[0], "attempt": key[1]}
+        out = {"run_id": key[0]}
         if state.hasTimedOut:
-            if before is None or before["ended"]:
+            if before is None or before["ended"] or before["missing"]:
                 state.remove()
-            else:
-                wait(state)
-                yield pd.DataFrame([
-                    {**out, "poll": before["poll"], "last_line": before["last_line"],
-                     "last_ts": before["last_ts"], "status": "missing", "error_type": None,
-                     "error_message": None, "progress": None, "streak": before["streak"],
-                     "action": "restart"}
-                ])
+                return
+            keep(state, {**before, "missing": True})
+            yield pd.DataFrame([
+                {**out, "attempt": before["attempt"], "poll": before["poll"],
+                 "last_line": before["last_line"],
+                 "last_ts": before["last_ts"], "status": "missing", "error_type": None,
+                 "error_message": None, "progress": None, "streak": before["streak"],
+                 "action": "restart"}
+            ])
+            return
+        found = pd.concat([frame for frame in frames if len(frame)], ignore_index=True)
+        attempt = int(found["attempt"].max())
+        if before is not None and attempt > before["attempt"]:
+            before = None
+        if before is not None:
+            attempt = before["attempt"]
+        found = found[found["attempt"] == attempt]
+        if before is not None and (before["ended"] or not len(found)):
+            wait(state, before["ended"] or before["missing"])
             return
-        parts = [frame for frame in frames if len(frame)]
+        parts = [found]
         if before is not None:
             parts.append(pd.DataFrame([{**out, **{c: before[c] for c in state_names if c in columns}}]))
         merged = _combine(pd.concat(parts, ignore_index=True), names).iloc[0].to_dict()
-        if before and before["ended"]:
+        if before is not None and merged["last_line"] <= before["last_line"]:
+            keep(state, {**before, **{c: merged[c] for c in columns if c in state_names}})
             return
         status, error_type, message = _decide(merged, rules)
         poll = (before["poll"] if before else 0) + 1
@@ -420,15 +459,14 @@ def monitor_stream(
         action = {
             "complete": "evaluate", "error": "halt" if halted else "recover", "running": "none",
         }[status]
-        merged.update(poll=poll, streak=streak, ended=status == "complete" or halted)
-        longs = {f.name for f in state_schema.fields if isinstance(f.dataType, T.LongType)}
-        values = [plain(merged[name]) for name in state_names]
-        state.update(
-            tuple(int(v) if n in longs and v is not None else v for n, v in zip(state_names, values))
+        merged.update(
+            poll=poll, streak=streak, ended=status == "complete" or halted, missing=False,
+            attempt=attempt,
         )
-        wait(state)
+        keep(state, merged)
         yield pd.DataFrame([
-            {**out, "poll": poll, "last_line": merged["last_line"], "last_ts": merged["last_ts"],
+            {**out, "attempt": attempt, "poll": poll, "last_line": merged["last_line"],
+             "last_ts": merged["last_ts"],
              "status": status, "error_type": error_type, "error_message": message,
              "progress": plain(merged["progress"]),
              "streak": streak, "action": action}
@@ -439,7 +477,7 @@ def monitor_stream(
         timeout = GroupStateTimeout.ProcessingTimeTimeout
     return (
         slim.mapInPandas(reduce_batches, partial)
-        .groupBy(*RUN)
+        .groupBy("run_id")
         .applyInPandasWithState(track, OUTPUT_SCHEMA, state_schema, "append", timeout)
     )
 

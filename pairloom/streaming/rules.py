@@ -117,5 +117,3 @@ CORRECTED_RULES = RuleSet(
     ),
 )
 """Case-insensitive throughout, an explicit completion marker, `cuda error` is a CUDA error."""
-
-RULE_SETS = {"reference": REFERENCE_RULES, "corrected": CORRECTED_RULES}

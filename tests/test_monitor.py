@@ -153,25 +153,76 @@ def test_stream_ignores_lines_delivered_twice(spark):
     assert a == b
 
 
-def test_silent_run_is_reported_missing(spark):
+def deliver(spark, source, out, batches):
+    """Each batch of lines as files of its own and a start of the stream of its own."""
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(source)
+        found = run_stream(spark, source, out)
+    rows = found.orderBy("trigger").collect()
+    return [(r["run_id"], r["attempt"], r["status"], r["action"], r["streak"]) for r in rows]
+
+
+def test_same_lines_in_several_triggers_count_once(spark):
+    bad = log(spark, ["RuntimeError: CUDA out of memory"])
+    rows = deliver(spark, shared_path(spark, "again"), shared_path(spark, "again-out"), [bad] * 3)
+    assert rows == [("r", 0, "error", "recover", 1)]
+
+
+def test_late_lines_do_not_reopen_a_finished_run(spark):
+    done, late = log(spark, ["ok", "saved model"]), log(spark, ["Training: 9%"], first=7)
+    rows = deliver(spark, shared_path(spark, "late"), shared_path(spark, "late-out"), [done, late, late])
+    assert rows == [("r", 0, "complete", "evaluate", 0)]
+
+
+def test_only_the_newest_attempt_speaks(spark):
+    old, new = log(spark, ["an error"]), log(spark, ["ok"], attempt=1)
+    both = old.unionByName(log(spark, ["saved model"], attempt=1, first=5))
+    rows = deliver(spark, shared_path(spark, "new"), shared_path(spark, "new-out"), [old, new, both])
+    assert rows == [
+        ("r", 0, "error", "recover", 1), ("r", 1, "running", "none", 0), ("r", 1, "complete", "evaluate", 0),
+    ]
+
+
+def test_silence_is_reported_once_and_states_are_forgotten(spark):
     source, out = shared_path(spark, "silent"), shared_path(spark, "silent-out")
-    log(spark, ["ok", "ok"]).write.parquet(source)
-    statuses = monitor.monitor_stream(stream_log(spark, source), silence_seconds=1)
+    log(spark, ["ok", "ok"]).unionByName(log(spark, ["saved model"], "done")).unionByName(
+        log(spark, ["ok"], "old").unionByName(log(spark, ["saved model"], "old", 1))
+    ).write.parquet(source)
+    statuses = monitor.monitor_stream(
+        stream_log(spark, source), silence_seconds=1, forget_seconds=4
+    )
     query = monitor.write_monitor(
         statuses, f"{out}/status", f"{out}/actions", f"{out}/state", poll_seconds=1
     )
+    left = None
     try:
-        for _ in range(40):
+        for _ in range(60):
             time.sleep(1)
-            try:
-                found = spark.read.parquet(f"{out}/actions").where("status = 'missing'").count()
-            except Exception:
-                found = 0
-            if found:
+            progress = query.lastProgress
+            operators = progress["stateOperators"] if progress else []
+            left = operators[0]["numRowsTotal"] if operators else left
+            if left == 0 and len(query.recentProgress) > 3:
                 break
     finally:
         query.stop()
-    assert found >= 1
+    rows = spark.read.parquet(f"{out}/actions").collect()
+    assert sorted((r["run_id"], r["attempt"], r["action"]) for r in rows) == [
+        ("done", 0, "evaluate"), ("old", 1, "evaluate"), ("r", 0, "restart"),
+    ]
+    assert left == 0
+
+
+def test_white_space_around_messages_is_cut(spark):
+    row = status(spark, ["\t an error \r", "\x0b\x0c Training: 3%\r\t"])
+    assert row["error_message"] == "에러 감지: an error" and row["progress"] == "Training: 3%"
+
+
+def test_replaced_attempts_are_not_missing(spark):
+    lines = log(spark, ["ok"], "quiet").unionByName(log(spark, ["saved model"], "quiet", 1, minute=3))
+    lines = lines.unionByName(log(spark, ["saved model"], "back")).unionByName(log(spark, ["ok"], "back", 1, minute=2))
+    late = F.lit("2024-01-01 01:00:00").cast("timestamp")
+    found = monitor.missing_runs(monitor.monitor_batch(lines, poll_seconds=60), late, 60).collect()
+    assert [(r["run_id"], r["attempt"]) for r in found] == [("back", 1)]
 
 
 def test_missing_runs_in_batch(spark):

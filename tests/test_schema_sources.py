@@ -1,3 +1,4 @@
+import csv
 import os
 
 import pytest
@@ -75,30 +76,53 @@ def test_supervised_files_are_read_by_name(spark, csv_dir):
     )
 
 
-def test_large_files_are_split_unless_values_span_lines(spark, tmp_path):
-    plain = "".join(f'"a, {i}",p{i},"q ""{i}"""\n' for i in range(2000))
-    (tmp_path / "plain a+b%41_supervised.csv").write_text("anchor,positive,negative_1\n" + plain)
-    (tmp_path / "broken_supervised.csv").write_text(
-        "anchor,positive,negative_1\n" + plain + '"x\ny",p,"q\n\nr"\n'
-    )
-    pattern = f"{tmp_path}/*_supervised.csv"
-    wanted = ["anchor", "positive", "negative_1"]
+@pytest.fixture
+def small_splits(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
     spark.conf.set("spark.sql.files.openCostInBytes", "1024")
-    try:
-        split = files.read_csv_by_header(spark, pattern, wanted, large=1000)
-        whole = files.read_csv_by_header(spark, pattern, wanted)
-        assert split.rdd.getNumPartitions() > 4 and whole.rdd.getNumPartitions() <= 2
-        rows = split.collect()
-        assert sorted(map(str, whole.collect())) == sorted(map(str, rows))
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert len(rows) == 4001
-    assert [r["negative_1"] for r in rows if r["anchor"] == "x\ny"] == ["q\n\nr"]
-    assert {r["source_file"] for r in rows} == {
-        "plain a+b%41_supervised.csv", "broken_supervised.csv"
-    }
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_files_are_split_also_within_values(spark, tmp_path, small_splits):
+    rows = [(f"a, {i}", f"p{i}", f'q "{i}"') for i in range(2000)]
+    broken = rows + [("x\ny", "p", "q\n\nr" * (5000 if i == 3 else 1) + str(i)) for i in range(50)] + rows
+    for name, found in (("plain a+b%41_supervised.csv", rows), ("broken_supervised.csv", broken)):
+        with open(tmp_path / name, "w", newline="") as out:
+            csv.writer(out, quoting=csv.QUOTE_ALL, lineterminator="\n").writerows(
+                [("anchor", "positive", "negative_1"), *found]
+            )
+    wanted = ["anchor", "positive", "negative_1"]
+    read = files.read_csv_by_header(spark, f"{tmp_path}/*_supervised.csv", wanted)
+    assert read.rdd.getNumPartitions() > 20
+    found = sorted((r["anchor"], r["positive"], r["negative_1"], r["source_file"]) for r in read.collect())
+    assert found == sorted(
+        [(*r, "plain a+b%41_supervised.csv") for r in rows] + [(*r, "broken_supervised.csv") for r in broken]
+    )
+
+
+@pytest.mark.parametrize("ends", ["\n\n", "\r\n\n", "\n\r\n", "\r\n\r\n"])
+@pytest.mark.parametrize("rows", [1, 3000])
+def test_line_ends_give_the_same_rows_at_every_size(spark, tmp_path, small_splits, ends, rows):
+    line = "\r\n" if ends.endswith("\r\n") else "\n"
+    header = "\r\n" if ends.startswith("\r\n") else "\n"
+    body = "".join(f'a{i},"b\rc",c{i}{line}{line}' for i in range(rows))
+    (tmp_path / "t.csv").write_bytes(f"\ufeffanchor,positive,negative{header}{body}".encode())
+    found = files.read_csv_by_header(spark, f"{tmp_path}/t.csv", ["anchor", "positive", "negative"]).collect()
+    assert sorted((r[0], r[1], r[2]) for r in found) == sorted((f"a{i}", "b\rc", f"c{i}") for i in range(rows))
+
+
+def test_split_record():
+    assert files.split_record('a,"b ""c"", d",,"e\nf"') == ["a", 'b "c", d', "", "e\nf"]
+    assert files.split_record("") == [""] and files.split_record(",") == ["", ""]
+
+
+def test_missing_texts_of_triplets_follow_the_policy(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("anchor,positive,negative\na,b,c\nd,,f\nnan,h,i\n")
+    assert [r["anchor"] for r in files.read_triplets(spark, f"{tmp_path}/t.csv").collect()] == ["a"]
+    kept = files.read_triplets(spark, f"{tmp_path}/t.csv", null_policy="literal").collect()
+    assert sorted(r["anchor"] + r["positive"] for r in kept) == ["ab", "dnan", "nanh"]
 
 
 def test_no_files_and_missing_columns(spark, csv_dir):
