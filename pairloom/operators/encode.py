@@ -3,6 +3,8 @@ text is an empty one for all encoders."""
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,47 +12,68 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.hashing import hash_bigint
-from pairloom.functions.text import tokens
+from pairloom.functions.text import WHITESPACE
 
 DEFAULT_DIM = 64
+KNOWN_TOKENS = 1 << 18
+"""Lanes a task remembers before it starts anew."""
+_BREAK = re.compile(WHITESPACE)
 
 
-def token_lanes(text: Column | str, dim: int = DEFAULT_DIM) -> Column:
-    """ARRAY<INT> of signed lanes in [0, 2*dim): the lower half counts up, the upper down."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.transform(
-        tokens(F.lower(F.coalesce(text, F.lit("")))),
-        lambda t: F.pmod(hash_bigint(F.md5(t)), F.lit(2 * dim)).cast("int"),
-    )
+Encoder = Callable[[Iterator[list[str]]], Iterator[np.ndarray]]
+"""User encoder: batches of texts in, matrices with one row per text out. It runs once per
+task, so a model loaded before its loop is loaded once per worker."""
 
 
-def _fold(lanes: pd.Series, dim: int) -> np.ndarray:
-    """Signed lane counts per row, scaled to unit length; an empty text is a zero vector."""
-    sizes = np.fromiter((len(x) for x in lanes), dtype=np.int64, count=len(lanes))
-    out = np.zeros((len(lanes), dim))
-    if sizes.sum():
-        flat = np.concatenate([x for x in lanes if len(x)]).astype(np.int64)
-        rows = np.repeat(np.arange(len(lanes)), sizes)
-        counts = np.bincount(rows * (2 * dim) + flat, minlength=len(lanes) * 2 * dim)
-        counts = counts.reshape(len(lanes), 2 * dim)
-        out = (counts[:, :dim] - counts[:, dim:]).astype(np.float64)
-    norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
+def hashed_encoder(dim: int = DEFAULT_DIM) -> Encoder:
+    """The built-in encoder: unit vectors of signed counts of hashed tokens of whole texts.
 
+    The first 60 bits of a token's md5 choose one of 2 * dim lanes; the lower half counts
+    up, the upper half down. A task hashes each distinct token once.
+    """
 
-def hashed_vector(text: Column | str, dim: int = DEFAULT_DIM) -> Column:
-    """Unit ARRAY<DOUBLE> of hashed token counts over the whole text.
+    def lane(token: str) -> int:
+        return int(hashlib.md5(token.encode("utf-8", "replace")).hexdigest()[:15], 16) % (2 * dim)
 
-    Tokens are hashed on the JVM; Python only folds integer lanes, one Arrow batch at a time.
-    """
+    def run(batches: Iterator[list[str]]) -> Iterator[np.ndarray]:
+        known: dict[str, int] = {}
+        for texts in batches:
+            if len(known) > KNOWN_TOKENS:
+                known.clear()
+            lanes: list[int] = []
+            sizes = np.zeros(len(texts), dtype=np.int64)
+            for row, text in enumerate(texts):
+                before = len(lanes)
+                for token in _BREAK.split(text.lower()):
+                    if token:
+                        found = known.get(token)
+                        if found is None:
+                            found = known[token] = lane(token)
+                        lanes.append(found)
+                sizes[row] = len(lanes) - before
+            yield _fold(np.array(lanes, dtype=np.int64), sizes, dim)
 
-    @F.pandas_udf("array<double>")
-    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for lanes in batches:
-            yield pd.Series(list(_fold(lanes, dim)))
+    return run
+
+
+def projected_encoder(encoder: Encoder, weights: np.ndarray) -> Encoder:
+    """An encoder followed by a projection, such as the weights of a fitted student."""
 
-    return _once(fold)(token_lanes(text, dim))
+    def run(batches: Iterator[list[str]]) -> Iterator[np.ndarray]:
+        for matrix in encoder(batches):
+            yield np.asarray(matrix, dtype=np.float64) @ weights.T
+
+    return run
+
+
+def _fold(lanes: np.ndarray, sizes: np.ndarray, dim: int) -> np.ndarray:
+    """Signed lane counts per row, scaled to unit length; an empty text is a zero vector."""
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    counts = np.bincount(rows * (2 * dim) + lanes, minlength=len(sizes) * 2 * dim)
+    counts = counts.reshape(len(sizes), 2 * dim)
+    out = (counts[:, :dim] - counts[:, dim:]).astype(np.float64)
+    norms = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
 
 def _once(udf):
@@ -58,11 +81,6 @@ def _once(udf):
     return udf.asNondeterministic()
 
 
-Encoder = Callable[[Iterator[list[str]]], Iterator[np.ndarray]]
-"""User encoder: batches of texts in, matrices with one row per text out. It runs once per
-task, so a model loaded before its loop is loaded once per worker."""
-
-
 def _encode_batches(
     batches: Iterator[tuple[pd.Series, ...]], encoder: Encoder
 ) -> Iterator[list[np.ndarray]]:
@@ -86,8 +104,7 @@ def encoded(text: Column | str, encoder: Encoder | None = None, dim: int = DEFAU
     This needs no shuffle, and a text repeated over a large share of the table still costs
     one call per Arrow batch.
     """
-    if encoder is None:
-        return hashed_vector(text, dim)
+    encoder = encoder or hashed_encoder(dim)
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -107,20 +124,14 @@ def text_cosines(
     query: Column, passages: list[Column], encoder: Encoder | None = None, dim: int = DEFAULT_DIM,
 ) -> Column:
     """ARRAY<DOUBLE>: cosine of the query text with each passage text of the row."""
+    encoder = encoder or hashed_encoder(dim)
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        if encoder is None:
-            matrices = ([_fold(lanes, dim) for lanes in columns] for columns in batches)
-        else:
-            matrices = _encode_batches(batches, encoder)
-        for first, *others in matrices:
+        for first, *others in _encode_batches(batches, encoder):
             yield pd.Series(list(np.column_stack([_row_cosines(first, m) for m in others])))
 
-    inputs = [query, *passages]
-    if encoder is None:
-        inputs = [token_lanes(text, dim) for text in inputs]
-    return _once(run)(*inputs)
+    return _once(run)(query, *passages)
 
 
 def encode(

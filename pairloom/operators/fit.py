@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.math import bce_with_logits
 from pairloom.operators import loss as L
 from pairloom.operators.epochs import checkpoint_flags
+from pairloom.operators.ordering import assign_batches
 from pairloom.operators.score import FEATURES, linear_logit, vector_triplet_scores
 from pairloom.schema import require_columns
 from pairloom.session import materialise
@@ -49,7 +51,7 @@ def _phase_losses(pairs: DataFrame, model: LogisticRegressionModel, label: str)
 
 def fit_teacher(
     train_pairs: DataFrame, val_pairs: DataFrame, epochs: int = 3, iterations: int = 5,
-    label: str = "label", run_id: str = "teacher",
+    label: str = "label", run_id: str = "teacher", tolerance: float = 1e-6,
 ) -> FittedTeacher:
     """Minimise binary cross-entropy and keep the model with the lowest validation loss.
 
@@ -63,11 +65,14 @@ def fit_teacher(
         for phase, pairs in (("train", train_pairs), ("val", val_pairs))
     ]
     table = materialise(phases[0].unionByName(phases[1]), "teacher", partition_by=["phase"])
+    filled = {row["phase"] for row in table.select("phase").distinct().collect()}
+    if filled != {"train", "val"}:
+        raise ValueError(f"no rows to fit on: {', '.join(sorted({'train', 'val'} - filled))}")
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     vectors = assembler.transform(table.where("phase = 'train'")).select("features", label)
     best, best_loss, rows = None, float("inf"), []
     for epoch in range(1, epochs + 1):
-        fit = LogisticRegression(maxIter=epoch * iterations, labelCol=label)
+        fit = LogisticRegression(maxIter=epoch * iterations, labelCol=label, tol=tolerance)
         model = fit.fit(vectors)
         losses = _phase_losses(table, model, label)
         rows.append((run_id, epoch, losses["train"], losses["val"]))
@@ -106,6 +111,7 @@ class StudentSettings:
     beta1: float = 0.9
     beta2: float = 0.999
     epsilon: float = 1e-8
+    normalize: bool = True
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -126,13 +132,14 @@ def batch_loss_gradient(
 ) -> tuple[float, np.ndarray]:
     """Loss of one batch and its gradient by the projection.
 
-    Shapes: weights (H', H), query (B, H), passages (B, K, H), teacher (B, K).
+    Shapes: weights (H', H), query (B, H), passages (B, K, H), teacher (B, K). The student's
+    score is (cos + 1) / 2, or without `settings.normalize` the cosine, negatives cut to 0.
     """
     s = settings
     u, u_inv = _unit(query @ weights.T)
     v, v_inv = _unit(passages @ weights.T)
     cos = np.einsum("bh,bkh->bk", u, v)
-    student = (cos + 1.0) / 2.0
+    student = (cos + 1.0) / 2.0 if s.normalize else np.maximum(cos, 0.0)
     p, q = _softmax(teacher / s.tau), _softmax(student / s.tau)
     n_queries = len(query)
     log_ratio = np.log(p + L.LOG_GUARD) - np.log(q + L.LOG_GUARD)
@@ -164,7 +171,7 @@ def batch_loss_gradient(
         push = s.w_penalty * L.PER_QUERY_SHARE / has_neg.sum() * (over > 0)
         grad += ~positive * (push / np.maximum(n_neg, 1))[:, None]
 
-    by_cos = grad / 2.0
+    by_cos = grad / 2.0 if s.normalize else grad * (cos > 0)
     by_query = np.einsum("bk,bkh->bh", by_cos, v) - (by_cos * cos).sum(axis=1)[:, None] * u
     by_passage = by_cos[..., None] * (u[:, None, :] - cos[..., None] * v)
     gradient = (by_query * u_inv).T @ query
@@ -196,7 +203,7 @@ def pack_batches(df: DataFrame, steps_per_epoch: int) -> DataFrame:
         "batch_id",
         "step",
         F.size("queries").alias("n_queries"),
-        F.size(F.element_at("queries", 1)["docs"]).alias("k"),
+        F.array_distinct(F.transform("queries", lambda x: F.size(x["docs"]))).alias("k"),
         F.flatten("queries.query_vec").cast("array<double>").alias("query"),
         F.flatten(F.flatten(F.transform("queries", lambda x: x["docs"]["passage_vec"])))
         .cast("array<double>")
@@ -205,50 +212,64 @@ def pack_batches(df: DataFrame, steps_per_epoch: int) -> DataFrame:
     )
 
 
-# Positions of the sums that travel with the gradient.
-_LOSS, _BATCHES, _SKIPPED = -1, -2, -3
+def _arrays(row, dim_in: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Query, passages and teacher of a packed batch; None if its lists differ in size or a
+    vector or score is missing or of another size."""
+    if row.query is None or row.passages is None or row.teacher is None or len(row.k) != 1:
+        return None
+    n, k = row.n_queries, int(row.k[0])
+    query, passages, teacher = (np.asarray(x, dtype=np.float64) for x in (row.query, row.passages, row.teacher))
+    sizes = query.size == n * dim_in and passages.size == n * k * dim_in and teacher.size == n * k
+    if not sizes or not all(np.isfinite(x).all() for x in (query, passages, teacher)):
+        return None
+    return query.reshape(n, dim_in), passages.reshape(n, k, dim_in), teacher.reshape(n, k)
 
 
-def step_sums(packed: DataFrame, weights: np.ndarray, settings: StudentSettings) -> DataFrame:
-    """(position, value): gradient entries, loss and batch counts summed over `packed`.
+# Places behind the gradient in a packed sum.
+_LOSS, _BATCHES, _SKIPPED = -3, -2, -1
 
-    Each task adds up its own batches and emits one matrix; Spark adds the matrices. A batch
-    that exhausts memory is counted as skipped and the rest goes on.
+
+def _added(frame: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(s, dtype="<f8") for s in frame["sums"])
+    return pd.DataFrame({"part": [0], "sums": [total.tobytes()]})
+
+
+def step_sums(packed: DataFrame, weights: np.ndarray, settings: StudentSettings, fan: int = 32) -> np.ndarray:
+    """The gradient entries of `packed`, then its loss and numbers of batches and skipped ones.
+
+    Each task adds up its own batches into one array, and the arrays are added in two
+    rounds, so one array of the model's size reaches the driver. A batch that exhausts memory
+    or is not whole is counted as skipped and the rest goes on.
     """
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gradient = np.zeros_like(weights)
-        loss = batches = skipped = 0.0
+        total = np.zeros(weights.size + 3)
         for frame in frames:
             for row in frame.itertuples(index=False):
-                shape = (row.n_queries, row.k)
+                arrays = _arrays(row, weights.shape[1])
                 try:
-                    batch_loss, batch_gradient = batch_loss_gradient(
-                        weights,
-                        np.asarray(row.query).reshape(shape[0], -1),
-                        np.asarray(row.passages).reshape(*shape, -1),
-                        np.asarray(row.teacher).reshape(shape),
-                        settings,
-                    )
+                    if arrays is None:
+                        total[_SKIPPED] += 1
+                        continue
+                    loss, gradient = batch_loss_gradient(weights, *arrays, settings)
                 except MemoryError:
-                    skipped += 1
+                    total[_SKIPPED] += 1
                     continue
-                gradient += batch_gradient
-                loss += batch_loss
-                batches += 1
-        yield pd.DataFrame(
-            {
-                "position": [*range(gradient.size), _LOSS, _BATCHES, _SKIPPED],
-                "value": [*gradient.ravel(), loss, batches, skipped],
-            }
-        )
-
-    return (
+                total[: weights.size] += gradient.ravel()
+                total[_LOSS] += loss
+                total[_BATCHES] += 1
+        part = TaskContext.get().partitionId() % fan
+        yield pd.DataFrame({"part": [part], "sums": [total.tobytes()]})
+
+    schema = "part int, sums binary"
+    rows = (
         packed.select("n_queries", "k", "query", "passages", "teacher")
-        .mapInPandas(sums, "position int, value double")
-        .groupBy("position")
-        .agg(F.sum("value").alias("value"))
+        .mapInPandas(sums, schema)
+        .groupBy("part").applyInPandas(_added, schema)
+        .withColumn("part", F.lit(0)).groupBy("part").applyInPandas(_added, schema)
+        .collect()
     )
+    return np.frombuffer(rows[0]["sums"], dtype="<f8") if rows else np.zeros(weights.size + 3)
 
 
 @dataclass
@@ -293,31 +314,40 @@ def initial_weights(dim_in: int, dim_out: int | None = None, seed: int = 42) ->
 def fit_student(
     lists: DataFrame, dim_in: int, dim_out: int | None = None, steps_per_epoch: int = 8,
     settings: StudentSettings | None = None, seed: int = 42, run_id: str = "student",
+    batch_size: int | None = None,
 ) -> FittedStudent:
     """Minimise the distillation loss of a linear projection with AdamW and clipping.
 
     A step uses the mean gradient of all batches with the same `batch_id mod
-    steps_per_epoch`; with as many steps as batches every batch is its own step. Packed
-    batches are written once, partitioned by step, and each step reads only its partition.
+    steps_per_epoch`; with as many steps as batches every batch is its own step. With
+    `batch_size` the queries are dealt to new batches every epoch, otherwise `lists` has
+    them. Packed batches are written once (per epoch, if dealt anew), partitioned by step,
+    and each step reads only its partition. The metrics have a row per step that had a whole
+    batch and a `skipped` row per batch that could not be used.
     """
     settings = settings or StudentSettings()
-    packed = materialise(
-        pack_batches(lists, steps_per_epoch), "student-batches", partition_by=["step"]
-    )
+
+    def batches(epoch: int) -> DataFrame:
+        frame = lists
+        if batch_size is not None:
+            dealt = assign_batches(lists.select("qid").distinct(), batch_size, "qid", seed, epoch)
+            frame = lists.drop("batch_id").join(dealt.select("qid", "batch_id"), "qid")
+        packed = pack_batches(frame, steps_per_epoch)
+        return materialise(packed, "student-batches", partition_by=["step"])
+
     weights, optimizer, rows = initial_weights(dim_in, dim_out, seed), _AdamW(settings), []
+    packed = None
     for epoch in range(1, settings.epochs + 1):
+        if packed is None or batch_size is not None:
+            packed = batches(epoch)
         for step in range(steps_per_epoch):
             sums = step_sums(packed.where(F.col("step") == step), weights, settings)
-            # As many rows as the model has weights, plus three.
-            found = {r["position"]: r["value"] for r in sums.collect()}
-            batches, skipped = found.get(_BATCHES, 0.0), found.get(_SKIPPED, 0.0)
-            if not batches:
-                if skipped:
-                    rows.append((run_id, "train", epoch, step, None, "skipped"))
-                continue
-            gradient = np.array([found[i] for i in range(weights.size)]).reshape(weights.shape)
-            weights = optimizer.update(weights, gradient / batches)
-            rows.append((run_id, "train", epoch, step, found[_LOSS] / batches, "ok"))
+            skipped, found = int(sums[_SKIPPED]), sums[_BATCHES]
+            rows += [(run_id, "train", epoch, step, None, "skipped")] * skipped
+            if found:
+                gradient = sums[: weights.size].reshape(weights.shape)
+                weights = optimizer.update(weights, gradient / found)
+                rows.append((run_id, "train", epoch, step, float(sums[_LOSS] / found), "ok"))
     metrics = lists.sparkSession.createDataFrame(
         rows,
         "run_id string, phase string, epoch long, batch_id long, loss double, status string",

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions import text
+from pairloom.functions.math import sigmoid
 from pairloom.operators import (
     distil, epochs, evaluate, fit, loss, negatives, ordering, pairs, prepare, score,
 )
-from pairloom.operators.encode import encode
+from pairloom.operators.encode import DEFAULT_DIM, encode, hashed_encoder, projected_encoder
 from pairloom.plans import views
 from pairloom import schema
 from pairloom.session import materialise, shared_path
@@ -354,6 +356,14 @@ def candidate_lists(spark, sf_dir):
     return negatives.candidate_lists(_keyed_documents(spark, sf_dir), 15)
 
 
+@query
+def candidate_lists_other_anchor(spark, sf_dir):
+    """Lists that neither draw nor fill with what belongs to the query's own anchor."""
+    return negatives.candidate_lists(
+        _keyed_documents(spark, sf_dir), 15, exclude_same_anchor=True
+    )
+
+
 @query
 def candidate_stats(spark, sf_dir):
     lists = negatives.query_lists(_keyed_documents(spark, sf_dir), 3)
@@ -561,6 +571,13 @@ def eval_report(spark, sf_dir):
     return _rounded_report(_text_report(spark, sf_dir))
 
 
+@query
+def eval_report_projected(spark, sf_dir):
+    """The report of a user encoder: the built-in one, its dimensions reversed by a projection."""
+    encoder = projected_encoder(hashed_encoder(), np.eye(DEFAULT_DIM)[::-1])
+    return _rounded_report(evaluate.evaluate(views.document_triplets(spark, sf_dir), encoder))
+
+
 @query
 def vector_eval_report(spark, sf_dir):
     return _rounded_report(evaluate.eval_report(_vector_scores(spark, sf_dir)))
@@ -703,44 +720,58 @@ def monitor_stream(spark, sf_dir):
 
 @query
 def fit_teacher(spark, sf_dir):
-    """Loss per epoch of a teacher fitted on the train split, validated on the val split."""
-    parts = ordering.split_hash(_pair_features(spark, sf_dir))
-    fitted = fit.fit_teacher(
-        parts.where(F.col("split") == "train"), parts.where(F.col("split") == "val")
+    """Mean of every feature times the fitted teacher's score. At the optimum it is the mean
+    of the feature times the label."""
+    featured = materialise(_pair_features(spark, sf_dir), "features")
+    fitted = fit.fit_teacher(featured, featured, epochs=1, iterations=300, tolerance=1e-12)
+    scored = featured.withColumn(
+        "teacher", sigmoid(score.linear_logit(fitted.weights, fitted.bias))
+    )
+    means = scored.agg(
+        *[F.avg(F.col(name) * F.col("teacher")).alias(name) for name in score.FEATURES],
+        F.avg("teacher").alias("bias"),
     )
-    return fitted.metrics
+    return rounded(means.unpivot([], means.columns, "feature", "mean"), "mean", digits=3)
 
 
 @query
 def fitted_teacher_scores(spark, sf_dir):
-    """Fit a teacher, save it, load it and score the dialogue candidates with it."""
+    """Fit a teacher, save it, load it: whether the dialogue candidates keep their scores."""
     featured = _pair_features(spark, sf_dir)
     path = shared_path(spark, "teacher")
-    fit.save_teacher(fit.fit_teacher(featured, featured, epochs=1), path)
+    fitted = fit.fit_teacher(featured, featured, epochs=1)
+    fit.save_teacher(fitted, path)
     weights, bias = fit.load_teacher(path)
-    scored = score.teacher_scores(_dialogue_candidates(spark, sf_dir), weights=weights, bias=bias)
-    return scored.select("row_key", "slot", "teacher")
+    candidates = _dialogue_candidates(spark, sf_dir)
+    before = score.teacher_scores(candidates, weights=fitted.weights, bias=fitted.bias)
+    scored = score.teacher_scores(
+        before.withColumnRenamed("teacher", "_before"), weights=weights, bias=bias
+    )
+    return scored.select("row_key", "slot", (F.col("teacher") == F.col("_before")).alias("kept"))
 
 
 @query
 def fit_student(spark, sf_dir):
-    """Loss per step of a student fitted on the vector lists."""
-    settings = fit.StudentSettings(epochs=2, lr=0.01)
-    return fit.fit_student(
-        views.batched_lists(spark, sf_dir), dim_in=64, steps_per_epoch=4, settings=settings
+    """The first step of a student over all vector lists: the loss of the base vectors."""
+    settings = fit.StudentSettings(epochs=1, lr=0.01)
+    metrics = fit.fit_student(
+        views.batched_lists(spark, sf_dir), dim_in=64, steps_per_epoch=1, settings=settings
     ).metrics
+    return rounded(metrics, "loss")
 
 
 @query
 def student_eval_report(spark, sf_dir):
-    """Fit a student, save it, load it and report its triplet scores."""
-    settings = fit.StudentSettings(epochs=1, lr=0.01)
+    """Fit a student that is held at its start, save it, load it and report its triplet scores,
+    which are those of the base vectors."""
+    settings = fit.StudentSettings(epochs=1, lr=0.0)
     fitted = fit.fit_student(
-        views.batched_lists(spark, sf_dir), dim_in=64, steps_per_epoch=2, settings=settings
+        views.batched_lists(spark, sf_dir), dim_in=64, steps_per_epoch=2, settings=settings,
+        batch_size=views.BATCH_SIZE,
     )
     path = shared_path(spark, "student")
     fit.save_student(spark, fitted.weights, path)
     weights = fit.load_student(spark, path)
-    return evaluate.eval_report(
-        fit.student_triplet_scores(_triplet_vectors(spark, sf_dir), weights)
+    return _rounded_report(
+        evaluate.eval_report(fit.student_triplet_scores(_triplet_vectors(spark, sf_dir), weights))
     )

@@ -142,18 +142,20 @@ def pool(table: str) -> str:
 pool AS (SELECT passage, {ranked('passage')} AS pid, count(*) OVER () AS p FROM pool_passages)"""
 
 
-def filled(slots: str, k: int, out: str = "filled") -> str:
+def filled(slots: str, k: int, out: str = "filled", draws: int | None = None, unless: str = "FALSE") -> str:
     start = hash60("'42:fill:' || row_key::VARCHAR")
     return f"""sizes AS (SELECT row_key, count(*) AS len FROM {slots} GROUP BY row_key),
 fill_draws AS (
   SELECT s.row_key, s.len, j AS step, ({start} % pp.p + j) % pp.p AS pid
-  FROM sizes s, (SELECT max(p) AS p FROM pool) pp, range({k}) t(j) WHERE j < pp.p AND s.len < {k}),
+  FROM sizes s, (SELECT max(p) AS p FROM pool) pp, range({draws or k}) t(j)
+  WHERE j < pp.p AND s.len < {k}),
 fill_unused AS (
   SELECT f.row_key, f.len, pool.passage,
          row_number() OVER (PARTITION BY f.row_key ORDER BY f.step) AS r,
          count(*) OVER (PARTITION BY f.row_key) AS found
   FROM fill_draws f JOIN pool ON pool.pid = f.pid
-  WHERE NOT EXISTS (SELECT 1 FROM {slots} o WHERE o.row_key = f.row_key AND o.passage = pool.passage)),
+  WHERE NOT EXISTS (SELECT 1 FROM {slots} o WHERE o.row_key = f.row_key AND o.passage = pool.passage)
+    AND NOT {unless}),
 {out} AS (
   SELECT row_key, slot, passage, origin FROM {slots}
   UNION ALL
@@ -573,6 +575,20 @@ ORACLES["repeat_candidates"] = with_(
 ORACLES["candidate_lists"] = with_(
     KEYED_DOCS, basic_lists("keyed", 6), pool("keyed"), filled("slots", 15), repeated("filled", 15)
 ) + "SELECT row_key, slot::INTEGER AS slot, passage, origin FROM repeated"
+ORACLES["candidate_lists_other_anchor"] = with_(
+    KEYED_DOCS, by_idx("keyed"), draws("keyed", 6),
+    """others AS (SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY draw) - 1 AS place
+  FROM drawn WHERE own_anchor IS DISTINCT FROM neg_anchor),
+slots AS (SELECT row_key, 0 AS slot, positive AS passage, 'positive' AS origin FROM keyed
+  UNION ALL SELECT row_key, 1, negative, 'negative' FROM keyed
+  UNION ALL SELECT row_key, 2 + 2 * place, neg_positive, 'drawn' FROM others
+  UNION ALL SELECT row_key, 3 + 2 * place, neg_negative, 'drawn' FROM others)""",
+    pool("keyed"),
+    filled("slots", 15, draws=30, unless="""EXISTS (SELECT 1 FROM keyed q JOIN keyed o
+      ON o.anchor IS NOT DISTINCT FROM q.anchor
+      WHERE q.row_key = f.row_key AND o.positive = pool.passage)"""),
+    repeated("filled", 15),
+) + "SELECT row_key, slot::INTEGER AS slot, passage, origin FROM repeated"
 ORACLES["candidate_stats"] = with_(KEYED_DOCS, basic_lists("keyed", 3)) + """
 SELECT count(*) AS n_queries, round(avg(c), 6) AS mean_candidates,
   (SELECT count(DISTINCT passage) FROM slots) AS n_passages
@@ -776,3 +792,22 @@ SELECT run_id, attempt, last_line, status, error_type, error_message, progress,
   CASE WHEN status = 'error' THEN 1 ELSE 0 END AS streak,
   CASE status WHEN 'complete' THEN 'evaluate' WHEN 'error' THEN 'recover' ELSE 'none' END AS action
 FROM statuses s WHERE attempt = (SELECT max(attempt) FROM log l WHERE l.run_id = s.run_id)"""
+
+ORACLES["eval_report_projected"] = ORACLES["eval_report"]
+ORACLES["student_eval_report"] = ORACLES["vector_eval_report"]
+ORACLES["fit_student"] = with_(VECTOR_LISTS, BATCH_LOSSES) + """
+SELECT 'student' AS run_id, 'train' AS phase, 1::BIGINT AS epoch, 0::BIGINT AS batch_id,
+  round(avg(kl + 0.3::DOUBLE * margin_loss + 0.4::DOUBLE * penalty), 6) AS loss, 'ok' AS status
+FROM per_batch"""
+ORACLES["fit_teacher"] = with_(
+    DOCS,
+    LABELLED.format(t="docs"),
+    features("scored", "SELECT *, query_text AS query, passage_text AS passage FROM labelled"),
+) + """
+SELECT feature, round(mean, 3) AS mean FROM (
+  SELECT 'jaccard' AS feature, avg(jaccard * label) AS mean FROM scored
+  UNION ALL SELECT 'coverage', avg(coverage * label) FROM scored
+  UNION ALL SELECT 'length_ratio', avg(length_ratio * label) FROM scored
+  UNION ALL SELECT 'bias', avg(label) FROM scored)"""
+ORACLES["fitted_teacher_scores"] = with_(DIALOGUE_LISTS) + """
+SELECT row_key, slot::INTEGER AS slot, TRUE AS kept FROM candidates"""

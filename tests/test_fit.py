@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import distil, epochs, fit, loss, score
+from pairloom.operators import distil, encode, epochs, fit, loss, score
+from pairloom.operators.ordering import assign_batches
 from pairloom.session import materialise, shared_path
 
 
@@ -137,8 +138,72 @@ def test_batch_out_of_memory_is_skipped(spark, monkeypatch):
     monkeypatch.setattr(fit, "batch_loss_gradient", fails_on_one)
     settings = fit.StudentSettings(epochs=1)
     packed = fit.pack_batches(spark.createDataFrame(rows, LISTS), 1)
-    found = {r["position"]: r["value"] for r in fit.step_sums(packed, np.eye(8), settings).collect()}
-    assert found[fit._SKIPPED] == 1 and found[fit._BATCHES] == 3
+    sums = fit.step_sums(packed, np.eye(8), settings)
+    assert sums[fit._SKIPPED] == 1 and sums[fit._BATCHES] == 3
+
+
+def test_batches_that_are_not_whole_are_skipped(spark):
+    rows = student_lists(np.random.default_rng(6), batches=4)
+    rows = [r for i, r in enumerate(rows) if i != 3]
+    rows = [(*r[:5], None) if r[0] == 2 and r[2] == 1 else r for r in rows]
+    settings = fit.StudentSettings(epochs=1)
+    fitted = fit.fit_student(spark.createDataFrame(rows, LISTS), 8, steps_per_epoch=1, settings=settings)
+    assert [r[5] for r in fitted.history] == ["skipped", "skipped", "ok"]
+
+
+@pytest.mark.parametrize("normalize", [True, False])
+def test_gradient_equals_finite_differences(normalize):
+    rng = np.random.default_rng(3)
+    settings = fit.StudentSettings(normalize=normalize)
+    weights, query = rng.standard_normal((4, 5)), rng.standard_normal((3, 5))
+    passages, teacher = rng.standard_normal((3, 6, 5)), rng.random((3, 6))
+    _, gradient = fit.batch_loss_gradient(weights, query, passages, teacher, settings)
+    for i, j in [(0, 0), (1, 3), (3, 4)]:
+        step = np.zeros_like(weights)
+        step[i, j] = 1e-6
+        up, down = (fit.batch_loss_gradient(weights + s, query, passages, teacher, settings)[0] for s in (step, -step))
+        assert gradient[i, j] == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-7)
+
+
+def test_new_batches_every_epoch_equal_sequential_training(spark):
+    rows = student_lists(np.random.default_rng(9), batches=3)
+    settings = fit.StudentSettings(epochs=2, lr=0.02, normalize=False)
+    frame = spark.createDataFrame(rows, LISTS)
+    fitted = fit.fit_student(frame, 8, steps_per_epoch=3, settings=settings, batch_size=4)
+    weights, optimizer, losses, seen = np.eye(8), fit._AdamW(settings), [], []
+    for epoch in (1, 2):
+        dealt = assign_batches(frame.select("qid").distinct(), 4, "qid", 42, epoch).collect()
+        for b in range(3):
+            ids = sorted(r["qid"] for r in dealt if r["batch_id"] == b)
+            seen.append(ids)
+            part = {(r[1], r[2]): r for r in rows}
+            query = np.array([part[i, 0][4] for i in ids])
+            passages = np.array([[part[i, s][5] for s in range(5)] for i in ids])
+            teacher = np.array([[part[i, s][3] for s in range(5)] for i in ids])
+            value, gradient = fit.batch_loss_gradient(weights, query, passages, teacher, settings)
+            losses.append(value)
+            weights = optimizer.update(weights, gradient)
+    assert seen[:3] != seen[3:]
+    assert np.allclose(fitted.weights, weights) and [r[4] for r in fitted.history] == pytest.approx(losses)
+
+
+def test_teacher_needs_rows_to_validate_on(spark, pairs):
+    with pytest.raises(ValueError, match="val"):
+        fit.fit_teacher(pairs, pairs.where("false"))
+
+
+def test_fitted_student_is_evaluated_on_text(spark):
+    rows = [(i, f"a{i} b", f"a{i} c", f"d{i} e") for i in range(20)]
+    frame = spark.createDataFrame(rows, "row_key long, anchor string, positive string, negative string")
+    weights = np.random.default_rng(1).standard_normal((16, 64))
+    student = encode.projected_encoder(encode.hashed_encoder(), weights)
+    found = score.triplet_scores(frame, student).orderBy("row_key").collect()
+    vectors = frame.select("row_key", *[
+        encode.encoded(F.concat(F.lit(f"{kind}: (ko) "), name)).alias(f"{name}_vec")
+        for kind, name in (("query", "anchor"), ("passage", "positive"), ("passage", "negative"))
+    ])
+    want = fit.student_triplet_scores(vectors, weights).orderBy("row_key").collect()
+    assert [r["margin"] for r in found] == pytest.approx([r["margin"] for r in want])
 
 
 def test_epoch_tables(spark):

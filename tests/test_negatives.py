@@ -93,3 +93,23 @@ def test_stats(spark):
     assert tuple(exact) == (10, 6.0, 20)
     rough = N.candidate_stats(lists, approximate=True).first()
     assert rough["n_queries"] == 10 and 18 <= rough["n_passages"] <= 22
+
+
+def test_fill_copes_with_missing_passages(spark):
+    rows = [(i, f"a{i}", f"p{i}", None if i % 2 else f"n{i}") for i in range(12)]
+    frame = spark.createDataFrame(rows, "row_key long, anchor string, positive string, negative string")
+    lists = N.candidate_lists(frame, 6, m=0).collect()
+    for key in range(12):
+        found = [r for r in lists if r["row_key"] == key]
+        assert sorted(r["slot"] for r in found) == list(range(6))
+        assert [r["origin"] for r in sorted(found, key=lambda r: r["slot"])][2:] == ["pool"] * 4
+
+
+def test_fill_leaves_out_positives_of_the_own_anchor(spark):
+    rows = [(i, f"a{i % 3}", f"p{i}", f"n{i}") for i in range(30)]
+    frame = spark.createDataFrame(rows, "row_key long, anchor string, positive string, negative string")
+    lists = N.candidate_lists(frame, 8, exclude_same_anchor=True).collect()
+    own = {a: {r[2] for r in rows if r[1] == a} for a in ("a0", "a1", "a2")}
+    assert len(lists) == 240
+    for r in lists:
+        assert r["slot"] == 0 or r["passage"] not in own[f"a{r['row_key'] % 3}"]
