@@ -16,6 +16,7 @@ from pairloom.functions.text import format_passage, format_query
 from pairloom.operators.encode import Encoder
 from pairloom.operators.score import triplet_scores
 from pairloom.schema import require_columns
+from pairloom.session import materialise
 
 # The goals of the training method.
 TARGET_NEGATIVE_MEAN = 0.15
@@ -146,70 +147,71 @@ def score_histogram(scores: DataFrame, bins: int = 50) -> DataFrame:
 LEVEL_BINS = 1 << 16
 
 
-def exact_quantiles(long: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+SMALL_SLIVER = 1 << 16
+
+
+def exact_quantiles(
+    long: DataFrame, probabilities: Sequence[float], bins: int = LEVEL_BINS, small: int = SMALL_SLIVER
+) -> DataFrame:
     """(series, probability, value): exact linear-interpolated quantiles of (series, x).
 
-    Spark's `percentile` holds all distinct values of a group in one task. Here two rounds of
-    65,536 equal bins narrow each wanted rank to a sliver of the range, and only the
-    distinct values inside it are ordered. A frequent value is one counted row. The number of
-    series must be small; every broadcast table has a few rows per series.
+    Spark's `percentile` holds all distinct values of a group in one task. Here the range of a
+    series is cut into equal bins, the bin that holds a wanted rank becomes the new range,
+    from its least to its largest value, and so on until it has one value or at most `small`
+    rows, which are then ordered. The scores are written once and read once per level. The
+    number of series must be small; broadcast tables have a few rows per series.
     """
-    limits = long.where(F.col("x").isNotNull()).groupBy("series").agg(
+    rows = materialise(long.where(F.col("x").isNotNull()).select("series", "x"), "quantiles")
+    limits = rows.groupBy("series").agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n")
     )
+    limits = materialise(limits, "limits")
     wanted = limits.select(
         "series",
         F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("probability"),
-        "n",
-    ).withColumn("position", F.col("probability") * (F.col("n") - 1))
+        (F.col("n") - 1).alias("last"),
+    ).withColumn("position", F.col("probability") * F.col("last"))
     ranks = wanted.select(
         "series",
         F.explode(F.array(F.floor("position"), F.ceil("position"))).alias("rank"),
     ).distinct()
-
-    scaled = (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * LEVEL_BINS
-    last = F.lit(LEVEL_BINS - 1)
-    first_level = (
-        long.where(F.col("x").isNotNull())
-        .join(F.broadcast(limits.drop("n")), "series")
-        .withColumn("scaled", F.when(F.col("hi") > F.col("lo"), scaled).otherwise(F.lit(0.0)))
-        .withColumn("b1", F.least(last, F.floor("scaled")).cast("int"))
-        .withColumn(
-            "b2",
-            F.least(last, F.floor((F.col("scaled") - F.col("b1")) * LEVEL_BINS)).cast("int"),
-        )
-        .select("series", "x", "b1", "b2")
+    hits = materialise(
+        ranks.join(limits, "series").select(
+            "series", "rank", F.col("rank").alias("left_rank"), "lo", "hi", F.col("n").alias("size")
+        ),
+        "ranks",
     )
+    sliver = ["series", "lo", "hi"]
 
-    def narrow(rows: DataFrame, hits: DataFrame, outer: list[str], inner: str) -> DataFrame:
-        """Rank within `outer` to the `inner` group that holds it and the rank inside."""
-        sizes = rows.groupBy(*outer, inner).agg(F.count(F.lit(1)).alias("size"))
-        upto = F.sum("size").over(
-            W.partitionBy(*outer).orderBy(inner).rowsBetween(W.unboundedPreceding, 0)
+    def within(slivers: DataFrame) -> DataFrame:
+        near = rows.join(F.broadcast(slivers.select(*sliver).distinct()), "series")
+        return near.where(F.col("x").between(F.col("lo"), F.col("hi")))
+
+    def reached(sizes: DataFrame, slivers: DataFrame, order: str) -> DataFrame:
+        """The groups of `sizes` that hold the wanted ranks, and the ranks inside them."""
+        upto = F.sum("found").over(
+            W.partitionBy(*sliver).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
         )
-        sizes = sizes.withColumn("before", upto - F.col("size"))
-        inside = (F.col("left_rank") >= F.col("before")) & (
-            F.col("left_rank") < F.col("before") + F.col("size")
+        placed = sizes.withColumn("before", upto - F.col("found"))
+        left = F.col("left_rank")
+        inside = (left >= F.col("before")) & (left < F.col("before") + F.col("found"))
+        return placed.join(F.broadcast(slivers), sliver).where(inside)
+
+    wide = (F.col("lo") < F.col("hi")) & (F.col("size") > small)
+    while not hits.where(wide).isEmpty():
+        scaled = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
+        sizes = (
+            within(hits.where(wide)).withColumn("bin", F.least(F.lit(bins - 1), scaled))
+            .groupBy(*sliver, "bin")
+            .agg(F.count(F.lit(1)).alias("found"), F.min("x").alias("low"), F.max("x").alias("high"))
         )
-        return (
-            sizes.join(F.broadcast(hits), outer)
-            .where(inside)
-            .withColumn("left_rank", F.col("left_rank") - F.col("before"))
-            .drop("size", "before")
+        narrowed = reached(sizes, hits.where(wide), "bin").select(
+            "series", "rank", (F.col("left_rank") - F.col("before")).alias("left_rank"),
+            F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("found").alias("size"),
         )
-
-    start = ranks.withColumn("left_rank", F.col("rank"))
-    hits1 = narrow(first_level, start, ["series"], "b1")
-    rows2 = first_level.join(
-        F.broadcast(hits1.select("series", "b1").distinct()), ["series", "b1"], "left_semi"
-    )
-    hits2 = narrow(rows2, hits1, ["series", "b1"], "b2")
-    rows3 = rows2.join(
-        F.broadcast(hits2.select("series", "b1", "b2").distinct()),
-        ["series", "b1", "b2"],
-        "left_semi",
-    )
-    values = narrow(rows3, hits2, ["series", "b1", "b2"], "x").select("series", "rank", "x")
+        hits = materialise(narrowed.unionByName(hits.where(~wide)), "ranks")
+    counted = within(hits).groupBy(*sliver, "x").agg(F.count(F.lit(1)).alias("found"))
+    values = reached(counted, hits, "x").select("series", "rank", "x")
     low = values.select("series", F.col("rank").alias("low_rank"), F.col("x").alias("low"))
     high = values.select("series", F.col("rank").alias("high_rank"), F.col("x").alias("high"))
     return (

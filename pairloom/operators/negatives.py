@@ -125,11 +125,15 @@ def query_lists(
 def passage_pool(df: DataFrame, seed: int | str = 42, total: str | None = None) -> DataFrame:
     """(pid, passage): distinct passages numbered 0..P-1 in seeded order.
 
-    `distinct` combines before the shuffle, so many copies of one passage cost little.
+    Passages are told apart and ordered by their seeded md5, which is all that is indexed.
+    Copies combine before the one shuffle of the passages themselves.
     """
     passages = df.select(F.explode(F.array("positive", "negative")).alias("passage"))
-    distinct = passages.where(F.col("passage").isNotNull()).distinct()
-    return dense_index(distinct, "passage", seed, "pid", total)
+    passages = passages.where(F.col("passage").isNotNull())
+    hashed = passages.withColumn("_digest", seeded_hash(seed, "passage"))
+    index = dense_index(hashed.select("_digest").distinct(), "_digest", None, "pid", total)
+    distinct = hashed.groupBy("_digest").agg(F.first("passage").alias("passage"))
+    return distinct.join(index, "_digest").drop("_digest")
 
 
 def fill_candidates(

@@ -20,12 +20,13 @@ from pairloom.schema import require_columns
 BUCKET_BITS = 16
 
 
-def _rank_hash(key: str, seed: int | str) -> Column:
-    """The seeded position of a row as a number: cheap to move and to sort."""
-    return hash_bigint(seeded_hash(seed, key))
+def _rank_hash(key: str, seed: int | str | None) -> Column:
+    """The seeded position of a row as a number: cheap to move and to sort. Without a seed
+    the key is a seeded hash itself."""
+    return hash_bigint(F.col(key) if seed is None else seeded_hash(seed, key))
 
 
-def _bucketed(df: DataFrame, key: str, seed: int | str) -> DataFrame:
+def _bucketed(df: DataFrame, key: str, seed: int | str | None) -> DataFrame:
     require_columns(df, [key])
     hashed = df.withColumn("_hash", _rank_hash(key, seed))
     return hashed.withColumn("_bucket", F.shiftright("_hash", HASH_BITS - BUCKET_BITS).cast("int"))
@@ -42,10 +43,11 @@ def _bucket_offsets(bucketed: DataFrame) -> DataFrame:
 
 
 def dense_index(
-    df: DataFrame, key: str = "row_key", seed: int | str = 42, out: str = "idx",
+    df: DataFrame, key: str = "row_key", seed: int | str | None = 42, out: str = "idx",
     total: str | None = None,
 ) -> DataFrame:
-    """Number the rows 0..N-1 in seeded random order; `key` must be unique.
+    """Number the rows 0..N-1 in seeded random order; `key` must be unique. With `seed=None`
+    the key already is a seeded hash (see `hashing.seeded_hash`).
 
     `total` names an optional column that receives N.
     """

@@ -43,18 +43,47 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if _LOCAL_FOLDER is None:
             _LOCAL_FOLDER = tempfile.mkdtemp(prefix="pairloom-")
         base = _LOCAL_FOLDER
-    return f"{base.rstrip('/')}/pairloom/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch(base, spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch(base: str, spark: SparkSession) -> str:
+    return f"{base.rstrip('/')}/pairloom/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by `materialise` that nothing will read again."""
+    for table in tables:
+        path = getattr(table, "_scratch_path", None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything this application has written below the shared folder.
+
+    Results that are not yet computed may still need it: call this when a job is done.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_FOLDER
+    if base:
+        _delete(spark, _scratch(base, spark))
 
 
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     A written table survives lost executors, cuts the lineage, and later reads still prune
-    columns and partitions.
+    columns and partitions. `discard` deletes it, `clear_scratch` all of them.
     """
     path = shared_path(df.sparkSession, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table

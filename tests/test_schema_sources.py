@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pairloom.schema import (
     MissingColumnsError, apply_null_policy, null_report, require_columns, with_row_key,
 )
-from pairloom.session import materialise, shared_path
+from pairloom.session import discard, materialise, shared_path
 from pairloom.sources import files, prepared, sinks
 
 TRIPLET = "anchor string, positive string, negative string"
@@ -189,3 +189,11 @@ def test_materialised_table_prunes(spark):
     plan = table.where("side = 1").select("id")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(side" in plan
     assert os.path.isdir(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_written_tables_can_be_deleted(spark):
+    table = materialise(spark.range(10), "gone")
+    path = table._scratch_path
+    assert os.path.isdir(path.removeprefix("file:"))
+    discard(table, spark.range(1))
+    assert not os.path.exists(path.removeprefix("file:"))

@@ -192,6 +192,9 @@ def test_quantiles_of_uneven_sizes(spark):
     rows = [(s, float(x)) for s, xs in values.items() for x in xs] + [("c", None)]
     table = spark.createDataFrame(rows, "series string, x double")
     probabilities = [0.0, 0.1, 0.5, 0.9, 1.0]
-    for r in evaluate.exact_quantiles(table, probabilities).collect():
+    found = evaluate.exact_quantiles(table, probabilities).collect()
+    narrow = evaluate.exact_quantiles(table, probabilities, bins=4, small=3).collect()
+    assert sorted(map(tuple, narrow)) == sorted(map(tuple, found))
+    for r in found:
         wanted = np.quantile(values[r["series"]], r["probability"])
         assert math.isclose(r["value"], wanted, abs_tol=1e-12)
