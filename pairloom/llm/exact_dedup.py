@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import one_space, text_or_empty
-from pairloom.session import materialise
+from pairloom.session import discard, materialise
 
 FIRST_WIDTH = 64
 GROWTH = 64
@@ -53,7 +53,9 @@ def exact_dedup(
     done, width, depth = [], first_width, 0
     while True:
         depth += width
-        table = materialise(_round(rows, width, depth), "radix", ["_active"])
+        found, groups = _round(rows, width, depth)
+        table = materialise(found, "radix", ["_active"])
+        discard(groups)
         done.append(table.where(~F.col("_active")))
         rows = table.where(F.col("_active")).drop("_active", "_n", "_keep")
         if rows.isEmpty():
@@ -65,7 +67,8 @@ def exact_dedup(
     return _decide(settled, docs, carry)
 
 
-def _round(rows: DataFrame, width: int, depth: int) -> DataFrame:
+def _round(rows: DataFrame, width: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """The rows after one more digit, and the written table of groups they were joined with."""
     digit = ["_group", "_length", "_digit"]
     digits = rows.withColumn("_digit", F.substring("_rest", 1, width))
     groups = (
@@ -76,7 +79,7 @@ def _round(rows: DataFrame, width: int, depth: int) -> DataFrame:
     )
     groups = materialise(groups, "radix_groups")
     active = F.col("_n").isNotNull() & (F.col("_length") > depth)
-    return (
+    found = (
         digits.join(groups.hint("shuffle_hash"), digit, "left")
         .withColumn("_active", active)
         .select(
@@ -85,6 +88,7 @@ def _round(rows: DataFrame, width: int, depth: int) -> DataFrame:
             F.when(F.col("_active"), F.substring("_rest", width + 1, 2**31 - 1)).alias("_rest"),
         )
     )
+    return found, groups
 
 
 def _decide(settled: DataFrame, docs: DataFrame, carry: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.session import materialise
+from pairloom.session import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         stars = small.select("a", F.col("_m").alias("b")).unionByName(
             small.select(F.col("_b").alias("a"), F.col("_m").alias("b"))
         )
-        edges = materialise(stars.where(F.col("a") != F.col("b")).distinct(), "edges")
+        last, edges = edges, materialise(stars.where(F.col("a") != F.col("b")).distinct(), "edges")
+        discard(last)
         now = edges.agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"),

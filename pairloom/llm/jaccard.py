@@ -41,7 +41,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pairloom.llm import packed
 from pairloom.llm.common import TextBatch, batch, mix64, text_or_empty, word_hashes
 from pairloom.llm.graph import components
-from pairloom.session import materialise
+from pairloom.session import discard, materialise
 
 WORDS = 5
 PERCENT = 80
@@ -347,7 +347,8 @@ def _solve(percent: int):
 
 
 def class_links(docs: DataFrame, classes: DataFrame, words: int, percent: int, limit: int) -> DataFrame:
-    """Links between classes (a, b) that connect exactly what the exact join connects."""
+    """A written table of links between classes (a, b) that connect exactly what the exact
+    join connects."""
     spark = docs.sparkSession
     buckets = packed.few_buckets(spark)
     samples = _packed_shingles(docs.select("text"), words, percent, buckets, True)
@@ -396,7 +397,9 @@ def class_links(docs: DataFrame, classes: DataFrame, words: int, percent: int, l
         .join(sets.drop("prefix"), "class")
         .withColumn("bucket", F.pmod(F.xxhash64("root", "cell"), F.lit(buckets * 4)).cast("int"))
     )
-    return packed.by_bucket(dealt, _solve(percent), "a bigint, b bigint")
+    links = materialise(packed.by_bucket(dealt, _solve(percent), "a bigint, b bigint"), "links")
+    discard(alike, sets, members)
+    return links
 
 
 def jaccard_groups(
@@ -417,8 +420,7 @@ def jaccard_groups(
     docs = docs.select("doc_id", "text")
     classes = materialise(text_classes(docs, words), "classes")
     filled = classes.where(F.col("class").isNotNull())
-    links = materialise(class_links(docs, filled, words, percent, limit), "links")
-    roots = components(links).withColumnsRenamed({"node": "class"})
+    roots = components(class_links(docs, filled, words, percent, limit)).withColumnsRenamed({"node": "class"})
     rooted = filled.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     least = rooted.groupBy("root").agg(F.min(place).alias("_least"))
