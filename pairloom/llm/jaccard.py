@@ -27,7 +27,6 @@ block in several tasks. Two different shingles or sets are taken as equal with p
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,90 +98,98 @@ def least_shared(n: int, percent: int) -> int:
     return sure_overlap(-(-n * percent // 100))
 
 
-def linked(overlap: int, n: int, m: int, percent: int) -> bool:
+def linked(overlap, n, m, percent: int):
+    """Whether sets of n and m with that overlap link; numbers or arrays."""
     return 100 * overlap >= percent * (n + m - overlap)
 
 
 class Trie:
     """Sets of ordered numbers as a tree with one node per shared run.
 
-    Sets are kept in lexical order, so the sets below a node are a range.
+    Sets are kept in lexical order, so the sets below a node are a range, and those that end
+    at it come first. Nodes are numbered level by level: the children of a node are a range
+    too, and a walk advances through a level at a time.
     """
 
     def __init__(self, sets: list[list[int]], sizes: list[int]):
         self.order = sorted(range(len(sets)), key=lambda i: sets[i])
         self.sets = [sets[i] for i in self.order]
-        self.sizes = [sizes[i] for i in self.order]
-        self.root = self._node(0, len(self.sets), 0)
-
-    def _node(self, low: int, high: int, depth: int) -> tuple:
-        """(run, low, high, least size, largest size, longest rest, children)."""
-        stack, done = [(low, high, depth, None)], {}
-        order = []
-        while stack:
-            low, high, depth, parent = stack.pop()
-            first, last = self.sets[low], self.sets[high - 1]
-            end, most = depth, min(len(first), len(last))
-            if high - low == 1:
-                end = len(first)
-            else:
-                while end < most and first[end] == last[end]:
-                    end += 1
-            order.append((low, high, depth, end, parent))
-            me = len(order) - 1
+        self.sizes = np.array([sizes[i] for i in self.order], dtype=np.int64)
+        lengths = np.array([len(s) for s in self.sets], dtype=np.int64)
+        spans, rows, flat = [(0, len(self.sets), 0)], [], []
+        for low, high, depth in spans:  # grows while it is read
+            first, last, end = self.sets[low], self.sets[high - 1], depth
+            most = min(len(first), len(last))
+            while end < most and first[end] == last[end]:
+                end += 1
             at = low
             while at < high and len(self.sets[at]) == end:
                 at += 1
+            child, ended = len(spans), at - low
             while at < high:
                 token, stop = self.sets[at][end], at + 1
                 while stop < high and self.sets[stop][end] == token:
                     stop += 1
-                if not (at == low and stop == high):
-                    stack.append((at, stop, end, me))
+                spans.append((at, stop, end))
                 at = stop
-        children: dict[int, list] = {}
-        for me in range(len(order) - 1, -1, -1):
-            low, high, depth, end, parent = order[me]
-            sizes = self.sizes[low:high]
-            rest = max(len(s) for s in self.sets[low:high]) - end
-            done[me] = (self.sets[low][depth:end], low, high, min(sizes), max(sizes), rest, children.get(me, []), end)
-            if parent is not None:
-                children.setdefault(parent, []).append(done[me])
-        return done[0]
+            below = slice(low, high)
+            rows.append((
+                len(flat), len(flat) + end - depth, low, high, ended, child, len(spans) - child,
+                self.sizes[below].min(), self.sizes[below].max(), lengths[below].max() - end,
+                first[end - 1] if end > depth else -1,
+            ))
+            flat.extend(first[depth:end])
+        self.flat = np.array(flat, dtype=np.int64)
+        (self.start, self.end, self.low, self.high, self.ended, self.child, self.children, self.least,
+         self.most, self.rest, self.last) = np.array(rows, dtype=np.int64).T
 
     def links(self, percent: int) -> np.ndarray:
         """The smallest place (in lexical order) that each set is connected with."""
         joined = np.arange(len(self.sets))
-        for place, own in enumerate(self.sets):
-            size, mine, members = self.sizes[place], joined[place], frozenset(own)
-            met: set[int] = set()
-            stack = [(self.root, 0)]
-            while stack:
-                (run, low, high, least, most, rest, children, end), overlap = stack.pop()
-                if 100 * most < percent * size or percent * least > 100 * size:
-                    continue
-                if (joined[low:high] == mine).all():
-                    continue
-                if run:
-                    overlap += len(members.intersection(run))
-                    left = len(own) - bisect_right(own, run[-1])
-                else:
-                    left = len(own)
-                if not linked(overlap + min(left, rest), size, least, percent):
-                    continue
-                for at in range(low, high):
-                    if len(self.sets[at]) != end:
-                        break
-                    if at != place and linked(overlap, size, self.sizes[at], percent):
-                        met.add(int(joined[at]))
-                for child in children:
-                    stack.append((child, overlap))
-            if met - {int(mine)}:
-                met.add(int(mine))
-                joined[np.isin(joined, list(met))] = min(met)
+        changes = np.arange(len(self.sets))  # how often `joined` has changed up to each place
+        known = np.zeros(int(self.flat.max()) + 1 if len(self.flat) else 1, dtype=bool)
+        shared = np.zeros(len(self.flat) + 1, dtype=np.int64)
+        for place, numbers in enumerate(self.sets):
+            size, mine = int(self.sizes[place]), joined[place]
+            if joined[0] == mine and changes[-1] == changes[0]:
+                break
+            own = np.array(numbers, dtype=np.int64)
+            known[own] = True
+            np.cumsum(known[self.flat], out=shared[1:])
+            known[own] = False
+            nodes, overlap = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+            met: list[np.ndarray] = []
+            while len(nodes):
+                overlap = overlap + shared[self.end[nodes]] - shared[self.start[nodes]]
+                left = len(own) - np.searchsorted(own, self.last[nodes], side="right")
+                reach = overlap + np.minimum(left, self.rest[nodes])
+                low, high = self.low[nodes], self.high[nodes]
+                apart = (joined[low] != mine) | (changes[high - 1] != changes[low])
+                fits = (100 * self.most[nodes] >= percent * size) & (percent * self.least[nodes] <= 100 * size)
+                open_ = apart & fits & linked(reach, size, self.least[nodes], percent)
+                nodes, overlap = nodes[open_], overlap[open_]
+                ends = np.flatnonzero(self.ended[nodes])
+                if len(ends):
+                    counts = self.ended[nodes[ends]]
+                    found = _ranges(self.low[nodes[ends]], counts)
+                    near = linked(np.repeat(overlap[ends], counts), size, self.sizes[found], percent)
+                    met.append(joined[found[near & (found != place)]])
+                counts = self.children[nodes]
+                nodes, overlap = _ranges(self.child[nodes], counts), np.repeat(overlap, counts)
+            others = np.unique(np.concatenate([*met, [mine]]))
+            if len(others) > 1:
+                joined[np.isin(joined, others)] = others[0]
+                changes[1:] = np.cumsum(joined[1:] != joined[:-1])
+                changes[0] = 0
         return joined
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers starts[i], starts[i] + 1, ... of each range, one after the other."""
+    before = np.cumsum(counts) - counts
+    return np.arange(int(counts.sum())) + np.repeat(starts - before, counts)
+
+
 def _packed_shingles(frame: DataFrame, words: int, percent: int, buckets: int, prefix_only: bool) -> DataFrame:
     """Packed (shingle, class) pairs of the texts in column `text`; with a column `class`,
     texts of another class are left out."""
