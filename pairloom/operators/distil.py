@@ -10,6 +10,7 @@ from pairloom.operators.encode import DEFAULT_DIM, Encoder, encoded
 from pairloom.operators.negatives import candidate_lists
 from pairloom.operators.ordering import assign_batches
 from pairloom.operators.score import Scorer, list_scores, teacher_scores, teacher_scores_with
+from pairloom.operators.skew import salted_join
 from pairloom.schema import require_columns
 from pairloom.session import materialise
 
@@ -22,31 +23,32 @@ def distil_table(
 ) -> DataFrame:
     """(batch_id, qid, slot, origin, teacher, query_vec, passage_vec) for text triplets.
 
-    Every triplet is formatted and encoded once and written; texts and vectors then travel
-    together through list assembly, so no candidate is encoded again. The teacher scores each
-    pair once: `scorer` is a user function, otherwise the linear teacher with `weights` and
-    `bias` is used.
+    Lists are assembled from 128-bit references. Every distinct passage is formatted and
+    encoded once and written, and joins the lists once, passages that many lists hold being
+    salted. The teacher scores each pair once: `scorer` is a user function, otherwise the
+    linear teacher with `weights` and `bias` is used.
     """
     require_columns(df, [key, "anchor", "positive", "negative"])
     batches = assign_batches(df.select(key), batch_size, key, seed, epoch).select(key, "batch_id")
-
-    def passage(name: str):
-        text = format_passage(name, lang)
-        vector = encoded(text, encoder, dim)
-        return F.struct(text.alias("text"), vector.alias("vector")).alias(name)
-
     query = format_query("anchor", lang)
-    ready = df.select(
-        key, "anchor", query.alias("query"), encoded(query, encoder, dim).alias("query_vec"),
-        passage("positive"), passage("negative"),
-    ).join(batches, key)
-    ready = materialise(ready, "distil")
-    lists = candidate_lists(
-        ready, k, carry=["batch_id", "query", "query_vec"], mining=mining, seed=seed, key=key
-    ).select(
-        "batch_id", F.col(key).alias("qid"), "slot", "origin", "query", "query_vec",
-        F.col("passage.text").alias("passage"), F.col("passage.vector").alias("passage_vec"),
+    queries = df.select(
+        F.col(key).alias("qid"), query.alias("query"), encoded(query, encoder, dim).alias("query_vec")
+    )
+    texts = df.select(F.explode(F.array("positive", "negative")).alias("text"))
+    texts = texts.where(F.col("text").isNotNull()).select(F.md5("text").alias("ref"), "text")
+    distinct = texts.groupBy("ref").agg(F.first("text").alias("text"))
+    passage = format_passage("text", lang)
+    passages = distinct.select(
+        "ref", passage.alias("passage"), encoded(passage, encoder, dim).alias("passage_vec")
+    )
+    passages = materialise(passages, "passages")
+    refs = df.select(key, "anchor", *[F.md5(name).alias(name) for name in ("positive", "negative")])
+    refs = materialise(refs.join(batches, key), "distil")
+    lists = candidate_lists(refs, k, carry=["batch_id"], mining=mining, seed=seed, key=key).select(
+        "batch_id", F.col(key).alias("qid"), "slot", "origin", F.col("passage").alias("ref")
     )
+    lists = lists.join(materialise(queries, "queries"), "qid")
+    lists = salted_join(lists, passages, ["ref"], ["qid", "slot"], "left").drop("ref")
     if scorer is not None:
         scored = teacher_scores_with(lists, scorer)
     else:

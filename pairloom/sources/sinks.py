@@ -23,13 +23,19 @@ def csv_writer(df: DataFrame, mode: str = "errorifexists") -> DataFrameWriter:
     )
 
 
-def write_splits(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_splits(
+    df: DataFrame, path: str, mode: str = "errorifexists", rebalance: bool = False
+) -> None:
     """Write all versions and splits as Parquet, in folders
     `data_version=<version>/split=<split>`.
 
-    Rows are written where they are: one pass, no shuffle.
+    Rows are written where they are: one pass, no shuffle, and up to six files per task. With
+    `rebalance` rows are first shuffled by version and split into partitions of the advisory
+    size, large ones split, for few and even files.
     """
     require_columns(df, ["data_version", "split"])
+    if rebalance:
+        df = df.hint("rebalance", "data_version", "split")
     df.write.mode(mode).partitionBy("data_version", "split").parquet(path)
 
 

@@ -197,3 +197,14 @@ def test_written_tables_can_be_deleted(spark):
     assert os.path.isdir(path.removeprefix("file:"))
     discard(table, spark.range(1))
     assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_rebalanced_splits_hold_the_same_rows_in_fewer_files(spark):
+    frame = spark.range(400, numPartitions=20).selectExpr(
+        "id as row_key", "concat('v', id % 2) as data_version", "if(id % 10 = 0, 'test', 'train') as split"
+    )
+    plain, even = shared_path(spark, "plain"), shared_path(spark, "even")
+    sinks.write_splits(frame, plain)
+    sinks.write_splits(frame, even, rebalance=True)
+    assert sorted(spark.read.parquet(even).collect()) == sorted(spark.read.parquet(plain).collect())
+    assert len(spark.read.parquet(even).inputFiles()) < len(spark.read.parquet(plain).inputFiles())
