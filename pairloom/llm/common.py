@@ -101,7 +101,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
-def word_hashes(texts: TextBatch, block: int = 1 << 22) -> np.ndarray:
+def word_hashes(texts: TextBatch, block: int = 1 << 20) -> np.ndarray:
     """64-bit hashes of all words: polynomial sums over random values of the bytes.
 
     Equal words hash alike in every batch; two words meet with probability about 2^-60.
@@ -124,8 +124,14 @@ def word_hashes(texts: TextBatch, block: int = 1 << 22) -> np.ndarray:
         return mix64(out)
 
 
-def arrow_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most `rows`."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+def text_slices(texts: list[str | None], size: int = 4 << 20) -> Iterator[list[str | None]]:
+    """The texts in runs of about `size` characters, to bound what is computed at once."""
+    held, total = [], 0
+    for text in texts:
+        held.append(text)
+        total += len(text or "") + 1
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairloom.llm import packed
-from pairloom.llm.common import TextBatch, batch, mix64, text_or_empty, word_hashes
+from pairloom.llm.common import TextBatch, batch, mix64, text_or_empty, text_slices, word_hashes
 from pairloom.llm.graph import components
 from pairloom.session import discard, materialise
 
@@ -46,32 +46,34 @@ WORDS = 5
 PERCENT = 80
 SPARE = 10
 LIMIT = 4096
-FLUSH = 4_000_000
+FLUSH = 1_500_000
 _ROTATE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a short text is one shingle."""
-    found = TextBatch(texts)
-    hashes = word_hashes(found)
-    out = []
+    for part in text_slices(texts):
+        yield from _shingle_sets(TextBatch(part), words)
+
+
+def _shingle_sets(texts: TextBatch, words: int) -> Iterator[np.ndarray]:
+    hashes = word_hashes(texts)
     with np.errstate(over="ignore"):
         n = max(0, len(hashes) - words + 1)
         rolled = np.zeros(n, dtype=np.uint64)
         for i in range(words):
             rolled = rolled * _ROTATE + hashes[i : i + n]
         rolled = mix64(rolled)
-        for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist()):
+        for a, b in zip(texts.first[:-1].tolist(), texts.first[1:].tolist()):
             if b - a >= words:
-                out.append(np.unique(rolled[a : b - words + 1]))
+                yield np.unique(rolled[a : b - words + 1])
             elif b > a:
                 one = np.uint64(b - a)
                 for h in hashes[a:b]:
                     one = one * _ROTATE + h
-                out.append(mix64(np.array([one], dtype=np.uint64)))
+                yield mix64(np.array([one], dtype=np.uint64))
             else:
-                out.append(hashes[:0])
-    return out
+                yield hashes[:0]
 
 
 def set_class(shingles: np.ndarray) -> int:
@@ -238,10 +240,12 @@ def text_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = shingle_sets(b.column(2).to_pylist(), words)
+            sizes, classes = [], []
+            for found in shingle_sets(b.column(2).to_pylist(), words):
+                sizes.append(len(found))
+                classes.append(set_class(found) if len(found) else None)
             yield batch({
-                "doc_id": b.column(0), "text_key": b.column(1), "n_shingles": [len(f) for f in found],
-                "class": [set_class(f) if len(f) else None for f in found],
+                "doc_id": b.column(0), "text_key": b.column(1), "n_shingles": sizes, "class": classes,
             }, arrow)
 
     return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), "text").mapInArrow(run, schema)

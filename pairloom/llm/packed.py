@@ -23,8 +23,8 @@ def bucket_count(spark: SparkSession) -> int:
 
 
 def few_buckets(spark: SparkSession) -> int:
-    """A third of that, for postings whose owners are listed again in every bucket."""
-    return max(16, bucket_count(spark) // 3)
+    """Half of that, for postings whose owners are listed again in every bucket."""
+    return max(16, bucket_count(spark) // 2)
 
 
 def small_places(places: np.ndarray, owners: int) -> bytes:
