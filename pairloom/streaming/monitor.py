@@ -26,7 +26,6 @@ from pairloom.streaming.rules import (
     ERROR_MESSAGES,
     MAX_CONSECUTIVE_ERRORS,
     MESSAGE_CHARS,
-    MESSAGE_LINES,
     MESSAGE_RULE,
     POLL_SECONDS,
     PROGRESS_CHARS,
