@@ -7,8 +7,9 @@ of the centroid with the largest cosine; a text that is too far from all of its
 centroids is rejected.
 
 Scale: document frequencies come from all training documents, added up per task and then
-by place. The centroids are fitted on at most `sample` documents per language, a documented
-bound, one task per language. What is broadcast has one vector of `DIMS` places per
+by place. The centroids are fitted on at most `sample` distinct texts per language, a documented
+bound, one task per language; a text counts once there however many copies it has, and what is
+shuffled to count them is a hash per row, combined per task. What is broadcast has one vector of `DIMS` places per
 centroid. Prediction is a map.
 """
 
@@ -117,7 +118,7 @@ def fit(
 ) -> LanguageModel:
     """Fit on the rows of `labelled` (text, lang) with a text and a language.
 
-    `sample` bounds the documents per language that centroids are fitted on; document
+    `sample` bounds the distinct texts per language that centroids are fitted on; document
     frequencies cover all rows. A language rejects texts whose cosine is below
     `reject_share` times the smallest cosine within its sample.
     """
@@ -125,16 +126,19 @@ def fit(
     labelled = labelled.select("text", "lang")
     n, frequencies = document_frequencies(labelled, dims)
     idf = (np.log((1 + n) / (1 + frequencies)) + 1).astype(np.float32)
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
+    # copies of a text share its hash, so they are counted and drawn as one text
+    unit = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "text")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    hashed = labelled.withColumn("_unit", unit)
+    distinct = hashed.select("lang", "_unit").groupBy("lang", "_unit").agg(F.lit(1).alias("_one"))
+    counts = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
     if not counts:
         return LanguageModel(idf, [], np.zeros((0, dims), dtype=np.float32), np.zeros(0))
-    rows = F.element_at(F.create_map(*[F.lit(x) for row in counts for x in (row["lang"], row["n"])]), F.col("lang"))
-    unit = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "text")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    texts = F.element_at(F.create_map(*[F.lit(x) for row in counts for x in (row["lang"], row["n"])]), F.col("lang"))
     order = Window.partitionBy("lang").orderBy("_unit")
     # about 1.5 times the bound pass the filter on the hash, the window keeps the bound
     chosen = (
-        labelled.withColumn("_unit", unit)
-        .where(F.col("_unit") * rows <= 1.5 * sample + 10)
+        hashed.where(F.col("_unit") * texts <= 1.5 * sample + 10)
+        .groupBy("lang", "_unit").agg(F.min("text").alias("text"))
         .withColumn("_place", F.row_number().over(order))
         .where(F.col("_place") <= sample)
         .select("lang", "text")

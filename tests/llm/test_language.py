@@ -60,3 +60,17 @@ def test_clusters_are_unit_vectors_near_their_members():
     found = language.cluster(vectors.astype(np.float32), 3)
     assert np.allclose(np.linalg.norm(found, axis=1), 1, atol=1e-5)
     assert ((vectors @ found.T).max(axis=1) > 0.95).all()
+
+
+def test_copies_neither_crowd_out_nor_empty_a_sample(make_docs):
+    words = {"aa": ["alpha", "bravo", "carol"], "bb": ["wyvern", "xylem", "zephyr"]}
+    # few texts with many copies, and one text with many copies among others
+    rows = [(i, f"{words['aa'][i % 3]} hot", "aa") for i in range(3000)]
+    rows += [(i, "wyvern xylem zephyr", "bb") for i in range(3000)] + [(i, f"xylem {i} zephyr", "bb") for i in range(40)]
+    docs = make_docs(rows)
+    for seed in ("language", "b", "c", "d"):
+        model = language.fit(docs, sample=10, seed=seed)
+        assert set(model.languages) == {"aa", "bb"}
+        assert model.languages.count("aa") == 3
+    rows = language.predict(make_docs([(1, "alpha hot"), (2, "xylem 7 zephyr")]), model).collect()
+    assert [r.lang_pred for r in sorted(rows, key=lambda r: r.row.doc_id)] == ["aa", "bb"]
