@@ -65,7 +65,7 @@ def op5_suffix_dedup(spark, sf_dir):
 
 @query
 def op6_line_dedup(spark, sf_dir):
-    done = line_dedup.line_dedup(documents(spark, sf_dir))
+    done = line_dedup.line_dedup(documents(spark, sf_dir), lines=True)
     lengths = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return done.select(
         "doc_id", "n_chars",

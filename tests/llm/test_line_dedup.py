@@ -3,6 +3,7 @@ from collections import defaultdict
 import pytest
 
 from pairloom.llm import line_dedup as ld
+from pairloom.llm.catalog import QUERIES
 
 
 def brute(docs, unit, min_words):
@@ -74,3 +75,41 @@ def test_units_cover_the_text():
     for unit in ld.BREAKS:
         spans = [(a, b) for a, b, _ in ld.units_of(text, unit, 0)]
         assert "".join(text[a:b] for a, b in spans) == text
+
+
+def test_query_removes_repeated_short_lines(spark, make_docs, tmp_path):
+    menu, verse = "Home\nAbout us\n", "nt onor. the of it.\n"
+    sentence = "This sentence stands in several lines."
+    texts = [
+        f"{menu}First text. {sentence} More here.\n{verse}", f"{menu}{verse}Other line. {sentence}\n",
+        f"{menu}\n\n{verse}Yes. No. Last.", "Yes. No.", "",
+    ]
+    make_docs(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in QUERIES["op6_line_dedup"](spark, str(tmp_path)).collect()}
+    removed = {}
+    for i, text in enumerate(texts):
+        spans = [tuple(map(int, s.split(":"))) for s in rows[i].spans.split(",") if s]
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and all(s[2] == 0 for s in spans)
+        assert rows[i].n_removed == sum(b - a for a, b, _ in spans) and rows[i].n_spans == len(spans)
+        removed[i] = [text[a:b] for a, b, _ in spans]
+    lines = ["Home\n", "About us\n", verse]
+    assert removed == {0: [], 1: [*lines, f"{sentence}\n"], 2: lines, 3: [], 4: []}
+
+
+def test_lines_and_sentences_against_brute_force(table):
+    docs = [(r.doc_id, r.text or "") for r in table.collect()]
+    assert len({d for d, _ in docs}) == len(docs)
+    groups = defaultdict(set)
+    for doc_id, text in docs:
+        for unit, least in (("sentence", 5), ("line", 1)):
+            for start, end, _ in ld.units_of(text, unit, least):
+                groups[" ".join(text[start:end].lower().split())].add((doc_id, start))
+    first = {key: min(places) for key, places in groups.items()}
+    got = {r.doc_id: r for r in ld.line_dedup(table, lines=True).collect()}
+    for doc_id, text in docs:
+        gone = set()
+        for unit, least in (("sentence", 5), ("line", 1)):
+            for start, end, _ in ld.units_of(text, unit, least):
+                if first[" ".join(text[start:end].lower().split())] != (doc_id, start):
+                    gone.update(range(start, end))
+        assert got[doc_id].kept_text == "".join(c for i, c in enumerate(text) if i not in gone)
