@@ -9,15 +9,19 @@ the strings that hold it.
    anchors with several contexts: of each such context one occurrence is asked for.
 2. These contexts are cut from the texts and dealt to shards by anchor. A shard's suffix
    array is built by induced sorting; from the common prefixes of neighbours in it come the
-   strings that occur at two places at least.
+   strings that occur at two places at least. The contexts of an anchor that has more of them
+   than fit a piece are not gathered: their strings of `length` bytes, all of which hold the
+   anchor, are dealt to shards by digest and equal digests are counted there.
 3. Per document the repeated places are united and removed.
 
 Scale: fingerprints travel in packed rows; copies of a text are one text throughout, however
 many there are. Texts move once; of those without a repeated anchor nothing is kept, the
 others are written once and meet their spans. Buckets and shards follow
-`spark.sql.shuffle.partitions`, and a task builds its arrays for pieces of bounded size.
-Fingerprints have 44 and 64 bits: unequal anchors that meet cost time only, unequal contexts
-or texts would have to meet with probability 2^-64 a pair to change a result.
+`spark.sql.shuffle.partitions`. A task builds its arrays for pieces of `PIECE_BYTES` at most,
+and its shard holds no anchor beyond that; the strings of crowded anchors spread evenly.
+Fingerprints have 44 and 64 bits: unequal anchors that meet cost time only, unequal contexts,
+strings of crowded anchors or texts would have to meet with probability 2^-64 a pair to
+change a result.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm import packed
-from pairloom.llm.anchors import anchors
+from pairloom.llm.anchors import anchors, gram_hashes
 from pairloom.llm.common import _BASE, _BASE_INVERSE, _BYTE_VALUES, mix64, powers, text_or_empty
 from pairloom.llm.suffixes import common_prefixes, suffix_array
 from pairloom.session import materialise
@@ -41,6 +45,7 @@ from pairloom.session import materialise
 LENGTH = 200
 WIDTH = 100
 FLUSH_BYTES = 4 << 20
+FLUSH_STRINGS = 1 << 18
 PIECE_BYTES = 2 << 20
 _POSTINGS = {"anchor": "<u8", "context": "<u8", "at": "<u4", "sides": "<u4", "place": "<u4"}
 
@@ -141,8 +146,9 @@ def _read_postings(frame: pd.DataFrame) -> dict[str, np.ndarray]:
     return found
 
 
-def _choose(buckets: int):
-    """Of a bucket's anchors: repeated contexts and contexts to ask for, packed by text."""
+def _choose(buckets: int, most: int):
+    """Of a bucket's anchors: repeated contexts (1) and contexts to ask for (2), packed by text.
+    Anchors with more than `most` contexts to ask for are crowded (4)."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         p = _read_postings(frame)
@@ -172,7 +178,8 @@ def _choose(buckets: int):
             asked[first[count[back] > 1]] = True
         out: dict[str, list] = {c: [] for c in ("bucket", "owner", "at", "anchor", "kind")}
         wanted = np.flatnonzero(repeated | asked)
-        kind = repeated.astype(np.uint8) + 2 * asked
+        crowded = asked & (np.bincount(group[asked], minlength=n) > most)[group]
+        kind = repeated.astype(np.uint8) + 2 * asked + 4 * crowded
         bucket = p["owner"][wanted] % buckets
         by_bucket = np.argsort(bucket, kind="stable")
         wanted, bucket = wanted[by_bucket], bucket[by_bucket]
@@ -205,12 +212,13 @@ def _by_text(frame: pd.DataFrame) -> pd.DataFrame:
         "at": [at[a:b].tobytes() for a, b in spans],
         "anchor": [anchor[a:b].tobytes() for a, b in spans],
         "kind": [kind[a:b].tobytes() for a, b in spans],
-        "asks": [bool((kind[a:b] & 2).any()) for a, b in spans],
+        "asks": [bool((kind[a:b] & 6 == 2).any()) for a, b in spans],
+        "crowded": [bool((kind[a:b] & 4).any()) for a, b in spans],
     })
 
 
 def _contexts(texts: DataFrame, length: int, width: int, shards: int) -> DataFrame:
-    """Packed contexts that were asked for, dealt by anchor."""
+    """Packed contexts that were asked for, without those of crowded anchors, dealt by anchor."""
     fringe = length - width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +243,7 @@ def _contexts(texts: DataFrame, length: int, width: int, shards: int) -> DataFra
             for key, text, at, anchor, kind in zip(*columns):
                 data = text.encode("utf-8", "replace")
                 kinds = np.frombuffer(kind, dtype="<u1")
-                asked = np.flatnonzero(kinds & 2)
+                asked = np.flatnonzero(kinds & 6 == 2)
                 for place, mark, known in zip(
                     np.frombuffer(at, dtype="<u4")[asked].tolist(),
                     np.frombuffer(anchor, dtype="<u8")[asked].tolist(), kinds[asked].tolist(),
@@ -254,6 +262,103 @@ def _contexts(texts: DataFrame, length: int, width: int, shards: int) -> DataFra
     return texts.where("asks").select("text_key", "text", "at", "anchor", "kind").mapInArrow(run, schema)
 
 
+def _strings(texts: DataFrame, length: int, width: int, shards: int) -> DataFrame:
+    """Packed digests of the strings in contexts of crowded anchors, dealt by digest."""
+    fringe = length - width
+    kinds_of = {"digest": "<u8", "owner": "<i8", "at": "<u4", "repeated": "<u1"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*found)]
+            shard = (columns[0] % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            columns, shard = [c[order] for c in columns], shard[order]
+            cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
+            rows: dict[str, list] = {n: [] for n in ("bucket", *kinds_of)}
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                rows["bucket"].append(int(shard[a]))
+                for column, (name, kind) in zip(columns, kinds_of.items()):
+                    rows[name].append(_blob(column[a:b], kind))
+            yield pa.RecordBatch.from_pydict(
+                {"bucket": pa.array(rows.pop("bucket"), pa.int32())}
+                | {n: pa.array(v, pa.binary()) for n, v in rows.items()}
+            )
+
+        for b in batches:
+            for key, text, at, kind in zip(*[b.column(i).to_pylist() for i in range(4)]):
+                data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
+                kinds = np.frombuffer(kind, dtype="<u1")
+                chosen = kinds & 4 > 0
+                places = np.frombuffer(at, dtype="<u4")[chosen].astype(np.int64)
+                low, high = np.maximum(places - fringe, 0), np.minimum(places, len(data) - length)
+                inside, known = (np.zeros(len(data) + 2, dtype=np.int64) for _ in range(2))
+                for marks, mine in ((inside, low <= high), (known, (low <= high) & (kinds[chosen] & 1 > 0))):
+                    np.add.at(marks, low[mine], 1)
+                    np.add.at(marks, high[mine] + 1, -1)
+                starts = np.flatnonzero(np.cumsum(inside) > 0)
+                if not len(starts):
+                    continue
+                digests = gram_hashes(data, length)[starts]
+                found.append((digests, np.full(len(starts), key), starts, np.cumsum(known)[starts] > 0))
+                held += len(starts)
+                if held >= FLUSH_STRINGS:
+                    yield from flush()
+                    found, held = [], 0
+        if found:
+            yield from flush()
+
+    schema = "bucket int, digest binary, owner binary, at binary, repeated binary"
+    return texts.where("crowded").select("text_key", "text", "at", "kind").mapInArrow(run, schema)
+
+
+def _match(buckets: int):
+    """Of a shard's strings those that occur at two places or are known to, packed by text."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        digest, owner, at, known = (
+            np.concatenate([_array(b, kind) for b in frame[n]])
+            for n, kind in (("digest", "<u8"), ("owner", "<i8"), ("at", "<u4"), ("repeated", "<u1"))
+        )
+        order = np.lexsort((at, owner, digest))
+        digest, owner, at, known = digest[order], owner[order], at[order], known[order] > 0
+        new = np.concatenate([[True], digest[1:] != digest[:-1]])
+        place = new | np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1])])
+        first = np.flatnonzero(new)
+        again = (np.add.reduceat(place.astype(np.int64), first) > 1) | np.logical_or.reduceat(known, first)
+        hit = np.flatnonzero(again[np.cumsum(new) - 1] & place & ~known)
+        bucket = owner[hit] % buckets
+        by_bucket = np.argsort(bucket, kind="stable")
+        hit, bucket = hit[by_bucket], bucket[by_bucket]
+        cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
+        spans = [(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if a < b]
+        return pd.DataFrame({
+            "bucket": [int(bucket[a]) for a, _ in spans],
+            "owner": [_blob(owner[hit[a:b]], "<i8") for a, b in spans],
+            "at": [_blob(at[hit[a:b]], "<u4") for a, b in spans],
+        })
+
+    return run
+
+
+def _runs(length: int):
+    """Spans of the texts of a bucket that its strings cover."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        owner = np.concatenate([_array(b, "<i8") for b in frame["owner"]])
+        at = np.concatenate([_array(b, "<u4") for b in frame["at"]]).astype(np.int64)
+        order = np.lexsort((at, owner))
+        owner, at = owner[order], at[order]
+        new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] > at[:-1] + length)])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        return pd.DataFrame({"text_key": owner[first], "low": at[first], "high": at[last] + length})
+
+    return run
+
+
 def repeated_strings(
     parts: list[bytes], owners: np.ndarray, starts: np.ndarray, repeated: np.ndarray, length: int
 ) -> Iterator[tuple[int, int, int]]:
@@ -296,7 +401,7 @@ def repeated_strings(
         yield i, a - int(begin[i]), b - int(begin[i]) + length
 
 
-def _solve(length: int):
+def _solve(length: int, piece: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         columns = {
             n: np.concatenate([np.frombuffer(b, dtype=k) for b in frame[n]])
@@ -319,7 +424,7 @@ def _solve(length: int):
         at = 0
         while at < len(cuts) - 1:
             # whole anchors up to the size of a piece
-            stop = max(at + 1, int(np.searchsorted(size[cuts], size[cuts[at]] + PIECE_BYTES, side="right")) - 1)
+            stop = max(at + 1, int(np.searchsorted(size[cuts], size[cuts[at]] + piece, side="right")) - 1)
             mine = order[cuts[at] : cuts[stop]]
             at = stop
             if len(mine) < 2:
@@ -344,7 +449,9 @@ def united(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[first], reach[np.append(first[1:], len(low)) - 1]
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> DataFrame:
+def suffix_dedup(
+    docs: DataFrame, length: int = LENGTH, width: int = WIDTH, piece: int = PIECE_BYTES
+) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and
     `spans`, an array of (low, high), all in UTF-8 bytes of the text.
 
@@ -352,7 +459,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> D
     else too, in the same text or another; what is removed elsewhere makes no difference.
     A null text counts as empty. Texts shorter than `length` lose nothing; a longer text that
     occurs in two rows is removed whole, also if the rows have the same doc_id or none. Other
-    columns are ignored, an empty table gives an empty result.
+    columns are ignored, an empty table gives an empty result. `piece` bounds the bytes of a
+    suffix array and changes no result.
     """
     spark = docs.sparkSession
     buckets = packed.bucket_count(spark)
@@ -364,10 +472,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> D
         "texts",
     )
     chosen = packed.by_bucket(
-        _postings(rows, length, width, buckets), _choose(buckets),
+        _postings(rows, length, width, buckets), _choose(buckets, max(1, piece // (length + fringe))),
         "bucket int, owner binary, at binary, anchor binary, kind binary",
     )
-    plan = packed.by_bucket(chosen, _by_text, "text_key bigint, at binary, anchor binary, kind binary, asks boolean")
+    plan = packed.by_bucket(chosen, _by_text, "text_key bigint, at binary, anchor binary, kind binary, asks boolean, crowded boolean")
     plan = materialise(plan, "anchors")
     copies = materialise(
         narrow.groupBy("text_key").agg(F.count(F.lit(1)).alias("_copies"), F.min("doc_id").alias("_doc_id")), "text_copies"
@@ -375,12 +483,16 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> D
     one = plan.join(copies, "text_key").withColumnRenamed("text_key", "_text_key")
     same = (F.col("text_key") == F.col("_text_key")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
     texts = materialise(
-        rows.join(one.hint("shuffle_hash"), same).select("text_key", "text", "at", "anchor", "kind", "asks"), "anchored"
+        rows.join(one.hint("shuffle_hash"), same).select("text_key", "text", "at", "anchor", "kind", "asks", "crowded"), "anchored"
     )
     found = packed.by_bucket(
-        _contexts(texts, length, width, buckets * 4), _solve(length), "text_key bigint, low bigint, high bigint"
+        _contexts(texts, length, width, buckets * 4), _solve(length, piece), "text_key bigint, low bigint, high bigint"
+    )
+    matched = packed.by_bucket(
+        _strings(texts, length, width, buckets * 4), _match(buckets), "bucket int, owner binary, at binary"
     )
-    spans = found.groupBy("text_key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    of_crowded = packed.by_bucket(matched, _runs(length), "text_key bigint, low bigint, high bigint")
+    spans = found.unionByName(of_crowded).groupBy("text_key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

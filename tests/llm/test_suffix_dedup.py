@@ -102,3 +102,37 @@ def test_equal_strings_hold_equal_anchors():
             assert mine
             by_string.setdefault(data[i : i + 8].tobytes(), []).append(mine)
     assert all(set.intersection(*found) for found in by_string.values())
+
+
+def crowd(rng, n=60):
+    """A passage in every text, with another neighbourhood in each, some of them alike."""
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    own = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(150, 400))) for _ in range(n)]
+    rows = [(i, own[i] + passage + own[(i + 1) % n if i % 7 else 0]) for i in range(n)]
+    return rows + [(n, rows[3][1]), (n + 1, rows[4][1][50:] + "x"), (n + 2, "é" * 130 + passage), (n + 3, None)]
+
+
+def test_crowded_anchors_are_dealt_by_string(make_docs):
+    rows = crowd(random.Random(5))
+    want = brute(rows, 200)
+    for piece in (300, 3000, sd.PIECE_BYTES):
+        assert found(sd.suffix_dedup(make_docs(rows), piece=piece)) == want
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(60)))) for i in range(60)]
+    rows += [(100 + i, "abcabcab" * rng.randrange(1, 6)) for i in range(6)]
+    assert found(sd.suffix_dedup(make_docs(rows), length=12, width=6, piece=40)) == brute(rows, 12)
+
+
+def test_no_anchor_asks_for_more_than_a_piece(make_docs):
+    rows, most = crowd(random.Random(5)), 10
+    docs = make_docs(rows).selectExpr("coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS text_key")
+    chosen = sd._choose(1, most)(sd._postings(docs, 200, 100, 1).toPandas())
+    anchor = np.concatenate([sd._array(b, "<u8") for b in chosen["anchor"]])
+    kind = np.concatenate([sd._array(b, "<u1") for b in chosen["kind"]])
+    asked = Counter(anchor[kind & 2 > 0].tolist())
+    assert max(asked.values()) > most
+    assert set(anchor[kind & 4 > 0].tolist()) == {a for a, n in asked.items() if n > most}
+    plan = sd._by_text(chosen).merge(docs.toPandas().drop_duplicates(), on="text_key")
+    packed = sd._contexts(docs.sparkSession.createDataFrame(plan), 200, 100, 1).toPandas()
+    gathered = Counter(np.concatenate([np.frombuffer(b, dtype="<u8") for b in packed["anchor"]]).tolist())
+    assert gathered and max(gathered.values()) <= most
