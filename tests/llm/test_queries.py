@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_exact_dedup": "doc_id keep_id group_size kept text_sha256",
     "op9_language_id": "doc_id held_out lang_pred score",
     "op10_mixing": "doc_id size source_size target taken",
+    "op13_filter_interaction": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
 }
 
 
