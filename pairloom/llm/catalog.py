@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import exact_dedup, interaction, jaccard, language, line_dedup, mixing, neighbours, packing, pitman_yor, secrets, suffix_dedup
+from pairloom.llm import exact_dedup, interaction, jaccard, language, line_dedup, mixing, neighbours, packing, pitman_yor, secrets, suffix_dedup, topk, whitening
 from pairloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,6 +173,32 @@ FROM m
 """
 
 
+@query
+def op11_exact_topk(spark, sf_dir):
+    found = topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+ORACLES["op11_exact_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    done = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=8)
+    return done.withColumnRenamed("id", "vec_id")
+
+
 @query
 def op13_filter_interaction(spark, sf_dir):
     return interaction.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

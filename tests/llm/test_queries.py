@@ -8,7 +8,7 @@ import pytest
 from __spark_entry__ import queries
 from pairloom.llm.catalog import ORACLES, QUERIES
 
-NO_SQL = {"op1_packing", "op2_pitman_yor", "op4_secret_scan", "op5_suffix_dedup", "op6_line_dedup", "op7_collision_neighbours", "op9_language_id"}
+NO_SQL = {"op1_packing", "op2_pitman_yor", "op4_secret_scan", "op5_suffix_dedup", "op6_line_dedup", "op7_collision_neighbours", "op9_language_id", "op12_whitening"}
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 COLUMNS = {
     "op1_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
@@ -21,6 +21,8 @@ COLUMNS = {
     "op8_exact_dedup": "doc_id keep_id group_size kept text_sha256",
     "op9_language_id": "doc_id held_out lang_pred score",
     "op10_mixing": "doc_id size source_size target taken",
+    "op11_exact_topk": "query_id rank vec_id score",
+    "op12_whitening": "vec_id component n deviation whitened explained identity_error",
     "op13_filter_interaction": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
 }
 
