@@ -5,13 +5,13 @@ from __future__ import annotations
 import csv
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,19 +49,22 @@ def _csv_sources(spark: SparkSession, pattern: str) -> list[CsvSource]:
     glob = jvm.org.apache.hadoop.fs.Path(pattern)
     fs = glob.getFileSystem(conf)
 
-    def first_line(path) -> str:
+    def first_record(path) -> list[str]:
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(path), "UTF-8"))
         try:
-            return reader.readLine() or ""
+            line = reader.readLine()
+            while line is not None and not line.strip("\ufeff \t"):
+                line = reader.readLine()
         finally:
             reader.close()
+        return next(csv.reader([(line or "").lstrip("\ufeff")]), [])
 
     def describe(match) -> CsvSource:
         files = fs.listStatus(match.getPath()) if match.isDirectory() else [match]
         names: list[str] = []
         for file in files:
             if not names and not file.getPath().getName().startswith(("_", ".")):
-                names = next(csv.reader([first_line(file.getPath()).lstrip("\ufeff")]), [])
+                names = first_record(file.getPath())
         return CsvSource(match.getPath().toString(), tuple(name.strip() for name in names))
 
     with ThreadPoolExecutor(16) as threads:
@@ -69,151 +72,214 @@ def _csv_sources(spark: SparkSession, pattern: str) -> list[CsvSource]:
         return [source for source in found if source.names]
 
 
-_FIELD = re.compile(r'(?:^|,)(?:"((?:[^"]|"")*)"[^,]*|([^,]*))')
+# One field: quoted, with what follows its closing quote; or plain, where quotes are ordinary
+# letters; or empty. Possessive, so that long values need no stack.
+_CLOSED = '"[^"]*+(?:""[^"]*+)*+"'
+_FIELD = f'(?:{_CLOSED}[^,]*+|[^",][^,]*+|)'
+_WHOLE = f"\\A{_FIELD}(?:,{_FIELD})*+\\z"
+_ENDS = f'\\A[^"]*+(?:""[^"]*+)*+"[^,]*+(?:,{_FIELD})*+\\z'
+_STRICT_FIELD = '(?:"[^"\r]*+(?:""[^"\r]*+)*+"|[^",\r][^,\r]*+|)'
+_STRICT = f"\\A{_STRICT_FIELD}(?:,{_STRICT_FIELD})*+\r?\\z"
+_ANY_FIELD = f',({_CLOSED}[^,]*+|"[^"]*+(?:""[^"]*+)*+|[^",][^,]*+|)'
+_BLANK = "\\A[ \t\r]*+\\z"
 
 
-def split_record(record: str) -> list[str]:
-    """The values of one CSV record; quoted values keep commas, quotes and line breaks."""
-    if record.endswith("\r"):
-        record = record[:-1]
-    return [
-        quoted.replace('""', '"') if match.start(1) >= 0 else plain
-        for match in _FIELD.finditer(record)
-        for quoted, plain in (match.groups(),)
-    ]
+def record_values(record: Column, places: Column, names: Sequence[str]) -> Column:
+    """An array of one struct: the values of a CSV record at `places`, called `names`.
+
+    A value is null where the place is, or where the record has none. A quote opens a quoted
+    value only as a value's first character, two quotes in it stand for one, what follows the
+    closing quote is appended. Everywhere else quotes are letters.
+    """
+    fields = F.regexp_extract_all(F.concat(F.lit(","), F.regexp_replace(record, "\r\\z", "")), F.lit(_ANY_FIELD), 1)
+
+    def unquoted(field: Column) -> Column:
+        inside = '(?s)\\A"([^"]*+(?:""[^"]*+)*+)"?(.*)\\z'
+        return F.when(
+            field.startswith('"'),
+            F.concat(F.replace(F.regexp_extract(field, inside, 1), F.lit('""'), F.lit('"')), F.regexp_extract(field, inside, 2)),
+        ).otherwise(field)
+
+    # a lambda's argument is evaluated once, however many values are taken from it
+    return F.transform(F.array(fields), lambda f: F.struct(
+        *[unquoted(F.get(f, F.get(places, i))).alias(n) for i, n in enumerate(names)]
+    ))
+
+
+def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"), "value",
+    )
 
 
-def _records(
-    lines: Iterator[tuple[str, int, bool, str]], emit: Callable[[str, int, int, str], None]
-) -> Iterator[tuple[str, str]]:
-    """(path, record) for the whole records of blocks of lines (path, start, inside, line).
+def _odd_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, bool]]:
+    """(file, odd) of all files if any is odd, else nothing; files as the scan names them.
 
-    `inside` says that the block begins within a quoted value. What belongs to a record that
-    other blocks begin or end goes to `emit` with its place and 0, or 1 at the block's end.
+    A file is odd if one of its lines is no record of its own by the strict grammar: a value
+    goes on in the next line, letters follow a closing quote, or a carriage return stands alone.
     """
-    block, held, head = None, [], False
-
-    def leave() -> None:
-        if held:
-            emit(*block, 0 if head else 1, "\n".join(held))
-
-    for path, start, inside, line in lines:
-        if (path, start) != block:
-            leave()
-            block, held, head = (path, start), [], inside
-            open_quote = inside
-        held.append(line)
-        open_quote ^= line.count('"') % 2 == 1
-        if open_quote:
-            continue
-        if head:
-            emit(*block, 0, "\n".join(held))
-        else:
-            yield path, "\n".join(held)
-        held, head = [], False
-    leave()
-
-
-def _read_csv(spark: SparkSession, paths: list[str], names: tuple[str, ...], wanted: list[str]) -> DataFrame:
-    """The wanted columns of files that share a header.
-
-    Files are read as lines in splits, whatever they hold. The quotes of each split tell
-    whether the next one begins inside a value; that is one row per split. Records within a
-    split are cut there, the pieces of those that cross splits are put together.
+    suspect = F.col("value").contains('"') | F.col("value").contains("\r")
+    odd = F.coalesce(F.max(suspect & ~F.col("value").rlike(_STRICT)), F.lit(False)).alias("odd")
+    files = [(r["path"], r["odd"]) for r in _lines(spark, paths).groupBy("path").agg(odd).collect()]
+    return files if any(is_odd for _, is_odd in files) else []
+
+
+def _read_plain(spark: SparkSession, paths: list[str], names: tuple[str, ...], wanted: list[str]) -> DataFrame:
+    """Files whose lines are records: Spark's own reader, with only the wanted columns parsed."""
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    scan = spark.read.schema(schema).csv(paths, header=True, quote='"', escape='"', encoding="UTF-8")
+    return scan.select(
+        F.col("_metadata.file_path").alias("path"), *[F.col(f"c{names.index(n)}").alias(n) for n in wanted if n in names]
+    )
+
+
+def _flagged(lines: DataFrame) -> DataFrame:
+    """Lines with the state they leave, from without and from within a quoted value.
+
+    A carriage return within a line ends a record as a line break does, so it makes lines of
+    its own; `sep` is what ended a line.
     """
-    lines = spark.read.option("lineSep", "\n").text(paths).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value"
+    pieces = F.transform(F.array(F.split("value", "\r(?!\\z)")), lambda p: F.struct(F.size(p).alias("n"), p.alias("texts")))
+    lines = lines.select("path", "start", "line", "places", F.inline(pieces)).select(
+        "path", "start", "line", "places", "n", F.posexplode("texts").alias("part", "text")
     )
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    before = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
-    blocks = (
-        lines.groupBy("path", "start").agg(F.sum(quotes).alias("quotes"))
-        .withColumn("inside", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1)
-        .select("path", "start", "inside")
+    quoted = F.col("text").contains('"')
+    return lines.select(
+        "path", "start", "line", "part", "text", "places",
+        F.when(F.col("part") + 1 < F.col("n"), F.lit("\r")).otherwise(F.lit("\n")).alias("sep"),
+        (quoted & ~F.col("text").rlike(_WHOLE)).alias("from_out"),
+        (~quoted | ~F.col("text").rlike(_ENDS)).alias("from_in"),
     )
-    blocks = materialise(blocks, "csv-blocks")
-    fields = [T.StructField(n, T.StringType()) for n in wanted if n in names]
-    places = [(field.name, names.index(field.name)) for field in fields]
-    piece = [T.StructField("path", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.IntegerType()), T.StructField("piece", T.StringType())]
-    schema = T.StructType([*piece, *fields])
-
-    def values(record: str) -> dict[str, str | None]:
-        row = split_record(record)
-        return {name: row[at] if at < len(row) else None for name, at in places}
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[dict] = []
-
-        def given() -> Iterator[tuple[str, int, bool, str]]:
-            for frame in frames:
-                yield from zip(frame["path"], frame["start"], frame["inside"], frame["value"])
-
-        def emit(path: str, start: int, end: int, text: str) -> None:
-            rows.append({"path": path, "start": start, "end": end, "piece": text})
-
-        for path, record in _records(header_first(given()), emit):
-            if record.strip("\r"):
-                rows.append({"path": path, **values(record)})
-            if len(rows) >= 10_000:
-                yield pd.DataFrame(rows, columns=schema.names).astype(object)
-                rows.clear()
-        yield pd.DataFrame(rows, columns=schema.names).astype(object)
-
-    def header_first(given: Iterator[tuple[str, int, bool, str]]) -> Iterator[tuple[str, int, bool, str]]:
-        """Without the first line of each file."""
-        last = None
-        for row in given:
-            first = row[1] == 0 and (row[0], row[1]) != last
-            last = row[0], row[1]
-            if not first:
-                yield row
-
-    # one row per split of at least `spark.sql.files.maxPartitionBytes`, or per file
-    records = lines.join(F.broadcast(blocks), ["path", "start"]).mapInPandas(cut, schema)
-    whole = records.where(F.col("piece").isNull()).drop("start", "end", "piece")
-    if blocks.where("inside").isEmpty():
-        return whole
-    order = W.partitionBy("path").orderBy("start", "end")
-    pieces = records.where(F.col("piece").isNotNull()).withColumn("_n", F.sum("end").over(order))
-    crossing = pieces.groupBy("path", "_n").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "piece"))), lambda p: p["piece"]), "\n").alias("record")
+
+
+def _quote_states(lines: DataFrame) -> DataFrame:
+    """`_flagged` lines, a table, with `inside`: whether a line begins within a quoted value.
+
+    A line is a map of two states (within a quoted value or not): it keeps the state, sets
+    it, or swaps it. Within a split these maps are composed by windows: the last line that
+    sets the state, and the swaps since. A split as a whole is such a map again, and the
+    splits of a file are composed in the same way.
+    """
+    sets = F.col("from_out") == F.col("from_in")
+    swap = (F.col("from_out") & ~F.col("from_in")).cast("int")
+    in_split = W.partitionBy("path", "start").orderBy("line", "part")
+    so_far = in_split.rowsBetween(W.unboundedPreceding, 0)
+
+    def composed(frame: DataFrame, order, value: Column, flips: Column, is_set: Column) -> DataFrame:
+        """`known`: the state that was set last before a row and the flips since; null if none."""
+        frame = frame.withColumn("_flips", F.sum(flips).over(order.rowsBetween(W.unboundedPreceding, 0)))
+        mark = F.when(is_set, F.struct(value.alias("state"), F.col("_flips").alias("at")))
+        before = order.rowsBetween(W.unboundedPreceding, -1)
+        return (
+            frame.withColumn("_mark", F.last(mark, ignorenulls=True).over(before))
+            .withColumn("_since", F.col("_flips") - flips - F.coalesce("_mark.at", F.lit(0)))
+            .withColumn("known", F.col("_mark.state")).drop("_mark", "_flips")
+        )
+
+    def turned(state: Column, flips: Column) -> Column:
+        return F.when(flips % 2 == 1, ~state).otherwise(state)
+
+    # the maps of whole splits, from the few columns and lines that change a state
+    narrow = lines.where(F.col("from_out") | ~F.col("from_in")).select("path", "start", "line", "part", "from_out", "from_in")
+    narrow = narrow.withColumn("_flips", F.sum(swap).over(so_far))
+    narrow = narrow.withColumn("_set", F.when(sets, F.struct("line", "part", F.col("from_out").alias("state"), F.col("_flips").alias("at"))))
+    splits = narrow.groupBy("path", "start").agg(F.max("_set").alias("last"), F.max("_flips").alias("flips"))
+    splits = splits.select(
+        "path", "start", turned(F.col("last.state"), F.col("flips") - F.col("last.at")).alias("state"),
+        F.when(F.col("last").isNull(), F.col("flips")).otherwise(0).alias("flips"),
     )
+    of_file = W.partitionBy("path").orderBy("start")
+    # splits in which no line changes a state still need to know theirs
+    splits = lines.select("path", "start").distinct().join(splits, ["path", "start"], "left").fillna(0, ["flips"])
+    splits = composed(splits, of_file, F.col("state"), F.col("flips"), F.col("state").isNotNull())
+    splits = splits.select("path", "start", turned(F.coalesce("known", F.lit(False)), F.col("_since")).alias("begins"))
+
+    lines = composed(lines, in_split, F.col("from_out"), swap, sets).join(splits, ["path", "start"])
+    state = F.when(F.col("known").isNotNull(), turned(F.col("known"), F.col("_since"))).otherwise(turned(F.col("begins"), F.col("_since")))
+    return lines.select("path", "start", "line", "part", "text", "places", "sep", "from_out", state.alias("inside"))
+
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [{"path": path, **values(record)} for path, record in zip(frame["path"], frame["record"])]
-            yield pd.DataFrame(rows, columns=["path", *[f.name for f in fields]]).astype(object)
+def _read_odd(spark: SparkSession, files: dict[tuple[str, ...], list[str]], wanted: list[str]) -> DataFrame:
+    """Files in which values hold line breaks, or records are not strict; given by their names.
 
-    return whole.unionByName(
-        crossing.select("path", "record").mapInPandas(parse, T.StructType([piece[0], *fields]))
+    Lines are brought together by split, in order, to learn where records begin. Records of
+    one line are parsed as they are; the lines of others, which may lie in several splits, are
+    put together by (file, split and number of the record's first line).
+    """
+    scans = []
+    for names, paths in files.items():
+        places = F.array(*[F.lit(names.index(n) if n in names else None).cast("int") for n in wanted])
+        scans.append(_flagged(_lines(spark, [_no_glob(path) for path in sorted(paths)]).withColumn("places", places)))
+    flagged = reduce(lambda a, b: a.unionByName(b), scans)
+    lines = _quote_states(materialise(flagged, "csv-flagged"))
+    in_split = W.partitionBy("path", "start").orderBy("line", "part").rowsBetween(W.unboundedPreceding, 0)
+    begins = ~F.col("inside")
+    filled = begins & ~F.col("text").rlike(_BLANK)
+    lines = lines.withColumn("record", F.sum(begins.cast("int")).over(in_split))
+    lines = lines.withColumn("_filled", F.sum(filled.cast("int")).over(in_split))
+    header = (F.col("start") == 0) & (F.col("_filled") == 1) & filled
+    lines = materialise(lines.where(~header & (F.col("inside") | filled)).drop("_filled"), "csv-lines")
+    alone = lines.where("NOT inside AND NOT from_out").select("path", "places", F.col("text").alias("_record"))
+
+    # where the record began that goes on at a split's start
+    of_file = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    last = lines.groupBy("path", "start").agg(F.max("record").alias("_n"))
+    opener = F.when(F.col("_n") > 0, F.struct("start", F.col("_n").alias("record")))
+    last = last.select("path", "start", F.last(opener, ignorenulls=True).over(of_file).alias("_opener"))
+    pieces = lines.where("inside OR from_out")
+    first = pieces.where("record = 0").join(last, ["path", "start"]).select(
+        "path", "places", "_opener.start", "_opener.record", F.struct("start", "line", "part", "text", "sep").alias("piece")
+    )
+    others = pieces.where("record > 0").select(
+        "path", "places", "start", "record", F.struct("start", "line", "part", "text", "sep").alias("piece")
     )
+    together = others.unionByName(first).groupBy("path", "places", "start", "record").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    text = F.array_join(F.transform("pieces", lambda p: F.concat(p["text"], p["sep"])), "")
+    whole = together.select("path", "places", F.substring(text, F.lit(1), F.length(text) - 1).alias("_record"))
+    values = record_values(F.col("_record"), F.col("places"), wanted)
+    return alone.unionByName(whole).select("path", F.inline(values))
+
+
+def _base(path: str) -> str:
+    """A path with its scheme's slashes as Hadoop prints them."""
+    return re.sub(r"^(\w+):/+(?=/)", r"\1:", path)
 
 
 def read_csv_by_header(spark: SparkSession, pattern: str, wanted: list[str]) -> DataFrame:
     """The wanted columns of all matching CSV files, by name, plus `source_file`.
 
-    Files are grouped by their header and each group is one scan; a column a file lacks is
-    null. Lines end with LF or CRLF; quoted values may hold line breaks, and a file is read in
-    as many tasks as it has splits whether they do or not. Blank lines are skipped.
+    Files are grouped by their header; a column a file lacks is null. Lines end with LF, CRLF
+    or CR; quoted values may hold line breaks, and blank lines are skipped. A header is one
+    line. One pass over the lines finds the files whose lines are not all records; the others
+    go to Spark's own reader. All files are read in as many tasks as they have splits.
     """
     sources = _csv_sources(spark, pattern)
     if not sources:
         raise NoInputFilesError(f"no input files match {pattern}")
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for source in sources:
-        groups[source.names].append(source.path)
-    anywhere = {name for names in groups for name in names}
-    scans = []
-    for names, paths in groups.items():
-        scan = _read_csv(spark, sorted(paths), names, wanted)
-        present = [
-            F.when(~F.col(f"`{n}`").isin(*MISSING_WORDS), F.col(f"`{n}`")).alias(n)
-            for n in wanted
-            if n in names
-        ]
-        scans.append(scan.select(*present, _source_file()))
+    files = _odd_files(spark, [_no_glob(source.path) for source in sources])
+    plain: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    odd: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    if not files:
+        for source in sources:
+            plain[source.names].append(source.path)
+    else:
+        of = {_base(source.path): source.names for source in sources}
+        for path, is_odd in files:
+            place = _base(unquote(path))
+            names = of[place] if place in of else of[place.rpartition("/")[0]]
+            (odd if is_odd else plain)[names].append(place)
+    scans = [_read_plain(spark, [_no_glob(path) for path in sorted(paths)], names, wanted) for names, paths in plain.items()]
+    if odd:
+        scans.append(_read_odd(spark, odd, wanted))
+    anywhere = {name for source in sources for name in source.names}
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
-    return require_columns(out, [n for n in wanted if n in anywhere])
+    values = [F.when(~F.col(f"`{n}`").isin(*MISSING_WORDS), F.col(f"`{n}`")).alias(n) for n in wanted if n in anywhere]
+    return require_columns(out.select(*values, _source_file()), [n for n in wanted if n in anywhere])
+
+
+def _no_glob(path: str) -> str:
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
 def _source_file():

@@ -1,6 +1,8 @@
 import csv
 import os
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,9 +115,73 @@ def test_line_ends_give_the_same_rows_at_every_size(spark, tmp_path, small_split
     assert sorted((r[0], r[1], r[2]) for r in found) == sorted((f"a{i}", "b\rc", f"c{i}") for i in range(rows))
 
 
-def test_split_record():
-    assert files.split_record('a,"b ""c"", d",,"e\nf"') == ["a", 'b "c", d', "", "e\nf"]
-    assert files.split_record("") == [""] and files.split_record(",") == ["", ""]
+def test_record_values(spark):
+    records = ['a,"b ""c"", d",,"e\nf"', "", ",", '"x"y"z,"', ' "a",b" c,"d"']
+    frame = spark.createDataFrame([(r,) for r in records], "r string")
+    found = [tuple(r) for r in frame.select(F.inline(files.record_values(F.col("r"), F.array(*map(F.lit, range(4))), "wxyz"))).collect()]
+    assert found == [
+        ("a", 'b "c", d', "", "e\nf"), ("", None, None, None), ("", "", None, None), ('xy"z', "", None, None),
+        (' "a"', 'b" c', "d", None),
+    ]
+
+
+def by_pandas(path):
+    frame = pd.read_csv(path, dtype=str, keep_default_na=False, na_values=list(files.MISSING_WORDS))
+    return sorted((tuple(None if v != v else v for v in row) for row in frame.values.tolist()), key=str)
+
+
+def by_spark(spark, path):
+    found = files.read_csv_by_header(spark, str(path), ["a", "b", "c"]).collect()
+    return sorted((tuple(r)[:3] for r in found), key=str)
+
+
+ODD_LINES = [
+    '5" disk,p2,n2\n', 'q, "r",s\n', '"x"y"z,1,2\n', 'p,"two\nlines, ""q"" ",z\r\n', "u,v,w\r\n", '1,"a\rb",2\n', "one,two\n",
+    '"","",""\n', " \t\n", "\n", "\r\n", ",,\n", 'a,b,"\n\n\n"\n', '"""",","",","\r\n"\n', "x,y,z\ry,z,x\r\n", 'e,"f""",g\n', '"a"" ",b,c"\n',
+    "nan,NULL,ok\n", "끝,\u2028ü,\u0085\n",
+]
+
+
+def test_odd_lines_equal_pandas(spark, tmp_path):
+    cases = [*([line] for line in ODD_LINES), ODD_LINES, ODD_LINES[:2]]
+    for i, lines in enumerate(cases):
+        (tmp_path / f"odd [{i}].csv").write_bytes(("a,b,c\n" + "k,l,m\n" + "".join(lines) + "k,l,m\na,b,c").encode())
+    found = {}
+    for row in files.read_csv_by_header(spark, f"{tmp_path}/*.csv", ["a", "b", "c"]).collect():
+        found.setdefault(row["source_file"], []).append(tuple(row)[:3])
+    for i in range(len(cases)):
+        name = f"odd [{i}].csv"
+        assert sorted(found[name], key=str) == by_pandas(tmp_path / name), cases[i]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_records_across_splits_equal_pandas(spark, tmp_path, seed):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rng = random.Random(seed)
+        for name in ("t.csv", "u.csv"):
+            rows = []
+            for i in range(300):
+                rows.append(rng.choice(ODD_LINES))
+                if rng.random() < 0.2:
+                    rows.append('"' + "".join(rng.choice(["\n", '""', ",", "x", " "]) for _ in range(rng.randrange(400))) + '",b,c\n')
+            (tmp_path / name).write_bytes(("a,b,c\r\n" + "".join(rows)).encode())
+            assert by_spark(spark, tmp_path / name) == by_pandas(tmp_path / name)
+        both = files.read_csv_by_header(spark, f"{tmp_path}/*.csv", ["c", "b"])
+        assert both.count() == sum(len(by_pandas(tmp_path / n)) for n in ("t.csv", "u.csv"))
+        assert both.select("source_file").distinct().count() == 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_plain_files_are_parsed_by_the_scan(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('x,a,b,c\n1,"q, ""r""",5" disk,z\n' * 3)
+    read = files.read_csv_by_header(spark, f"{tmp_path}/p.csv", ["a", "b", "c"])
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan csv" in plan and "Python" not in plan and "Exchange" not in plan
+    assert sorted(tuple(r)[:3] for r in read.collect()) == [("a", "b", "c")] * 2 + [('q, "r"', '5" disk', "z")] * 3
 
 
 def test_missing_texts_of_triplets_follow_the_policy(spark, tmp_path):
