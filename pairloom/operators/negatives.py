@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import hash_bigint, seeded_hash
 from pairloom.operators.ordering import dense_index
+from pairloom.operators.skew import salted_join
 from pairloom.schema import require_columns
 from pairloom.session import materialise
 
@@ -136,6 +138,62 @@ def passage_pool(df: DataFrame, seed: int | str = 42, total: str | None = None)
     return distinct.join(index, "_digest").drop("_digest")
 
 
+BLOCK = 4096
+"""Pool positions, or ranks among the allowed ones, that are held together at most."""
+
+
+def _shifts(barred: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How ranks among an anchor's allowed pool positions map to positions.
+
+    With the anchor's barred positions b_1 < b_2 < .., the allowed position of rank r is r plus
+    the number of those with b_j - (j - 1) <= r. Returns (anchor, at, passed): the number
+    `passed` of all barred positions whose `at` = b_j - (j - 1) is not larger, and
+    (anchor, n_barred). j is counted within blocks of the pool and over the blocks' sizes, so
+    an anchor that bars much of a large pool still makes only small groups.
+    """
+    places = salted_join(
+        barred.select("anchor", "passage"), pool.select("pid", "passage"), ["passage"], ["anchor"]
+    )
+    blocks = (
+        places.groupBy("anchor", F.floor(F.col("pid") / BLOCK).alias("block"))
+        .agg(F.sort_array(F.collect_set("pid")).alias("pids"))
+    )
+    before = W.partitionBy("anchor").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum(F.size("pids")).over(before), F.lit(0)))
+    j = F.col("before") + F.col("place")
+    shifts = (
+        blocks.select("anchor", "before", F.posexplode("pids").alias("place", "pid"))
+        .groupBy("anchor", (F.col("pid") - j).alias("at")).agg(F.max(j + 1).alias("passed"))
+    )
+    return shifts, blocks.groupBy("anchor").agg(F.sum(F.size("pids")).alias("n_barred"))
+
+
+def _positions(ranks: DataFrame, shifts: DataFrame, key: str) -> DataFrame:
+    """Rows (key, anchor, step, rank) with `pid`, the anchor's allowed pool position of the rank.
+
+    Shifts are held by blocks of ranks; a block also knows what the blocks before it passed.
+    Only blocks in which an anchor has shifts or is asked take part.
+    """
+    ranks = ranks.withColumn("block", F.floor(F.col("rank") / BLOCK))
+    held = shifts.groupBy("anchor", F.floor(F.col("at") / BLOCK).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("at", "passed"))).alias("held"), F.max("passed").alias("passed")
+    )
+    asked = ranks.select("anchor", "block").distinct()
+    before = W.partitionBy("anchor").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    table = (
+        asked.join(held, ["anchor", "block"], "full")
+        .withColumn("before", F.coalesce(F.max("passed").over(before), F.lit(0)))
+        .where(F.col("held").isNotNull() | (F.col("before") > 0))
+        .select("anchor", "block", "before", "held")
+    )
+    found = salted_join(ranks, table, ["anchor", "block"], [key, "step"], "left")
+    shift = F.aggregate(
+        F.coalesce("held", F.expr("array()")), F.coalesce("before", F.lit(0)).cast("bigint"),
+        lambda passed, s: F.when(s["at"] <= F.col("rank"), s["passed"]).otherwise(passed),
+    )
+    return found.select(key, "step", (F.col("rank") + shift).alias("pid"))
+
+
 def fill_candidates(
     lists: DataFrame, pool: DataFrame, k: int, seed: int | str = 42, key: str = "row_key",
     keys: DataFrame | None = None, barred: DataFrame | None = None,
@@ -147,27 +205,25 @@ def fill_candidates(
     entries are its own, so enough remain whenever the whole pool has enough. If fewer
     remain than are missing none is used, and `repeat_candidates` takes over. `keys` may name
     the lists to draw for, which spares looking for the short ones; with `barred` it also has
-    their `anchor`, and passages that `barred` (anchor, passage) names for it are not used.
-    Twice as many positions are drawn then.
+    their `anchor`, not null, and passages that `barred` (anchor, passage) names for it are
+    not used: positions are then drawn by their rank among the P that are allowed.
     """
     if keys is None:
         keys = lists.where(F.size("docs") < k)
     n_pool = pool.agg(F.coalesce(F.max("n_pool"), F.lit(0)).cast("bigint")).scalar()
-    start = F.pmod(hash_bigint(seeded_hash(seed, F.lit("fill"), key)), n_pool)
-    most = k if barred is None else 2 * k
-    steps = _consecutive(start, F.least(n_pool, F.lit(most).cast("bigint")))
+    if barred is not None:
+        shifts, counts = _shifts(barred, pool)
+        keys = salted_join(keys.select(key, "anchor"), counts, ["anchor"], [key], "left")
+        n_pool = n_pool - F.coalesce("n_barred", F.lit(0))
+    start = F.pmod(hash_bigint(seeded_hash(seed, F.lit("fill"), key)), F.when(n_pool > 0, n_pool))
+    steps = _consecutive(start, F.least(n_pool, F.lit(k).cast("bigint")))
     anchor = [] if barred is None else ["anchor"]
-    found = (
-        keys.select(key, *anchor, F.explode(steps).alias("step"))
-        .withColumn("pid", F.pmod("step", n_pool))
-        .join(pool.select("pid", "passage"), "pid")
-    )
+    found = keys.select(key, *anchor, n_pool.alias("_allowed"), F.explode(steps).alias("step"))
+    found = found.withColumn("pid", F.pmod("step", "_allowed")).drop("_allowed")
     if barred is not None:
-        own = barred.select(F.col("anchor").alias("_anchor"), F.col("passage").alias("_passage"))
-        same = F.col("anchor").eqNullSafe(F.col("_anchor")) & (F.col("passage") == F.col("_passage"))
-        found = found.join(own, same, "left_anti")
+        found = _positions(found.withColumnRenamed("pid", "rank"), shifts, key)
     drawn = (
-        found.groupBy(key)
+        found.join(pool.select("pid", "passage"), "pid").groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct("step", "passage"))).alias("drawn"))
     )
     missing = F.lit(k) - F.size("docs")

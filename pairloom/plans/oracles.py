@@ -142,20 +142,23 @@ def pool(table: str) -> str:
 pool AS (SELECT passage, {ranked('passage')} AS pid, count(*) OVER () AS p FROM pool_passages)"""
 
 
-def filled(slots: str, k: int, out: str = "filled", draws: int | None = None, unless: str = "FALSE") -> str:
+def filled(slots: str, k: int, out: str = "filled", barred: str = "SELECT NULL AS row_key, NULL AS passage") -> str:
+    """Short lists get allowed pool passages they lack, in a circle from a hashed rank among
+    the allowed ones, if there are enough; `barred` has (row_key, passage)."""
     start = hash60("'42:fill:' || row_key::VARCHAR")
     return f"""sizes AS (SELECT row_key, count(*) AS len FROM {slots} GROUP BY row_key),
-fill_draws AS (
-  SELECT s.row_key, s.len, j AS step, ({start} % pp.p + j) % pp.p AS pid
-  FROM sizes s, (SELECT max(p) AS p FROM pool) pp, range({draws or k}) t(j)
-  WHERE j < pp.p AND s.len < {k}),
+fill_barred AS ({barred}),
+fill_allowed AS (
+  SELECT s.row_key, s.len, pool.passage, count(*) OVER of_list AS n,
+         row_number() OVER (PARTITION BY s.row_key ORDER BY pid) - 1 AS rank
+  FROM sizes s JOIN pool ON s.len < {k}
+    AND NOT EXISTS (SELECT 1 FROM fill_barred b WHERE b.row_key = s.row_key AND b.passage = pool.passage)
+  WINDOW of_list AS (PARTITION BY s.row_key)),
 fill_unused AS (
-  SELECT f.row_key, f.len, pool.passage,
-         row_number() OVER (PARTITION BY f.row_key ORDER BY f.step) AS r,
-         count(*) OVER (PARTITION BY f.row_key) AS found
-  FROM fill_draws f JOIN pool ON pool.pid = f.pid
-  WHERE NOT EXISTS (SELECT 1 FROM {slots} o WHERE o.row_key = f.row_key AND o.passage = pool.passage)
-    AND NOT {unless}),
+  SELECT row_key, len, passage, row_number() OVER (PARTITION BY row_key ORDER BY (rank - {start} % n + n) % n) AS r,
+         count(*) OVER (PARTITION BY row_key) AS found
+  FROM fill_allowed f
+  WHERE NOT EXISTS (SELECT 1 FROM {slots} o WHERE o.row_key = f.row_key AND o.passage = f.passage)),
 {out} AS (
   SELECT row_key, slot, passage, origin FROM {slots}
   UNION ALL
@@ -584,9 +587,8 @@ slots AS (SELECT row_key, 0 AS slot, positive AS passage, 'positive' AS origin F
   UNION ALL SELECT row_key, 2 + 2 * place, neg_positive, 'drawn' FROM others
   UNION ALL SELECT row_key, 3 + 2 * place, neg_negative, 'drawn' FROM others)""",
     pool("keyed"),
-    filled("slots", 15, draws=30, unless="""EXISTS (SELECT 1 FROM keyed q JOIN keyed o
-      ON o.anchor IS NOT DISTINCT FROM q.anchor
-      WHERE q.row_key = f.row_key AND o.positive = pool.passage)"""),
+    filled("slots", 15, barred="""SELECT DISTINCT q.row_key, o.positive AS passage FROM keyed q JOIN keyed o
+  ON o.anchor IS NOT DISTINCT FROM q.anchor"""),
     repeated("filled", 15),
 ) + "SELECT row_key, slot::INTEGER AS slot, passage, origin FROM repeated"
 ORACLES["candidate_stats"] = with_(KEYED_DOCS, basic_lists("keyed", 3)) + """

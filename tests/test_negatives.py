@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,30 @@ def test_fill_leaves_out_positives_of_the_own_anchor(spark):
     assert len(lists) == 240
     for r in lists:
         assert r["slot"] == 0 or r["passage"] not in own[f"a{r['row_key'] % 3}"]
+
+
+def test_fill_looks_at_the_whole_pool(spark):
+    # 60 positives of the own anchor are barred, 15 negatives of other rows are not
+    rows = [(i, "a", f"p{i}", f"n{i % 15}") for i in range(60)]
+    frame = spark.createDataFrame(rows, "row_key long, anchor string, positive string, negative string")
+    for row in N.candidate_docs(frame, 12, exclude_same_anchor=True).collect():
+        passages = [d["passage"] for d in row["docs"]]
+        assert len(set(passages)) == 12 and not {p for p in passages[1:] if p.startswith("p")}
+    short = N.candidate_docs(frame, 17, exclude_same_anchor=True).collect()
+    assert all(d["origin"] == "repeat" for r in short for d in r["docs"][2:])
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_ranks_skip_barred_positions(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block)
+    rng = random.Random(block)
+    pool = spark.createDataFrame([(i, f"p{i}") for i in range(40)], "pid bigint, passage string")
+    barred = {a: set(rng.sample(range(40), n)) for a, n in ((1, 0), (2, 1), (3, 20), (4, 39), (5, 12))}
+    barred[6] = set(range(10, 35))
+    table = spark.createDataFrame([(a, f"p{i}") for a, s in barred.items() for i in s], "anchor bigint, passage string")
+    shifts, counts = N._shifts(table, pool)
+    assert {r["anchor"]: r["n_barred"] for r in counts.collect()} == {a: len(s) for a, s in barred.items() if s}
+    ranks = [(a, a, r, r) for a, s in barred.items() for r in range(40 - len(s))]
+    asked = spark.createDataFrame(ranks, "row_key bigint, anchor bigint, step bigint, rank bigint")
+    found = {(r["row_key"], r["step"]): r["pid"] for r in N._positions(asked, shifts, "row_key").collect()}
+    assert found == {(a, i): p for a, s in barred.items() for i, p in enumerate(sorted(set(range(40)) - s))}
