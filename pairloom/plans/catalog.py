@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import text
 from pairloom.functions.math import sigmoid
 from pairloom.operators import (
-    distil, epochs, evaluate, fit, loss, negatives, ordering, pairs, prepare, score,
+    distil, epochs, evaluate, fit, loss, negatives, ordering, pairs, prepare, retrieval, score,
 )
 from pairloom.operators.encode import DEFAULT_DIM, encode, hashed_encoder, projected_encoder
 from pairloom.plans import views
@@ -370,6 +370,34 @@ def candidate_stats(spark, sf_dir):
     return rounded(negatives.candidate_stats(lists), "mean_candidates")
 
 
+@query
+def mined_negatives(spark, sf_dir):
+    """The four passages nearest to each anchor that are no positive of it, by an index of cells."""
+    triplets = views.vector_triplets(spark, sf_dir).withColumns({"anchor_vector": F.col("anchor"), "positive_vector": F.col("positive")})
+    found = retrieval.mined_negatives(triplets, 4, shared_path(spark, "mined"))
+    return rounded(found, "score")
+
+
+@query
+def retrieve_passages(spark, sf_dir):
+    """The ten nearest of all vectors for every twentieth, from a written index."""
+    table = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    path = shared_path(spark, "index")
+    retrieval.build_index(table, path)
+    asked = table.where(F.col("id") % 20 == 0)
+    own = asked.select(F.col("id").alias("query_id"), "id")
+    found = retrieval.search(retrieval.open_index(spark, path), asked, 10, barred=own)
+    return rounded(found, "score")
+
+
+@query
+def top_labelled_vectors(spark, sf_dir):
+    """The three vectors of each label with the largest first component."""
+    table = views.table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("score"))
+    best = retrieval.top_k(table, ["label"], [F.col("score").desc(), F.col("vec_id")], 3)
+    return rounded(best.select("label", "rank", "vec_id", "score"), "score")
+
+
 # Vectors and scores
 
 

@@ -596,6 +596,26 @@ SELECT count(*) AS n_queries, round(avg(c), 6) AS mean_candidates,
   (SELECT count(DISTINCT passage) FROM slots) AS n_passages
 FROM (SELECT row_key, count(*) AS c FROM slots GROUP BY row_key)"""
 
+# every query against every vector
+ORACLES["mined_negatives"] = with_(VECTORS) + f"""
+, passages AS (SELECT positive, min(row_key) AS neg_key FROM vectors GROUP BY positive),
+scored AS (SELECT v.row_key, p.neg_key, {cosine('v.anchor', 'p.positive')} AS score
+  FROM vectors v JOIN passages p ON NOT EXISTS (
+    SELECT 1 FROM vectors o WHERE o.anchor = v.anchor AND o.positive = p.positive)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY score DESC, neg_key) AS rank FROM scored)
+SELECT row_key, rank::INTEGER AS rank, neg_key, round(score, 6) AS score FROM placed WHERE rank <= 4"""
+ORACLES["retrieve_passages"] = f"""
+WITH scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS id, {cosine('a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]')} AS score
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, id, round(score, 6) AS score FROM placed WHERE rank <= 10"""
+ORACLES["top_labelled_vectors"] = """
+SELECT label, rank::INTEGER AS rank, vec_id, round(score, 6) AS score FROM (
+  SELECT label, vec_id, embedding[1]::DOUBLE AS score,
+    row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings)
+WHERE rank <= 3"""
+
 ORACLES["encode_hashed"] = with_(
     encoded("e", "SELECT doc_id AS row_key, text FROM documents")
 ) + "SELECT row_key AS doc_id, lane::INTEGER AS lane, round(value, 6) AS value FROM e"
