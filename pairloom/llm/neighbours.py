@@ -127,16 +127,12 @@ def nearest(
 
     Vectors are compared with those of the same number of components. Rows with the query's
     own id are no candidates; an id that repeats counts once per query, with its best score,
-    and a repeated query is asked once. Fewer candidates than k give fewer rows, an empty
+    and a query id with several vectors is asked with each of them. Fewer candidates than k give fewer rows, an empty
     table none.
     """
     rows = usable(vectors, id_column, vector)
-    asked = (
-        rows.where(F.col("id") % every == 0)
-        .groupBy("id", "dims").agg(F.max("vector").alias("vector"))
-        .groupBy("id").agg(F.max_by(F.struct("vector", "dims"), "dims").alias("_one"))
-        .select("id", "_one.vector", "_one.dims")
-    )
+    # equal rows ask once, different vectors of one id each
+    asked = rows.where(F.col("id") % every == 0).distinct()
     n = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id") % every == 0)).first()
     blocks, chunks = max(1, -(-n[0] // block)), max(1, -(-n[1] // chunk))
 

@@ -17,12 +17,11 @@ def brute(rows, k=5, every=50):
     for q, own in good.items():
         if q % every:
             continue
-        query = max(own, key=lambda v: (len(v), v.tolist()))
         scores = []
         for i, vectors in good.items():
-            fit = [v for v in vectors if len(v) == len(query)]
+            fit = [(v, query) for v in vectors for query in own if len(v) == len(query)]
             if i != q and fit:
-                scores.append((-max(float((v * query).sum() / (math.sqrt((v * v).sum()) * math.sqrt((query * query).sum()))) for v in fit), i))
+                scores.append((-max(float((v * query).sum() / (math.sqrt((v * v).sum()) * math.sqrt((query * query).sum()))) for v, query in fit), i))
         out[q] = [(i, -s) for s, i in sorted(scores)[:k]]
     return out
 
@@ -65,6 +64,16 @@ def test_odd_vectors(spark):
     assert 150 not in got
 
 
+def test_every_vector_of_a_query_id_is_asked(spark):
+    rng = np.random.default_rng(4)
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [0.01, 1.0]), (2, [1.0, 0.02]), (100, [0.0, 1.0, 1.0]), (100, [-1.0, 0.0])]
+    rows += [(1000 + i, [-1.0 - float(x), -1.0]) for i, x in enumerate(rng.random(30)) if (1000 + i) % 50]
+    got = found(neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")))
+    want = brute(rows)
+    assert [i for i, _ in got[50]][:2] == [1, 2]
+    assert {q: [i for i, _ in near] for q, near in got.items()} == {q: [i for i, _ in near] for q, near in want.items()}
+
+
 def test_copies_and_empty_table(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal(16)
