@@ -12,12 +12,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.functions.math import bce_with_logits
+from pairloom.functions.math import bce_with_logits, sigmoid
 from pairloom.operators import loss as L
 from pairloom.operators.epochs import checkpoint_flags
 from pairloom.operators.ordering import assign_batches
@@ -28,36 +26,114 @@ from pairloom.session import materialise
 
 @dataclass
 class FittedTeacher:
-    model: LogisticRegressionModel
+    weights: dict[str, float]
+    bias: float
     metrics: DataFrame
     """(run_id, epoch, train_loss, val_loss, best_loss, save_model)"""
 
-    @property
-    def weights(self) -> dict[str, float]:
-        return dict(zip(FEATURES, (float(w) for w in self.model.coefficients)))
 
-    @property
-    def bias(self) -> float:
-        return float(self.model.intercept)
+MEMORY = 10
+"""Pairs of steps and gradient changes that stand for the curvature."""
+_EPOCH_SCHEMA = (
+    "run_id string, epoch long, train_loss double, val_loss double, point array<double>, gradient array<double>, "
+    "steps array<array<double>>, changes array<array<double>>, scale array<double>, ended boolean"
+)
 
 
-def _phase_losses(pairs: DataFrame, model: LogisticRegressionModel, label: str) -> dict[str, float]:
-    """Mean binary cross-entropy of the train and of the validation rows, in one pass."""
-    weights = dict(zip(FEATURES, (float(w) for w in model.coefficients)))
-    logits = pairs.withColumn("logit", linear_logit(weights, float(model.intercept)))
-    means = logits.groupBy("phase").agg(F.avg(bce_with_logits("logit", label)).alias("bce"))
-    return {row["phase"]: row["bce"] for row in means.collect()}
+@dataclass
+class _Descent:
+    """Where an L-BFGS run stands: all that its next iteration needs."""
+
+    point: np.ndarray
+    scale: np.ndarray
+    loss: float
+    val_loss: float
+    gradient: np.ndarray
+    steps: list[np.ndarray] = field(default_factory=list)
+    changes: list[np.ndarray] = field(default_factory=list)
+    ended: bool = False
+
+    def weights(self) -> tuple[dict[str, float], float]:
+        real = self.point / self.scale
+        return dict(zip(FEATURES, map(float, real))), float(real[-1])
+
+    def row(self, run_id: str, epoch: int) -> tuple:
+        lists = [[v.tolist() for v in vectors] for vectors in (self.steps, self.changes)]
+        return (run_id, epoch, self.loss, self.val_loss, self.point.tolist(), self.gradient.tolist(), *lists, self.scale.tolist(), self.ended)
+
+    @classmethod
+    def read(cls, row) -> _Descent:
+        vectors = [[np.array(v) for v in row[name]] for name in ("steps", "changes")]
+        return cls(
+            np.array(row["point"]), np.array(row["scale"]), row["train_loss"], row["val_loss"], np.array(row["gradient"]),
+            *vectors, row["ended"],
+        )
+
+
+def _teacher_pass(table: DataFrame, label: str, point: np.ndarray, scale: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """Train loss, validation loss and the train loss's gradient: one aggregation over the table."""
+    real = point / scale
+    logit = linear_logit(dict(zip(FEATURES, real)), real[-1])
+    rows = table.withColumn("logit", logit).withColumn("_rest", sigmoid("logit") - F.col(label))
+    slopes = [F.avg(F.col("_rest") * F.col(name)).alias(f"d_{name}") for name in FEATURES]
+    means = rows.groupBy("phase").agg(
+        F.avg(bce_with_logits("logit", label)).alias("bce"), *slopes, F.avg("_rest").alias("d_bias")
+    )
+    found = {row["phase"]: row for row in means.collect()}
+    gradient = np.array([found["train"][f"d_{name}"] for name in (*FEATURES, "bias")]) / scale
+    return found["train"]["bce"], found["val"]["bce"], gradient
+
+
+def _direction(state: _Descent) -> np.ndarray:
+    """The descent direction by the two-loop recursion over the kept pairs."""
+    q, kept = state.gradient.copy(), []
+    for s, y in zip(reversed(state.steps), reversed(state.changes)):
+        a = (s @ q) / (s @ y)
+        q -= a * y
+        kept.append((a, s, y))
+    if state.steps:
+        s, y = state.steps[-1], state.changes[-1]
+        q *= (s @ y) / (y @ y)
+    else:
+        q /= max(1.0, float(np.linalg.norm(q)))
+    for a, s, y in reversed(kept):
+        q += (a - (y @ q) / (s @ y)) * s
+    return -q
+
+
+def _iterate(table: DataFrame, label: str, state: _Descent, tolerance: float) -> None:
+    """One iteration: steps are halved until the loss falls enough, usually at the first."""
+    direction = _direction(state)
+    slope, step = float(state.gradient @ direction), 1.0
+    while True:
+        point = state.point + step * direction
+        loss, val_loss, gradient = _teacher_pass(table, label, point, state.scale)
+        if loss <= state.loss + 1e-4 * step * slope:
+            break
+        step /= 2
+        if step < 2.0**-20:  # the loss cannot fall any further in its digits
+            state.ended = True
+            return
+    s, y = point - state.point, gradient - state.gradient
+    if s @ y > 0:
+        state.steps, state.changes = [*state.steps, s][-MEMORY:], [*state.changes, y][-MEMORY:]
+    state.point, state.loss, state.val_loss, state.gradient = point, loss, val_loss, gradient
+    state.ended = bool(np.abs(gradient).max() <= tolerance)
 
 
 def fit_teacher(
     train_pairs: DataFrame, val_pairs: DataFrame, epochs: int = 3, iterations: int = 5,
-    label: str = "label", run_id: str = "teacher", tolerance: float = 1e-6,
+    label: str = "label", run_id: str = "teacher", tolerance: float = 1e-6, checkpoint: str | None = None,
 ) -> FittedTeacher:
     """Minimise binary cross-entropy and keep the model with the lowest validation loss.
 
-    Pairs carry the feature columns and a label. An epoch is `iterations` more L-BFGS
-    iterations from the start point, so the passes over the data are fixed in advance. The
-    narrow feature table is written once and every pass reads that.
+    Pairs carry the feature columns and a label. An epoch is `iterations` L-BFGS iterations
+    that go on from the epoch before; each is one pass over the data (more only if a step has
+    to be shortened), which gives both losses and the gradient. The narrow feature table is
+    written once and every pass reads that. The curvature pairs are a few numbers on the driver.
+
+    With `checkpoint`, a folder of this fit, every epoch's state is written there, and a fit
+    that was stopped goes on after the last written epoch with the same result.
     """
     columns = [*FEATURES, label]
     phases = [
@@ -65,34 +141,56 @@ def fit_teacher(
         for phase, pairs in (("train", train_pairs), ("val", val_pairs))
     ]
     table = materialise(phases[0].unionByName(phases[1]), "teacher", partition_by=["phase"])
+    spark = table.sparkSession
     filled = {row["phase"] for row in table.select("phase").distinct().collect()}
     if filled != {"train", "val"}:
         raise ValueError(f"no rows to fit on: {', '.join(sorted({'train', 'val'} - filled))}")
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    vectors = assembler.transform(table.where("phase = 'train'")).select("features", label)
-    best, best_loss, rows = None, float("inf"), []
-    for epoch in range(1, epochs + 1):
-        fit = LogisticRegression(maxIter=epoch * iterations, labelCol=label, tol=tolerance)
-        model = fit.fit(vectors)
-        losses = _phase_losses(table, model, label)
-        rows.append((run_id, epoch, losses["train"], losses["val"]))
-        if losses["val"] < best_loss:
-            best, best_loss = model, losses["val"]
-    metrics = table.sparkSession.createDataFrame(
-        rows, "run_id string, epoch long, train_loss double, val_loss double"
-    )
+    done = _written_epochs(spark, checkpoint, run_id) if checkpoint else []
+    if done:
+        state = _Descent.read(done[-1])
+    else:
+        spread = table.where("phase = 'train'").agg(*[F.stddev_pop(name) for name in FEATURES]).first()
+        scale = np.array([s if s and s > 0 else 1.0 for s in spread] + [1.0])
+        start = np.zeros(len(scale))
+        loss, val_loss, gradient = _teacher_pass(table, label, start, scale)
+        state = _Descent(start, scale, loss, val_loss, gradient)
+    rows = [tuple(row) for row in done[:epochs]]
+    for epoch in range(len(rows) + 1, epochs + 1):
+        for _ in range(iterations):
+            if state.ended:
+                break
+            _iterate(table, label, state, tolerance)
+        rows.append(state.row(run_id, epoch))
+        if checkpoint:
+            spark.createDataFrame(rows[-1:], _EPOCH_SCHEMA).coalesce(1).write.mode("append").parquet(checkpoint)
+    table_of = spark.createDataFrame(rows, _EPOCH_SCHEMA)
+    metrics = table_of.select("run_id", "epoch", "train_loss", "val_loss")
     flags = checkpoint_flags(metrics).drop("val_loss")
-    return FittedTeacher(best, metrics.join(flags, ["run_id", "epoch"]))
+    best = _Descent.read(min(table_of.collect(), key=lambda row: (row["val_loss"], row["epoch"])))
+    return FittedTeacher(*best.weights(), metrics.join(flags, ["run_id", "epoch"]))
+
+
+def _written_epochs(spark: SparkSession, path: str, run_id: str) -> list:
+    """The epochs of a run in order, one small row each; a write that did not end has none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return []
+    found = spark.read.schema(_EPOCH_SCHEMA).parquet(path).where(F.col("run_id") == run_id)
+    return found.dropDuplicates(["epoch"]).orderBy("epoch").collect()
 
 
 def save_teacher(fitted: FittedTeacher, path: str) -> None:
-    fitted.model.write().overwrite().save(path)
+    """Weights and bias as one row of Parquet."""
+    spark = fitted.metrics.sparkSession
+    row = [(*(fitted.weights[name] for name in FEATURES), fitted.bias)]
+    schema = ", ".join(f"{name} double" for name in (*FEATURES, "bias"))
+    spark.createDataFrame(row, schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def load_teacher(path: str) -> tuple[dict[str, float], float]:
     """Weights and bias for `score.teacher_scores`."""
-    model = LogisticRegressionModel.load(path)
-    return dict(zip(FEATURES, (float(w) for w in model.coefficients))), float(model.intercept)
+    row = SparkSession.active().read.parquet(path).first()
+    return {name: row[name] for name in FEATURES}, row["bias"]
 
 
 @dataclass(frozen=True)

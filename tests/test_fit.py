@@ -36,6 +36,56 @@ def test_teacher_learns_and_round_trips(spark, pairs):
     assert good["teacher"] > 0.5 > bad["teacher"]
 
 
+def test_teacher_epochs_go_on_from_each_other(spark, pairs, monkeypatch):
+    passes, one_pass = [], fit._teacher_pass
+    monkeypatch.setattr(fit, "_teacher_pass", lambda *a: passes.append(1) or one_pass(*a))
+    train, val = pairs.where("NOT val"), pairs.where("val")
+    parts = fit.fit_teacher(train, val, epochs=4, iterations=3, tolerance=0)
+    in_parts = len(passes)
+    whole = fit.fit_teacher(train, val, epochs=1, iterations=12, tolerance=0)
+    # sums of doubles depend on the order of tasks in their last digits
+    assert max(in_parts, len(passes) - in_parts) <= 16
+    last = parts.metrics.orderBy("epoch").collect()[-1]
+    assert last["train_loss"] == pytest.approx(whole.metrics.first()["train_loss"], rel=1e-9)
+
+
+def test_stopped_teacher_fit_goes_on(spark, pairs, monkeypatch):
+    train, val = pairs.where("NOT val"), pairs.where("val")
+    unbroken = fit.fit_teacher(train, val, epochs=4, iterations=2)
+    path, calls, one_pass = shared_path(spark, "epochs"), [], fit._teacher_pass
+
+    def stopping(*args):
+        calls.append(1)
+        if len(calls) == 6:
+            raise RuntimeError("driver lost")
+        return one_pass(*args)
+
+    monkeypatch.setattr(fit, "_teacher_pass", stopping)
+    with pytest.raises(RuntimeError):
+        fit.fit_teacher(train, val, epochs=4, iterations=2, checkpoint=path)
+    assert 0 < len(fit._written_epochs(spark, path, "teacher")) < 4
+    before = len(calls)
+    resumed = fit.fit_teacher(train, val, epochs=4, iterations=2, checkpoint=path)
+    assert resumed.weights == pytest.approx(unbroken.weights, rel=1e-6) and resumed.bias == pytest.approx(unbroken.bias, rel=1e-6)
+    losses = [[r["val_loss"] for r in f.metrics.orderBy("epoch").collect()] for f in (resumed, unbroken)]
+    assert len(calls) - before <= 8 and losses[0] == pytest.approx(losses[1], rel=1e-9)
+    again = len(calls)
+    assert fit.fit_teacher(train, val, epochs=4, iterations=2, checkpoint=path).weights == resumed.weights
+    assert len(calls) == again
+
+
+def test_teacher_reaches_the_optimum(spark, pairs):
+    fitted = fit.fit_teacher(pairs, pairs, epochs=1, iterations=100, tolerance=1e-10)
+    rows = pairs.collect()
+    x = np.array([[r["jaccard"], r["coverage"], r["length_ratio"], 1.0] for r in rows])
+    label = np.array([r["label"] for r in rows])
+    weights = np.zeros(4)
+    for _ in range(30):  # Newton's method
+        p = 1 / (1 + np.exp(-x @ weights))
+        weights -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]), x.T @ (p - label))
+    assert [*fitted.weights.values(), fitted.bias] == pytest.approx(weights.tolist(), rel=1e-6)
+
+
 def student_lists(rng, batches=6, size=4, k=5, dim=8):
     rows = []
     for b in range(batches):
