@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -151,6 +151,14 @@ class Automaton:
     reaches: np.ndarray
     resets: np.ndarray
 
+    @cached_property
+    def _moves(self) -> list[int]:
+        return self.moves.tolist()
+
+    def table(self) -> tuple[list[int], int]:
+        """`moves` for steps taken one by one, and `classes`."""
+        return self._moves, self.classes
+
 
 def compile_rules(rules: Sequence[Rule], search: bool) -> Automaton:
     """Subset construction over all rules at once, then minimisation."""
@@ -231,6 +239,20 @@ def _lanes(data: np.ndarray, automaton: Automaton, length: int) -> np.ndarray:
     return np.unique(np.concatenate([[0], cuts, [len(data)]]))
 
 
+FEW_LANES = 64
+"""So many lanes are quicker one by one: numpy's calls cost more than their bytes."""
+
+
+def _matches(automaton: Automaton, classes: np.ndarray, state: int) -> bool:
+    moves, n = automaton.table()
+    hot = {int(s) * n for s in np.flatnonzero(automaton.accepts)}
+    for c in classes.tolist():
+        state = moves[state + c]
+        if state in hot:
+            return True
+    return False
+
+
 def find_stretches(data: np.ndarray, automaton: Automaton, length: int = 256) -> np.ndarray:
     """Bounds (n x 2) of the stretches of `data` in which a rule matched."""
     bounds = _lanes(data, automaton, length)
@@ -243,6 +265,10 @@ def find_stretches(data: np.ndarray, automaton: Automaton, length: int = 256) ->
     seen = np.zeros(len(starts), dtype=bool)
     alive = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, int(sizes[0]) + 1) if len(sizes) else [])
     for at, n in enumerate(alive):
+        if n <= FEW_LANES:
+            for lane in range(n):
+                seen[lane] |= _matches(automaton, classes[starts[lane] + at:starts[lane] + sizes[lane]], int(state[lane]))
+            break
         now = state[:n]
         now += classes[starts[:n] + at]
         now[:] = automaton.moves[now]
@@ -254,16 +280,24 @@ def find_stretches(data: np.ndarray, automaton: Automaton, length: int = 256) ->
 def spans_in(
     text: bytes, base: int, rules: Sequence[Rule], automaton: Automaton
 ) -> Iterator[tuple[int, int, int]]:
-    """Leftmost longest matches (start, rule, end) in `text`, without overlaps per rule."""
-    moves, n = automaton.moves.tolist(), automaton.classes
+    """Leftmost longest matches (start, rule, end) in `text`, without overlaps per rule.
+
+    A walk that comes to a place in the state in which an earlier one has been there, for the
+    same rules, ends as that one did: so a run in which nothing matches is walked once for
+    each state, not once for each place where a match could begin.
+    """
+    moves, n = automaton.table()
     accepts, reaches = automaton.accepts.tolist(), automaton.reaches.tolist()
     free = [0] * len(rules)
     closed = automaton.class_of[np.frombuffer(text, dtype=np.uint8)]
     opening = np.flatnonzero(automaton.reaches[automaton.moves[closed] // n])
     closed = closed.tolist()
+    # per state the last walk that was in it, with the first and last place of that run
+    been: dict[int, list] = {}
     for start in opening.tolist():
         open_rules = sum(1 << r for r, at in enumerate(free) if at <= start)
         state, ends = 0, {}
+        walk = (open_rules, ends)
         for at in range(start, len(closed)):
             state = moves[state + closed[at]]
             if not reaches[state // n] & open_rules:
@@ -274,6 +308,16 @@ def spans_in(
                     ends[rule] = at + 1
                 mask >>= 1
                 rule += 1
+            run = been.get(state)
+            if run is None:
+                been[state] = [walk, at, at]
+            elif run[0] is walk and run[2] == at - 1:
+                run[2] = at
+            elif run[0][0] == open_rules and run[1] <= at <= run[2]:
+                ends.update((rule, end) for rule, end in run[0][1].items() if end > at)
+                break
+            else:
+                been[state] = [walk, at, at]
         for rule, end in ends.items():
             free[rule] = end
             yield base + start, rule, base + end

@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pytest
@@ -54,6 +55,23 @@ def test_spans_equal_the_regexes(parts, length):
 CACHE = {}
 
 
+@pytest.mark.parametrize("part", [
+    "eyJ", "eyJa ", "eyJ token=", "some words ", "token=", "token= ", "AKIA", "-----BEGIN ", "f", "deadbeef ", "ghp_", "password:", "eyJa.", "日 ",
+    "secret='", "-----BEGIN PRIVATE ",
+])
+def test_long_texts_take_linear_time(automata, part):
+    text = part * (1_000_000 // len(part.encode()))
+    begun = time.perf_counter()
+    got = run(text, automata, 256)
+    assert time.perf_counter() - begun < 8
+    want = {
+        (m.start(), i, m.end()) for i, rule in enumerate(secrets.RULES)
+        for m in re.finditer(rule.pattern.encode(), text[:3000].encode(), re.IGNORECASE if rule.any_case else 0)
+    }
+    near = len(text[:3000].encode()) - 300
+    assert {f for f in got if f[2] < near} == {f for f in want if f[2] < near}
+
+
 def test_minimal_automaton_is_smaller_than_the_subsets(automata):
     anchored = automata[1]
     table = anchored.moves.reshape(-1, anchored.classes) // anchored.classes
@@ -66,7 +84,8 @@ def test_odd_rows_and_planted_secrets(make_docs, odd_rows):
     rows = [(r[0], r[1]) for r in odd_rows] + [
         (100, 'é password = "abc" token:secret=longenough1 AKIA1234 ' + "0a" * 16 + " end"),
         (101, "x" * 5000 + "AKIAABCDEFGHIJKL" + "日" * 10 + "token=12345678"),
-        (102, "f" * 100_000), (103, "password=" * 2000),
+        (102, "f" * 100_000), (103, "password=" * 2000), (104, "eyJ" * 2000), (105, "eyJ" * 40 + "." + "eyJ" * 50 + ".token=eyJ" + "x" * 40),
+        (106, "eyJab.eyJ.token=eyJcd " * 200), (107, "words and eyJ words " * 400 + "token=12345678"),
     ]
     found = secrets.scan(make_docs(rows)).collect()
     got = sorted((str(r.doc_id), [(s.kind, s.start, s.end) for s in r.secrets]) for r in found)
