@@ -145,7 +145,8 @@ def fit_teacher(
     filled = {row["phase"] for row in table.select("phase").distinct().collect()}
     if filled != {"train", "val"}:
         raise ValueError(f"no rows to fit on: {', '.join(sorted({'train', 'val'} - filled))}")
-    done = _written_epochs(spark, checkpoint, run_id) if checkpoint else []
+    written = _written_epochs(spark, checkpoint, run_id, _EPOCH_SCHEMA) if checkpoint else None
+    done = written.orderBy("epoch").collect() if written is not None else []  # a few numbers each
     if done:
         state = _Descent.read(done[-1])
     else:
@@ -170,13 +171,12 @@ def fit_teacher(
     return FittedTeacher(*best.weights(), metrics.join(flags, ["run_id", "epoch"]))
 
 
-def _written_epochs(spark: SparkSession, path: str, run_id: str) -> list:
-    """The epochs of a run in order, one small row each; a write that did not end has none."""
+def _written_epochs(spark: SparkSession, path: str, run_id: str, schema: str) -> DataFrame | None:
+    """The written epochs of a run, one row each; a write that did not end has none."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return []
-    found = spark.read.schema(_EPOCH_SCHEMA).parquet(path).where(F.col("run_id") == run_id)
-    return found.dropDuplicates(["epoch"]).orderBy("epoch").collect()
+        return None
+    return spark.read.schema(schema).parquet(path).where(F.col("run_id") == run_id).dropDuplicates(["epoch"])
 
 
 def save_teacher(fitted: FittedTeacher, path: str) -> None:
@@ -401,6 +401,13 @@ class FittedStudent:
     history: list[tuple] = field(default_factory=list)
 
 
+_STEP_SCHEMA = "run_id string, phase string, epoch long, batch_id long, loss double, status string"
+_STUDENT_SCHEMA = (
+    "run_id string, epoch long, weights array<double>, step long, mean array<double>, square array<double>, "
+    "history array<struct<run_id: string, phase: string, epoch: long, batch_id: long, loss: double, status: string>>"
+)
+
+
 def initial_weights(dim_in: int, dim_out: int | None = None, seed: int = 42) -> np.ndarray:
     """The identity, or seeded orthonormal rows for a smaller output."""
     if dim_out is None or dim_out == dim_in:
@@ -412,7 +419,7 @@ def initial_weights(dim_in: int, dim_out: int | None = None, seed: int = 42) ->
 def fit_student(
     lists: DataFrame, dim_in: int, dim_out: int | None = None, steps_per_epoch: int = 8,
     settings: StudentSettings | None = None, seed: int = 42, run_id: str = "student",
-    batch_size: int | None = None,
+    batch_size: int | None = None, checkpoint: str | None = None,
 ) -> FittedStudent:
     """Minimise the distillation loss of a linear projection with AdamW and clipping.
 
@@ -422,6 +429,10 @@ def fit_student(
     them. Packed batches are written once (per epoch, if dealt anew), partitioned by step,
     and each step reads only its partition. The metrics have a row per step that had a whole
     batch and a `skipped` row per batch that could not be used.
+
+    With `checkpoint`, a folder of this fit, weights, moments and metrics are written after
+    every epoch, and a fit that was stopped goes on after the last written epoch with the same
+    result. Only the newest state is read back.
     """
     settings = settings or StudentSettings()
 
@@ -434,8 +445,22 @@ def fit_student(
         return materialise(packed, "student-batches", partition_by=["step"])
 
     weights, optimizer, rows = initial_weights(dim_in, dim_out, seed), _AdamW(settings), []
-    packed = None
-    for epoch in range(1, settings.epochs + 1):
+    packed, spark = None, lists.sparkSession
+    written = _written_epochs(spark, checkpoint, run_id, _STUDENT_SCHEMA) if checkpoint else None
+    if written is not None:
+        done = written.where(F.col("epoch") <= settings.epochs)
+        for row in done.select("epoch", "history").orderBy("epoch").collect():
+            rows += [tuple(step) for step in row["history"]]
+        last = done.orderBy(F.col("epoch").desc()).first()
+        if last:
+            shape = weights.shape
+            weights = np.array(last["weights"]).reshape(shape)
+            if last["step"]:
+                moments = (np.array(last[name]).reshape(shape) for name in ("mean", "square"))
+                optimizer = _AdamW(settings, last["step"], *moments)
+    begun = last["epoch"] if written is not None and last else 0
+    for epoch in range(begun + 1, settings.epochs + 1):
+        before = len(rows)
         if packed is None or batch_size is not None:
             packed = batches(epoch)
         for step in range(steps_per_epoch):
@@ -446,10 +471,11 @@ def fit_student(
                 gradient = sums[: weights.size].reshape(weights.shape)
                 weights = optimizer.update(weights, gradient / found)
                 rows.append((run_id, "train", epoch, step, float(sums[_LOSS] / found), "ok"))
-    metrics = lists.sparkSession.createDataFrame(
-        rows,
-        "run_id string, phase string, epoch long, batch_id long, loss double, status string",
-    )
+        if checkpoint:
+            moments = [m.ravel().tolist() if m is not None else None for m in (optimizer.mean, optimizer.square)]
+            state = (run_id, epoch, weights.ravel().tolist(), optimizer.step, *moments, rows[before:])
+            spark.createDataFrame([state], _STUDENT_SCHEMA).coalesce(1).write.mode("append").parquet(checkpoint)
+    metrics = spark.createDataFrame(rows, _STEP_SCHEMA)
     return FittedStudent(weights, metrics, rows)
 
 

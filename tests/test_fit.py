@@ -63,7 +63,7 @@ def test_stopped_teacher_fit_goes_on(spark, pairs, monkeypatch):
     monkeypatch.setattr(fit, "_teacher_pass", stopping)
     with pytest.raises(RuntimeError):
         fit.fit_teacher(train, val, epochs=4, iterations=2, checkpoint=path)
-    assert 0 < len(fit._written_epochs(spark, path, "teacher")) < 4
+    assert 0 < fit._written_epochs(spark, path, "teacher", fit._EPOCH_SCHEMA).count() < 4
     before = len(calls)
     resumed = fit.fit_teacher(train, val, epochs=4, iterations=2, checkpoint=path)
     assert resumed.weights == pytest.approx(unbroken.weights, rel=1e-6) and resumed.bias == pytest.approx(unbroken.bias, rel=1e-6)
@@ -237,6 +237,33 @@ def test_new_batches_every_epoch_equal_sequential_training(spark):
     assert np.allclose(fitted.weights, weights) and [r[4] for r in fitted.history] == pytest.approx(losses)
 
 
+@pytest.mark.parametrize("batch_size", [None, 4])
+def test_stopped_student_fit_goes_on(spark, monkeypatch, batch_size):
+    lists = spark.createDataFrame(student_lists(np.random.default_rng(3)), LISTS)
+    settings = fit.StudentSettings(epochs=3, lr=0.02)
+
+    def run(checkpoint=None):
+        return fit.fit_student(lists, 8, steps_per_epoch=3, settings=settings, batch_size=batch_size, checkpoint=checkpoint)
+
+    unbroken, path, calls, sums = run(), shared_path(spark, "student-state"), [], fit.step_sums
+
+    def stopping(*args):
+        calls.append(1)
+        if len(calls) == 5:
+            raise RuntimeError("driver lost")
+        return sums(*args)
+
+    monkeypatch.setattr(fit, "step_sums", stopping)
+    with pytest.raises(RuntimeError):
+        run(path)
+    resumed = run(path)
+    assert len(calls) == 5 + 6  # the first epoch is not repeated
+    assert np.allclose(resumed.weights, unbroken.weights, rtol=1e-9, atol=1e-12)
+    assert [r[:4] for r in resumed.history] == [r[:4] for r in unbroken.history]
+    assert [r[4] for r in resumed.history] == pytest.approx([r[4] for r in unbroken.history], rel=1e-9)
+    assert np.array_equal(run(path).weights, resumed.weights) and len(calls) == 11
+
+
 def test_teacher_needs_rows_to_validate_on(spark, pairs):
     with pytest.raises(ValueError, match="val"):
         fit.fit_teacher(pairs, pairs.where("false"))
