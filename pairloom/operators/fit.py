@@ -105,13 +105,15 @@ def _iterate(table: DataFrame, label: str, state: _Descent, tolerance: float) ->
     """One iteration: steps are halved until the loss falls enough, usually at the first."""
     direction = _direction(state)
     slope, step = float(state.gradient @ direction), 1.0
+    rounding = 2.0**-48 * abs(state.loss)
     while True:
         point = state.point + step * direction
         loss, val_loss, gradient = _teacher_pass(table, label, point, state.scale)
-        if loss <= state.loss + 1e-4 * step * slope:
+        flat = abs(loss - state.loss) <= rounding  # the loss tells no more, the gradient still may
+        if loss <= state.loss + 1e-4 * step * slope or flat and np.abs(gradient).max() < np.abs(state.gradient).max():
             break
         step /= 2
-        if step < 2.0**-20:  # the loss cannot fall any further in its digits
+        if flat or step < 2.0**-20:
             state.ended = True
             return
     s, y = point - state.point, gradient - state.gradient
