@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import text
 from pairloom.functions.math import sigmoid
 from pairloom.operators import (
-    distil, epochs, evaluate, fit, loss, negatives, ordering, pairs, prepare, retrieval, score,
+    distil, epochs, evaluate, fit, loss, negatives, ordering, pairs, prepare, retrieval, score, sketches,
 )
 from pairloom.operators.encode import DEFAULT_DIM, encode, hashed_encoder, projected_encoder
 from pairloom.plans import views
@@ -398,6 +398,27 @@ def top_labelled_vectors(spark, sf_dir):
     return rounded(best.select("label", "rank", "vec_id", "score"), "score")
 
 
+@query
+def merged_sketches(spark, sf_dir):
+    """Sketches per language and source, stored and merged per language: whether the distinct
+    texts and the median length are within the stated errors of the exact ones."""
+    docs = views.table(spark, sf_dir, "documents").select("lang", "source", "text", "n_chars")
+    stored = materialise(sketches.sketch(docs, ["lang", "source"], "text", "n_chars"), "sketches")
+    found = sketches.estimates(sketches.merge_sketches(stored, ["lang"]), [0.5]).select(
+        "lang", "n", "n_distinct", F.col("quantiles")[0].alias("median")
+    )
+    exact = docs.join(F.broadcast(found), "lang").groupBy("lang", "n").agg(  # one row per language
+        F.count_distinct("text").alias("d"), F.first("n_distinct").alias("n_distinct"),
+        F.avg((F.col("n_chars") < F.col("median")).cast("int")).alias("below"),
+        F.avg((F.col("n_chars") <= F.col("median")).cast("int")).alias("upto"),
+    )
+    slack = sketches.RANK_ERROR + 1 / F.col("n")
+    return exact.select(
+        "lang", "n", (F.abs(F.col("n_distinct") / F.col("d") - 1) <= sketches.DISTINCT_ERROR).alias("distinct_holds"),
+        ((F.col("below") - slack <= 0.5) & (F.col("upto") + slack >= 0.5)).alias("median_holds"),
+    )
+
+
 # Vectors and scores
 
 

