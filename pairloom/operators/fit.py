@@ -6,7 +6,7 @@ or the student's projection matrix, and per step one summed gradient of that siz
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,6 +19,7 @@ from pairloom.functions.math import bce_with_logits, sigmoid
 from pairloom.operators import loss as L
 from pairloom.operators.epochs import checkpoint_flags
 from pairloom.operators.ordering import assign_batches
+from pairloom.operators.quarantine import Quarantine
 from pairloom.operators.score import FEATURES, linear_logit, vector_triplet_scores
 from pairloom.schema import require_columns
 from pairloom.session import materialise
@@ -175,12 +176,16 @@ def fit_teacher(
 
 def _written_epochs(spark: SparkSession, path: str, run_id: str, schema: str) -> DataFrame | None:
     """The written epochs of a run, one row each; a write that did not end has none."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if not _exists(spark, path):
         return None
     return spark.read.schema(schema).parquet(path).where(F.col("run_id") == run_id).dropDuplicates(["epoch"])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def save_teacher(fitted: FittedTeacher, path: str) -> None:
     """Weights and bias as one row of Parquet."""
     spark = fitted.metrics.sparkSession
@@ -325,6 +330,9 @@ def _arrays(row, dim_in: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | Non
     return query.reshape(n, dim_in), passages.reshape(n, k, dim_in), teacher.reshape(n, k)
 
 
+BatchLoss = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, StudentSettings], tuple[float, np.ndarray]]
+"""Loss and gradient of one batch: (weights, query, passages, teacher, settings)."""
+
 # Places behind the gradient in a packed sum.
 _LOSS, _BATCHES, _SKIPPED = -3, -2, -1
 
@@ -334,13 +342,17 @@ def _added(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [0], "sums": [total.tobytes()]})
 
 
-def step_sums(packed: DataFrame, weights: np.ndarray, settings: StudentSettings, fan: int = 32) -> np.ndarray:
+def step_sums(
+    packed: DataFrame, weights: np.ndarray, settings: StudentSettings, fan: int = 32, batch_loss: BatchLoss | None = None,
+) -> np.ndarray:
     """The gradient entries of `packed`, then its loss and numbers of batches and skipped ones.
 
     Each task adds up its own batches into one array, and the arrays are added in two
     rounds, so one array of the model's size reaches the driver. A batch that exhausts memory
-    or is not whole is counted as skipped and the rest goes on.
+    or is not whole is counted as skipped and the rest goes on. `batch_loss` takes the place
+    of `batch_loss_gradient`.
     """
+    batch_loss = batch_loss or batch_loss_gradient
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(weights.size + 3)
@@ -351,7 +363,7 @@ def step_sums(packed: DataFrame, weights: np.ndarray, settings: StudentSettings,
                     if arrays is None:
                         total[_SKIPPED] += 1
                         continue
-                    loss, gradient = batch_loss_gradient(weights, *arrays, settings)
+                    loss, gradient = batch_loss(weights, *arrays, settings)
                 except MemoryError:
                     total[_SKIPPED] += 1
                     continue
@@ -422,6 +434,7 @@ def fit_student(
     lists: DataFrame, dim_in: int, dim_out: int | None = None, steps_per_epoch: int = 8,
     settings: StudentSettings | None = None, seed: int = 42, run_id: str = "student",
     batch_size: int | None = None, checkpoint: str | None = None,
+    batch_loss: BatchLoss | None = None, max_quarantined: int = 16,
 ) -> FittedStudent:
     """Minimise the distillation loss of a linear projection with AdamW and clipping.
 
@@ -435,6 +448,12 @@ def fit_student(
     With `checkpoint`, a folder of this fit, weights, moments and metrics are written after
     every epoch, and a fit that was stopped goes on after the last written epoch with the same
     result. Only the newest state is read back.
+
+    A batch that ends its worker or raises is found after the step's job has failed, and left out of
+    that step and all later ones with a `skipped` row each, as if `lists` did not have it
+    (`quarantine`); if more than `max_quarantined` do, the failure is raised. With `checkpoint` they are
+    written, once found, to the folder beside it that `quarantine_path` names, and a fit that goes on
+    does not meet them again. Batches dealt anew are left out for their epoch only.
     """
     settings = settings or StudentSettings()
 
@@ -446,6 +465,14 @@ def fit_student(
         packed = pack_batches(frame, steps_per_epoch)
         return materialise(packed, "student-batches", partition_by=["step"])
 
+    def summed(rows: DataFrame) -> np.ndarray:
+        if batch_loss is None:
+            return step_sums(rows, weights, settings)
+        return step_sums(rows, weights, settings, batch_loss=batch_loss)
+
+    quarantine = Quarantine("batch_id", max_quarantined)
+    if checkpoint:
+        quarantine.found = _read_quarantine(lists.sparkSession, checkpoint, run_id)
     weights, optimizer, rows = initial_weights(dim_in, dim_out, seed), _AdamW(settings), []
     packed, spark = None, lists.sparkSession
     written = _written_epochs(spark, checkpoint, run_id, _STUDENT_SCHEMA) if checkpoint else None
@@ -466,8 +493,12 @@ def fit_student(
         if packed is None or batch_size is not None:
             packed = batches(epoch)
         for step in range(steps_per_epoch):
-            sums = step_sums(packed.where(F.col("step") == step), weights, settings)
-            skipped, found = int(sums[_SKIPPED]), sums[_BATCHES]
+            scope, left_out = epoch if batch_size is not None else 0, quarantine.size()
+            sums = quarantine.run(packed.where(F.col("step") == step), summed, scope)
+            if checkpoint and quarantine.size() > left_out:
+                _write_quarantine(spark, checkpoint, run_id, quarantine)
+            ended = sum(key % steps_per_epoch == step for key in quarantine.keys(scope))
+            skipped, found = int(sums[_SKIPPED]) + ended, sums[_BATCHES]
             rows += [(run_id, "train", epoch, step, None, "skipped")] * skipped
             if found:
                 gradient = sums[: weights.size].reshape(weights.shape)
@@ -481,6 +512,31 @@ def fit_student(
     return FittedStudent(weights, metrics, rows)
 
 
+_QUARANTINE_SCHEMA = "run_id string, scope long, batch_id long, error string"
+
+
+def quarantine_path(checkpoint: str) -> str:
+    """Where a fit with this checkpoint writes the batches it leaves out."""
+    return f"{checkpoint.rstrip('/')}-quarantine"
+
+
+def _write_quarantine(spark: SparkSession, checkpoint: str, run_id: str, quarantine: Quarantine) -> None:
+    rows = [(run_id, scope, key, error) for scope, keys in quarantine.found.items() for key, error in keys]
+    spark.createDataFrame(rows, _QUARANTINE_SCHEMA).coalesce(1).write.mode("append").parquet(quarantine_path(checkpoint))
+
+
+def _read_quarantine(spark: SparkSession, checkpoint: str, run_id: str) -> dict[int, list[tuple[int, str]]]:
+    """What was left out by scope: at most `limit` batches, once for every time one was added."""
+    path = quarantine_path(checkpoint)
+    if not _exists(spark, path):
+        return {}
+    found: dict[int, list[tuple[int, str]]] = {}
+    rows = spark.read.schema(_QUARANTINE_SCHEMA).parquet(path).where(F.col("run_id") == run_id)
+    for row in rows.dropDuplicates(["scope", "batch_id"]).orderBy("scope", "batch_id").collect():
+        found.setdefault(row["scope"], []).append((row["batch_id"], row["error"]))
+    return found
+
+
 def project(vector: Column | str, weights: np.ndarray) -> Column:
     """Student vector of a base vector, one matrix product per Arrow batch."""
 

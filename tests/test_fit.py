@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import distil, encode, epochs, fit, loss, score
 from pairloom.operators.ordering import assign_batches
+from pairloom.operators.quarantine import Quarantine
 from pairloom.session import materialise, shared_path
 
 
@@ -192,6 +194,89 @@ def test_batch_out_of_memory_is_skipped(spark, monkeypatch):
     assert sums[fit._SKIPPED] == 1 and sums[fit._BATCHES] == 3
 
 
+def ending(marks, error=None):
+    """The batch loss, except that batches whose first query entry is marked kill their worker or raise."""
+    plain = fit.batch_loss_gradient
+
+    def loss(weights, query, passages, teacher, settings):
+        if any(abs(query[0, 0] - mark) < 1e-12 for mark in marks):
+            if error:
+                raise RuntimeError(error)
+            os._exit(1)
+        return plain(weights, query, passages, teacher, settings)
+
+    return loss
+
+
+def first_entries(rows, *batches):
+    return [next(r[4][0] for r in rows if r[0] == b) for b in batches]
+
+
+@pytest.mark.parametrize("error", [None, "CUDA out of memory"])
+def test_batches_that_end_their_worker_are_left_out(spark, error):
+    rows = student_lists(np.random.default_rng(12), batches=9)
+    path = shared_path(spark, "student-quarantine")
+
+    def run(epochs, loss, frame=rows, checkpoint=path, steps=3):
+        settings = fit.StudentSettings(epochs=epochs, lr=0.02)
+        lists = spark.createDataFrame(frame, LISTS)
+        return fit.fit_student(lists, 8, steps_per_epoch=steps, settings=settings, checkpoint=checkpoint, batch_loss=loss)
+
+    loss = ending(first_entries(rows, 1, 4, 6), error)
+    run(1, loss)
+    written = spark.read.parquet(fit.quarantine_path(path))
+    assert {(r["scope"], r["batch_id"]) for r in written.collect()} == {(0, 1), (0, 4), (0, 6)}
+    # the second epoch goes on from the written state and does not meet the batches again
+    before = written.count()
+    fitted = run(2, loss)
+    assert spark.read.parquet(fit.quarantine_path(path)).count() == before
+    want = run(2, None, [r for r in rows if r[0] not in (1, 4, 6)], None)
+    assert np.allclose(fitted.weights, want.weights, rtol=1e-9, atol=1e-12)
+    skipped = [(r[2], r[3]) for r in fitted.history if r[5] == "skipped"]
+    assert skipped == [(1, 0), (1, 1), (1, 1), (2, 0), (2, 1), (2, 1)]
+    assert [r[4] for r in fitted.history if r[5] == "ok"] == pytest.approx([r[4] for r in want.history])
+
+
+def test_a_fault_of_every_batch_is_raised(spark):
+    rows = student_lists(np.random.default_rng(13), batches=5)
+    lists = spark.createDataFrame(rows, LISTS)
+    loss = ending(first_entries(rows, 0, 1, 2, 3, 4), "wrong")
+    for limit in (0, 2):
+        with pytest.raises(Exception, match="wrong"):
+            fit.fit_student(lists, 8, steps_per_epoch=1, batch_loss=loss, max_quarantined=limit)
+
+
+def test_batches_dealt_anew_are_left_out_for_one_epoch(spark):
+    rows = student_lists(np.random.default_rng(14), batches=4)
+    lists = spark.createDataFrame(rows, LISTS)
+    bad = rows[0][4][0]
+    plain = fit.batch_loss_gradient
+
+    def loss(weights, query, passages, teacher, settings):
+        if np.isclose(query[:, 0], bad, rtol=0, atol=1e-12).any():
+            os._exit(1)
+        return plain(weights, query, passages, teacher, settings)
+
+    fitted = fit.fit_student(
+        lists, 8, steps_per_epoch=4, settings=fit.StudentSettings(epochs=2, lr=0.02), batch_size=4, batch_loss=loss
+    )
+    assert [sum(r[2] == e and r[5] == "skipped" for r in fitted.history) for e in (1, 2)] == [1, 1]
+    assert [sum(r[2] == e and r[5] == "ok" for r in fitted.history) for e in (1, 2)] == [3, 3]
+
+
+def test_a_job_that_passes_when_tried_again_leaves_nothing_out(spark):
+    calls = []
+
+    def job(rows):
+        calls.append(1)
+        if len(calls) == 1:
+            return rows.select(F.raise_error(F.lit("lost"))).collect()
+        return rows.count()
+
+    kept = Quarantine("id")
+    assert kept.run(spark.range(100), job) == 100 and kept.size() == 0
+
+
 def test_batches_that_are_not_whole_are_skipped(spark):
     rows = student_lists(np.random.default_rng(6), batches=4)
     rows = [r for i, r in enumerate(rows) if i != 3]
