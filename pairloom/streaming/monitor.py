@@ -355,17 +355,19 @@ def monitor_stream(
     Each Arrow batch is reduced to one row per attempt before the shuffle, and the state of
     a run is one row of maxima whatever the length of its log. Only the newest attempt of a
     run speaks: a newer one replaces what is known of the run, lines of older ones are left
-    out. A trigger counts as a poll only if it brings lines beyond those seen, so lines that
-    are delivered again change nothing.
+    out. A trigger counts as a poll only if it raises one of the run's maxima: lines that are
+    delivered again change nothing, while an error line that comes after lines written later
+    (rolled logs) is a poll of its own, in error if it lies within its rule's last lines. No
+    state per line is needed for this, and a line may be late by any time.
 
     A run that stays silent for `silence_seconds` gets one `missing` row per silence. After
-    completion or halt nothing more is reported of that attempt. The state of an ended or
-    missing run goes after `forget_seconds` without lines (default: 40 silences). A stream
-    that is to end (`availableNow`) needs `silence_seconds=None`, as Spark goes on running
-    triggers while it waits for timeouts.
+    completion or halt nothing more is reported of that attempt: what stays is a marker
+    (attempt and last line, one small row per run), so late lines never open a finished run
+    again. Markers and the states of missing runs stay for good, or for `forget_seconds`
+    without lines; after that a late line of theirs is taken for a new run. A stream that
+    is to end (`availableNow`) needs `silence_seconds=None`, as Spark goes on running triggers
+    while it waits for timeouts.
     """
-    if forget_seconds is None and silence_seconds is not None:
-        forget_seconds = 40 * silence_seconds
     names = [_last(rule.name) for rule in _all_rules(rules)]
     partial = _partial_schema(names)
     slim = _short_texts(log_rules(lines, rules)).select(
@@ -415,8 +417,13 @@ def monitor_stream(
 
     def wait(state: GroupState, quiet: bool) -> None:
         # a timeout holds for one call only, so every call sets it anew
-        if silence_seconds is not None:
-            state.setTimeoutDuration((forget_seconds if quiet else silence_seconds) * 1000)
+        seconds = forget_seconds if quiet else silence_seconds
+        if silence_seconds is not None and seconds is not None:
+            state.setTimeoutDuration(seconds * 1000)
+
+    def marker(values: dict) -> dict:
+        """What is kept of an attempt that has ended."""
+        return {**values, **dict.fromkeys(names, NEVER), "message_text": None, "progress": None}
 
     def track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before = dict(zip(state_names, state.get)) if state.exists else None
@@ -448,7 +455,7 @@ def monitor_stream(
         if before is not None:
             parts.append(pd.DataFrame([{**out, **{c: before[c] for c in state_names if c in columns}}]))
         merged = _combine(pd.concat(parts, ignore_index=True), names).iloc[0].to_dict()
-        if before is not None and merged["last_line"] <= before["last_line"]:
+        if before is not None and all(merged[c] <= before[c] for c in ("last_line", *names)):
             keep(state, {**before, **{c: merged[c] for c in columns if c in state_names}})
             return
         status, error_type, message = _decide(merged, rules)
@@ -458,11 +465,9 @@ def monitor_stream(
         action = {
             "complete": "evaluate", "error": "halt" if halted else "recover", "running": "none",
         }[status]
-        merged.update(
-            poll=poll, streak=streak, ended=status == "complete" or halted, missing=False,
-            attempt=attempt,
-        )
-        keep(state, merged)
+        ended = status == "complete" or halted
+        merged.update(poll=poll, streak=streak, ended=ended, missing=False, attempt=attempt)
+        keep(state, marker(merged) if ended else merged)
         yield pd.DataFrame([
             {**out, "attempt": attempt, "poll": poll, "last_line": merged["last_line"],
              "last_ts": merged["last_ts"],

@@ -174,6 +174,43 @@ def test_late_lines_do_not_reopen_a_finished_run(spark):
     assert rows == [("r", 0, "complete", "evaluate", 0)]
 
 
+def test_late_error_lines_are_a_poll_of_their_own(spark):
+    seen = log(spark, ["ok"] * 3, first=10)
+    late, older = log(spark, ["RuntimeError: CUDA out of memory"], first=5), log(spark, ["ok"], first=2)
+    rows = deliver(spark, shared_path(spark, "rolled"), shared_path(spark, "rolled-out"), [seen, late, late, older, seen])
+    assert rows == [("r", 0, "running", "none", 0), ("r", 0, "error", "recover", 1)]
+
+
+def test_late_error_lines_beyond_their_window_change_no_status(spark):
+    seen = log(spark, ["ok"], first=5000)
+    late = log(spark, ["RuntimeError: CUDA out of memory"], first=5)
+    rows = deliver(spark, shared_path(spark, "far"), shared_path(spark, "far-out"), [seen, late])
+    assert {r[2] for r in rows} == {"running"}
+
+
+def test_ended_runs_are_never_opened_again(spark):
+    source, out = shared_path(spark, "ended"), shared_path(spark, "ended-out")
+    log(spark, ["ok", "saved model"]).coalesce(1).write.parquet(source)
+    statuses = monitor.monitor_stream(stream_log(spark, source), silence_seconds=1)
+    query = monitor.write_monitor(statuses, f"{out}/status", f"{out}/actions", f"{out}/state", poll_seconds=1)
+    try:
+        def wait(check):
+            for _ in range(60):
+                time.sleep(1)
+                if check():
+                    return
+        wait(lambda: len(query.recentProgress) > 2)
+        time.sleep(6)  # many silences
+        log(spark, ["Training: 9%"], first=7).coalesce(1).write.mode("append").parquet(source)
+        before = len(query.recentProgress)
+        wait(lambda: sum(p["numInputRows"] for p in query.recentProgress) >= 3)
+        wait(lambda: len(query.recentProgress) > before + 4)
+    finally:
+        query.stop()
+    rows = spark.read.parquet(f"{out}/status").collect()
+    assert [(r["run_id"], r["status"], r["action"]) for r in rows] == [("r", "complete", "evaluate")]
+
+
 def test_only_the_newest_attempt_speaks(spark):
     old, new = log(spark, ["an error"]), log(spark, ["ok"], attempt=1)
     both = old.unionByName(log(spark, ["saved model"], attempt=1, first=5))
