@@ -71,6 +71,15 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return vectors / np.where(norms > 0, norms, 1)[:, None]
 
 
+def typical(vectors: np.ndarray, trim: float) -> np.ndarray:
+    """The vectors without the share `trim` of them that is least like their mean.
+
+    A few texts under a wrong label are far from all others, so they would take whole centroids.
+    """
+    near = vectors @ vectors.mean(axis=0)
+    return vectors[np.sort(np.argsort(near, kind="stable")[int(len(vectors) * trim) :])]
+
+
 def cluster(vectors: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     """Spherical k-means; each new start is the vector farthest from the ones before."""
     starts = [vectors.mean(axis=0)]
@@ -114,13 +123,15 @@ def document_frequencies(docs: DataFrame, dims: int = DIMS, block: int = 256) ->
 
 def fit(
     labelled: DataFrame, sample: int = 1000, clusters: int = 3, dims: int = DIMS,
-    reject_share: float = 0.2, seed: str = "language",
+    reject_share: float = 0.2, seed: str = "language", trim: float = 0.02,
 ) -> LanguageModel:
     """Fit on the rows of `labelled` (text, lang) with a text and a language.
 
     `sample` bounds the distinct texts per language that centroids are fitted on; document
-    frequencies cover all rows. A language rejects texts whose cosine is below
-    `reject_share` times the smallest cosine within its sample.
+    frequencies cover all rows. The share `trim` of the sampled texts that is least like the
+    language's mean is left out, so up to that share of wrong labels moves no centroid; samples
+    below 1 / trim texts are taken whole. A language rejects texts whose cosine is below
+    `reject_share` times the smallest cosine within the rest.
     """
     labelled = labelled.where(F.col("text").rlike(HAS_LETTER) & F.col("lang").isNotNull())
     labelled = labelled.select("text", "lang")
@@ -150,6 +161,7 @@ def fit(
         vectors = vectors[vectors.any(axis=1)]
         if not len(vectors):
             return pd.DataFrame({"lang": [], "centroid": [], "floor": []})
+        vectors = typical(vectors, trim)
         centroids = cluster(vectors, clusters)
         floor = float((vectors @ centroids.T).max(axis=1).min()) * reject_share
         return pd.DataFrame({

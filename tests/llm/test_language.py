@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from pairloom.llm import language
 from plain_rules import remainder
@@ -39,6 +40,55 @@ def test_other_scripts_are_rejected(table, make_docs):
     assert rows[0].rejected and rows[0].lang_pred in model.languages
 
 
+@pytest.mark.parametrize("every", [200, 100, 60])
+def test_some_wrong_labels_do_not_open_a_language(make_docs, every):
+    words = "the of and to in is that for it was on are as with his they at be this from".split()
+    rng = np.random.default_rng(every)
+    rows = [(i, " ".join(rng.choice(words, 30)), "en") for i in range(1000)]
+    japanese = list("日本語の文章です。これは長い文章です。東京は大きい町で、山も海も近い。")
+    wrong = {i: "".join(rng.permutation(japanese)) for i in range(0, 1000, every)}
+    rows = [(i, wrong.get(i, text), lang) for i, text, lang in rows]
+    rows += [(1000 + i, " ".join(rng.choice("der die und das ist nicht ein zu mit auf".split(), 30)), "de") for i in range(300)]
+    model = language.fit(make_docs(rows))
+    asked = [(1, "これは日本の町の話です。山と海があります。"), (2, "that was for the people and with them"), (3, "das ist nicht mit der und die")]
+    found = {r.row.doc_id: r for r in language.predict(make_docs(asked), model).collect()}
+    assert found[1].rejected
+    assert [(found[i].lang_pred, found[i].rejected) for i in (2, 3)] == [("en", False), ("de", False)]
+    clean = make_docs([r for r in rows if r[0] not in wrong])
+    assert language.predict(clean, model).where("rejected").count() == 0
+
+
+def plain_prediction(text, model):
+    """The nearest centroid, trigram by trigram."""
+    if text is None or not any(c.isalpha() for c in text):
+        return language.UNKNOWN, 0.0, True
+    data = f" {text} ".encode()
+    folded = [b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in data]
+    weights = {}
+    for i in range(len(folded) - 2):
+        a, b, c = folded[i : i + 3]
+        if (a, b, c) == (32, 32, 32):
+            continue
+        place = ((a * 65536 + b * 256 + c) * 2654435761 % 2**32) >> 19
+        weights[place] = weights.get(place, 0.0) + float(model.idf[place])
+    length = sum(w * w for w in weights.values()) ** 0.5
+    near = [sum(w * float(c[place]) for place, w in weights.items()) / length for c in model.centroids]
+    best = max(range(len(near)), key=lambda i: (near[i], -i))
+    return model.languages[best], near[best], near[best] < model.floors[best]
+
+
+def test_predictions_equal_plain_loops(table, make_docs, odd_rows):
+    model = language.fit(table)
+    texts = [r.text for r in table.orderBy("doc_id").limit(150).collect()] + [r[1] for r in odd_rows if len(r[1] or "") < 10000]
+    texts += ["日本語", "ÄÖÜ straße", "Zażółć gęślą jaźń"]
+    docs = make_docs([(i, t) for i, t in enumerate(texts)])
+    found = {r.row.doc_id: r for r in language.predict(docs, model).collect()}
+    for i, text in enumerate(texts):
+        lang, score, rejected = plain_prediction(text, model)
+        assert found[i].score == pytest.approx(min(max(score, 0), 1), abs=1e-5)
+        assert (found[i].lang_pred, found[i].rejected) == (lang, rejected)
+
+
 def test_nothing_to_learn(make_docs):
     model = language.fit(make_docs([(1, "no label", None, None), (2, None, "en", None)]))
     rows = language.predict(make_docs([(1, "some text")]), model).collect()
