@@ -3,7 +3,7 @@
 A text's vector counts its byte trigrams (ASCII letters in lower case, other ASCII bytes as
 spaces), hashed to `DIMS` places, weighted by inverse document frequency and normalised.
 Each language has several centroids, found by spherical k-means. A text gets the language
-of the centroid with the largest cosine; a text that is too far from all of its language's
+of the centroid with the largest cosine; a text that is, for its size, too far from all of its language's
 centroids is rejected.
 
 Scale: document frequencies come from all training documents, added up per task and then
@@ -44,7 +44,9 @@ class LanguageModel:
     """The language of each centroid."""
     centroids: np.ndarray
     floors: np.ndarray
-    """Per centroid the cosine below which its language is rejected."""
+    """Per centroid the cosine below which its language is rejected, for a text of usual size."""
+    sizes: np.ndarray
+    """Per centroid the usual number of different trigrams in a text of its language."""
 
 
 def trigram_counts(texts: list[str | None], dims: int = DIMS) -> np.ndarray:
@@ -71,6 +73,15 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return vectors / np.where(norms > 0, norms, 1)[:, None]
 
 
+def reach(present: np.ndarray, usual: np.ndarray | float) -> np.ndarray:
+    """How near a text with so many different trigrams can be, against one of usual size.
+
+    A text of m trigrams has a cosine of about sqrt(m) to a centroid that has many more; beyond
+    the usual size nothing is expected of it.
+    """
+    return np.sqrt(np.minimum(present / usual, 1.0))
+
+
 def typical(vectors: np.ndarray, trim: float) -> np.ndarray:
     """The vectors without the share `trim` of them that is least like their mean.
 
@@ -131,7 +142,8 @@ def fit(
     frequencies cover all rows. The share `trim` of the sampled texts that is least like the
     language's mean is left out, so up to that share of wrong labels moves no centroid; samples
     below 1 / trim texts are taken whole. A language rejects texts whose cosine is below
-    `reject_share` times the smallest cosine within the rest.
+    `reject_share` times the smallest cosine within the rest, where cosines are divided by
+    what a text of that size can reach (`reach`).
     """
     labelled = labelled.where(F.col("text").rlike(HAS_LETTER) & F.col("lang").isNotNull())
     labelled = labelled.select("text", "lang")
@@ -143,7 +155,7 @@ def fit(
     distinct = hashed.select("lang", "_unit").groupBy("lang", "_unit").agg(F.lit(1).alias("_one"))
     counts = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
     if not counts:
-        return LanguageModel(idf, [], np.zeros((0, dims), dtype=np.float32), np.zeros(0))
+        return LanguageModel(idf, [], np.zeros((0, dims), dtype=np.float32), np.zeros(0), np.zeros(0))
     texts = F.element_at(F.create_map(*[F.lit(x) for row in counts for x in (row["lang"], row["n"])]), F.col("lang"))
     order = Window.partitionBy("lang").orderBy("_unit")
     # about 1.5 times the bound pass the filter on the hash, the window keeps the bound
@@ -160,23 +172,27 @@ def fit(
         vectors = weighted(trigram_counts(texts, dims), idf)
         vectors = vectors[vectors.any(axis=1)]
         if not len(vectors):
-            return pd.DataFrame({"lang": [], "centroid": [], "floor": []})
+            return pd.DataFrame({"lang": [], "centroid": [], "floor": [], "usual": []})
         vectors = typical(vectors, trim)
         centroids = cluster(vectors, clusters)
-        floor = float((vectors @ centroids.T).max(axis=1).min()) * reject_share
+        present = np.count_nonzero(vectors, axis=1)
+        usual = float(np.median(present))
+        floor = float(((vectors @ centroids.T).max(axis=1) / reach(present, usual)).min()) * reject_share
         return pd.DataFrame({
             "lang": key[0],
             "centroid": [c.astype("<f4").tobytes() for c in centroids],
             "floor": floor,
+            "usual": usual,
         })
 
-    fitted = chosen.groupBy("lang").applyInPandas(fit_language, "lang string, centroid binary, floor double")
+    fitted = chosen.groupBy("lang").applyInPandas(fit_language, "lang string, centroid binary, floor double, usual double")
     found = sorted(fitted.toPandas().itertuples(index=False), key=lambda r: (r.lang, bytes(r.centroid)))
     centroids = [np.frombuffer(r.centroid, dtype="<f4") for r in found]
     return LanguageModel(
         idf, [r.lang for r in found],
         np.stack(centroids) if found else np.zeros((0, dims), dtype=np.float32),
         np.array([r.floor for r in found]),
+        np.array([r.usual for r in found]),
     )
 
 
@@ -202,7 +218,9 @@ def predict(docs: DataFrame, model: LanguageModel, block: int = 256) -> DataFram
             known = b.column(2).to_pylist()
             for at in range(0, b.num_rows, block):
                 texts = [t if k and len(columns[0]) else None for t, k in zip(b.column(1).slice(at, block).to_pylist(), known[at : at + block])]
-                near = weighted(trigram_counts(texts, len(idf)), idf) @ columns if len(columns[0]) else None
+                counts = trigram_counts(texts, len(idf))
+                present = np.count_nonzero(counts, axis=1)
+                near = weighted(counts, idf) @ columns if len(columns[0]) else None
                 for i, text in enumerate(texts):
                     if text is None:
                         languages.append(UNKNOWN)
@@ -212,7 +230,7 @@ def predict(docs: DataFrame, model: LanguageModel, block: int = 256) -> DataFram
                     best = int(np.argmax(near[i]))
                     languages.append(model.languages[best])
                     scores.append(float(np.clip(near[i, best], 0, 1)))
-                    rejected.append(scores[-1] < model.floors[best])
+                    rejected.append(bool(scores[-1] < model.floors[best] * reach(present[i], model.sizes[best])))
             yield batch({"row": b.column(0), "lang_pred": languages, "score": scores, "rejected": rejected}, arrow)
 
     return docs.select(

@@ -74,7 +74,8 @@ def plain_prediction(text, model):
     length = sum(w * w for w in weights.values()) ** 0.5
     near = [sum(w * float(c[place]) for place, w in weights.items()) / length for c in model.centroids]
     best = max(range(len(near)), key=lambda i: (near[i], -i))
-    return model.languages[best], near[best], near[best] < model.floors[best]
+    floor = model.floors[best] * min(1.0, len(weights) / model.sizes[best]) ** 0.5
+    return model.languages[best], near[best], near[best] < floor
 
 
 def test_predictions_equal_plain_loops(table, make_docs, odd_rows):
