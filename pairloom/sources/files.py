@@ -5,16 +5,20 @@ from __future__ import annotations
 import csv
 import re
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairloom.operators.ordering import sample_n
 from pairloom.schema import (
@@ -153,92 +157,105 @@ def _flagged(lines: DataFrame) -> DataFrame:
     )
 
 
-def _quote_states(lines: DataFrame) -> DataFrame:
-    """`_flagged` lines, a table, with `inside`: whether a line begins within a quoted value.
+def _split_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per split, whether its end lies within a quoted value, if its start does not (`out`) and
+    if it does (`into`). A split's lines follow each other in one task."""
+    split, out, into = None, False, True
+    for b in batches:
+        from_out, from_in = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        places = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        # few lines change a state
+        telling = set(np.flatnonzero(from_out | ~from_in).tolist())
+        for i, place in enumerate(places):
+            if place != split:
+                if split is not None:
+                    yield _map_row(split, out, into)
+                split, out, into = place, False, True
+            if i in telling:
+                out, into = (bool(from_in[i] if state else from_out[i]) for state in (out, into))
+    if split is not None:
+        yield _map_row(split, out, into)
+
+
+def _map_row(split: tuple[str, int], out: bool, into: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"path": [split[0]], "start": [split[1]], "out": [out], "into": [into]})
+
+
+def _begins(splits: pd.DataFrame) -> pd.DataFrame:
+    """Whether each split of a file begins within a quoted value."""
+    splits, inside, found = splits.sort_values("start"), False, []
+    for out, into in zip(splits["out"], splits["into"]):
+        found.append(inside)
+        inside = bool(into if inside else out)
+    return pd.DataFrame({"path": splits["path"], "start": splits["start"], "begins": found})
+
+
+_RECORDS = (
+    T.StructType().add("path", "string").add("start", "long").add("places", T.ArrayType(T.IntegerType()))
+    .add("record", "string").add("whole", "boolean").add("opens", "boolean")
+)
 
-    A line is a map of two states (within a quoted value or not): it keeps the state, sets
-    it, or swaps it. Within a split these maps are composed by windows: the last line that
-    sets the state, and the swaps since. A split as a whole is such a map again, and the
-    splits of a file are composed in the same way.
-    """
-    sets = F.col("from_out") == F.col("from_in")
-    swap = (F.col("from_out") & ~F.col("from_in")).cast("int")
-    in_split = W.partitionBy("path", "start").orderBy("line", "part")
-    so_far = in_split.rowsBetween(W.unboundedPreceding, 0)
-
-    def composed(frame: DataFrame, order, value: Column, flips: Column, is_set: Column) -> DataFrame:
-        """`known`: the state that was set last before a row and the flips since; null if none."""
-        frame = frame.withColumn("_flips", F.sum(flips).over(order.rowsBetween(W.unboundedPreceding, 0)))
-        mark = F.when(is_set, F.struct(value.alias("state"), F.col("_flips").alias("at")))
-        before = order.rowsBetween(W.unboundedPreceding, -1)
-        return (
-            frame.withColumn("_mark", F.last(mark, ignorenulls=True).over(before))
-            .withColumn("_since", F.col("_flips") - flips - F.coalesce("_mark.at", F.lit(0)))
-            .withColumn("known", F.col("_mark.state")).drop("_mark", "_flips")
-        )
-
-    def turned(state: Column, flips: Column) -> Column:
-        return F.when(flips % 2 == 1, ~state).otherwise(state)
-
-    # the maps of whole splits, from the few columns and lines that change a state
-    narrow = lines.where(F.col("from_out") | ~F.col("from_in")).select("path", "start", "line", "part", "from_out", "from_in")
-    narrow = narrow.withColumn("_flips", F.sum(swap).over(so_far))
-    narrow = narrow.withColumn("_set", F.when(sets, F.struct("line", "part", F.col("from_out").alias("state"), F.col("_flips").alias("at"))))
-    splits = narrow.groupBy("path", "start").agg(F.max("_set").alias("last"), F.max("_flips").alias("flips"))
-    splits = splits.select(
-        "path", "start", turned(F.col("last.state"), F.col("flips") - F.col("last.at")).alias("state"),
-        F.when(F.col("last").isNull(), F.col("flips")).otherwise(0).alias("flips"),
-    )
-    of_file = W.partitionBy("path").orderBy("start")
-    # splits in which no line changes a state still need to know theirs
-    splits = lines.select("path", "start").distinct().join(splits, ["path", "start"], "left").fillna(0, ["flips"])
-    splits = composed(splits, of_file, F.col("state"), F.col("flips"), F.col("state").isNotNull())
-    splits = splits.select("path", "start", turned(F.coalesce("known", F.lit(False)), F.col("_since")).alias("begins"))
 
-    lines = composed(lines, in_split, F.col("from_out"), swap, sets).join(splits, ["path", "start"])
-    state = F.when(F.col("known").isNotNull(), turned(F.col("known"), F.col("_since"))).otherwise(turned(F.col("begins"), F.col("_since")))
-    return lines.select("path", "start", "line", "part", "text", "places", "sep", "from_out", state.alias("inside"))
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of the lines of whole splits, in order; a record that goes on from or into another
+    split comes in pieces, at most two per split, with line ends."""
+    schema = to_arrow_schema(_RECORDS)
+    split, inside, begun, headed, held, of_split = None, False, False, False, [], []
+    for b in batches:
+        rows = []
+        for path, start, places, text, sep, from_out, from_in, blank, begins in zip(*(c.to_pylist() for c in b.columns)):
+            if (path, start) != split:
+                if held:
+                    rows.append((*split, of_split, "".join(held), False, begun))
+                split, inside, begun, headed, held, of_split = (path, start), begins, False, False, [], places
+            if inside:
+                held.append(text + sep)
+                inside = from_in
+                if not inside:
+                    rows.append((path, start, places, "".join(held)[:-1] if begun else "".join(held), begun, False))
+                    held, begun = [], False
+            elif not blank:
+                header, headed = start == 0 and not headed, True
+                inside = begun = from_out
+                if inside and not header:
+                    held.append(text + sep)
+                elif not header:
+                    rows.append((path, start, places, text, True, False))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)], schema=schema)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((*split, of_split, "".join(held), False, begun), schema)], schema=schema)
 
 
 def _read_odd(spark: SparkSession, files: dict[tuple[str, ...], list[str]], wanted: list[str]) -> DataFrame:
     """Files in which values hold line breaks, or records are not strict; given by their names.
 
-    Lines are brought together by split, in order, to learn where records begin. Records of
-    one line are parsed as they are; the lines of others, which may lie in several splits, are
-    put together by (file, split and number of the record's first line).
+    A line is a map of two states (within a quoted value or not), and so is a split of a file.
+    One pass over the lines learns the splits' maps, which tell where each split begins; a
+    second puts the records together where the lines are read. Only what a split begins or
+    ends with, of records that lie in several, is shuffled.
     """
     scans = []
     for names, paths in files.items():
         places = F.array(*[F.lit(names.index(n) if n in names else None).cast("int") for n in wanted])
         scans.append(_flagged(_lines(spark, [_no_glob(path) for path in sorted(paths)]).withColumn("places", places)))
-    flagged = reduce(lambda a, b: a.unionByName(b), scans)
-    lines = _quote_states(materialise(flagged, "csv-flagged"))
-    in_split = W.partitionBy("path", "start").orderBy("line", "part").rowsBetween(W.unboundedPreceding, 0)
-    begins = ~F.col("inside")
-    filled = begins & ~F.col("text").rlike(_BLANK)
-    lines = lines.withColumn("record", F.sum(begins.cast("int")).over(in_split))
-    lines = lines.withColumn("_filled", F.sum(filled.cast("int")).over(in_split))
-    header = (F.col("start") == 0) & (F.col("_filled") == 1) & filled
-    lines = materialise(lines.where(~header & (F.col("inside") | filled)).drop("_filled"), "csv-lines")
-    alone = lines.where("NOT inside AND NOT from_out").select("path", "places", F.col("text").alias("_record"))
-
-    # where the record began that goes on at a split's start
-    of_file = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
-    last = lines.groupBy("path", "start").agg(F.max("record").alias("_n"))
-    opener = F.when(F.col("_n") > 0, F.struct("start", F.col("_n").alias("record")))
-    last = last.select("path", "start", F.last(opener, ignorenulls=True).over(of_file).alias("_opener"))
-    pieces = lines.where("inside OR from_out")
-    first = pieces.where("record = 0").join(last, ["path", "start"]).select(
-        "path", "places", "_opener.start", "_opener.record", F.struct("start", "line", "part", "text", "sep").alias("piece")
+    lines = reduce(lambda a, b: a.unionByName(b), scans)
+    maps = lines.select("path", "start", "from_out", "from_in").mapInArrow(
+        _split_maps, "path string, start bigint, out boolean, into boolean"
     )
-    others = pieces.where("record > 0").select(
-        "path", "places", "start", "record", F.struct("start", "line", "part", "text", "sep").alias("piece")
+    # a row per split
+    begins = materialise(maps.groupBy("path").applyInPandas(_begins, "path string, start bigint, begins boolean"), "csv-splits")
+    found = lines.join(F.broadcast(begins), ["path", "start"]).select(
+        "path", "start", "places", "text", "sep", "from_out", "from_in", F.col("text").rlike(_BLANK).alias("blank"), "begins"
+    ).mapInArrow(_records, _RECORDS)
+    in_file = W.partitionBy("path").orderBy("start", "opens").rowsBetween(W.unboundedPreceding, 0)
+    pieces = found.where("NOT whole").withColumn("number", F.sum(F.col("opens").cast("int")).over(in_file))
+    together = pieces.groupBy("path", "places", "number").agg(
+        F.sort_array(F.collect_list(F.struct("start", "opens", "record"))).alias("pieces")
     )
-    together = others.unionByName(first).groupBy("path", "places", "start", "record").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
-    text = F.array_join(F.transform("pieces", lambda p: F.concat(p["text"], p["sep"])), "")
-    whole = together.select("path", "places", F.substring(text, F.lit(1), F.length(text) - 1).alias("_record"))
-    values = record_values(F.col("_record"), F.col("places"), wanted)
-    return alone.unionByName(whole).select("path", F.inline(values))
+    text = F.array_join("pieces.record", "")
+    together = together.select("path", "places", F.substring(text, F.lit(1), F.length(text) - 1).alias("record"))
+    values = record_values(F.col("record"), F.col("places"), wanted)
+    return found.where("whole").select("path", "places", "record").unionByName(together).select("path", F.inline(values))
 
 
 def _base(path: str) -> str:

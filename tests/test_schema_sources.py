@@ -1,4 +1,5 @@
 import csv
+import glob
 import os
 import random
 
@@ -176,6 +177,20 @@ def test_random_records_across_splits_equal_pandas(spark, tmp_path, seed):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_lines_of_odd_files_are_neither_written_nor_shuffled(spark, tmp_path):
+    """Only the splits' states are written; exchanges move what a split begins or ends with."""
+    text = "\n".join(f"word {i}" for i in range(20))
+    pd.DataFrame({"a": [f"{i}\n{text}" for i in range(3000)]}).to_csv(tmp_path / "odd.csv", index=False)
+    before = set(glob.glob(os.path.dirname(shared_path(spark, "x")) + "/*"))
+    frame = files.read_csv_by_header(spark, str(tmp_path / "odd.csv"), ["a"])
+    assert sorted(r.a for r in frame.collect()) == sorted(f"{i}\n{text}" for i in range(3000))
+    made = set(glob.glob(os.path.dirname(shared_path(spark, "x")) + "/*")) - before
+    written = sum(os.path.getsize(f) for folder in made for f in glob.glob(f"{folder}/*.parquet"))
+    assert written < 20_000 < os.path.getsize(tmp_path / "odd.csv")
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT whole" in plan and plan.count("Window") == 1
+
+
 def test_plain_files_are_parsed_by_the_scan(spark, tmp_path):
     (tmp_path / "p.csv").write_text('x,a,b,c\n1,"q, ""r""",5" disk,z\n' * 3)
     read = files.read_csv_by_header(spark, f"{tmp_path}/p.csv", ["a", "b", "c"])
