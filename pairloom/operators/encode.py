@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,8 @@ from pairloom.functions.text import WHITESPACE
 DEFAULT_DIM = 64
 KNOWN_TOKENS = 1 << 18
 """Lanes a task remembers before it starts anew."""
+RUN_CHARS = 1 << 20
+"""Text that an encoder gets at once, about: an Arrow batch may hold much more."""
 _BREAK = re.compile(WHITESPACE)
 
 
@@ -81,21 +83,41 @@ def _once(udf):
     return udf.asNondeterministic()
 
 
+def _runs(texts: Sequence[str]) -> list[list[str]]:
+    """The texts in runs of about `RUN_CHARS` characters; one empty run if there are none."""
+    runs, size = [[]], 0
+    for text in texts:
+        if size >= RUN_CHARS:
+            runs.append([])
+            size = 0
+        runs[-1].append(text)
+        size += len(text)
+    return runs
+
+
 def _encode_batches(
     batches: Iterator[tuple[pd.Series, ...]], encoder: Encoder
 ) -> Iterator[list[np.ndarray]]:
-    """One matrix per text column and batch; equal texts of a batch are encoded once."""
-    pending: list[np.ndarray] = []
+    """One matrix per text column and batch; equal texts of a batch are encoded once. What the
+    encoder holds for its texts is bounded by a run of them, not by the batch."""
+    pending: list[tuple[list[np.ndarray], int]] = []
 
     def distinct_texts() -> Iterator[list[str]]:
         for columns in batches:
             codes, uniques = pd.factorize(pd.concat(columns, ignore_index=True).fillna(""))
-            pending.append(np.split(codes, len(columns)))
-            yield list(uniques)
-
-    for matrix in encoder(distinct_texts()):
-        matrix = np.asarray(matrix, dtype=np.float64)
-        yield [matrix[codes] for codes in pending.pop(0)]
+            runs = _runs(uniques)
+            pending.append((np.split(codes, len(columns)), len(runs)))
+            yield from runs
+
+    found: list[np.ndarray] = []
+    for part in encoder(distinct_texts()):
+        found.append(np.asarray(part, dtype=np.float64))
+        columns, n_runs = pending[0]
+        if len(found) == n_runs:
+            matrix = np.concatenate(found)
+            found.clear()
+            pending.pop(0)
+            yield [matrix[codes] for codes in columns]
 
 
 def encoded(text: Column | str, encoder: Encoder | None = None, dim: int = DEFAULT_DIM) -> Column:

@@ -198,3 +198,18 @@ def test_quantiles_of_uneven_sizes(spark):
     for r in found:
         wanted = np.quantile(values[r["series"]], r["probability"])
         assert math.isclose(r["value"], wanted, abs_tol=1e-12)
+
+
+def test_encoder_gets_bounded_runs_of_a_large_batch(spark):
+    """Each vector holds the characters its encoder was given at once."""
+
+    def totals(batches):
+        for texts in batches:
+            yield np.full((len(texts), 1), sum(len(t) for t in texts))
+
+    text = F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 100_000))
+    frame = spark.range(0, 60, 1, 1).select("id", text.alias("text"))
+    sizes = [r.vector[0] for r in encode.encode(frame, "text", encoder=totals).collect()]
+    assert len(sizes) == 60 and max(sizes) < 2 * encode.RUN_CHARS < 60 * 100_000
+    plain, cut = (encode.encode(frame.where(w), "text").select("id", "vector") for w in ("true", "id % 7 = 3"))
+    assert {r.id: r.vector for r in plain.collect() if r.id % 7 == 3} == {r.id: r.vector for r in cut.collect()}
