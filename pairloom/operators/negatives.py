@@ -158,6 +158,8 @@ def _shifts(barred: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
         places.groupBy("anchor", F.floor(F.col("pid") / BLOCK).alias("block"))
         .agg(F.sort_array(F.collect_set("pid")).alias("pids"))
     )
+    # both results and every join with them read this
+    blocks = materialise(blocks, "barred-blocks")
     before = W.partitionBy("anchor").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum(F.size("pids")).over(before), F.lit(0)))
     j = F.col("before") + F.col("place")
@@ -221,7 +223,9 @@ def fill_candidates(
     found = keys.select(key, *anchor, n_pool.alias("_allowed"), F.explode(steps).alias("step"))
     found = found.withColumn("pid", F.pmod("step", "_allowed")).drop("_allowed")
     if barred is not None:
-        found = _positions(found.withColumnRenamed("pid", "rank"), shifts, key)
+        # read for the blocks asked for, for hot keys and for the join
+        ranks = materialise(found.withColumnRenamed("pid", "rank"), "ranks")
+        found = _positions(ranks, materialise(shifts, "shifts"), key)
     drawn = (
         found.join(pool.select("pid", "passage"), "pid").groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct("step", "passage"))).alias("drawn"))
