@@ -39,7 +39,7 @@ def pair_text(query: Column | str, passage: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Whitespace tokens, empty ones removed."""
-    return F.filter(F.split(_column(text), WHITESPACE), lambda token: token != "")
+    return F.array_remove(F.split(_column(text), WHITESPACE), "")
 
 
 def token_set(text: Column | str) -> Column:

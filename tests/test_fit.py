@@ -386,3 +386,9 @@ def test_epoch_tables(spark):
     assert [r["best_loss"] for r in flags] == [1.0, 0.5, 0.5, 0.5, 0.4]
     assert tuple(epochs.best_epoch(losses.where("epoch < 4")).first()) == ("r", 2, 0.5)
     assert losses.where(F.col("epoch") == 4).first()["val_loss"] is None
+
+
+def test_pair_features_hold_no_texts(spark, sf_dir):
+    from pairloom.plans import catalog
+
+    assert not {"query_text", "passage_text", "pair_text"} & set(catalog._pair_features(spark, sf_dir).columns)
