@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import negatives as N
+from pairloom.session import materialise
 
 
 def triplets(spark, n, copies=1):
@@ -146,10 +147,10 @@ def test_ranks_skip_barred_positions(spark, monkeypatch, block):
 
 def test_ranks_of_barred_fills_are_computed_once(spark, monkeypatch):
     written = []
-    monkeypatch.setattr(negatives, "materialise", lambda df, name: written.append(name) or materialise(df, name))
+    monkeypatch.setattr(N, "materialise", lambda df, name: written.append(name) or materialise(df, name))
     rows = [(i, f"a{i % 3}", f"p{i}", f"n{i}") for i in range(30)]
     table = spark.createDataFrame(rows, "row_key long, anchor string, positive string, negative string")
-    lists = negatives.candidate_lists(table, 9, exclude_same_anchor=True).collect()
+    lists = N.candidate_lists(table, 9, exclude_same_anchor=True).collect()
     assert len(lists) == 270 and {"ranks", "shifts", "barred-blocks"} <= set(written)
     barred = {f"a{k}": {f"p{i}" for i in range(k, 30, 3)} for k in range(3)}
     assert not any(r.slot and r.passage in barred[f"a{r.row_key % 3}"] for r in lists)
