@@ -52,9 +52,12 @@ def _csv_sources(spark: SparkSession, pattern: str) -> list[CsvSource]:
     conf = spark._jsc.hadoopConfiguration()
     glob = jvm.org.apache.hadoop.fs.Path(pattern)
     fs = glob.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
 
     def first_record(path) -> list[str]:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(path), "UTF-8"))
+        stream, codec = fs.open(path), codecs.getCodec(path)
+        stream = codec.createInputStream(stream) if codec else stream
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
         try:
             line = reader.readLine()
             while line is not None and not line.strip("\ufeff \t"):
@@ -182,12 +185,14 @@ def _map_row(split: tuple[str, int], out: bool, into: bool) -> pa.RecordBatch:
 
 
 def _begins(splits: pd.DataFrame) -> pd.DataFrame:
-    """Whether each split of a file begins within a quoted value."""
-    splits, inside, found = splits.sort_values("start"), False, []
+    """Whether each split of a file begins within a quoted value, and whether it begins or ends
+    there (`cut`)."""
+    splits, inside, begins, cut = splits.sort_values("start"), False, [], []
     for out, into in zip(splits["out"], splits["into"]):
-        found.append(inside)
+        begins.append(inside)
         inside = bool(into if inside else out)
-    return pd.DataFrame({"path": splits["path"], "start": splits["start"], "begins": found})
+        cut.append(begins[-1] or inside)
+    return pd.DataFrame({"path": splits["path"], "start": splits["start"], "begins": begins, "cut": cut})
 
 
 _RECORDS = (
@@ -232,30 +237,41 @@ def _read_odd(spark: SparkSession, files: dict[tuple[str, ...], list[str]], want
     A line is a map of two states (within a quoted value or not), and so is a split of a file.
     One pass over the lines learns the splits' maps, which tell where each split begins; a
     second puts the records together where the lines are read. Only what a split begins or
-    ends with, of records that lie in several, is shuffled.
+    ends with, of records that lie in several, is shuffled. Files that cannot be split are
+    read for that only if they end within a quoted value.
     """
-    scans = []
-    for names, paths in files.items():
-        places = F.array(*[F.lit(names.index(n) if n in names else None).cast("int") for n in wanted])
-        scans.append(_flagged(_lines(spark, [_no_glob(path) for path in sorted(paths)]).withColumn("places", places)))
-    lines = reduce(lambda a, b: a.unionByName(b), scans)
+    def scan(files: dict[tuple[str, ...], list[str]]) -> DataFrame:
+        scans = []
+        for names, paths in files.items():
+            places = F.array(*[F.lit(names.index(n) if n in names else None).cast("int") for n in wanted])
+            scans.append(_flagged(_lines(spark, [_no_glob(path) for path in sorted(paths)]).withColumn("places", places)))
+        return reduce(lambda a, b: a.unionByName(b), scans)
+
+    def records(lines: DataFrame) -> DataFrame:
+        return lines.join(F.broadcast(begins), ["path", "start"]).select(
+            "path", "start", "places", "text", "sep", "from_out", "from_in", F.col("text").rlike(_BLANK).alias("blank"), "begins"
+        ).mapInArrow(_records, _RECORDS)
+
+    lines = scan(files)
     maps = lines.select("path", "start", "from_out", "from_in").mapInArrow(
         _split_maps, "path string, start bigint, out boolean, into boolean"
     )
     # a row per split
-    begins = materialise(maps.groupBy("path").applyInPandas(_begins, "path string, start bigint, begins boolean"), "csv-splits")
-    found = lines.join(F.broadcast(begins), ["path", "start"]).select(
-        "path", "start", "places", "text", "sep", "from_out", "from_in", F.col("text").rlike(_BLANK).alias("blank"), "begins"
-    ).mapInArrow(_records, _RECORDS)
+    begins = materialise(maps.groupBy("path").applyInPandas(_begins, "path string, start bigint, begins boolean, cut boolean"), "csv-splits")
+    values = record_values(F.col("record"), F.col("places"), wanted)
+    whole = records(lines).where("whole").select("path", "places", "record")
+    cut = {_base(unquote(r["path"])) for r in begins.where("cut").select("path").distinct().collect()}
+    of_cut = {names: found for names, paths in files.items() if (found := [p for p in paths if not p.endswith(".gz") or _base(p) in cut])}
+    if not of_cut:
+        return whole.select("path", F.inline(values))
     in_file = W.partitionBy("path").orderBy("start", "opens").rowsBetween(W.unboundedPreceding, 0)
-    pieces = found.where("NOT whole").withColumn("number", F.sum(F.col("opens").cast("int")).over(in_file))
+    pieces = records(scan(of_cut)).where("NOT whole").withColumn("number", F.sum(F.col("opens").cast("int")).over(in_file))
     together = pieces.groupBy("path", "places", "number").agg(
         F.sort_array(F.collect_list(F.struct("start", "opens", "record"))).alias("pieces")
     )
     text = F.array_join("pieces.record", "")
     together = together.select("path", "places", F.substring(text, F.lit(1), F.length(text) - 1).alias("record"))
-    values = record_values(F.col("record"), F.col("places"), wanted)
-    return found.where("whole").select("path", "places", "record").unionByName(together).select("path", F.inline(values))
+    return whole.unionByName(together).select("path", F.inline(values))
 
 
 def _base(path: str) -> str:

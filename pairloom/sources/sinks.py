@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, DataFrameWriter
 
 from pairloom.schema import TRIPLET_COLUMNS, require_columns
+from pairloom.session import shuffles_dropped
 
 
 def csv_writer(df: DataFrame, mode: str = "errorifexists") -> DataFrameWriter:
@@ -24,7 +25,8 @@ def csv_writer(df: DataFrame, mode: str = "errorifexists") -> DataFrameWriter:
 
 
 def write_splits(
-    df: DataFrame, path: str, mode: str = "errorifexists", rebalance: bool = False
+    df: DataFrame, path: str, mode: str = "errorifexists", rebalance: bool = False,
+    compression: str | None = None,
 ) -> None:
     """Write all versions and splits as Parquet, in folders
     `data_version=<version>/split=<split>`.
@@ -36,7 +38,9 @@ def write_splits(
     require_columns(df, ["data_version", "split"])
     if rebalance:
         df = df.hint("rebalance", "data_version", "split")
-    df.write.mode(mode).partitionBy("data_version", "split").parquet(path)
+    writer = df.write.option("compression", compression) if compression else df.write
+    with shuffles_dropped(df.sparkSession):
+        writer.mode(mode).partitionBy("data_version", "split").parquet(path)
 
 
 def write_csv_splits(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

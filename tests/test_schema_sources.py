@@ -1,12 +1,16 @@
 import csv
 import glob
+import gzip
 import os
 import random
+import shutil
+import time
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom import schema
 from pairloom.schema import (
     MissingColumnsError, apply_null_policy, null_report, require_columns, with_row_key,
 )
@@ -289,3 +293,63 @@ def test_rebalanced_splits_hold_the_same_rows_in_fewer_files(spark):
     sinks.write_splits(frame, even, rebalance=True)
     assert sorted(spark.read.parquet(even).collect()) == sorted(spark.read.parquet(plain).collect())
     assert len(spark.read.parquet(even).inputFiles()) < len(spark.read.parquet(plain).inputFiles())
+
+
+def test_rows_without_copies_stay_where_they_are(spark, monkeypatch):
+    rows = [("a", "b", None)] * 25 + [("a", None, "b")] * 2 + [(str(i), "y", None if i % 2 else "z") for i in range(300)]
+    frame = materialise(spark.createDataFrame(rows, TRIPLET).repartition(7), "rows")
+    want = sorted(map(tuple, with_row_key(frame).collect()), key=str)
+    keyed = schema.with_row_key_in_place(frame, chunk=4)
+    assert keyed.columns == with_row_key(frame).columns
+    assert sorted(map(tuple, keyed.collect()), key=str) == want
+    # rows whose hashes share a slot with that of a copy
+    monkeypatch.setattr(schema, "COPY_SLOTS", 64)
+    assert sorted(map(tuple, schema.with_row_key_in_place(frame).collect()), key=str) == want
+    assert schema.with_row_key_in_place(frame.where("false")).count() == 0
+
+
+def test_what_was_shuffled_goes_when_a_table_is_written(spark):
+    held = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {b for b in store.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+
+    before = shuffled()
+    table = materialise(spark.range(10_000).repartition(8, "id"), "dealt")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and table.count() == 10_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == held
+
+
+def test_compressed_files_are_read_and_sources_may_go_early(spark, csv_dir):
+    folder = csv_dir / "d_supervised.csv"
+    folder.mkdir()
+    with gzip.open(folder / "part-0.csv.gz", "wt", encoding="utf-8", newline="") as out:
+        out.write('anchor,positive,negative_1\n"gz\nx",p,"n ""q"""\n')
+    found = files.read_supervised(spark, f"{csv_dir}/*_supervised.csv").where("source_file = 'd_supervised.csv'")
+    assert [(r["anchor"], r["positive"], r["negative_1"]) for r in found.collect()] == [("gz\nx", "p", 'n "q"')]
+    (csv_dir / "top20.csv").write_text("anchor,original_positive,best_other_positive\na1,p1,n1\na1,p1,n1\n")
+    report = prepared.prepare(
+        spark, f"{csv_dir}/*_supervised.csv", f"{csv_dir}/top20.csv", shared_path(spark, "early"),
+        after_read=lambda: shutil.rmtree(csv_dir),
+    )
+    assert not csv_dir.exists()
+    assert report.where("data_version = 'supervised_with_detailed'").agg(F.sum("n_detailed")).first()[0] == 2
+
+
+def test_files_that_cannot_be_split_are_read_once(spark, tmp_path, small_splits):
+    with gzip.open(tmp_path / "t.csv.gz", "wt", encoding="utf-8", newline="") as out:
+        csv.writer(out, quoting=csv.QUOTE_ALL, lineterminator="\n").writerows(
+            [("anchor", "positive", "negative"), *((f"a\n{i}", "p", "n" * 90) for i in range(2000))]
+        )
+    found = files.read_csv_by_header(spark, f"{tmp_path}/t.csv.gz", ["anchor", "positive", "negative"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+    assert sorted(r["anchor"] for r in found.collect()) == sorted(f"a\n{i}" for i in range(2000))
+    with gzip.open(tmp_path / "open.csv.gz", "wt", encoding="utf-8", newline="") as out:
+        out.write('anchor,positive,negative\n"a\nb",p,n\n"c\nd')
+    found = files.read_csv_by_header(spark, f"{tmp_path}/open.csv.gz", ["anchor"])
+    assert sorted(r["anchor"] for r in found.collect()) == ["a\nb", "c\nd"]
