@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -203,3 +204,94 @@ def test_text_taken_at_once_is_bounded():
     found = list(py._slices(batch))
     assert len(found) > 1 and sum(len(texts) for _, _, texts in found) == 12
     assert [a for a, _, _ in found] == [0, *(b for _, b, _ in found[:-1])]
+
+
+def plain_first_scores(docs):
+    """Scores of the first state, one table per entry, by plain counts of words and word pairs."""
+    texts = [(["<1>", "<2>", *words_of(t), None], remainder(d, 7) == 2) for d, t in docs]
+    grams = [[(x[i - 2], x[i - 1], x[i]) for i in range(2, len(x))] for x, _ in texts]
+    c2 = Counter(g for x, (_, held) in zip(grams, texts) if not held for g in x)
+    c1 = Counter((v, w) for _, v, w in c2)
+    c0 = Counter(w for _, w in c1)
+    counts = [c0, c1, c2]
+
+    def discount(c):
+        n = Counter(c.values())
+        return min(0.95, max(0.1, n[1] / max(1, n[1] + 2 * n[2])))
+
+    d = [discount(c) for c in counts]
+    rooms = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+    for level, c in enumerate(counts):
+        for g, n in c.items():
+            context = g[:level] if level else ()
+            rooms[0][level][context] += n
+            rooms[1][level][context] += 1
+
+    def probability(level, g):
+        if level < 0:
+            return 1 / (len(c0) + 1)
+        dish, context = (g[2 - level:], g[2 - level:2]) if level else (g[2], ())
+        n, size, tables = counts[level][dish], rooms[0][level][context], rooms[1][level][context]
+        own = max(0, n - d[level] * min(n, 1))
+        return (own + (1 + d[level] * tables) * probability(level - 1, g)) / (1 + size)
+
+    return [sum(math.log10(probability(2, g)) for g in x) for x in grams]
+
+
+def texts_with_a_crowded_word(rng, n=120):
+    words = [f"w{i}" for i in range(400)]
+    return [(i, " ".join("the" if rng.random() < 0.4 else rng.choice(words) for _ in range(30)), "en", "a") for i in range(n)]
+
+
+def test_contexts_are_told_apart_by_whole_words(make_docs):
+    """Also contexts whose slots meet, and those of words that fill buckets."""
+    rows = texts_with_a_crowded_word(np.random.default_rng(4))
+    docs = make_docs(rows)
+    marked = docs.selectExpr("doc_id", "text", "false AS held_out")
+    assert py.trigrams(["the"])[0][0] in py._crowded_words(marked, 16)
+    want = plain_first_scores([r[:2] for r in rows])
+    got = {r.doc_id: r.score for r in py.score(docs, burn_in=0, samples=0).collect()}
+    assert [round(got[r[0]], 6) for r in rows] == [round(x, 6) for x in want]
+    # more words before one word than slots for them
+    before = [f"u{i}" for i in range(200)]
+    rows = [(i, f"{u} the x{i}", "en", "a") for i, u in enumerate(before)]
+    got = {r.doc_id: r.score for r in py.score(make_docs(rows), burn_in=0, samples=0).collect()}
+    assert np.allclose([got[i] for i in range(len(rows))], plain_first_scores([r[:2] for r in rows]))
+
+
+def test_buckets_and_owners_seat_like_one_sampler(make_docs):
+    """Mean tables of crowded and other words' restaurants against one sweep after another."""
+    rng = np.random.default_rng(5)
+    rows = [r for r in texts_with_a_crowded_word(rng, 60) if remainder(r[0], 7) != 2]
+    marked = make_docs(rows).selectExpr("doc_id", "text", "false AS held_out")
+    found = [py.train(marked, burn_in=5, samples=1, seed=s, buckets=16)[2][-1] for s in (1, 2)]
+    words, before, earlier, _ = py.trigrams([r[1] for r in rows])
+    names, w = np.unique(words, return_inverse=True)
+    parents, v = np.unique(before, return_inverse=True)
+    contexts, c = np.unique(v << 32 | np.unique(earlier, return_inverse=True)[1], return_inverse=True)
+    pairs, pair = np.unique(v << 32 | w, return_inverse=True)
+    keys, first, count = np.unique(pair << 32 | c, return_index=True, return_counts=True)
+    e = py.Entries(names, w[first], c[first], count, (pair[first], pairs & 0xFFFFFFFF, pairs >> 32))
+    state = [np.ones(len(names), int), np.ones(len(pairs), int), np.ones(len(keys), int)]
+    means = []
+    for number in range(30):
+        below = np.bincount(e.pair, state[2], len(pairs))
+        root = np.bincount(e.pair_word, state[1], len(names))
+        totals = py.Totals(
+            [root.sum()[None], np.bincount(e.pair_context, below, len(parents)), np.bincount(e.context, e.count, len(contexts))],
+            [state[0].sum()[None], np.bincount(e.pair_context, state[1], len(parents)), np.bincount(e.context, state[2], len(contexts))],
+            found[0].discounts, n_tokens=int(count.sum()), n_words=len(names),
+        )
+        if number >= 10:
+            means.append([root.sum(), state[0].sum()])
+        state = py.sweep(e, state, totals, rng)
+    mean = np.mean(means, axis=0)
+    for known in found:
+        assert (known.n_tokens, known.n_words) == (len(words), len(names))
+        assert abs(known.customers / mean[0] - 1) < 0.05 and abs(known.tables / mean[1] - 1) < 0.1
+
+
+def test_other_runs_are_not_taken_together(make_docs):
+    frame = pd.DataFrame({"digest": [1, 2], "doc_ids": [[1], None], "at": [0, 1]})
+    with pytest.raises(ValueError):
+        py._gather(1)(frame)
